@@ -27,7 +27,8 @@ def top_k(df: DataFrame, by: str | Sequence[str], order: Sequence[Column | str],
     ``order`` must end with a unique tie-breaker so results are deterministic.
     """
     w = Window.partitionBy(*_cols(by)).orderBy(*_cols(order))
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return (df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+            .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
 def filtered_page(df: DataFrame, status_col: str, status: str, ts_col: str, id_col: str,
