@@ -158,7 +158,8 @@ def providers_df(spark: SparkSession) -> DataFrame:
 
 
 PROVIDERS_SQL = "providers AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{p[0]}', '{p[1]}', {p[2]}, CAST({p[3]} AS BIGINT), CAST({p[4]} AS BIGINT), {p[5]})"
+    f"({i}, '{p[0]}', '{p[1]}', CAST({p[2]} AS DOUBLE), CAST({p[3]} AS BIGINT), "
+    f"CAST({p[4]} AS BIGINT), CAST({p[5]} AS DOUBLE))"
     for i, p in enumerate(PROVIDERS)
 ) + ") v(provider_no, provider, tier, strength, daily_limit, weekly_limit, cost_per_m_token))"
 
