@@ -31,6 +31,22 @@ def top_k(df: DataFrame, by: str | Sequence[str], order: Sequence[Column | str],
             .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
+def positions(df: DataFrame, order: Sequence[Column | str], name: str = "position",
+              by: str | None = None, segment: Column | None = None) -> DataFrame:
+    """Dense 1-based positions under ``order`` (within ``by`` groups).
+
+    Never a single-task window: rows are numbered inside ``segment``s (which
+    must be monotone in ``order``) and shifted by the counts of the earlier
+    segments (see ``windows.segmented_running``).
+    """
+    from quarry.operators.windows import seq_index
+    if segment is None:
+        raise ValueError("positions needs a segment expression monotone in the order")
+    d = df if by else df.withColumn("_all", F.lit(0))
+    out = seq_index(d, by or "_all", list(order), segment, name)
+    return out if by else out.drop("_all")
+
+
 def filtered_page(df: DataFrame, status_col: str, status: str, ts_col: str, id_col: str,
                   limit: int) -> DataFrame:
     """Op 83: rows with one status, newest first, first ``limit`` only.

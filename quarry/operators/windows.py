@@ -39,33 +39,33 @@ def segmented_running(df: DataFrame, key: str | Sequence[str], order: Sequence[s
     of that running sum is added as ``<name>_min``.
     """
     keys = _cols(key)
-    d = df.withColumn("_seg", segment)
+    d = df.withColumn("__seg", segment)
     for n, c in values.items():
-        d = d.withColumn(f"_v_{n}", c)
-    w_local = (Window.partitionBy(*keys, "_seg").orderBy(*order)
+        d = d.withColumn(f"__v_{n}", c)
+    w_local = (Window.partitionBy(*keys, "__seg").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, 0))
     for n in values:
-        d = d.withColumn(f"_l_{n}", F.sum(f"_v_{n}").over(w_local))
+        d = d.withColumn(f"__l_{n}", F.sum(f"__v_{n}").over(w_local))
     for n in min_of:
-        d = d.withColumn(f"_lm_{n}", F.min(f"_l_{n}").over(w_local))
+        d = d.withColumn(f"__lm_{n}", F.min(f"__l_{n}").over(w_local))
     # one row per (key, segment): totals and local minima of the prefix
-    aggs = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]
-    aggs += [F.min(f"_l_{n}").alias(f"_sm_{n}") for n in min_of]
-    seg = d.groupBy(*keys, "_seg").agg(*aggs)
-    w_seg = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    aggs = [F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values]
+    aggs += [F.min(f"__l_{n}").alias(f"__sm_{n}") for n in min_of]
+    seg = d.groupBy(*keys, "__seg").agg(*aggs)
+    w_seg = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     for n in values:
-        seg = seg.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_t_{n}").over(w_seg), F.lit(0)))
+        seg = seg.withColumn(f"__o_{n}", F.coalesce(F.sum(f"__t_{n}").over(w_seg), F.lit(0)))
     for n in min_of:
-        seg = seg.withColumn(f"_pm_{n}", F.min(F.col(f"_o_{n}") + F.col(f"_sm_{n}")).over(w_seg))
-    seg = seg.select(*keys, "_seg", *[f"_o_{n}" for n in values], *[f"_pm_{n}" for n in min_of])
-    out = d.join(seg, [*keys, "_seg"])
+        seg = seg.withColumn(f"__pm_{n}", F.min(F.col(f"__o_{n}") + F.col(f"__sm_{n}")).over(w_seg))
+    seg = seg.select(*keys, "__seg", *[f"__o_{n}" for n in values], *[f"__pm_{n}" for n in min_of])
+    out = d.join(seg, [*keys, "__seg"])
     for n in values:
-        out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
+        out = out.withColumn(n, F.col(f"__l_{n}") + F.col(f"__o_{n}"))
     for n in min_of:
-        here = F.col(f"_lm_{n}") + F.col(f"_o_{n}")
-        out = out.withColumn(f"{n}_min", F.when(F.col(f"_pm_{n}").isNull(), here)
-                             .otherwise(F.least(here, F.col(f"_pm_{n}"))))
-    drop = [c for c in out.columns if c.startswith("_")]
+        here = F.col(f"__lm_{n}") + F.col(f"__o_{n}")
+        out = out.withColumn(f"{n}_min", F.when(F.col(f"__pm_{n}").isNull(), here)
+                             .otherwise(F.least(here, F.col(f"__pm_{n}"))))
+    drop = [c for c in out.columns if c.startswith("__")]
     return out.drop(*drop)
 
 
@@ -144,6 +144,32 @@ def ema(df: DataFrame, key: str, order: Sequence[str], value: str, n: int = 1000
     return run.withColumn("ema", F.col("_s") * F.exp(lq * F.col("_i"))).drop("_s", "_i")
 
 
+# Fixed values of the audit-rate control law.
+FLOOR_AUDIT_RATE = 0.005
+BASELINE_AUDIT_RATE = 0.05
+
+
+def category_bump(fraud_rate) -> Column:
+    """0 at 0 %, 0.5 at 10 %, 1.0 from 50 % on, linear in between."""
+    f = F.col(fraud_rate) if isinstance(fraud_rate, str) else fraud_rate
+    return (F.when(f <= 0, F.lit(0.0)).when(f <= 0.1, f * 5.0)
+            .when(f < 0.5, F.lit(0.5) + (f - 0.1) * 1.25).otherwise(F.lit(1.0)))
+
+
+def node_bump(fail_rate, max_sev_recent) -> Column:
+    """0.95 x failure share of the last 100 audits; 1.0 when one of the last
+    10 had severity above 0.5."""
+    return F.when(F.col(max_sev_recent) > 0.5, F.lit(1.0)).otherwise(F.col(fail_rate) * 0.95)
+
+
+def audit_rate(df: DataFrame, fail_rate: str = "fail_rate", max_sev: str = "max_sev_recent",
+               fraud_ema: str = "ema") -> DataFrame:
+    """Op 69: clamp(0.05 + node bump + category bump, 0.005, 1) on rows that
+    carry op 68's rolling columns and op 70's category EMA."""
+    r = F.lit(BASELINE_AUDIT_RATE) + node_bump(fail_rate, max_sev) + category_bump(fraud_ema)
+    return df.withColumn("audit_rate", F.least(F.greatest(r, F.lit(FLOOR_AUDIT_RATE)), F.lit(1.0)))
+
+
 def reputation(outcomes: DataFrame, node: str, order: Sequence[str], segment: Column,
                passed: str = "pass", gain: int = 1, loss: int = 10) -> DataFrame:
     """Op 71: +gain per pass, -loss per fail, floored at 0 after every step.

@@ -70,16 +70,16 @@ def audits(t: Tables) -> DataFrame:
         F.col("l_discount") < 0.085)
     return li.select(
         F.col("l_suppkey").alias("node"), F.col("l_orderkey").alias("job_id"),
-        F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate").alias("at"),
+        F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate").alias("audit_ts"),
         passed.alias("pass"),
         F.when(passed, F.lit(0.0)).otherwise(F.round(F.lit(0.1) + F.col("l_tax") * 11.25, 4))
         .alias("severity"))
 
 
-AUDIT_ORDER = ["at", "job_id", "l_linenumber", "l_partkey"]
+AUDIT_ORDER = ["audit_ts", "job_id", "l_linenumber", "l_partkey"]
 
 AUDITS_SQL = """audits AS (
-  SELECT l_suppkey AS node, l_orderkey AS job_id, l_linenumber, l_partkey, l_shipdate AS at,
+  SELECT l_suppkey AS node, l_orderkey AS job_id, l_linenumber, l_partkey, l_shipdate AS audit_ts,
          CASE WHEN l_suppkey % 2 = 0 THEN l_discount < 0.095 ELSE l_discount < 0.085 END AS pass,
          CASE WHEN (CASE WHEN l_suppkey % 2 = 0 THEN l_discount < 0.095
                          ELSE l_discount < 0.085 END) THEN 0.0
@@ -191,7 +191,7 @@ def restart_samples(t: Tables) -> DataFrame:
 
 
 RESTARTS_SQL = """restarts AS (
-  SELECT user_id AS container_id, event_id, ts, epoch_ms(ts) // 1000 AS epoch,
+  SELECT user_id AS container_id, event_id, ts, epoch_us(ts) // 1000000 AS epoch,
          CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
               OVER (PARTITION BY user_id ORDER BY ts, event_id
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS restart_count

@@ -1,7 +1,7 @@
 """Imports every query module so that the registry is filled."""
 
 from quarry.plans import registry
-from quarry.plans import q_relational, q_retrieval, q_scalars  # noqa: F401
+from quarry.plans import q_relational, q_retrieval, q_scalars, q_windows  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
