@@ -98,3 +98,291 @@ def rank_scores(scored: DataFrame, qid: str, k: int, score: str = "score",
     """Top-k per query on a rounded score, ties by item id; score rounded to 6."""
     ranked = top_k(scored, qid, [F.round(score, 9).desc(), F.col(item).asc()], k)
     return ranked.select(qid, "rank", item, F.round(score, 6).alias(score))
+
+
+# ---------------------------------------------------------------- dense top-k
+def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid: str, cvec: str,
+               k: int, block_rows: int = 4096, group_col: str | None = None) -> DataFrame:
+    """Op 94: exact cosine top-k of corpus vectors per query vector (per
+    query and corpus group when ``group_col`` is given).
+
+    Blocked matrix product: queries and corpus are hashed into blocks of at
+    most ``block_rows`` rows; each (query block, corpus block) group is one
+    ``applyInPandas`` task that multiplies the two normalized matrices and
+    keeps the k best per query.  No pair is materialized as a row and no
+    group exceeds 2 x ``block_rows`` vectors; the final per-query top-k
+    reads at most k rows per corpus block.
+    """
+    import numpy as np
+    import pandas as pd
+
+    nq, nc = queries.count(), corpus.count()
+    bq, bc = max(1, -(-nq // block_rows)), max(1, -(-nc // block_rows))
+    g = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    q = queries.select(F.col(qid).cast("long").alias("id"), F.col(qvec).cast("array<double>").alias("v"),
+                       F.lit(0).alias("side"), F.lit(None).cast("string").alias("g"),
+                       F.pmod(F.xxhash64(qid), F.lit(bq)).cast("int").alias("qb"))
+    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
+    c = corpus.select(F.col(cid).cast("long").alias("id"), F.col(cvec).cast("array<double>").alias("v"),
+                      F.lit(1).alias("side"), g.alias("g"),
+                      F.pmod(F.xxhash64(cid), F.lit(bc)).cast("int").alias("cb"))
+    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    both = q.unionByName(c)
+    keep = k + 2
+
+    def best(qids, cids, s, gval):
+        m = min(keep, s.shape[1])
+        idx = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        rows = np.repeat(np.arange(s.shape[0]), m)
+        cols = idx.reshape(-1)
+        return pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "score": s[rows, cols],
+                             "g": gval})
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, cs = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if len(qs) == 0 or len(cs) == 0:
+            return pd.DataFrame({"qid": [], "cid": [], "score": [], "g": []})
+        qm = np.stack([np.asarray(x, dtype=np.float64) for x in qs["v"]])
+        cm = np.stack([np.asarray(x, dtype=np.float64) for x in cs["v"]])
+        qn = np.linalg.norm(qm, axis=1, keepdims=True)
+        cn = np.linalg.norm(cm, axis=1, keepdims=True)
+        qn[qn == 0] = 1.0
+        cn[cn == 0] = 1.0
+        s = (qm / qn) @ (cm / cn).T
+        qids, cids = qs["id"].to_numpy(), cs["id"].to_numpy()
+        if group_col is None:
+            return best(qids, cids, s, None)
+        gv = cs["g"].to_numpy()
+        parts = [best(qids, cids[gv == x], s[:, gv == x], x) for x in pd.unique(gv)]
+        return pd.concat(parts, ignore_index=True)
+
+    cand = both.groupBy("qb", "cb").applyInPandas(fn, "qid long, cid long, score double, g string")
+    by = ["qid", "g"] if group_col else "qid"
+    ranked = top_k(cand, by, [F.round("score", 9).desc(), F.col("cid").asc()], k)
+    cols = [F.col("qid").alias(qid), "rank", F.col("cid").alias(cid), "score"]
+    if group_col:
+        cols.append(F.col("g").alias(group_col))
+    return ranked.select(*cols)
+
+
+# ---------------------------------------------------------------- trigrams
+def trigrams(text) -> Column:
+    """pg_trgm trigram set of a text: lower-cased alphanumeric words, each
+    padded with two leading blanks and one trailing blank."""
+    words = F.filter(F.split(F.lower(text if isinstance(text, Column) else F.col(text)),
+                             r"[^\p{L}\p{N}]+"), lambda w: w != F.lit(""))
+    grams = F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(1), F.length(F.concat(F.lit("  "), w, F.lit(" "))) - 2),
+        lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, 3)))
+    return F.array_distinct(F.flatten(grams))
+
+
+def trigram_similarity(a, b) -> Column:
+    """Op 95: |A n B| / |A u B| of the trigram sets (0 when both are empty)."""
+    ta, tb = trigrams(a), trigrams(b)
+    inter = F.size(F.array_intersect(ta, tb))
+    union = F.size(F.array_union(ta, tb))
+    return F.when(union == 0, F.lit(0.0)).otherwise(inter / union)
+
+
+def trigram_join(names: DataFrame, id_col: str, text_col: str, threshold: float = 0.3) -> DataFrame:
+    """Op 95: all pairs (a < b) whose trigram similarity reaches ``threshold``.
+
+    Exact set-similarity join with prefix filtering: trigrams are ordered
+    globally rare-first; a pair with Jaccard >= t must share one of the first
+    |A| - ceil(t |A|) + 1 trigrams of each side, so only those prefixes are
+    joined.  Frequent trigrams sit at the end of the order and rarely enter
+    a prefix, so no hot trigram enumerates all pairs of its group.
+    Candidates are verified with the exact similarity.
+    """
+    g = names.select(F.col(id_col).alias("id"), trigrams(text_col).alias("tg")).filter(
+        F.size("tg") > 0)
+    ex = g.select("id", F.size("tg").alias("n"), F.explode("tg").alias("t"))
+    freq = ex.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    ranked = ex.join(freq, "t")
+    w = Window.partitionBy("id").orderBy("f", "t")  # one set per window: bounded
+    ranked = ranked.withColumn("r", F.row_number().over(w))
+    plen = F.col("n") - F.ceil(F.col("n") * threshold) + 1
+    pref = ranked.filter(F.col("r") <= plen).select("id", "t")
+    cand = (pref.alias("x").join(pref.alias("y"), "t")
+            .filter(F.col("x.id") < F.col("y.id"))
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    ga, gb = g.select(F.col("id").alias("a"), F.col("tg").alias("ta")), g.select(
+        F.col("id").alias("b"), F.col("tg").alias("tb"))
+    v = cand.join(ga, "a").join(gb, "b")
+    inter = F.size(F.array_intersect("ta", "tb"))
+    sim = inter / F.size(F.array_union("ta", "tb"))
+    return v.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+# ---------------------------------------------------------------- fusion
+def rrf(rankings: list[DataFrame], qid: str, item: str, rank: str = "rank",
+        k: int = 60) -> DataFrame:
+    """Op 96: reciprocal rank fusion, sum of 1/(k + rank) over the lists."""
+    u = rankings[0].select(qid, item, rank)
+    for r in rankings[1:]:
+        u = u.unionByName(r.select(qid, item, rank))
+    return u.groupBy(qid, item).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col(rank))).alias("rrf"))
+
+
+def pack_context(ranked: DataFrame, qid: str, rank: str, tokens_col: str, budget: int) -> DataFrame:
+    """Op 99: take ranked items while the running token sum fits the budget;
+    the first item that does not fit ends the block (prefix rule)."""
+    w = Window.partitionBy(qid).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    d = ranked.withColumn("cum_tokens", F.sum(tokens_col).over(w))
+    return d.filter(F.col("cum_tokens") <= budget)
+
+
+# ---------------------------------------------------------------- graph
+def graph_neighbors(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src",
+                    dst: str = "dst", kind: str = "kind") -> DataFrame:
+    """Op 100: nodes reachable from the seeds within ``depth`` hops over an
+    undirected edge list, with their hop distance, degree and the kind of
+    the edge that first reached them.  Breadth-first by joins: each round
+    joins only the new frontier, drops visited nodes with an anti join, and
+    is checkpointed."""
+    from quarry.session import cut_lineage
+    und = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(kind).alias("k"))
+    und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
+    deg = und.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    visited = seeds.select(F.col("node").alias("a")).distinct().withColumn("hop", F.lit(0)) \
+        .withColumn("via", F.lit(None).cast("string"))
+    frontier = visited.select("a")
+    for h in range(1, depth + 1):
+        nxt = (frontier.join(und, "a").groupBy(F.col("b").alias("a"))
+               .agg(F.min("k").alias("via")))
+        nxt = nxt.join(visited.select("a"), "a", "left_anti").withColumn("hop", F.lit(h))
+        nxt = cut_lineage(nxt)
+        visited = visited.unionByName(nxt.select("a", "hop", "via"))
+        frontier = nxt.select("a")
+    return (visited.join(deg, "a", "left").fillna(0, ["degree"])
+            .select(F.col("a").alias("node"), "hop", "via", "degree"))
+
+
+def graph_vote(seeds: DataFrame, edges: DataFrame, group: str, k: int, src: str = "src",
+               dst: str = "dst", hops: int = 1) -> DataFrame:
+    """Op 101: every seed votes for its neighbours with its score; non-seed
+    candidates are ranked per group by the sum of votes (ties by id).
+
+    With ``hops = 2`` the votes flow through the intermediate nodes (e.g.
+    page -> shared path -> page): the intermediate totals are aggregated
+    first, so no node-to-node pair list is ever built.
+    """
+    und = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    cur = seeds.select(group, F.col("node").alias("a"), F.col("score").alias("s"))
+    for _ in range(hops):
+        cur = (cur.join(und, "a").groupBy(group, F.col("b").alias("a"))
+               .agg(F.sum("s").alias("s")))
+    votes = cur.select(group, F.col("a").alias("node"), F.col("s").alias("votes"))
+    votes = votes.join(seeds.select(group, "node"), [group, "node"], "left_anti")
+    return top_k(votes, group, [F.round("votes", 9).desc(), F.col("node").asc()], k)
+
+
+def overlap_raw(qtext, dtext) -> Column:
+    """Default pair scorer (stand-in for a cross-encoder): shared distinct
+    word tokens over sqrt of the query's distinct tokens, shifted by -3 so
+    that the sigmoid of op 80 spreads over (0, 1)."""
+    qt, dt = F.array_distinct(tokens(qtext)), F.array_distinct(tokens(dtext))
+    return F.size(F.array_intersect(qt, dt)) / F.sqrt(F.size(qt)) - 3.0
+
+
+def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame,
+                  k: int = 5, depth: int = 20, rrf_k: int = 60) -> DataFrame:
+    """Op 97: BM25 top-``depth`` and dense top-``depth`` fused by RRF; the
+    fused top-``depth`` is reranked with the pair scorer and cut to k.
+    Only ids and ranks travel between the stages; texts are joined back for
+    the scorer on the ``depth`` candidates of each query."""
+    from quarry.operators.topk import rerank
+    lex = bm25(queries, docs, k=depth)
+    den = dense_topk(qvecs, dvecs, "item_id", "vector", "doc_id", "vector", depth)
+    fused = rrf([lex, den], "item_id", "doc_id", k=rrf_k)
+    cands = top_k(fused, "item_id", [F.round("rrf", 12).desc(), F.col("doc_id").asc()], depth)
+    pairs = (cands.select("item_id", "doc_id", F.col("rank").alias("idx"))
+             .join(queries.select("item_id", F.col("text").alias("qtext")), "item_id")
+             .join(docs.select("doc_id", F.col("text").alias("dtext")), "doc_id"))
+    out = rerank(pairs.withColumn("raw", overlap_raw("qtext", "dtext")), "raw", "item_id", "idx", k)
+    return out.select("item_id", "rank", "doc_id", "idx", "score")
+
+
+def community_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame,
+                     community: str = "source", k: int = 10, m: int = 2,
+                     rrf_k: int = 60) -> DataFrame:
+    """Op 98: two-stage retrieval.  Bottom-up: BM25 top-k items.  Top-down:
+    the m communities whose centroid is nearest to the query, then their
+    members nearest to the query.  Both lists are fused by RRF (top k)."""
+    from quarry.operators.clustering import centroids
+    lex = bm25(queries, docs, k=k)
+    mv = dvecs.join(docs.select("doc_id", community), "doc_id")
+    cents = centroids(mv, community, "vector")
+    cents = cents.withColumn("_cid", F.dense_rank().over(Window.orderBy(community)).cast("long"))
+    top_c = dense_topk(qvecs, cents, "item_id", "vector", "_cid", "centroid", m)
+    top_c = top_c.join(cents.select("_cid", community), "_cid").select("item_id", community)
+    members = dense_topk(qvecs, mv, "item_id", "vector", "doc_id", "vector", k, group_col=community)
+    members = members.join(top_c, ["item_id", community], "left_semi")
+    down = top_k(members, "item_id", [F.round("score", 9).desc(), F.col("doc_id").asc()], k)
+    fused = rrf([lex, down], "item_id", "doc_id", k=rrf_k)
+    ranked = top_k(fused, "item_id", [F.round("rrf", 12).desc(), F.col("doc_id").asc()], k)
+    return ranked.select("item_id", "rank", "doc_id", F.round("rrf", 9).alias("rrf"))
+
+
+def bridge_orphans(hits: DataFrame, linked: DataFrame, vectors: DataFrame, qid: str,
+                   item: str, vec: str) -> DataFrame:
+    """Op 102: a hit with no edge to another hit of the same query is linked
+    to the most similar other hit (cosine of the vectors; ties by id).
+
+    ``linked(qid, item)`` lists the hits that do have an edge.  Hit lists are
+    top-k lists, so the comparison stays within k items per query.
+    """
+    from quarry.functions.scalars import cosine
+    hv = hits.select(qid, item).join(vectors.select(F.col(item), F.col(vec)), item)
+    orphans = hv.join(linked.select(qid, item), [qid, item], "left_anti")
+    o = orphans.select(qid, F.col(item).alias("orphan"), F.col(vec).alias("_ov"))
+    other = hv.select(qid, F.col(item).alias("bridge"), F.col(vec).alias("_bv"))
+    pairs = o.join(other, qid).filter(F.col("orphan") != F.col("bridge"))
+    pairs = pairs.withColumn("similarity", cosine("_ov", "_bv"))
+    best = top_k(pairs, [qid, "orphan"], [F.round("similarity", 9).desc(), F.col("bridge").asc()], 1)
+    return best.select(qid, "orphan", "bridge", "similarity")
+
+
+def rollup_tree(chunks: DataFrame, doc: str, idx: str, tokens_col: str, fanout: int) -> DataFrame:
+    """Op 103: hierarchical rollup; level l+1 groups ``fanout`` consecutive
+    level-l nodes until one root per document.
+
+    Closed form instead of a loop: the level-l node of chunk i is
+    i div fanout^l, and a document needs levels 0..L with L the smallest l
+    where ceil(n / fanout^l) = 1.  One explode and one aggregate build every
+    level at once.
+    """
+    n = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
+    lv = F.when(F.col("_n") <= 1, F.lit(0)).otherwise(
+        F.ceil(F.log(float(fanout), F.col("_n").cast("double")) - F.lit(1e-9)).cast("int"))
+    c = chunks.join(n.withColumn("_L", lv), doc)
+    c = c.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_L"))))
+    p = F.pow(F.lit(fanout), F.col("level")).cast("long")
+    c = c.withColumn("node", (F.col(idx) / p).cast("long")).withColumn(
+        "_child", F.when(F.col("level") > 0, (F.col(idx) / (p / fanout)).cast("long")))
+    return c.groupBy(doc, "level", "node").agg(
+        F.sum(tokens_col).alias("tokens"), F.count(F.lit(1)).alias("n_leaves"),
+        F.count_distinct("_child").alias("n_children"))
+
+
+def cooccurrence_edges(docs: DataFrame, id_col: str, text_col: str, window: int = 64,
+                       min_df: int = 2, max_df_share: float = 0.5) -> DataFrame:
+    """Op 104: entity-entity edges weighted by the number of chunks that hold
+    both.  An entity is a capitalized word whose document frequency lies in
+    [min_df, max_df_share * N]; a chunk is a window of ``window`` words.  A
+    chunk holds at most ``window`` entities, so its pair list is bounded."""
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"(\p{L}+)"), 1)
+    w = docs.select(F.col(id_col).alias("doc"), F.posexplode(words).alias("pos", "word"))
+    ent = w.filter(F.col("word").rlike(r"^\p{Lu}\p{Ll}+$")).select(
+        "doc", (F.col("pos") / window).cast("long").alias("chunk"), F.col("word").alias("e"))
+    ent = ent.distinct()
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    df_ = ent.groupBy("e").agg(F.count_distinct("doc").alias("_df"))
+    ok = df_.filter((F.col("_df") >= min_df) & (F.col("_df") <= n_docs * max_df_share)).select("e")
+    ent = ent.join(ok, "e", "left_semi")
+    pairs = (ent.alias("x").join(ent.alias("y"), ["doc", "chunk"])
+             .filter(F.col("x.e") < F.col("y.e"))
+             .select(F.col("x.e").alias("a"), F.col("y.e").alias("b")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
