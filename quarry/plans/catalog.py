@@ -1,8 +1,8 @@
 """Imports every query module so that the registry is filled."""
 
 from quarry.plans import registry
-from quarry.plans import (q_clustering, q_relational, q_retrieval, q_scalars,  # noqa: F401
-                          q_windows)
+from quarry.plans import (q_clustering, q_market, q_relational, q_retrieval,  # noqa: F401
+                          q_scalars, q_windows)
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
