@@ -34,6 +34,20 @@ SELECT item_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <=
 """
 
 
+@register("read_table", """
+SELECT l_orderkey, l_extendedprice, l_discount FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_returnflag = 'R'""")
+def q_read_table(spark, root):
+    """Op 1: a typed scan; the filter and the 3-column projection reach the
+    Parquet reader (``PushedFilters``, ``ReadSchema`` in the plan)."""
+    import datetime as dt
+    from quarry.sources.tables import read_table
+    li = read_table(spark, root, "lineitem")
+    return (li.filter((F.col("l_shipdate") >= F.lit(dt.datetime(1995, 1, 1)).cast("timestamp_ntz"))
+                      & (F.col("l_returnflag") == "R"))
+            .select("l_orderkey", "l_extendedprice", "l_discount"))
+
+
 @register("bm25_topk", BM25_SQL)
 def q_bm25(spark, root):
     t = Tables(spark, root)
