@@ -33,6 +33,19 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS,
     return g.select(F.col("_id").alias(id_col), l2_normalize(dense).alias(out))
 
 
+def embed_texts(df: DataFrame, id_col: str, text_col: str, embedder=None,
+                out: str = "vector") -> DataFrame:
+    """``(id, vector)`` through a row-local, Arrow-batched embedder (op 126;
+    default: the hashing embedder, same vectors as :func:`hash_embed`).
+    No shuffle: each text is embedded where it is read.  Texts without a
+    token are skipped, as in :func:`hash_embed`."""
+    from quarry.functions.text import tokens as _tokens
+    from quarry.functions.udf import make_embedder
+    emb = embedder or make_embedder()
+    d = df.filter(F.size(_tokens(text_col)) > 0)
+    return d.select(F.col(id_col), emb(F.col(text_col)).alias(out))
+
+
 def sql_hash_embed(table: str, id_col: str, text_col: str, name: str, dims: int = DIMS) -> str:
     """DuckDB CTEs ``<name>(id_col, vector)`` computing :func:`hash_embed`."""
     return f"""{name}_tok AS (

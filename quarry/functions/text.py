@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
+TOKEN_RE = r"[\p{L}\p{N}]+"
+
+
 def tokens(text: Column | str) -> Column:
-    """Lower-cased word tokens of a text as ``array<string>``."""
+    """Lower-cased word tokens of a text as ``array<string>`` (all maximal
+    runs of letters/digits: the same list as splitting on TOKEN_SPLIT and
+    dropping empty pieces, without an interpreted lambda)."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_RE), 0)
+
+
+def token_count(text: Column | str) -> Column:
+    """Number of tokens of a text without materializing them."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    return F.regexp_count(F.lower(c), F.lit(TOKEN_RE))
 
 
 def sql_tokens(expr: str) -> str:

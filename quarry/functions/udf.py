@@ -62,15 +62,30 @@ def make_pair_scorer(fn: Callable[[list[str], list[str]], list[float]] | None =
     return scorer
 
 
+_BUCKETS: dict[str, tuple[int, float]] = {}  # per Python worker: token -> (dim, sign)
+
+
+def _bucket(tok: str, dims: int) -> tuple[int, float]:
+    hit = _BUCKETS.get(tok)
+    if hit is None:
+        h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+        hit = (int(h[:8], 16) % dims, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
+        if len(_BUCKETS) < 2_000_000:
+            _BUCKETS[tok] = hit
+    return hit
+
+
 def hash_embed_batch(texts: list[str], dims: int = 64) -> list[list[float]]:
-    """Python twin of :func:`quarry.functions.embed.hash_embed` (same md5 rule)."""
+    """Python twin of :func:`quarry.functions.embed.hash_embed` (same md5
+    rule); a token's bucket is hashed once per worker and cached."""
     out = []
     for t in texts:
+        toks = py_tokens(t)
         v = np.zeros(dims)
-        for tok in py_tokens(t):
-            h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-            d = int(h[:8], 16) % dims
-            v[d] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        if toks:
+            ds, ss = zip(*(_bucket(x, dims) for x in toks))
+            np.add.at(v, np.fromiter(ds, dtype=np.int64, count=len(ds)),
+                      np.fromiter(ss, dtype=np.float64, count=len(ss)))
         n = float(np.sqrt((v * v).sum()))
         out.append((v / (n if n else 1.0)).tolist())
     return out

@@ -126,7 +126,13 @@ def dense_ctes(k: int, p: str = "dn") -> str:
 
 
 def _vecs(t: Tables):
-    return (hash_embed(t.benchmark, "item_id", "text"), hash_embed(t.documents, "doc_id", "text"))
+    """Query and corpus vectors, each written once to the shared checkpoint
+    folder (an index table: 64 doubles per text) because several stages
+    read them."""
+    from quarry.functions.embed import embed_texts
+    from quarry.session import cut_lineage
+    return (cut_lineage(embed_texts(t.benchmark, "item_id", "text")),
+            cut_lineage(embed_texts(t.documents, "doc_id", "text")))
 
 
 @register("dense_topk", "WITH " + ",\n".join([Q_EMB, DOC_EMB, dense_ctes(10)]) + """
@@ -323,7 +329,7 @@ def q_bridge(spark, root):
         t.documents.select("doc_id", "source"), "doc_id")
     cnt = hits.groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("_n"))
     linked = hits.join(cnt.filter("_n > 1"), ["item_id", "source"]).select("item_id", "doc_id")
-    dv = hash_embed(t.documents, "doc_id", "text")
+    dv = _vecs(t)[1]
     out = R.bridge_orphans(hits, linked, dv, "item_id", "doc_id", "vector")
     return out.select("item_id", "orphan", "bridge", F.round("similarity", 6).alias("similarity"))
 
