@@ -109,12 +109,18 @@ AGENTS_SQL = "agents AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") v(agent_no, agent, weight, required, enabled))"
 
 
+# (l_orderkey, l_linenumber, l_partkey, l_suppkey) is not always unique: the
+# kept row is the greatest under the whole row, so the pick is deterministic.
+CHECK_TIEBREAK = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                  "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 def checks(t: Tables) -> DataFrame:
     """lineitem as review checks: change l_orderkey, agent l_linenumber; one row
     per (change, agent): the greatest (l_partkey, l_suppkey)."""
     li = t.lineitem
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        F.col("l_partkey").desc(), F.col("l_suppkey").desc())
+        *[F.col(c).desc() for c in CHECK_TIEBREAK])
     fail = F.col("l_returnflag") == "R"
     sev = (F.when(~fail, F.lit("LOW"))
            .when((F.col("l_linestatus") == "O") & (F.col("l_tax") >= 0.07), F.lit("CRITICAL"))
@@ -136,7 +142,7 @@ CHECKS_SQL = """checks AS (
               WHEN l_linestatus = 'O' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
          CAST(l_quantity AS INTEGER) AS lines, l_partkey, l_suppkey
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-                                     ORDER BY l_partkey DESC, l_suppkey DESC) AS rn
+                                     ORDER BY """ + ", ".join(f"{c} DESC" for c in CHECK_TIEBREAK) + """) AS rn
         FROM lineitem) WHERE rn = 1)"""
 
 # ------------------------------------------------------------------ providers
