@@ -226,10 +226,15 @@ def linkage_edges(vectors: DataFrame, core: DataFrame, id_col: str, vec: str, ma
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Component label (smallest member id) per node of an undirected edge
     table ``(u, v)``: large-star / small-star rounds until no edge changes.
-    Every round is checkpointed to the shared checkpoint folder."""
+
+    Each round's edge table is written to the shared checkpoint folder (a
+    round references the previous table several times, so without the cut
+    the plan would double every round) and compared with the previous one
+    in a single job."""
     e = edges.select("u", "v").filter(F.col("u") != F.col("v"))
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    for _ in range(max_rounds):
+    e = cut_lineage(e)
+    for rnd in range(max_rounds):
         # large star: link every larger neighbour to the smallest of N(u) and u
         mn = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         ls = (e.join(mn, "u").filter(F.col("v") > F.col("u"))
@@ -245,8 +250,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         ne = ss.unionByName(keep_big)
         ne = ne.unionByName(ne.select(F.col("v").alias("u"), F.col("u").alias("v")))
         ne = cut_lineage(ne.filter(F.col("u") != F.col("v")).distinct())
-        changed = (ne.join(e, ["u", "v"], "left_anti").limit(1).count()
-                   + e.join(ne, ["u", "v"], "left_anti").limit(1).count())
+        diff = (ne.select("u", "v", F.lit(1).alias("_a"))
+                .join(e.select("u", "v", F.lit(1).alias("_b")), ["u", "v"], "full")
+                .filter(F.col("_a").isNull() | F.col("_b").isNull()))
+        changed = diff.limit(1).count()
         e = ne
         if changed == 0:
             break
