@@ -89,8 +89,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: f
     vocab = qterms.select("term").distinct()
     stats = corpus_stats(docs, id_col, text_col).select(F.struct("n_docs", "avgdl")).scalar()
     n_docs, avgdl = stats["n_docs"], stats["avgdl"]
-    tf = (doc_terms(docs, id_col, text_col).join(vocab, "term", "left_semi")
-          .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # postings of the query vocabulary, read by two consumers (df and the doc
+    # weights): written once to the shared checkpoint folder (an index
+    # table), so the corpus is tokenized once and a lost executor re-reads
+    # the index instead of re-tokenizing
+    from quarry.session import cut_lineage
+    tf = cut_lineage(doc_terms(docs, id_col, text_col).join(vocab, "term", "left_semi")
+                     .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf_part = (F.col("tf") * (k1 + 1)) / (

@@ -71,11 +71,13 @@ def stream_source(spark: SparkSession, path: str, schema: T.StructType, ts: str
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
-                 keys: Sequence[str] | None = None) -> DataFrame:
+                 keys: Sequence[str] | None = None, state_partitions: int | None = None) -> DataFrame:
     """Run a streaming query to the end of its input and return the table.
 
     ``update`` mode needs ``keys``: the table is the latest version of each
-    key (the highest batch id wins)."""
+    key (the highest batch id wins).  ``state_partitions`` (default: the
+    cluster's parallelism) is the number of state-store partitions; it is
+    fixed in the checkpoint when the query first starts."""
     spark = stream.sparkSession
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
@@ -84,8 +86,14 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
             f"{out}/_b={batch_id}")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     q.awaitTermination()
     try:
         res = spark.read.parquet(f"{out}/_b=*")
