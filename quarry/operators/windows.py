@@ -110,38 +110,60 @@ def rolling_fail_rate(audits: DataFrame, node: str, order: Sequence[str], segmen
                       n: int = 100, m: int = 10) -> DataFrame:
     """Op 68: failure share of the last n audits and max severity of the
     last m, per node (row frames turned into range frames on the position)."""
+    if m > n:
+        raise ValueError("m must not exceed n")
     idx = seq_index(audits, node, order, segment, "pos")
     idx = idx.withColumn("_fail", F.when(F.col("pass"), 0.0).otherwise(1.0))
 
-    def comp_n(d, w):
-        return d.withColumn("fail_rate", F.avg("_fail").over(w))
-
-    def comp_m(d, w):
-        return d.withColumn("max_sev_recent", F.max("severity").over(w))
+    def comp(d, w):
+        # both frames fit in the same buckets of width n-1: one pass, one sort
+        w_m = Window.partitionBy(node, "_b").orderBy("pos").rangeBetween(-(m - 1), 0)
+        return (d.withColumn("fail_rate", F.avg("_fail").over(w))
+                .withColumn("max_sev_recent", F.max("severity").over(w_m)))
 
-    a = split_range_window(idx, node, "pos", n - 1, comp_n)
-    return split_range_window(a, node, "pos", m - 1, comp_m).drop("_fail")
+    return split_range_window(idx, node, "pos", n - 1, comp).drop("_fail")
 
 
 def ema(df: DataFrame, key: str, order: Sequence[str], value: str, n: int = 1000,
         segment: Column | None = None) -> DataFrame:
     """Op 70: exponential moving average, alpha = 2/(n+1), seeded with the
-    first value: e_i = (1-a)^(i-1) x_1 + sum_{j>=2} a (1-a)^(i-j) x_j.
-
-    Written as running sums of x_j (1-a)^(-j) scaled by (1-a)^i, computed
-    with the segmented running sum.  The weights stay finite while a key
-    has fewer than ~700/-ln(1-a) rows (about 350k rows for n = 1000); longer
-    series need the per-segment carry form (open item).
+    first value: e_i = sum_{j<=i} c_j q^(i-j), q = 1-a, c_1 = x_1, c_j = a x_j.
+
+    Exact for any series length and no task holds a whole key:
+    1. position i of every row in its key (:func:`seq_index`, skew-safe);
+    2. positions are cut into blocks of B rows, B chosen so q^-B stays far
+       from overflow; inside a block the EMA from a zero start is a running
+       sum with block-relative exponents (window per (key, block));
+    3. block totals T_s (one row per block) are chained by Horner's rule,
+       E_s = E_{s-1} q^B + T_s, over the last K blocks only: an older
+       block is weighted by q^(K B) < 1e-320, below double range, exactly
+       as in a sequential evaluation;
+    4. e_i = q^(i - start + 1) E_{s-1} + local_i.
     """
+    import math
     a = 2.0 / (n + 1)
-    q = 1.0 - a
+    lq = math.log(1.0 - a)
+    blk = max(1, int(600 / -lq))           # rows per block: q^-blk <= e^600
+    k_back = int(745 / (blk * -lq)) + 1    # blocks that can still contribute
     seg = segment if segment is not None else F.lit(0)
     idx = seq_index(df, key, order, seg, "_i")
-    lq = float(__import__("math").log(q))
-    term = F.when(F.col("_i") == 1, F.col(value)).otherwise(F.lit(a) * F.col(value)) * F.exp(
-        -lq * F.col("_i"))
-    run = segmented_running(idx, key, order, seg, {"_s": term})
-    return run.withColumn("ema", F.col("_s") * F.exp(lq * F.col("_i"))).drop("_s", "_i")
+    idx = idx.withColumn("_ps", F.floor((F.col("_i") - 1) / blk)).withColumn(
+        "_a", F.col("_ps") * blk + 1)
+    c = F.when(F.col("_i") == 1, F.col(value)).otherwise(F.lit(a) * F.col(value))
+    idx = idx.withColumn("_c", c * F.exp(-lq * (F.col("_i") - F.col("_a"))))
+    w = Window.partitionBy(key, "_ps").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    idx = idx.withColumn("_loc", F.exp(lq * (F.col("_i") - F.col("_a"))) * F.sum("_c").over(w))
+    segs = idx.groupBy(key, "_ps").agg(F.max("_i").alias("_b"), F.min("_a").alias("_a"),
+                                       F.sum("_c").alias("_sc"))
+    segs = segs.withColumn("_T", F.exp(lq * (F.col("_b") - F.col("_a"))) * F.col("_sc"))
+    qb = math.exp(lq * blk)
+    ws = Window.partitionBy(key).orderBy("_ps")
+    segs = segs.withColumn("_last", F.collect_list("_T").over(ws.rowsBetween(-k_back, 0)))
+    segs = segs.withColumn("_E", F.aggregate("_last", F.lit(0.0), lambda acc, t: acc * qb + t))
+    segs = segs.withColumn("_carry", F.coalesce(F.lag("_E").over(ws), F.lit(0.0)))
+    out = idx.join(segs.select(key, "_ps", "_carry"), [key, "_ps"])
+    e = F.exp(lq * (F.col("_i") - F.col("_a") + 1)) * F.col("_carry") + F.col("_loc")
+    return out.withColumn("ema", e).drop("_i", "_ps", "_a", "_c", "_loc", "_carry")
 
 
 # Fixed values of the audit-rate control law.

@@ -259,3 +259,20 @@ def test_stream_crashloop_equals_sequential_fold(spark):
             assert got[r.event_id] == (delta, breach)
             n += 1
     assert n == len(got)
+
+
+def test_ema_long_series_equals_sequential(spark):
+    """Blocks of a few rows (small n) force many carries; compare with the
+    sequential definition."""
+    rnd = random.Random(11)
+    n = 3  # alpha = 0.5: blocks of ~865 rows
+    rows = [(k, i, rnd.random()) for k in (0, 1) for i in range(2500)]
+    df = spark.createDataFrame(rows, "k int, i long, x double")
+    got = {(r.k, r.i): r.ema for r in W.ema(df, "k", ["i"], "x", n, F.floor(F.col("i") / 300)).collect()}
+    a = 2.0 / (n + 1)
+    for k in (0, 1):
+        e = None
+        for i in range(2500):
+            x = rows[k * 2500 + i][2]
+            e = x if e is None else (1 - a) * e + a * x
+            assert got[(k, i)] == pytest.approx(e, rel=1e-9, abs=1e-12)
