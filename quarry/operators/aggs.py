@@ -27,10 +27,8 @@ def error_class(df: DataFrame, msg: str, rules: Sequence[tuple[str, str]], top_k
     """
     d = df.withColumn("_cls", S.error_rule_class(msg, rules))
     freq = d.groupBy("_cls").agg(F.count(F.lit(1)).alias("_n"))
-    top = (freq.filter(F.col("_cls") != "other")
-           .withColumn("_r", F.row_number().over(
-               Window.orderBy(F.col("_n").desc(), F.col("_cls").asc())))
-           .filter(F.col("_r") <= top_k).select("_cls", F.lit(True).alias("_keep")))
+    top = (freq.filter(F.col("_cls") != "other").orderBy(F.col("_n").desc(), F.col("_cls").asc())
+           .limit(top_k).select("_cls", F.lit(True).alias("_keep")))
     return (d.join(top, "_cls", "left")
             .withColumn(out, F.when(F.col("_keep"), F.col("_cls")).otherwise(F.lit("other")))
             .drop("_cls", "_keep"))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
 
@@ -171,7 +172,8 @@ def journal_rows(settled: DataFrame, deposits: DataFrame, deposit_at) -> DataFra
 
 
 # ---------------------------------------------------------------- op 112
-def credit_lines(requests: DataFrame, policies: DataFrame) -> DataFrame:
+def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: int = 500_000,
+                 max_slices: int = 64) -> DataFrame:
     """Op 112: per creditor, in job order, a request whose shortfall
     (value - cap) is positive draws credit when the creditor's debt to that
     debtor stays within ``per_node_max`` and the creditor's outstanding
@@ -180,22 +182,47 @@ def credit_lines(requests: DataFrame, policies: DataFrame) -> DataFrame:
     a full slash (defaulted); the unrepaid part stays outstanding.
 
     Rejections feed back into later decisions, so this is a sequential fold:
-    ``applyInPandas`` per creditor over its credit-needing requests only
-    (requests without a shortfall never enter the fold).
+    time-sliced: the credit-needing requests (requests without a shortfall
+    never enter it) are cut into K slices of event time, K sized so that one
+    creditor's slice stays under ``max_rows_per_task``; slice k is a
+    cogrouped ``applyInPandas`` per creditor that starts from the state
+    table left by slice k-1 (debt per creditor and debtor, written to the
+    shared checkpoint folder).  No task holds a creditor's whole history,
+    and a lost executor repeats one slice.
     """
+    from quarry.session import cut_lineage
     need = requests.withColumn("shortfall", F.greatest(F.col("value") - F.col("cap"), F.lit(0)))
     fold_in = need.filter(F.col("shortfall") > 0).join(policies, "creditor")
-    schema = ("job_id long, creditor long, debtor long, shortfall long, accepted boolean, "
-              "repaid long, defaulted boolean, outstanding_after long")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "job_id"], kind="mergesort")
-        per_max = int(pdf["per_node_max"].iloc[0])
-        total = int(pdf["total_exposure"].iloc[0])
-        debt: dict[int, int] = {}
-        outstanding = 0
+    tcol = F.col("at")
+    if isinstance(fold_in.schema["at"].dataType, (T.TimestampType, T.TimestampNTZType)):
+        tcol = F.unix_micros(F.col("at").cast("timestamp"))
+    fold_in = fold_in.withColumn("_t", tcol.cast("double"))
+    biggest = fold_in.groupBy("creditor").count().agg(F.max("count")).first()[0] or 0
+    k = max(1, min(max_slices, -(-biggest // max_rows_per_task)))
+    probs = [i / k for i in range(1, k)]
+    bounds = sorted(set(fold_in.approxQuantile("_t", probs, 0.001))) if k > 1 else []
+    sl = F.lit(0)
+    for b in bounds:
+        sl = sl + F.when(F.col("_t") > F.lit(b), 1).otherwise(0)
+    fold_in = fold_in.withColumn("_slice", sl)
+    cols = ["job_id", "creditor", "debtor", "shortfall", "accepted", "repaid", "defaulted",
+            "outstanding_after"]
+    schema = ("kind string, job_id long, creditor long, debtor long, shortfall long, "
+              "accepted boolean, repaid long, defaulted boolean, outstanding_after long")
+
+    def fold(req: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
+        if len(req) == 0:  # no request of this creditor in the slice: keep its state
+            return pd.DataFrame({"kind": "state", "job_id": None, "creditor": st["creditor"],
+                                 "debtor": st["debtor"], "shortfall": None, "accepted": None,
+                                 "repaid": st["debt"], "defaulted": None,
+                                 "outstanding_after": None})[schema_cols]
+        req = req.sort_values(["_t", "job_id"], kind="mergesort")
+        per_max = int(req["per_node_max"].iloc[0])
+        total = int(req["total_exposure"].iloc[0])
+        debt = {int(d): int(v) for d, v in zip(st["debtor"], st["debt"])}
+        outstanding = sum(debt.values())
         out = []
-        for r in pdf.itertuples(index=False):
+        for r in req.itertuples(index=False):
             s, d, f = int(r.shortfall), int(r.debtor), float(r.fraction)
             ok = debt.get(d, 0) + s <= per_max and outstanding + s <= total
             repaid, defaulted = 0, False
@@ -204,10 +231,26 @@ def credit_lines(requests: DataFrame, policies: DataFrame) -> DataFrame:
                 defaulted = f >= 1.0
                 debt[d] = debt.get(d, 0) + s - repaid
                 outstanding += s - repaid
-            out.append((int(r.job_id), int(r.creditor), d, s, ok, repaid, defaulted, outstanding))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            out.append(("out", int(r.job_id), int(r.creditor), d, s, ok, repaid, defaulted,
+                        outstanding))
+        c = int(req["creditor"].iloc[0])
+        out += [("state", None, c, d, None, None, v, None, None) for d, v in debt.items() if v]
+        return pd.DataFrame(out, columns=schema_cols)
 
-    folded = fold_in.groupBy("creditor").applyInPandas(fold, schema)
+    schema_cols = [c.split()[0] for c in schema.split(", ")]
+    spark = requests.sparkSession
+    state = spark.createDataFrame([], "creditor long, debtor long, debt long")
+    outs = []
+    for s in range(len(bounds) + 1):
+        part = fold_in.filter(F.col("_slice") == s)
+        res = cut_lineage(part.groupBy("creditor").cogroup(state.groupBy("creditor"))
+                          .applyInPandas(fold, schema))
+        outs.append(res.filter(F.col("kind") == "out").select(*cols))
+        state = res.filter(F.col("kind") == "state").select(
+            "creditor", "debtor", F.col("repaid").alias("debt"))
+    folded = outs[0]
+    for o in outs[1:]:
+        folded = folded.unionByName(o)
     free = need.filter(F.col("shortfall") <= 0).select(
         "job_id", "creditor", "debtor", "shortfall", F.lit(True).alias("accepted"),
         F.lit(0).cast("long").alias("repaid"), F.lit(False).alias("defaulted"),
