@@ -108,11 +108,23 @@ def satisfy_all(hits: DataFrame, constraints: DataFrame, qid: str, cid: str, doc
     """Op 43: relational division - documents matched by every constraint of
     a query; score is the sum of the hit scores.
 
-    ``hits(cid, doc, score)``, ``constraints(qid, cid)``.
+    ``hits(cid, doc, score)`` with one row per (cid, doc), ``constraints(qid, cid)``.
+
+    Candidates come only from each query's rarest constraint (fewest hits;
+    a constraint without hits yields none), then every constraint of the
+    query is verified by an equi-join on the (cid, doc) pair.  A constraint
+    shared by most queries and most documents (a stopword) is never joined
+    wholesale, so no (query, document) pair list is built beyond the
+    rarest constraint's hits.
     """
-    need = constraints.groupBy(qid).agg(F.count_distinct(cid).alias("_need"))
-    got = (constraints.join(hits, cid).groupBy(qid, doc)
-           .agg(F.count_distinct(cid).alias("_got"), F.sum(score).alias("score")))
+    cons = constraints.select(qid, cid).distinct()
+    need = cons.groupBy(qid).agg(F.count(F.lit(1)).alias("_need"))
+    freq = hits.groupBy(cid).agg(F.count(F.lit(1)).alias("_f"))
+    rare = (cons.join(freq, cid, "left").fillna(0, ["_f"]).groupBy(qid)
+            .agg(F.min_by(cid, F.struct("_f", cid)).alias(cid)))
+    cand = rare.join(hits.select(cid, doc), cid).select(qid, doc)
+    check = cand.join(cons, qid).join(hits.select(cid, doc, score), [cid, doc])
+    got = check.groupBy(qid, doc).agg(F.count(F.lit(1)).alias("_got"), F.sum(score).alias("score"))
     return got.join(need, qid).filter(F.col("_got") == F.col("_need")).drop("_got", "_need")
 
 

@@ -88,26 +88,43 @@ def split_by_tokens(docs: DataFrame, source: str, order: Sequence[str], tokens:
 
 
 def preference_pairs(items: DataFrame, group: str, length: str, id_col: str,
-                     preferred: Column, rejected: Column) -> DataFrame:
+                     preferred: Column, rejected: Column, bucket_width: int = 1000) -> DataFrame:
     """Op 90: each preferred item paired with the rejected item of the same
     group whose length is nearest (ties: shorter, then smaller id).
 
     No pair enumeration: preferred and rejected rows are merged in length
-    order per group and each preferred row takes the nearest rejected row
-    below (last ignorenulls) and above (first ignorenulls).
+    order and each preferred row takes the nearest rejected row below (last
+    ignorenulls) and above (first ignorenulls).  A group (a language can
+    hold most of the corpus) is split into length buckets of
+    ``bucket_width``; a bucket without a rejected neighbour takes it from the
+    nearest bucket below / above, found on the one-row-per-bucket table.
     """
     p = items.filter(preferred).select(group, length, id_col, F.lit(1).alias("_side"))
     r = items.filter(rejected).select(group, length, id_col, F.lit(0).alias("_side"))
-    u = p.unionByName(r)
+    u = p.unionByName(r).withColumn("_seg", F.floor(F.col(length) / bucket_width))
     cand = F.struct(F.col(length).alias("l"), F.col(id_col).alias("i"))
     rc = F.when(F.col("_side") == 0, cand)
-    w_dn = Window.partitionBy(group).orderBy(length, "_side", F.col(id_col).desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    w_up = Window.partitionBy(group).orderBy(length, F.col("_side").desc(), id_col).rowsBetween(
-        0, Window.unboundedFollowing)
+    w_dn = Window.partitionBy(group, "_seg").orderBy(length, "_side", F.col(id_col).desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    w_up = Window.partitionBy(group, "_seg").orderBy(length, F.col("_side").desc(), id_col) \
+        .rowsBetween(0, Window.unboundedFollowing)
     u = (u.withColumn("_dn", F.last(rc, ignorenulls=True).over(w_dn))
          .withColumn("_up", F.first(rc, ignorenulls=True).over(w_up)))
-    pref = u.filter(F.col("_side") == 1)
+    rej = F.col("_side") == 0
+    segs = u.groupBy(group, "_seg").agg(
+        F.max_by(cand, F.when(rej, F.struct(F.col(length), -F.col(id_col)))).alias("_last"),
+        F.min_by(cand, F.when(rej, F.struct(F.col(length), F.col(id_col)))).alias("_first"))
+    ws = Window.partitionBy(group).orderBy("_seg")
+    segs = segs.select(
+        group, "_seg",
+        F.last("_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_carry_dn"),
+        F.first("_first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
+        .alias("_carry_up"))
+    u = (u.filter(F.col("_side") == 1).join(segs, [group, "_seg"])
+         .withColumn("_dn", F.coalesce("_dn", "_carry_dn"))
+         .withColumn("_up", F.coalesce("_up", "_carry_up")))
+    pref = u
     d_dn = F.col(length) - F.col("_dn.l")
     d_up = F.col("_up.l") - F.col(length)
     pick = (F.when(F.col("_dn").isNull(), F.col("_up"))

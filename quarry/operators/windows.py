@@ -69,6 +69,36 @@ def segmented_running(df: DataFrame, key: str | Sequence[str], order: Sequence[s
     return out.drop(*drop)
 
 
+def segmented_shift(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
+                    segment: Column, cols: Sequence[str], lead: bool = False,
+                    suffix: str = "_prev") -> DataFrame:
+    """``lag`` (or ``lead``) by one row of ``cols`` within a key, computed
+    per (key, segment); the first (last) row of a segment takes the value
+    from the last (first) row of the nearest earlier (later) segment, found
+    on the one-row-per-segment table.  ``order`` names columns; ``segment``
+    must be monotone in ``order``."""
+    keys = _cols(key)
+    d = df.withColumn("__seg", segment)
+    w = Window.partitionBy(*keys, "__seg").orderBy(*order)
+    ordk = F.struct(*order)
+    shift = F.lead if lead else F.lag
+    # the segment's first row (lag) or last row (lead) takes the carried value
+    edge_order = [F.col(c).desc() for c in order] if lead else [F.col(c) for c in order]
+    d = d.withColumn("__edge", F.row_number().over(
+        Window.partitionBy(*keys, "__seg").orderBy(*edge_order)) == 1)
+    for c in cols:
+        d = d.withColumn(f"__in_{c}", shift(c).over(w))
+    pick = F.min_by if lead else F.max_by
+    seg = d.groupBy(*keys, "__seg").agg(*[pick(F.col(c), ordk).alias(f"__e_{c}") for c in cols])
+    ws = Window.partitionBy(*keys).orderBy("__seg")
+    seg = seg.select(*keys, "__seg", *[shift(f"__e_{c}").over(ws).alias(f"__b_{c}") for c in cols])
+    out = d.join(seg, [*keys, "__seg"])
+    for c in cols:
+        out = out.withColumn(f"{c}{suffix}", F.when(F.col("__edge"), F.col(f"__b_{c}"))
+                             .otherwise(F.col(f"__in_{c}")))
+    return out.drop(*[x for x in out.columns if x.startswith("__")])
+
+
 def seq_index(df: DataFrame, key: str | Sequence[str], order: Sequence[str], segment: Column,
               name: str = "pos") -> DataFrame:
     """1-based position of each row within its key under ``order``."""
@@ -242,21 +272,30 @@ def tier_changes(readings: DataFrame, key: str, order: Sequence[str], tier: str)
 
 
 def lifecycle_check(events: DataFrame, key: str, order: Sequence[str], state: str,
-                    allowed: DataFrame, initial: str = "unclaimed") -> DataFrame:
+                    allowed: DataFrame, initial: str = "unclaimed",
+                    segment: Column | None = None) -> DataFrame:
     """Op 76: transitions (previous state -> state) that are not in
-    ``allowed(from_state, to_state)``; the first event starts from ``initial``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    t = events.withColumn("from_state", F.coalesce(F.lag(state).over(w), F.lit(initial)))
+    ``allowed(from_state, to_state)``; the first event starts from
+    ``initial``.  The previous state is a segmented lag (a key's history is
+    split by ``segment``, default: the day of the first order column)."""
+    seg = segment if segment is not None else F.floor(epoch_seconds(order[0]) / 86400)
+    t = segmented_shift(events, key, order, seg, [state], suffix="_prev")
+    t = t.withColumn("from_state", F.coalesce(F.col(f"{state}_prev"), F.lit(initial))).drop(
+        f"{state}_prev")
     t = t.withColumnRenamed(state, "to_state")
     return t.join(allowed, ["from_state", "to_state"], "left_anti")
 
 
-def stage_durations(events: DataFrame, run: str, ts: str, stage: str, tie: str) -> DataFrame:
+def stage_durations(events: DataFrame, run: str, ts: str, stage: str, tie: str,
+                    segment: Column | None = None) -> DataFrame:
     """Op 77: each stage lasts until the next event of the run; per run and
-    stage the total seconds and its share of the run (last event: 0 s)."""
-    w = Window.partitionBy(run).orderBy(ts, tie)
-    nxt = F.lead(ts).over(w)
-    d = events.withColumn("_dur", F.coalesce(
+    stage the total seconds and its share of the run (last event: 0 s).
+    The next event time is a segmented lead (default segment: the day)."""
+    seg = segment if segment is not None else F.floor(epoch_seconds(ts) / 86400)
+    d = segmented_shift(events.withColumn("_nts", F.col(ts)), run, [ts, tie], seg, ["_nts"],
+                        lead=True, suffix="_next")
+    nxt = F.col("_nts_next")
+    d = d.withColumn("_dur", F.coalesce(
         epoch_seconds(nxt) - epoch_seconds(ts), F.lit(0)).cast("long"))
     per = d.groupBy(run, stage).agg(F.sum("_dur").alias("seconds"))
     tot = per.groupBy(run).agg(F.sum("seconds").alias("_tot"))

@@ -187,13 +187,13 @@ CALLS_SQL = """calls AS (
 # ------------------------------------------------------------------ events
 def restart_samples(t: Tables) -> DataFrame:
     """Running count of error events per user as a restart counter."""
+    from quarry.operators.windows import epoch_seconds, segmented_running
     e = t.events
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(
-        Window.unboundedPreceding, 0)
-    return e.select(F.col("user_id").alias("container_id"), "event_id", "ts",
-                    F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"),
-                    F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w)
-                    .cast("long").alias("restart_count"))
+    r = segmented_running(e, "user_id", ["ts", "event_id"], F.floor(epoch_seconds("ts") / 86400),
+                          {"restart_count": F.when(F.col("event_type") == "error", 1)
+                           .otherwise(0).cast("long")})
+    return r.select(F.col("user_id").alias("container_id"), "event_id", "ts",
+                    epoch_seconds("ts").alias("epoch"), "restart_count")
 
 
 RESTARTS_SQL = """restarts AS (

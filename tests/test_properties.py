@@ -278,3 +278,35 @@ def test_ema_long_series_equals_sequential(spark):
             x = rows[k * 2500 + i][2]
             e = x if e is None else (1 - a) * e + a * x
             assert got[(k, i)] == pytest.approx(e, rel=1e-9, abs=1e-12)
+
+
+def test_segmented_shift_equals_lag_lead(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice([0, 0, 0, 1]), i, rnd.randint(0, 99)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t long, v long")
+    seg = F.floor(F.col("t") / 29)
+    lag = W.segmented_shift(df, "k", ["t"], seg, ["v"], suffix="_prev")
+    lead = W.segmented_shift(df, "k", ["t"], seg, ["v"], lead=True, suffix="_next")
+    w = Window.partitionBy("k").orderBy("t")
+    exp = df.withColumn("p", F.lag("v").over(w)).withColumn("n", F.lead("v").over(w))
+    e = {(r.k, r.t): (r.p, r.n) for r in exp.collect()}
+    assert {(r.k, r.t): r.v_prev for r in lag.collect()} == {x: y[0] for x, y in e.items()}
+    assert {(r.k, r.t): r.v_next for r in lead.collect()} == {x: y[1] for x, y in e.items()}
+
+
+def test_preference_pairs_buckets_equal_brute(spark):
+    from quarry.operators.sets import preference_pairs
+    rnd = random.Random(13)
+    rows = [(i, rnd.choice(["en", "en", "de"]), rnd.randint(1, 400), rnd.random() < 0.4)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, n long, good boolean")
+    got = {r.chosen_id: r.rejected_id for r in
+           preference_pairs(df, "g", "n", "id", F.col("good"), ~F.col("good"), bucket_width=7).collect()}
+    exp = {}
+    for i, g, n, good in rows:
+        if not good:
+            continue
+        cands = [(abs(n - m), m, j) for j, h, m, gd in rows if h == g and not gd]
+        if cands:
+            exp[i] = min(cands)[2]
+    assert got == exp
