@@ -223,6 +223,63 @@ def linkage_edges(vectors: DataFrame, core: DataFrame, id_col: str, vec: str, ma
     return e.groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
+def _local_stars(ids: np.ndarray, us, vs, ws, cut: float):
+    """Union-find over the forest edges with weight <= cut; every point of a
+    local component of 2+ points is linked to the component's smallest id."""
+    parent = list(range(len(ids)))
+
+    def find(a):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for a, b, w in zip(us, vs, ws):
+        if w <= cut:
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                parent[ra] = rb
+    roots: dict[int, int] = {}
+    for i in range(len(ids)):
+        r = find(i)
+        roots[r] = min(roots.get(r, ids[i]), ids[i])
+    out_u, out_v = [], []
+    for i in range(len(ids)):
+        m = roots[find(i)]
+        if m != ids[i]:
+            out_u.append(ids[i])
+            out_v.append(m)
+    return out_u, out_v
+
+
+def linkage_stars(vectors: DataFrame, core: DataFrame, id_col: str, vec: str,
+                  cuts: list[float], block_rows: int = 1024) -> DataFrame:
+    """Per cut level, star edges ``(level, u, v)``: inside each block-pair
+    group the minimum spanning forest is cut at the level and every point is
+    linked to the smallest id of its local component.  Components are the
+    same as those of the full threshold graph (every threshold edge lies in
+    some group, whose forest connects its ends), and stars make the global
+    connected-components rounds converge quickly."""
+    v = vectors.join(core.select(F.col("id").alias(id_col), "core"), id_col)
+    pairs, _ = _block_pairs(v, id_col, vec, block_rows, extra=["core"])
+    max_cut = max(cuts)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        same, left, right = _pair_sides(pdf)
+        pts = left if same else pd.concat([left, right], ignore_index=True)
+        x = _mat(pts["v"])
+        us, vs, ws = _prim_forest(x, pts["core"].to_numpy(dtype=np.float64), max_cut)
+        ids = pts["id"].to_numpy()
+        rows = []
+        for lvl, cut in enumerate(cuts):
+            a, b = _local_stars(ids, us, vs, ws, cut)
+            rows.append(pd.DataFrame({"level": lvl, "u": a, "v": b}))
+        return pd.concat(rows, ignore_index=True)
+
+    e = pairs.groupBy("pa", "pb").applyInPandas(fn, "level int, u long, v long")
+    return e.distinct()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Component label (smallest member id) per node of an undirected edge
     table ``(u, v)``: large-star / small-star rounds until no edge changes.
@@ -265,7 +322,13 @@ def linkage_cut(nodes: DataFrame, edges: DataFrame, cut: float, min_size: int) -
     """Op 107: flat clusters at ``cut``: connected components of edges with
     w <= cut, components smaller than ``min_size`` (and isolated nodes)
     become noise, label -1.  Output ``id, label`` (label = smallest member)."""
-    cc = connected_components(edges.filter(F.col("w") <= cut))
+    return clusters_from_edges(nodes, edges.filter(F.col("w") <= cut), min_size)
+
+
+def clusters_from_edges(nodes: DataFrame, edges: DataFrame, min_size: int) -> DataFrame:
+    """Connected components of ``edges(u, v)`` over ``nodes(id)``; components
+    smaller than ``min_size`` (and isolated nodes) get label -1."""
+    cc = connected_components(edges)
     lab = nodes.select("id").join(cc, "id", "left").withColumn(
         "label", F.coalesce("label", F.col("id")))
     size = lab.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
@@ -299,11 +362,12 @@ def community_tree(vectors: DataFrame, id_col: str, vec: str, min_size: int = MI
     scale = density_scale(knn, n, 5)
     core = knn.filter(F.col("rank") == min_samples).select("id", F.col("dist").alias("core"))
     cuts = [m * scale for m in mults]
-    edges = cut_lineage(linkage_edges(pts, core, "id", "v", max(cuts), block_rows))
+    stars = cut_lineage(linkage_stars(pts, core, "id", "v", cuts, block_rows))
     levels = []
-    for lvl, cut in enumerate(cuts):
-        lab = cut_lineage(linkage_cut(pts, edges, cut, min_size)).withColumn("level", F.lit(lvl))
-        levels.append(lab)
+    for lvl in range(len(cuts)):
+        lab = cut_lineage(clusters_from_edges(
+            pts, stars.filter(F.col("level") == lvl).select("u", "v"), min_size))
+        levels.append(lab.withColumn("level", F.lit(lvl)))
     labs = levels[0].unionByName(levels[1]).unionByName(levels[2])
     comms = labs.filter(F.col("label") >= 0).select("level", "label").distinct()
     w = Window.orderBy("level", "label")  # one row per community: a small table

@@ -70,9 +70,8 @@ def q_linkage(spark, root):
     knn = C.knn_graph(p, "id", "v", C.MIN_SAMPLES)
     scale = C.density_scale(knn, n, 5)
     core = knn.filter(F.col("rank") == C.MIN_SAMPLES).select("id", F.col("dist").alias("core"))
-    cut = LINK_MULT * scale
-    edges = C.linkage_edges(p, core, "id", "v", cut)
-    return C.linkage_cut(p, edges, cut, C.MIN_CLUSTER_SIZE)
+    stars = C.linkage_stars(p, core, "id", "v", [LINK_MULT * scale])
+    return C.clusters_from_edges(p, stars.select("u", "v"), C.MIN_CLUSTER_SIZE)
 
 
 @register("community_tree")
