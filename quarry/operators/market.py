@@ -61,10 +61,11 @@ def pick_verifiers(jobs: DataFrame, verifiers: DataFrame, job_id: str = "job_id"
     j = jobs.select(F.col(job_id).alias("_j"), F.col(job_pool).alias("_jp"), need.alias("_n"))
     # the pool list is bounded (a dimension); it reaches each job as a scalar
     j = j.withColumn("_ps", lit_pools.scalar())
-    j = j.withColumn("_ps", F.filter("_ps", lambda c: c["_p"] != F.col("_jp")))
-    j = j.withColumn("_avail", F.size("_ps"))  # pools this job may draw from
-    cand = j.select("_j", "_jp", "_n", "_avail", F.explode("_ps").alias("_c")).select(
-        "_j", "_jp", "_n", "_avail", F.col("_c._p").alias("_p"), F.col("_c._wsum").alias("_wsum"))
+    cand = j.select("_j", "_jp", "_n", F.explode("_ps").alias("_c")).select(
+        "_j", "_jp", "_n", F.col("_c._p").alias("_p"), F.col("_c._wsum").alias("_wsum"))
+    cand = cand.filter(F.col("_p") != F.col("_jp"))
+    # pools each job may draw from (a partial count, one row per job)
+    cand = cand.join(cand.groupBy("_j").agg(F.count(F.lit(1)).alias("_avail")), "_j")
     cand = cand.withColumn("_key", -F.log(uniform(F.col("_j"), F.lit("pool"), F.col("_p")))
                            / F.col("_wsum"))
     w = Window.partitionBy("_j").orderBy("_key", "_p")

@@ -125,14 +125,15 @@ def dense_ctes(k: int, p: str = "dn") -> str:
             WHERE rank <= {k})"""
 
 
-def _vecs(t: Tables):
-    """Query and corpus vectors, each written once to the shared checkpoint
-    folder (an index table: 64 doubles per text) because several stages
-    read them."""
+def _vecs(t: Tables, shared: bool = False):
+    """Query and corpus vectors (row-local batched embedder).  With
+    ``shared`` (several stages read them) they are written once to the
+    shared checkpoint folder - an index table of 64 doubles per text."""
     from quarry.functions.embed import embed_texts
     from quarry.session import cut_lineage
-    return (cut_lineage(embed_texts(t.benchmark, "item_id", "text")),
-            cut_lineage(embed_texts(t.documents, "doc_id", "text")))
+    q = embed_texts(t.benchmark, "item_id", "text")
+    d = embed_texts(t.documents, "doc_id", "text")
+    return (cut_lineage(q), cut_lineage(d)) if shared else (q, d)
 
 
 @register("dense_topk", "WITH " + ",\n".join([Q_EMB, DOC_EMB, dense_ctes(10)]) + """
@@ -226,7 +227,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12)
       FROM fused) WHERE rank <= 10""")
 def q_community_search(spark, root):
     t = Tables(spark, root)
-    qv, dv = _vecs(t)
+    qv, dv = _vecs(t, shared=True)
     return R.community_search(t.benchmark, t.documents, qv, dv, "source", k=10, m=2)
 
 
