@@ -108,8 +108,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: f
 
 
 def sparse_topk(qside: DataFrame, dside: DataFrame, qid: str, did: str, k: int,
-                n_queries: int, n_docs: int, query_block: int = 256,
-                doc_block: int = 1024) -> DataFrame:
+                n_queries: int, n_docs: int, query_block: int = 128,
+                doc_block: int = 512) -> DataFrame:
     """Top-k of sum_t q(qid, t) * d(did, t) per query, exact, as a blocked
     sparse-dense matrix product.
 
@@ -118,8 +118,10 @@ def sparse_topk(qside: DataFrame, dside: DataFrame, qid: str, did: str, k: int,
     group is one ``applyInPandas`` task: it builds the two small weight
     matrices over the group's query terms, multiplies them (BLAS) and keeps
     the best k+2 documents per query.  Work per group is bounded whatever
-    the data size or term skew, and no (query, document) pair is written
-    out; the final per-query cut reads k+2 rows per document block.
+    the data size or term skew (the document matrix is doc_block x the query
+    block's vocabulary, about 26 MB for 128 queries of 50 terms), and no
+    (query, document) pair is written out; the final per-query cut reads
+    k+2 rows per document block.
     Only documents sharing a term with the query (positive score) count.
     """
     import numpy as np
