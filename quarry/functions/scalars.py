@@ -260,6 +260,16 @@ def extract_refs(text, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(pattern), group)
 
 
+def var_refs(text) -> Column:
+    """Op 32: ``${VAR}`` / ``${VAR:-default}`` references of a text as an
+    array of ``struct(name, required)``; a reference with a default is not
+    required."""
+    names = F.regexp_extract_all(_c(text), F.lit(VAR_REF_RE), 1)
+    defaults = F.regexp_extract_all(_c(text), F.lit(VAR_REF_RE), 2)
+    return F.zip_with(names, defaults, lambda n, d: F.struct(n.alias("name"),
+                                                             (d == F.lit("")).alias("required")))
+
+
 def bib_key(doi, arxiv, title) -> Column:
     """Op 33: DOI, else arXiv id, else md5 of the normalized title."""
     norm_title = F.regexp_replace(F.lower(_c(title)), r"[^a-z0-9]", "")

@@ -415,7 +415,8 @@ def bridge_orphans(hits: DataFrame, linked: DataFrame, vectors: DataFrame, qid:
     return best.select(qid, "orphan", "bridge", "similarity")
 
 
-def rollup_tree(chunks: DataFrame, doc: str, idx: str, tokens_col: str, fanout: int) -> DataFrame:
+def rollup_tree(chunks: DataFrame, doc: str, idx: str, tokens_col: str, fanout: int,
+                vec: str | None = None, dims: int | None = None) -> DataFrame:
     """Op 103: hierarchical rollup; level l+1 groups ``fanout`` consecutive
     level-l nodes until one root per document.
 
@@ -432,9 +433,13 @@ def rollup_tree(chunks: DataFrame, doc: str, idx: str, tokens_col: str, fanout:
     p = F.pow(F.lit(fanout), F.col("level")).cast("long")
     c = c.withColumn("node", (F.col(idx) / p).cast("long")).withColumn(
         "_child", F.when(F.col("level") > 0, (F.col(idx) / (p / fanout)).cast("long")))
-    return c.groupBy(doc, "level", "node").agg(
-        F.sum(tokens_col).alias("tokens"), F.count(F.lit(1)).alias("n_leaves"),
-        F.count_distinct("_child").alias("n_children"))
+    aggs = [F.sum(tokens_col).alias("tokens"), F.count(F.lit(1)).alias("n_leaves"),
+            F.count_distinct("_child").alias("n_children")]
+    if vec is not None:
+        # mean vector of the leaves under the node (one partial avg per dimension)
+        from quarry.functions.udf import centroid_agg
+        aggs.append(centroid_agg(vec, dims).alias("mean_vector"))
+    return c.groupBy(doc, "level", "node").agg(*aggs)
 
 
 def cooccurrence_edges(docs: DataFrame, id_col: str, text_col: str, window: int = 64,

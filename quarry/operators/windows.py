@@ -310,10 +310,16 @@ def queue_depth(events: DataFrame, queue: str, order: Sequence[str], segment: Co
     return segmented_running(events, queue, order, segment, {"depth": delta.cast("long")})
 
 
-def rank_variants(runs: DataFrame, group: str, metric_cols: Sequence[str]) -> DataFrame:
-    """Op 79: dense rank of every variant per metric within its group (lower is better)."""
+def rank_variants(runs: DataFrame, group: str, metric_cols: Sequence[str],
+                  before: str | None = None, after: str | None = None) -> DataFrame:
+    """Op 79: dense rank of every variant per metric within its group (lower
+    is better); with ``before``/``after`` columns also the forgetting in
+    percent, (after - before) / before * 100."""
     out = runs
     for m in metric_cols:
         out = out.withColumn(f"rank_{m}", F.dense_rank().over(
             Window.partitionBy(group).orderBy(F.col(m).asc())))
+    if before and after:
+        out = out.withColumn("forget_pct", F.try_divide((F.col(after) - F.col(before)) * 100.0,
+                                                        F.col(before)))
     return out

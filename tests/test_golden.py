@@ -134,3 +134,30 @@ def test_mixed_scenario(spark):
                 F.sum(F.col("slashed") + F.col("network_tax") + F.col("pool_tax")).alias("reserve")).first()
     assert (got.settled, got.slashed) == (90, 10)
     assert got.reserve == 90 * (10 + 20) + 10 * 10000
+
+
+def test_var_refs(spark):
+    df = one(spark, "t string", [("url=${DB_URL} port=${PORT:-5432} host=${HOST-localhost}",)])
+    got = [tuple(r) for r in df.select(F.explode(S.var_refs("t"))).select("col.*").collect()]
+    assert got == [("DB_URL", True), ("PORT", False), ("HOST", False)]
+
+
+def test_rank_variants_forgetting(spark):
+    from quarry.operators.windows import rank_variants
+    df = one(spark, "g string, v string, ppl double, before double, after double", [
+        ("p50k", "baseline", 168.46, 100.0, 106.9), ("p50k", "tst", 198.40, 100.0, 101.0)])
+    out = {r.v: (r.rank_ppl, round(r.forget_pct, 6)) for r in
+           rank_variants(df, "g", ["ppl"], "before", "after").collect()}
+    assert out == {"baseline": (1, 6.9), "tst": (2, 1.0)}
+
+
+def test_rollup_tree_levels_and_mean(spark):
+    from quarry.operators.retrieval import rollup_tree
+    rows = [(1, i, 10, [float(i), 1.0]) for i in range(9)] + [(2, 0, 5, [2.0, 2.0])]
+    df = one(spark, "doc long, idx long, n_tokens int, v array<double>", rows)
+    out = {(r.doc, r.level, r.node): (r.tokens, r.n_children, r.mean_vector) for r in
+           rollup_tree(df, "doc", "idx", "n_tokens", 3, vec="v", dims=2).collect()}
+    assert out[(1, 2, 0)] == (90, 3, [4.0, 1.0])      # root of 9 chunks, fanout 3
+    assert out[(1, 1, 2)] == (30, 3, [7.0, 1.0])
+    assert out[(2, 0, 0)] == (5, 0, [2.0, 2.0])       # one chunk: the chunk is the root
+    assert max(lv for d, lv, n in out if d == 1) == 2
