@@ -112,6 +112,24 @@ def review_metrics(checks: DataFrame, dims: Sequence[str], verdict: str = "verdi
                     "avg_confidence")
 
 
+def review_rollup(changes: DataFrame, dims: Sequence[str], decision: str = "decision") -> DataFrame:
+    """Op 48 (change level): number of changes and auto-merge rate per
+    complexity level, per risk class and in total, in one GROUPING SETS
+    aggregate over the per-change facts."""
+    sets = [[d] for d in dims] + [[]]
+    g = changes.groupingSets(sets, *dims).agg(
+        F.count(F.lit(1)).alias("n_changes"),
+        F.count_if(F.col(decision) == "MERGE").alias("n_merge"),
+        *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    dim = F.lit("total")
+    key = F.lit(None).cast("string")
+    for d in reversed(dims):
+        dim = F.when(F.col(f"_g_{d}") == 0, F.lit(d)).otherwise(dim)
+        key = F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")).otherwise(key)
+    return g.select(dim.alias("dimension"), key.alias("key"), "n_changes", "n_merge",
+                    (F.col("n_merge") / F.col("n_changes")).alias("auto_merge_rate"))
+
+
 # ---------------------------------------------------------------- op 49
 def latency_percentiles(df: DataFrame, by: str | Sequence[str], value: str,
                         ps: Sequence[float] = (0.5, 0.95, 0.99),

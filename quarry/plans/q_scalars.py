@@ -264,15 +264,39 @@ _EXT_CASE = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".j
     f"WHEN '{k}' THEN '{v}'" for k, v in S.EXT_LANGUAGE.items()) + " ELSE 'unknown' END"
 
 
+# Changed files derived from part rows: a directory from the size (tests/,
+# scripts/, systemd/ or the part type), a file name from the part name (main,
+# Dockerfile, config, docker-compose, test_ prefixes and _test / .spec
+# suffixes by size residues) and an extension cycling through the language
+# table plus two unknown ones.  Plus the link targets and URL paths of pages.
+_EXTS = list(S.EXT_LANGUAGE) + ["md", "txt"]
+FILE_PATH_SQL = (
+    "CASE p_size % 9 WHEN 0 THEN 'tests/' WHEN 1 THEN 'scripts/' WHEN 2 THEN 'systemd/' "
+    "ELSE lower(p_type) || '/' END || "
+    "CASE WHEN p_size % 17 = 0 THEN 'main.go' WHEN p_size % 19 = 0 THEN 'Dockerfile' "
+    "WHEN p_size % 23 = 0 THEN 'config.yaml' WHEN p_size % 29 = 0 THEN 'docker-compose.yml' "
+    "ELSE CASE WHEN p_partkey % 13 = 0 THEN 'test_' ELSE '' END || replace(p_name, ' ', '_') || "
+    "CASE WHEN p_partkey % 7 = 0 THEN '_test' WHEN p_partkey % 11 = 0 THEN '.spec' ELSE '' END "
+    f"|| '.' || list_extract([{', '.join(repr(x) for x in _EXTS)}], "
+    f"CAST(p_partkey % {len(_EXTS)} AS INTEGER) + 1) END")
+
+
 @register("classify_path", f"""
 SELECT DISTINCT path, regexp_matches(path, '{S.TEST_FILE_RE}') AS is_test,
        regexp_matches(path, '{S.CRITICAL_FILE_RE}') AS is_critical, {_EXT_CASE} AS language
-FROM (SELECT unnest(regexp_extract_all(html, '{HREF_RE}', 1)) AS path FROM pages
+FROM (SELECT {FILE_PATH_SQL} AS path FROM part
+      UNION ALL SELECT unnest(regexp_extract_all(html, '{HREF_RE}', 1)) FROM pages
       UNION ALL SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) FROM pages)""")
 def q_classify(spark, root):
-    p = Tables(spark, root).pages
-    paths = p.select(F.explode(S.extract_refs("html", HREF_RE)).alias("path")).unionAll(
-        p.select(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path")))
+    t = Tables(spark, root)
+    p = t.pages
+    files = t.part.select(F.expr(FILE_PATH_SQL.replace(
+        f"list_extract([{', '.join(repr(x) for x in _EXTS)}], "
+        f"CAST(p_partkey % {len(_EXTS)} AS INTEGER) + 1)",
+        f"element_at(array({', '.join(repr(x) for x in _EXTS)}), "
+        f"CAST(p_partkey % {len(_EXTS)} AS INT) + 1)")).alias("path"))
+    paths = files.unionAll(p.select(F.explode(S.extract_refs("html", HREF_RE)).alias("path"))) \
+        .unionAll(p.select(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path")))
     cls = S.classify_path("path")
     return paths.select("path", *[v.alias(k) for k, v in cls.items()]).distinct()
 
