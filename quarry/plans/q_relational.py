@@ -257,6 +257,45 @@ SELECT change_id,
        prod_change AND NOT test_change AS auto_merge_blocked
 FROM facts""")
 def q_risk(spark, root):
+    return _risk_table(spark, root).select("change_id", "risk", "auto_merge_blocked")
+
+
+RISK_CASE = """CASE WHEN security_failed THEN 'CRITICAL'
+            WHEN (critical_files AND n_fail > 0) OR (complexity = 4 AND n_fail > 0) THEN 'HIGH'
+            WHEN complexity = 3 OR n_fail > 1 THEN 'MEDIUM'
+            WHEN pass_share >= 2.0 / 3.0 THEN 'LOW' ELSE 'MEDIUM' END"""
+DECISION_CASE = """CASE WHEN score < 0.5 OR max_severity >= 4 OR NOT required_pass THEN 'BLOCK'
+            WHEN score >= 0.75 AND max_severity < 3 AND required_pass THEN 'MERGE'
+            ELSE 'REVIEW' END"""
+
+
+@register("review_rollup", B.with_sql(B.CHECKS_SQL, B.AGENTS_SQL, SCORES_SQL, RISK_FACTS_SQL) + f""",
+ch AS (SELECT f.change_id, f.complexity, {RISK_CASE} AS risk,
+              CASE WHEN f.prod_change AND NOT f.test_change AND {DECISION_CASE} = 'MERGE' THEN 'REVIEW'
+                   ELSE {DECISION_CASE} END AS decision
+       FROM facts f JOIN scores s USING (change_id))
+SELECT CASE WHEN grouping(complexity) = 0 THEN 'complexity' WHEN grouping(risk) = 0 THEN 'risk'
+            ELSE 'total' END AS dimension,
+       CASE WHEN grouping(complexity) = 0 THEN CAST(complexity AS VARCHAR)
+            WHEN grouping(risk) = 0 THEN risk END AS key,
+       count(*) AS n_changes, CAST(count_if(decision = 'MERGE') AS BIGINT) AS n_merge,
+       round(count_if(decision = 'MERGE') / count(*), 6) AS auto_merge_rate
+FROM ch GROUP BY GROUPING SETS ((complexity), (risk), ())""")
+def q_review_rollup(spark, root):
+    """Op 48, change level: complexity-level counts, risk distribution and
+    auto-merge rate (a MERGE decision is held back when a production change
+    comes without a test change)."""
+    r = _risk_table(spark, root)
+    d = A.review_decision(_scores(spark, root)).select("change_id", "decision")
+    ch = r.join(d, "change_id").withColumn(
+        "decision", F.when(F.col("auto_merge_blocked") & (F.col("decision") == "MERGE"),
+                           F.lit("REVIEW")).otherwise(F.col("decision")))
+    out = A.review_rollup(ch, ["complexity", "risk"])
+    return out.select("dimension", "key", "n_changes", "n_merge",
+                      F.round("auto_merge_rate", 6).alias("auto_merge_rate"))
+
+
+def _risk_table(spark, root):
     t = Tables(spark, root)
     c = B.checks(t)
     o = t.orders.select(F.col("o_orderkey").alias("change_id"),
@@ -270,7 +309,7 @@ def q_risk(spark, root):
                            F.count_if(F.col("verdict") == "FAIL")).alias("complexity"),
         F.bool_or(F.col("agent_no") != 5).alias("prod_change"),
         F.bool_or(F.col("agent_no") == 5).alias("test_change"))
-    return A.risk_level(f).select("change_id", "risk", "auto_merge_blocked")
+    return A.risk_level(f)
 
 
 @register("review_metrics", B.with_sql(B.CHECKS_SQL) + """
