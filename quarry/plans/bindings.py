@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.sources.tables import Tables
 
@@ -207,5 +206,3 @@ RESTARTS_SQL = """restarts AS (
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
-
-EMPTY = T.StructType([])

@@ -84,7 +84,7 @@ def q_postings(spark, root):
 
 
 # ------------------------------------------------------------------ shared CTEs
-from quarry.functions.embed import hash_embed, sql_hash_embed  # noqa: E402
+from quarry.functions.embed import sql_hash_embed  # noqa: E402
 from quarry.functions.scalars import approx_tokens  # noqa: E402
 
 DOC_EMB = sql_hash_embed("documents", "doc_id", "text", "demb")

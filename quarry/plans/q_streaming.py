@@ -10,8 +10,6 @@ same closure rule (``< max(ts)``).
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from quarry.plans import bindings as B
@@ -240,5 +238,3 @@ def q_telemetry(spark, root):
     return t.select(ntz("window_start").alias("window_start"), ntz("window_end").alias("window_end"),
                     "event_type", "n")
 
-
-_ = dt

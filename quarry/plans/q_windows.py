@@ -14,7 +14,7 @@ from quarry.operators import sets as X
 from quarry.operators import topk as K
 from quarry.operators import windows as W
 from quarry.plans import bindings as B
-from quarry.plans.q_relational import CENTROIDS_SQL, label_centroids, pools_df, POOLS_SQL
+from quarry.plans.q_relational import CENTROIDS_SQL, POOLS_SQL, pools_df
 from quarry.plans.q_retrieval import BM25_SQL
 from quarry.plans.q_scalars import PLANTED_SQL, planted
 from quarry.plans.registry import register
