@@ -70,6 +70,10 @@ def stream_source(spark: SparkSession, path: str, schema: T.StructType, ts: str
     return s
 
 
+ROCKSDB_PROVIDER = ("org.apache.spark.sql.execution.streaming.state."
+                    "RocksDBStateStoreProvider")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
                  keys: Sequence[str] | None = None, state_partitions: int | None = None) -> DataFrame:
     """Run a streaming query to the end of its input and return the table.
@@ -89,11 +93,20 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
     parts = state_partitions or spark.sparkContext.defaultParallelism
     prev = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    # keyed state off the JVM heap (RocksDB) unless the session chose a provider
+    store_key = "spark.sql.streaming.stateStore.providerClass"
+    prev_store = spark.conf.get(store_key, None)
+    if not prev_store or prev_store.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(store_key, ROCKSDB_PROVIDER)
     try:
         q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
+        if prev_store:
+            spark.conf.set(store_key, prev_store)
+        else:
+            spark.conf.unset(store_key)
     q.awaitTermination()
     try:
         res = spark.read.parquet(f"{out}/_b=*")
