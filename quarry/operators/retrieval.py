@@ -172,7 +172,8 @@ def rank_scores(scored: DataFrame, qid: str, k: int, score: str = "score",
 
 # ---------------------------------------------------------------- dense top-k
 def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid: str, cvec: str,
-               k: int, block_rows: int = 4096, group_col: str | None = None) -> DataFrame:
+               k: int, block_rows: int = 4096, group_col: str | None = None,
+               n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """Op 94: exact cosine top-k of corpus vectors per query vector (per
     query and corpus group when ``group_col`` is given).
 
@@ -186,7 +187,10 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid:
     import numpy as np
     import pandas as pd
 
-    nq, nc = queries.count(), corpus.count()
+    # block counts only need an upper bound of the row counts (callers that
+    # know the source table size pass it and save a pass over the input)
+    nq = n_queries if n_queries is not None else queries.count()
+    nc = n_corpus if n_corpus is not None else corpus.count()
     bq, bc = max(1, -(-nq // block_rows)), max(1, -(-nc // block_rows))
     g = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     q = queries.select(F.col(qid).cast("long").alias("id"), F.col(qvec).cast("array<double>").alias("v"),
@@ -365,7 +369,8 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     the scorer on the ``depth`` candidates of each query."""
     from quarry.operators.topk import rerank
     lex = bm25(queries, docs, k=depth)
-    den = dense_topk(qvecs, dvecs, "item_id", "vector", "doc_id", "vector", depth)
+    den = dense_topk(qvecs, dvecs, "item_id", "vector", "doc_id", "vector", depth,
+                     n_queries=queries.count(), n_corpus=docs.count())
     fused = rrf([lex, den], "item_id", "doc_id", k=rrf_k)
     cands = top_k(fused, "item_id", [F.round("rrf", 12).desc(), F.col("doc_id").asc()], depth)
     pairs = (cands.select("item_id", "doc_id", F.col("rank").alias("idx"))
@@ -388,7 +393,8 @@ def community_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvec
     cents = cents.withColumn("_cid", F.dense_rank().over(Window.orderBy(community)).cast("long"))
     top_c = dense_topk(qvecs, cents, "item_id", "vector", "_cid", "centroid", m)
     top_c = top_c.join(cents.select("_cid", community), "_cid").select("item_id", community)
-    members = dense_topk(qvecs, mv, "item_id", "vector", "doc_id", "vector", k, group_col=community)
+    members = dense_topk(qvecs, mv, "item_id", "vector", "doc_id", "vector", k, group_col=community,
+                         n_queries=queries.count(), n_corpus=docs.count())
     members = members.join(top_c, ["item_id", community], "left_semi")
     down = top_k(members, "item_id", [F.round("score", 9).desc(), F.col("doc_id").asc()], k)
     fused = rrf([lex, down], "item_id", "doc_id", k=rrf_k)

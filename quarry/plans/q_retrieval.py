@@ -140,7 +140,9 @@ def _vecs(t: Tables, shared: bool = False):
 SELECT item_id, rank, doc_id, round(score, 6) AS score FROM dn_top""")
 def q_dense(spark, root):
     qv, dv = _vecs(Tables(spark, root))
-    out = R.dense_topk(qv, dv, "item_id", "vector", "doc_id", "vector", 10)
+    t = Tables(spark, root)
+    out = R.dense_topk(qv, dv, "item_id", "vector", "doc_id", "vector", 10,
+                       n_queries=t.benchmark.count(), n_corpus=t.documents.count())
     return out.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -180,7 +182,8 @@ def q_rrf(spark, root):
     t = Tables(spark, root)
     qv, dv = _vecs(t)
     lex = R.bm25(t.benchmark, t.documents, k=20)
-    den = R.dense_topk(qv, dv, "item_id", "vector", "doc_id", "vector", 20)
+    den = R.dense_topk(qv, dv, "item_id", "vector", "doc_id", "vector", 20,
+                       n_queries=t.benchmark.count(), n_corpus=t.documents.count())
     fused = R.rrf([lex, den], "item_id", "doc_id", k=60)
     top = top_k(fused, "item_id", [F.round("rrf", 12).desc(), F.col("doc_id").asc()], 10)
     return top.select("item_id", "rank", "doc_id", F.round("rrf", 9).alias("rrf"))

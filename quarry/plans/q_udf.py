@@ -67,9 +67,17 @@ def q_checker(spark, root):
 @register("chunk_udtf", CHUNK_SQL)
 def q_chunk_udtf(spark, root):
     U.register_udtfs(spark)
-    Tables(spark, root).documents.createOrReplaceTempView("quarry_documents")
+    view = _view(Tables(spark, root).documents, "documents", root)
     return spark.sql("SELECT d.doc_id, c.chunk_idx, c.n_tokens, c.text "
-                     "FROM quarry_documents d, LATERAL chunk_udtf(d.text, 1024) c")
+                     f"FROM {view} d, LATERAL chunk_udtf(d.text, 1024) c")
+
+
+def _view(df, name: str, root: str) -> str:
+    """A session temp view named after the table and its folder."""
+    import hashlib
+    v = f"quarry_{name}_{hashlib.md5(root.encode()).hexdigest()[:8]}"
+    df.createOrReplaceTempView(v)
+    return v
 
 
 @register("refs_udtf", """
@@ -78,8 +86,8 @@ FROM (SELECT page_id, refs, generate_subscripts(refs, 1) AS pos
       FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS refs FROM pages))""")
 def q_refs_udtf(spark, root):
     U.register_udtfs(spark)
-    Tables(spark, root).pages.createOrReplaceTempView("quarry_pages")
-    return spark.sql("SELECT p.page_id, r.pos, r.ref FROM quarry_pages p, "
+    view = _view(Tables(spark, root).pages, "pages", root)
+    return spark.sql(f"SELECT p.page_id, r.pos, r.ref FROM {view} p, "
                      "LATERAL refs_udtf(p.html, 'href=\"([^\"]*)\"') r")
 
 
