@@ -92,11 +92,17 @@ def _exact_dist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- op 105
 def knn_graph(vectors: DataFrame, id_col: str, vec: str, k: int,
-              block_rows: int = 2048) -> DataFrame:
+              block_rows: int = 2048, strategy: str = "auto") -> DataFrame:
     """Op 105: the k nearest other points of every point (exact).
 
     Output ``id, nbr, dist, rank`` (rank 1 = nearest; ties by neighbour id).
+    ``strategy``: ``"blocks"`` compares every block pair (best for a few
+    blocks), ``"pruned"`` skips block pairs that provably hold no neighbour
+    (:func:`knn_graph_pruned`), ``"auto"`` prunes beyond 8 blocks.
     """
+    if strategy == "pruned" or (strategy == "auto"
+                                and math.ceil(vectors.count() / block_rows) > 8):
+        return knn_graph_pruned(vectors, id_col, vec, k, block_rows)
     pairs, _ = _block_pairs(vectors, id_col, vec, block_rows)
     keep = k + 2  # margin so engine-level rounding never drops a tie
 
@@ -130,6 +136,131 @@ def knn_graph(vectors: DataFrame, id_col: str, vec: str, k: int,
             .withColumn("rank", F.col("rank").cast("long")))
 
 
+def _topk_rows(qid, qm, cid, cm, keep: int, exclude_self: bool) -> pd.DataFrame:
+    """The ``keep`` nearest corpus rows of every query row (exact distances)."""
+    if len(qid) == 0 or len(cid) == 0:
+        return pd.DataFrame({"id": np.zeros(0, np.int64), "nbr": np.zeros(0, np.int64),
+                             "dist": np.zeros(0)})
+    d2 = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2.0 * qm @ cm.T
+    if exclude_self:
+        d2[qid[:, None] == cid[None, :]] = np.inf
+    m = min(keep, cm.shape[0])
+    idx = np.argpartition(d2, m - 1, axis=1)[:, :m]
+    rows = np.repeat(np.arange(qm.shape[0]), m)
+    cols = idx.reshape(-1)
+    ok = np.isfinite(d2[rows, cols])
+    rows, cols = rows[ok], cols[ok]
+    return pd.DataFrame({"id": qid[rows], "nbr": cid[cols], "dist": _exact_dist(qm[rows], cm[cols])})
+
+
+def knn_graph_pruned(vectors: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 2048,
+                     max_pivots: int = 4096) -> DataFrame:
+    """Op 105, exact kNN that skips block pairs which cannot hold a neighbour.
+
+    1. ``C = n / block_rows`` pivots (the points with the smallest id hash;
+       at most ``max_pivots``, a size-checked matrix shipped with the task
+       closure); every point goes to its nearest pivot's cell (Arrow-batched
+       numpy), with ``dp`` its distance to that pivot and ``r_c`` the cell
+       radius.  Cells larger than ``block_rows`` are split into sub-blocks.
+    2. Pass 1, inside each cell: exact k nearest; ``u(x)`` = the k-th
+       distance found (infinite when the cell is too small) and
+       ``U_c = max u(x)`` over the cell.
+    3. Cell ``b`` can hold a neighbour of a point of cell ``a`` only if
+       ``d(p_a, p_b) - r_a - r_b <= U_a`` (triangle inequality); only those
+       directed cell pairs are compared in pass 2.
+    4. The k best of both passes per point.  Exact: every true neighbour lies
+       within ``u(x)`` of x, hence in a cell that passes the test.
+    """
+    from quarry.session import cut_lineage
+    pts = vectors.select(F.col(id_col).cast("long").alias("id"),
+                         F.col(vec).cast("array<double>").alias("v"))
+    n = pts.count()
+    c_n = max(1, min(max_pivots, math.ceil(n / block_rows)))
+    piv = pts.orderBy(F.xxhash64("id"), "id").limit(c_n).select("v").collect()
+    P = np.array([r.v for r in piv], dtype=np.float64)
+    keep = k + 2
+
+    def assign(it):
+        for pdf in it:
+            X = _mat(pdf["v"])
+            if len(pdf) == 0:
+                yield pdf.assign(cell=np.zeros(0, np.int32), dp=np.zeros(0))
+                continue
+            d2 = (X * X).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * X @ P.T
+            cell = np.argmin(d2, axis=1)
+            yield pdf.assign(cell=cell.astype(np.int32), dp=_exact_dist(X, P[cell]))
+
+    a = cut_lineage(pts.mapInPandas(assign, "id long, v array<double>, cell int, dp double"))
+    cs = a.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("dp").alias("r"))
+    cs = cs.withColumn("nsb", F.ceil(F.col("size") / block_rows).cast("int"))
+    a2 = a.join(cs.select("cell", "nsb"), "cell").withColumn(
+        "sb", F.pmod(F.xxhash64("id"), F.col("nsb")).cast("int"))
+
+    # pass 1: within each cell, sub-block pairs (s <= t)
+    p1 = (a2.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("nsb") - 1)))
+          .withColumn("pa", F.least("sb", "_j")).withColumn("pb", F.greatest("sb", "_j")))
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, t = int(pdf["pa"].iloc[0]), int(pdf["pb"].iloc[0])
+        left = pdf[pdf["sb"] == s]
+        right = left if s == t else pdf[pdf["sb"] == t]
+        parts = [_topk_rows(left["id"].to_numpy(), _mat(left["v"]), right["id"].to_numpy(),
+                            _mat(right["v"]), keep, True)]
+        if s != t:
+            parts.append(_topk_rows(right["id"].to_numpy(), _mat(right["v"]),
+                                    left["id"].to_numpy(), _mat(left["v"]), keep, False))
+        return pd.concat(parts, ignore_index=True)
+
+    own = p1.groupBy("cell", "pa", "pb").applyInPandas(within, "id long, nbr long, dist double")
+    own = cut_lineage(own)
+    w = Window.partitionBy("id").orderBy(F.col("dist"), F.col("nbr"))
+    own_k = own.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    u = own_k.groupBy("id").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_m"))
+    u = u.select("id", F.when(F.col("_c") >= k, F.col("_m")).otherwise(F.lit(float("inf"))).alias("u"))
+    ub = (a.select("id", "cell").join(u, "id", "left")
+          .groupBy("cell").agg(F.max(F.coalesce("u", F.lit(float("inf")))).alias("U")))
+    cells = cs.join(ub, "cell").select("cell", "r", "U", "nsb")
+
+    # candidate directed cell pairs, evaluated against the pivot matrix
+    radius = {int(r.cell): float(r.r) for r in cs.select("cell", "r").collect()}  # C rows
+    rad = np.array([radius.get(i, 0.0) for i in range(len(P))])
+
+    def candidates(it):
+        for pdf in it:
+            out = []
+            for c, r_a, big_u in zip(pdf["cell"], pdf["r"], pdf["U"]):
+                lb = _exact_dist(P, P[int(c)][None, :]) - r_a - rad
+                # a relative slack keeps floating-point ties on the safe side
+                ok = np.where(lb <= big_u + 1e-9 * (1.0 + big_u))[0]
+                ok = ok[(ok != int(c)) & np.isin(ok, list(radius))]
+                out.append(pd.DataFrame({"ca": int(c), "cb": ok.astype(np.int32)}))
+            yield (pd.concat(out, ignore_index=True) if out
+                   else pd.DataFrame({"ca": np.zeros(0, np.int32), "cb": np.zeros(0, np.int32)}))
+
+    pairs = cells.mapInPandas(candidates, "ca int, cb int")
+    nsb = cells.select(F.col("cell"), "nsb")
+    q = (a2.select(F.col("cell").alias("ca"), "id", "v", F.col("sb").alias("qs")).join(pairs, "ca")
+         .join(nsb.withColumnRenamed("cell", "cb").withColumnRenamed("nsb", "_nb"), "cb")
+         .withColumn("cs", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+         .select("ca", "cb", "qs", "cs", "id", "v", F.lit(0).alias("side")))
+    c = (a2.select(F.col("cell").alias("cb"), "id", "v", F.col("sb").alias("cs")).join(pairs, "cb")
+         .join(nsb.withColumnRenamed("cell", "ca").withColumnRenamed("nsb", "_na"), "ca")
+         .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
+         .select("ca", "cb", "qs", "cs", "id", "v", F.lit(1).alias("side")))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, cs_ = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        return _topk_rows(qs["id"].to_numpy(), _mat(qs["v"]), cs_["id"].to_numpy(),
+                          _mat(cs_["v"]), keep, False)
+
+    cross = q.unionByName(c).groupBy("ca", "cb", "qs", "cs").applyInPandas(
+        across, "id long, nbr long, dist double")
+    cand = own.unionByName(cross)
+    w2 = Window.partitionBy("id").orderBy(F.round("dist", 9), F.col("nbr"))
+    return (cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("long")))
+
+
 # ---------------------------------------------------------------- op 106
 def exact_median(df: DataFrame, col: str, partitions: int | None = None) -> float | None:
     """Exact median (mean of the two middle values) without one-task collects.

@@ -128,6 +128,26 @@ def test_knn_multiblock_equals_brute(spark):
         assert [r.nbr for r in got.filter(F.col("id") == i).orderBy("rank").collect()] == exp
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_knn_pruned_equals_brute(spark, clustered):
+    rng = np.random.default_rng(14)
+    if clustered:
+        centers = rng.normal(size=(6, 4)) * 8
+        X = np.concatenate([c + rng.normal(size=(30, 4)) for c in centers])
+    else:
+        X = rng.normal(size=(150, 4))
+    n = len(X)
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(n)], "id long, v array<double>")
+    got = C.knn_graph_pruned(df, "id", "v", 4, block_rows=16)
+    Dm = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    res = {}
+    for r in got.collect():
+        res.setdefault(r.id, []).append((r.rank, r.nbr))
+    for i in range(n):
+        exp = sorted((j for j in range(n) if j != i), key=lambda j: (round(Dm[i, j], 9), j))[:4]
+        assert [b for _, b in sorted(res[i])] == exp
+
+
 def test_exact_median(spark):
     rnd = random.Random(8)
     xs = [rnd.random() for _ in range(101)] + [rnd.random() for _ in range(100)]
