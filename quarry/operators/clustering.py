@@ -383,14 +383,99 @@ def _local_stars(ids: np.ndarray, us, vs, ws, cut: float):
     return out_u, out_v
 
 
+def linkage_stars_pruned(vectors: DataFrame, core: DataFrame, id_col: str, vec: str,
+                         cuts: list[float], block_rows: int = 1024,
+                         max_pivots: int = 4096) -> DataFrame:
+    """:func:`linkage_stars` without comparing block pairs that cannot hold
+    an edge.  Points whose core distance exceeds the largest cut have no
+    edge at any level and are left out; the rest go to pivot cells (as in
+    :func:`knn_graph_pruned`), and a cell pair is compared only when the
+    triangle-inequality lower bound d(p_a, p_b) - r_a - r_b is within the
+    largest cut (every edge has d(x, y) <= mreach(x, y) <= max cut)."""
+    from quarry.session import cut_lineage
+    max_cut = max(cuts)
+    pts = (vectors.select(F.col(id_col).cast("long").alias("id"),
+                          F.col(vec).cast("array<double>").alias("v"))
+           .join(core.select("id", "core"), "id").filter(F.col("core") <= max_cut))
+    n = pts.count()
+    if n == 0:
+        return vectors.sparkSession.createDataFrame([], "level int, u long, v long")
+    c_n = max(1, min(max_pivots, math.ceil(n / block_rows)))
+    P = np.array([r.v for r in pts.orderBy(F.xxhash64("id"), "id").limit(c_n).select("v").collect()],
+                 dtype=np.float64)
+
+    def assign(it):
+        for pdf in it:
+            X = _mat(pdf["v"])
+            if len(pdf) == 0:
+                yield pdf.assign(cell=np.zeros(0, np.int32), dp=np.zeros(0))
+                continue
+            d2 = (X * X).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * X @ P.T
+            cell = np.argmin(d2, axis=1)
+            yield pdf.assign(cell=cell.astype(np.int32), dp=_exact_dist(X, P[cell]))
+
+    a = cut_lineage(pts.mapInPandas(assign, "id long, v array<double>, core double, cell int, dp double"))
+    cs = a.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("dp").alias("r"))
+    cs = cs.withColumn("nsb", F.ceil(F.col("size") / block_rows).cast("int"))
+    a2 = a.join(cs.select("cell", "nsb"), "cell").withColumn(
+        "sb", F.pmod(F.xxhash64("id"), F.col("nsb")).cast("int"))
+    radius = {int(r.cell): float(r.r) for r in cs.select("cell", "r").collect()}  # one row per cell
+    rad = np.array([radius.get(i, 0.0) for i in range(len(P))])
+
+    def candidates(it):
+        for pdf in it:
+            out = []
+            for c, r_a in zip(pdf["cell"], pdf["r"]):
+                lb = _exact_dist(P, P[int(c)][None, :]) - r_a - rad
+                ok = np.where(lb <= max_cut * (1.0 + 1e-9))[0]
+                ok = ok[(ok > int(c)) & np.isin(ok, list(radius))]
+                out.append(pd.DataFrame({"ca": int(c), "cb": ok.astype(np.int32)}))
+            yield (pd.concat(out, ignore_index=True) if out
+                   else pd.DataFrame({"ca": np.zeros(0, np.int32), "cb": np.zeros(0, np.int32)}))
+
+    pairs = cs.select("cell", "r").mapInPandas(candidates, "ca int, cb int")
+    cols = ["id", "v", "core"]
+    # groups inside a cell: sub-block pairs s <= t
+    own = (a2.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("nsb") - 1)))
+           .select(F.col("cell").alias("ca"), F.col("cell").alias("cb"),
+                   F.least("sb", "_j").alias("ga"), F.greatest("sb", "_j").alias("gb"), *cols))
+    nsb = cs.select("cell", "nsb")
+    left = (a2.select(F.col("cell").alias("ca"), F.col("sb").alias("ga"), *cols).join(pairs, "ca")
+            .join(nsb.withColumnRenamed("cell", "cb").withColumnRenamed("nsb", "_nb"), "cb")
+            .withColumn("gb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+            .select("ca", "cb", "ga", "gb", *cols))
+    right = (a2.select(F.col("cell").alias("cb"), F.col("sb").alias("gb"), *cols).join(pairs, "cb")
+             .join(nsb.withColumnRenamed("cell", "ca").withColumnRenamed("nsb", "_na"), "ca")
+             .withColumn("ga", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
+             .select("ca", "cb", "ga", "gb", *cols))
+    groups = own.unionByName(left).unionByName(right)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pts_ = pdf.drop_duplicates("id")
+        x = _mat(pts_["v"])
+        us, vs, ws = _prim_forest(x, pts_["core"].to_numpy(dtype=np.float64), max_cut)
+        ids = pts_["id"].to_numpy()
+        rows = [pd.DataFrame({"level": lvl, "u": a_, "v": b_})
+                for lvl, cut in enumerate(cuts)
+                for a_, b_ in [_local_stars(ids, us, vs, ws, cut)]]
+        return pd.concat(rows, ignore_index=True)
+
+    e = groups.groupBy("ca", "cb", "ga", "gb").applyInPandas(fn, "level int, u long, v long")
+    return e.distinct()
+
+
 def linkage_stars(vectors: DataFrame, core: DataFrame, id_col: str, vec: str,
-                  cuts: list[float], block_rows: int = 1024) -> DataFrame:
+                  cuts: list[float], block_rows: int = 1024, strategy: str = "auto") -> DataFrame:
     """Per cut level, star edges ``(level, u, v)``: inside each block-pair
     group the minimum spanning forest is cut at the level and every point is
     linked to the smallest id of its local component.  Components are the
     same as those of the full threshold graph (every threshold edge lies in
     some group, whose forest connects its ends), and stars make the global
-    connected-components rounds converge quickly."""
+    connected-components rounds converge quickly.  ``strategy`` as in
+    :func:`knn_graph` (``auto`` prunes beyond 8 blocks)."""
+    if strategy == "pruned" or (strategy == "auto"
+                                and math.ceil(vectors.count() / block_rows) > 8):
+        return linkage_stars_pruned(vectors, core, id_col, vec, cuts, block_rows)
     v = vectors.join(core.select(F.col("id").alias(id_col), "core"), id_col)
     pairs, _ = _block_pairs(v, id_col, vec, block_rows, extra=["core"])
     max_cut = max(cuts)

@@ -148,6 +148,25 @@ def test_knn_pruned_equals_brute(spark, clustered):
         assert [b for _, b in sorted(res[i])] == exp
 
 
+def test_linkage_pruned_equals_unpruned(spark):
+    """Pivot-cell pruning keeps every component at every cut."""
+    from quarry.plans.q_scalars import planted
+    from quarry.sources.tables import Tables
+    from conftest import SF_SMALL
+    p = planted(Tables(spark, SF_SMALL)).select(F.col("vec_id").alias("id"), F.col("vector").alias("v"))
+    n = p.count()
+    knn = C.knn_graph(p, "id", "v", 5)
+    scale = C.density_scale(knn, n, 5)
+    core = knn.filter(F.col("rank") == 5).select("id", F.col("dist").alias("core"))
+    cuts = [3.0 * scale, 1.5 * scale, 1.1 * scale]
+    a = C.linkage_stars(p, core, "id", "v", cuts, block_rows=64)
+    b = C.linkage_stars_pruned(p, core, "id", "v", cuts, block_rows=32)
+    for lvl in range(3):
+        la = C.clusters_from_edges(p.select("id"), a.filter(F.col("level") == lvl).select("u", "v"), 5)
+        lb = C.clusters_from_edges(p.select("id"), b.filter(F.col("level") == lvl).select("u", "v"), 5)
+        assert sorted(la.collect()) == sorted(lb.collect())
+
+
 def test_exact_median(spark):
     rnd = random.Random(8)
     xs = [rnd.random() for _ in range(101)] + [rnd.random() for _ in range(100)]
