@@ -177,13 +177,24 @@ def q_gwei(spark, root):
                     S.float_to_bps((F.col("job_id") % 97) / 96.0).alias("bps"))
 
 
-@register("split_slash", B.with_sql(B.JOBS_SQL) + """
-SELECT job_id, slashed, value - slashed AS returned
-FROM (SELECT job_id, value, CAST(round(value * ((job_id % 11) / 10.0)) AS BIGINT) AS slashed
-      FROM jobs WHERE job_id % 11 <= 10)""")
+@register("split_slash", B.with_sql(B.JOBS_SQL, B.JOB_WORKERS_SQL, B.AUDITS_SQL) + """,
+outc AS (SELECT a.job_id, max(a.severity) AS severity
+         FROM audits a JOIN job_workers w ON w.job_id = a.job_id AND w.worker = a.node GROUP BY 1),
+f AS (SELECT j.job_id, j.value * 10 AS locked,
+             CASE WHEN severity IS NULL OR severity <= 0 THEN 0.0 WHEN severity < 0.3 THEN severity
+                  WHEN severity < 0.7 THEN 0.5 + severity / 2 ELSE 1.0 END AS fr
+      FROM jobs j JOIN outc USING (job_id))
+SELECT job_id, CAST(round(locked * fr) AS BIGINT) AS slashed,
+       locked - CAST(round(locked * fr) AS BIGINT) AS returned FROM f""")
 def q_slash(spark, root):
-    j = B.jobs(Tables(spark, root)).filter(F.col("job_id") % 11 <= 10)
-    slashed, returned = S.split_slash("value", (F.col("job_id") % 11) / 10.0)
+    """Stake (value x 10) of every job split by the slash fraction of its
+    worst audit of the worker."""
+    t = Tables(spark, root)
+    w = B.job_workers(t).select("job_id", F.col("worker").alias("node"))
+    outc = B.audits(t).join(w, ["job_id", "node"]).groupBy("job_id").agg(
+        F.max("severity").alias("severity"))
+    j = B.jobs(t).join(outc, "job_id").withColumn("locked", F.col("value") * 10)
+    slashed, returned = S.split_slash("locked", S.slash_fraction("severity"))
     return j.select("job_id", slashed.alias("slashed"), returned.alias("returned"))
 
 

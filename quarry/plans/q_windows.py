@@ -327,17 +327,20 @@ def q_representatives(spark, root):
 
 
 CARD_COLUMNS = [("O", "ready"), ("F", "done"), ("P", "in_progress")]
+# cards of low priority are the ones nobody has claimed yet
+CLAIM_SQL = ("CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'unclaimed' "
+             "ELSE 'claimed' END")
 
 
 @register("ready_cards", f"""
 SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position
-FROM orders WHERE o_custkey % 3 = 0 AND o_orderstatus IN
+FROM (SELECT *, {CLAIM_SQL} AS claim_status FROM orders)
+WHERE claim_status = 'unclaimed' AND o_orderstatus IN
   (SELECT c FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in CARD_COLUMNS)}) v(c, n) WHERE n = 'ready')""")
 def q_ready(spark, root):
     o = Tables(spark, root).orders
     cards = o.select("o_orderkey", "o_orderdate", F.col("o_orderstatus").alias("column_id"),
-                     F.when(F.col("o_custkey") % 3 == 0, "unclaimed").otherwise("claimed")
-                     .alias("claim_status"))
+                     F.expr(CLAIM_SQL).alias("claim_status"))
     cols = spark.createDataFrame(CARD_COLUMNS, "column_id string, column_name string")
     r = K.ready_cards(cards, cols)
     # position = rank in the ready column, computed by a range-partitioned sort
