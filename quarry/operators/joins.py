@@ -142,9 +142,47 @@ def baseline_delta(runs: DataFrame, group: str, variant: str, baseline: str,
 
 
 # ---------------------------------------------------------------- nearest centroid
+def _collect_block(blk: DataFrame):
+    """A centroid block (at most ``max_centroids_per_pass`` rows) as arrays."""
+    import numpy as np
+    rows = blk.orderBy("ord").select("ord", "id", "v").collect()
+    return (np.array([r.ord for r in rows], dtype=np.int64), [r.id for r in rows],
+            np.array([r.v for r in rows], dtype=np.float64))
+
+
+def _vectorized_best_of(point_id: str, point_vec: str, id_type):
+    from pyspark.sql import types as T
+
+    def best_of(df: DataFrame, block) -> DataFrame:
+        import numpy as np
+        import pandas as pd
+        ords, ids, cm = block
+        out_schema = T.StructType(df.schema.fields + [T.StructField(
+            "_best", T.StructType([T.StructField("s", T.DoubleType()),
+                                   T.StructField("no", T.LongType()),
+                                   T.StructField("id", id_type)]))])
+
+        def fn(it):
+            for pdf in it:
+                if len(pdf) == 0:
+                    yield pdf.assign(_best=[])
+                    continue
+                X = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[point_vec]])
+                xn = np.linalg.norm(X, axis=1, keepdims=True)
+                xn[xn == 0] = 1.0
+                S_ = (X / xn) @ cm.T
+                j = np.argmax(S_, axis=1)  # first maximum = smallest ordinal
+                yield pdf.assign(_best=[{"s": float(S_[i, k]), "no": int(-ords[k]), "id": ids[k]}
+                                        for i, k in enumerate(j)])
+
+        return df.mapInPandas(fn, out_schema)
+
+    return best_of
+
+
 def assign_nearest(points: DataFrame, centroids: DataFrame, point_id: str, point_vec: str,
                    cid: str, cvec: str, corder: str, min_sim: float = 0.4,
-                   max_centroids_per_pass: int = 4096) -> DataFrame:
+                   max_centroids_per_pass: int = 4096, method: str = "auto") -> DataFrame:
     """Op 36: nearest centroid by cosine, without a join.
 
     The centroid list is a model, not data, and its size is checked: up to
@@ -152,7 +190,10 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, point_id: str, point
     reaches the executors as a scalar subquery, and every point scans it with
     ``aggregate`` (JVM-side, no pairs materialized).  A longer list is cut
     into blocks by ``corder`` rank, one pass per block, and the per-pass
-    winners are reduced with ``max_by`` per point.
+    winners are reduced with ``max_by`` per point.  ``method``: ``"jvm"``
+    (built-in array functions), ``"vectorized"`` (the block ships with the
+    task and each Arrow batch is one BLAS product - for long lists) or
+    ``"auto"`` (vectorized beyond 256 centroids).
     Similarity below ``min_sim`` -> NULL id but the similarity is kept; no
     centroid -> NULL id with similarity 0.0; a zero point vector is rejected
     (row dropped); a zero centroid scores 0; ties -> first centroid in
@@ -184,10 +225,16 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, point_id: str, point
     def pack(blk):
         return blk.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "v")))).scalar()
 
+    vectorized = method == "vectorized" or (method == "auto" and n > 256)
+    if vectorized:
+        # many centroids: per Arrow batch one BLAS product against the
+        # (size-checked) normalized centroid block shipped with the task
+        best_of = _vectorized_best_of(point_id, point_vec, id_type)
+        pack = _collect_block
     if n_pass == 1:
         out = best_of(pn, pack(c))
     else:
-        parts = [best_of(pn.select(point_id, "_pv"), pack(c.filter(F.col("_blk") == k)))
+        parts = [best_of(pn.select(point_id, point_vec, "_pv"), pack(c.filter(F.col("_blk") == k)))
                  .select(point_id, "_best") for k in range(n_pass)]
         u = parts[0]
         for x in parts[1:]:

@@ -184,9 +184,14 @@ def test_assign_nearest_multipass_equals_single(spark):
                                 "cid long, ord long, c array<double>")
     one = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0)
     many = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0, max_centroids_per_pass=3)
+    vec = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0, method="vectorized")
+    vec_many = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0,
+                                max_centroids_per_pass=4, method="vectorized")
     a = sorted((r.pid, r.cid, round(r.similarity, 9)) for r in one.collect())
     b = sorted((r.pid, r.cid, round(r.similarity, 9)) for r in many.collect())
-    assert a == b
+    c = sorted((r.pid, r.cid, round(r.similarity, 9)) for r in vec.collect())
+    d = sorted((r.pid, r.cid, round(r.similarity, 9)) for r in vec_many.collect())
+    assert a == b == c == d
 
 
 def test_trigram_join_equals_brute(spark):
