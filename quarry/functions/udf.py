@@ -190,7 +190,10 @@ def ema_agg(pos: str, value: str, n: int = 1000) -> Column:
     """Op 129: the EMA (alpha = 2/(n+1)) at the last position of a group as an
     aggregate expression over ``(pos, value)``, ``pos`` being the 1-based
     position in the group's order: e = q^N (x_1 q^-1 + sum_{j>=2} a x_j q^-j)
-    with N = max(pos).  Algebraic (a sum and a max), so partial per task."""
+    with N = max(pos).  Algebraic (a sum and a max), so partial per task.
+    The weights q^-j stay finite for positions up to ~700/-ln(1-a) (about
+    350k rows at n = 1000); for longer groups use ``windows.ema``, which
+    rebases the exponent per block."""
     a = 2.0 / (n + 1)
     lq = math.log(1.0 - a)
     p, x = F.col(pos), F.col(value)
