@@ -344,23 +344,24 @@ def q_latency(spark, root):
 # Roles of the health topology (name, kind, min_healthy,
 # optional) and the capabilities built from them.
 ROLES = [
-    ("r2g", "http", 1, False), ("bge-embed", "http", 1, True), ("plugin-host", "http", 1, False),
-    ("skills-rae", "http", 1, False), ("nano-research", "http", 1, False),
-    ("evo-api", "http", 1, False), ("postgres", "postgres", 1, False), ("redis", "tcp", 1, False),
-    ("temporal", "tcp", 1, False), ("vllm", "http", 0, True),
-    ("reindex-worker", "temporal_queue", 1, False), ("skills-worker", "temporal_queue", 1, False),
-    ("dispatch-worker", "temporal_queue", 1, False),
+    ("retrieval-api", "http", 1, False), ("embedder", "http", 1, True),
+    ("plugin-host", "http", 1, False), ("skills-api", "http", 1, False),
+    ("research-api", "http", 1, False), ("dashboard-api", "http", 1, False),
+    ("database", "postgres", 1, False), ("cache", "tcp", 1, False),
+    ("workflow-engine", "tcp", 1, False), ("llm-endpoint", "http", 0, True),
+    ("reindex-worker", "workflow_queue", 1, False), ("skills-worker", "workflow_queue", 1, False),
+    ("dispatch-worker", "workflow_queue", 1, False),
 ]
 CAPABILITIES = [
-    ("data-plane", ["postgres", "redis", "temporal"]),
-    ("rag", ["r2g", "bge-embed", "skills-rae", "plugin-host"]),
-    ("research", ["nano-research", "r2g", "plugin-host"]),
-    ("ops", ["evo-api", "dispatch-worker", "skills-worker", "reindex-worker"]),
-    ("llm", ["vllm"]),
+    ("data-plane", ["database", "cache", "workflow-engine"]),
+    ("rag", ["retrieval-api", "embedder", "skills-api", "plugin-host"]),
+    ("research", ["research-api", "retrieval-api", "plugin-host"]),
+    ("ops", ["dashboard-api", "dispatch-worker", "skills-worker", "reindex-worker"]),
+    ("llm", ["llm-endpoint"]),
 ]
 # Binding of event types to the roles they probe.
-EVENT_ROLE = {"click": "r2g", "view": "bge-embed", "purchase": "postgres", "signup": "redis",
-              "error": "vllm"}
+EVENT_ROLE = {"click": "retrieval-api", "view": "embedder", "purchase": "database",
+              "signup": "cache", "error": "llm-endpoint"}
 
 ROLES_SQL = "roles AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{r}', '{k}', {m}, {str(o).upper()})" for r, k, m, o in ROLES) + \
