@@ -136,6 +136,42 @@ def test_mixed_scenario(spark):
     assert got.reserve == 90 * (10 + 20) + 10 * 10000
 
 
+def test_restart_delta_defaults(spark):
+    """120 s window, threshold 5 (strictly above): samples every 30 s."""
+    from quarry.operators.windows import restart_delta
+    counts = [0, 1, 3, 6, 7, 7, 7]
+    df = one(spark, "container_id string, epoch long, restart_count long",
+             [("c1", 30 * i, c) for i, c in enumerate(counts)])
+    got = {r.epoch: (r.delta, r.breach) for r in restart_delta(df).collect()}
+    # at t=90: oldest sample in [t-120, t] is t=0 (count 0) -> delta 6 > 5
+    assert got[90] == (6, True)
+    assert got[120] == (7, True)      # oldest in [0, 120] is count 0
+    assert got[150] == (6, True)      # oldest in [30, 150] is count 1
+    assert got[180] == (4, False)     # oldest in [60, 180] is count 3
+
+
+def test_fresh_at_90s(spark):
+    import datetime as dt
+    from quarry.operators.joins import fresh_at
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    beats = one(spark, "queue string, worker long, ts timestamp_ntz", [
+        ("q", 1, t0 - dt.timedelta(seconds=30)), ("q", 2, t0 - dt.timedelta(seconds=90)),
+        ("q", 3, t0 - dt.timedelta(seconds=91)), ("q", 1, t0 - dt.timedelta(seconds=10)),
+        ("other", 4, t0)])
+    probes = one(spark, "queue string, probe_ts timestamp_ntz", [("q", t0)])
+    assert fresh_at(probes, beats, "queue", "probe_ts", "ts", "worker", 90).first().fresh_workers == 2
+
+
+def test_liveness_gap_90s(spark):
+    """Beats 30 s apart stay one session; a 91 s silence starts a new one."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    secs = [0, 30, 60, 151, 181]
+    df = one(spark, "w long, ts timestamp", [(1, t0 + dt.timedelta(seconds=s)) for s in secs])
+    g = df.groupBy(F.session_window("ts", "90 seconds").alias("s"), "w").count().collect()
+    assert sorted(r["count"] for r in g) == [2, 3]
+
+
 def test_var_refs(spark):
     df = one(spark, "t string", [("url=${DB_URL} port=${PORT:-5432} host=${HOST-localhost}",)])
     got = [tuple(r) for r in df.select(F.explode(S.var_refs("t"))).select("col.*").collect()]
