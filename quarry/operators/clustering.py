@@ -90,6 +90,20 @@ def _exact_dist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - y) ** 2).sum(axis=-1))
 
 
+def _near_top(d2: np.ndarray, m: int):
+    """Indices of the ``m`` smallest entries per row of a squared-distance
+    matrix plus everything within 1e-6 (relative) of the m-th: the expansion
+    |x|^2 + |y|^2 - 2xy is only accurate to ~1e-8 near zero, so near-ties
+    are kept and re-ranked on exact distances."""
+    d = np.sqrt(np.clip(d2, 0.0, None))
+    d = np.where(np.isfinite(d2), d, np.inf)
+    m = min(m, d.shape[1])
+    kth = np.partition(d, m - 1, axis=1)[:, m - 1]
+    rows, cols = np.nonzero(d <= (kth + 1e-6 * (1.0 + kth))[:, None])
+    ok = np.isfinite(d[rows, cols])
+    return rows[ok], cols[ok]
+
+
 # ---------------------------------------------------------------- op 105
 def knn_graph(vectors: DataFrame, id_col: str, vec: str, k: int,
               block_rows: int = 2048, strategy: str = "auto") -> DataFrame:
@@ -118,12 +132,7 @@ def knn_graph(vectors: DataFrame, id_col: str, vec: str, k: int,
             qid, cid = q["id"].to_numpy(), c["id"].to_numpy()
             if same:
                 d2[qid[:, None] == cid[None, :]] = np.inf
-            m = min(keep, cm.shape[0])
-            idx = np.argpartition(d2, m - 1, axis=1)[:, :m]
-            rows = np.repeat(np.arange(qm.shape[0]), m)
-            cols = idx.reshape(-1)
-            ok = np.isfinite(d2[rows, cols])
-            rows, cols = rows[ok], cols[ok]
+            rows, cols = _near_top(d2, keep)
             out.append(pd.DataFrame({"id": qid[rows], "nbr": cid[cols],
                                      "dist": _exact_dist(qm[rows], cm[cols])}))
         if not out:
@@ -144,12 +153,7 @@ def _topk_rows(qid, qm, cid, cm, keep: int, exclude_self: bool) -> pd.DataFrame:
     d2 = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2.0 * qm @ cm.T
     if exclude_self:
         d2[qid[:, None] == cid[None, :]] = np.inf
-    m = min(keep, cm.shape[0])
-    idx = np.argpartition(d2, m - 1, axis=1)[:, :m]
-    rows = np.repeat(np.arange(qm.shape[0]), m)
-    cols = idx.reshape(-1)
-    ok = np.isfinite(d2[rows, cols])
-    rows, cols = rows[ok], cols[ok]
+    rows, cols = _near_top(d2, keep)
     return pd.DataFrame({"id": qid[rows], "nbr": cid[cols], "dist": _exact_dist(qm[rows], cm[cols])})
 
 

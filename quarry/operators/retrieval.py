@@ -150,13 +150,9 @@ def sparse_topk(qside: DataFrame, dside: DataFrame, qid: str, did: str, k: int,
         D = np.zeros((len(dids), len(vocab)))
         np.add.at(D, (di, vocab.get_indexer(ds["term"])), ds["w"].to_numpy())
         S = Q @ D.T
-        m = min(keep, S.shape[1])
-        idx = np.argpartition(-S, m - 1, axis=1)[:, :m]
-        rows = np.repeat(np.arange(S.shape[0]), m)
-        cols = idx.reshape(-1)
-        sc = S[rows, cols]
-        ok = sc > 0
-        return pd.DataFrame({"qid": qids[rows[ok]], "did": dids[cols[ok]], "score": sc[ok]})
+        S[S <= 0] = -np.inf  # only documents sharing a term with the query
+        rows, cols = block_top(S, keep, largest=True)
+        return pd.DataFrame({"qid": qids[rows], "did": dids[cols], "score": S[rows, cols]})
 
     both = q.unionByName(d)
     cand = both.groupBy("qb", "db").applyInPandas(fn, "qid long, did long, score double")
@@ -170,6 +166,27 @@ def rank_scores(scored: DataFrame, qid: str, k: int, score: str = "score",
     return ranked.select(qid, "rank", item, F.round(score, 6).alias(score))
 
 
+# ---------------------------------------------------------------- block top-k
+TIE_TOL = 2e-9  # final rankings compare scores rounded to 9 digits
+
+
+def block_top(S, m: int, largest: bool = True):
+    """Row and column indices of the ``m`` best entries of every row of
+    ``S`` plus every entry tied with the m-th within TIE_TOL, so that the
+    final ranking (rounded score, then id) sees every candidate that could
+    make the cut.  Infinite / NaN entries are never returned."""
+    import numpy as np
+    if S.shape[1] == 0 or S.shape[0] == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    m = min(m, S.shape[1])
+    key = -S if largest else S
+    key = np.where(np.isfinite(key), key, np.inf)
+    kth = np.partition(key, m - 1, axis=1)[:, m - 1]
+    rows, cols = np.nonzero(key <= (kth + TIE_TOL)[:, None])
+    ok = np.isfinite(key[rows, cols])
+    return rows[ok], cols[ok]
+
+
 # ---------------------------------------------------------------- dense top-k
 def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid: str, cvec: str,
                k: int, block_rows: int = 4096, group_col: str | None = None,
@@ -205,10 +222,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid:
     keep = k + 2
 
     def best(qids, cids, s, gval):
-        m = min(keep, s.shape[1])
-        idx = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        rows = np.repeat(np.arange(s.shape[0]), m)
-        cols = idx.reshape(-1)
+        rows, cols = block_top(s, keep, largest=True)
         return pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "score": s[rows, cols],
                              "g": gval})
 

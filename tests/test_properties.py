@@ -167,6 +167,33 @@ def test_linkage_pruned_equals_unpruned(spark):
         assert sorted(la.collect()) == sorted(lb.collect())
 
 
+def test_block_cuts_keep_ties(spark):
+    """Duplicates straddling every block cut: rankings still break ties by id."""
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=4)
+    D = np.concatenate([np.tile(base, (25, 1)), rng.normal(size=(25, 4))])
+    order = rng.permutation(50)
+    D = D[order]
+    Q = base[None, :] + 0.01 * rng.normal(size=(3, 4))
+    qdf = spark.createDataFrame([(i, Q[i].tolist()) for i in range(3)], "qid long, v array<double>")
+    ddf = spark.createDataFrame([(j, D[j].tolist()) for j in range(50)], "did long, v array<double>")
+    got = R.dense_topk(qdf, ddf, "qid", "v", "did", "v", 6, block_rows=7)
+    S = (Q / np.linalg.norm(Q, axis=1, keepdims=True)) @ (D / np.linalg.norm(D, axis=1, keepdims=True)).T
+    for i in range(3):
+        exp = sorted(range(50), key=lambda j: (-round(S[i, j], 9), j))[:6]
+        assert [r.did for r in got.filter(F.col("qid") == i).orderBy("rank").collect()] == exp
+    xdf = spark.createDataFrame([(j, D[j].tolist()) for j in range(50)], "id long, v array<double>")
+    Dm = np.sqrt(((D[:, None, :] - D[None, :, :]) ** 2).sum(-1))
+    for fn in (lambda: C.knn_graph(xdf, "id", "v", 3, block_rows=6, strategy="blocks"),
+               lambda: C.knn_graph_pruned(xdf, "id", "v", 3, block_rows=6)):
+        res = {}
+        for r in fn().collect():
+            res.setdefault(r.id, []).append((r.rank, r.nbr))
+        for i in range(50):
+            exp = sorted((j for j in range(50) if j != i), key=lambda j: (round(Dm[i, j], 9), j))[:3]
+            assert [b for _, b in sorted(res[i])] == exp
+
+
 def test_exact_median(spark):
     rnd = random.Random(8)
     xs = [rnd.random() for _ in range(101)] + [rnd.random() for _ in range(100)]
