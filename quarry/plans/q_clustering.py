@@ -80,7 +80,28 @@ def q_tree(spark, root):
     return comms
 
 
-@register("cluster_diagnostics")
+_LEVELS = f"(VALUES (0, {C.BROAD_MULT}), (1, {C.MID_MULT}), (2, {C.LEAF_MULT})) l(lvl, mult)"
+
+
+@register("cluster_diagnostics", PAIRS_SQL + f""",
+e AS (SELECT d.u, d.v, greatest(d.dist, cu.core, cv.core) AS w
+      FROM d JOIN core cu ON cu.id = d.u JOIN core cv ON cv.id = d.v),
+cc AS (
+  WITH RECURSIVE r(lvl, id, label) AS (
+    SELECT l.lvl, p.vec_id, p.vec_id FROM planted p CROSS JOIN {_LEVELS}
+    UNION
+    SELECT r.lvl, e.v, r.label FROM r JOIN e ON e.u = r.id JOIN {_LEVELS} ON l.lvl = r.lvl
+    CROSS JOIN scale WHERE e.w <= l.mult * scale.scale)
+  SELECT lvl, id, min(label) AS label FROM r GROUP BY lvl, id),
+sz AS (SELECT lvl, label, count(*) AS n FROM cc GROUP BY lvl, label)
+SELECT (SELECT count(*) FROM planted) AS n_points,
+       count(*) FILTER (WHERE lvl = 0 AND n >= {C.MIN_CLUSTER_SIZE}) AS broad_count,
+       count(*) FILTER (WHERE lvl = 1 AND n >= {C.MIN_CLUSTER_SIZE}) AS mid_count,
+       count(*) FILTER (WHERE lvl = 2 AND n >= {C.MIN_CLUSTER_SIZE}) AS leaf_count,
+       CAST(coalesce(sum(n) FILTER (WHERE lvl = 2 AND n < {C.MIN_CLUSTER_SIZE}), 0) AS BIGINT)
+         AS noise_count,
+       (SELECT round(scale, 6) FROM scale) AS scale
+FROM sz""")
 def q_diag(spark, root):
     _, _, diag = C.community_tree(_points(spark, root), "id", "v")
-    return diag
+    return diag.withColumn("scale", F.round("scale", 6))

@@ -217,7 +217,46 @@ def q_audit_outcomes(spark, root):
                       "pass", F.round("severity", 6).alias("severity"))
 
 
-@register("credit_lines")
+_CUR = "coalesce(list_filter(f.debts, lambda x: x.d = s.debtor)[1].v, 0)"
+_OK = f"({_CUR} + s.shortfall <= s.per_node_max AND f.outstanding + s.shortfall <= s.total)"
+_REP = (f"CASE WHEN {_OK} AND s.fraction < 1.0 "
+        "THEN CAST(floor(s.shortfall * (1.0 - s.fraction) + 0.5) AS BIGINT) ELSE CAST(0 AS BIGINT) END")
+
+# The credit fold as a recursive query per creditor: the state is the
+# outstanding total and the list of debts per debtor.
+CREDIT_SQL = BASE + f""",
+req AS (SELECT st.job_id, st.publisher AS creditor, st.worker AS debtor, st.value, st.offered_at AS at,
+               st.fraction, CAST(greatest(round(sp.s_acctbal), 0.0) * 1000 AS BIGINT) AS cap
+        FROM settled2 st JOIN supplier sp ON sp.s_suppkey = st.worker),
+need AS (SELECT *, greatest(value - cap, 0) AS shortfall FROM req),
+pol AS (SELECT c_custkey AS creditor, CAST(greatest(round(c_acctbal), 0.0) * 1000 AS BIGINT) AS per_node_max
+        FROM customer),
+fi AS (SELECT n.*, p.per_node_max, p.per_node_max * 3 AS total,
+              row_number() OVER (PARTITION BY n.creditor ORDER BY n.at, n.job_id) AS i
+       FROM need n JOIN pol p USING (creditor) WHERE n.shortfall > 0),
+fold AS (
+  WITH RECURSIVE f(creditor, i, job_id, debtor, shortfall, accepted, repaid, defaulted, outstanding, debts) AS (
+    SELECT creditor, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+           CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN),
+           CAST(0 AS BIGINT), CAST([] AS STRUCT(d BIGINT, v BIGINT)[])
+    FROM fi WHERE i = 1
+    UNION ALL
+    SELECT s.creditor, s.i, s.job_id, s.debtor, s.shortfall, {_OK}, {_REP},
+           {_OK} AND s.fraction >= 1.0,
+           f.outstanding + CASE WHEN {_OK} THEN s.shortfall - {_REP} ELSE 0 END,
+           CASE WHEN {_OK} THEN list_append(list_filter(f.debts, lambda x: x.d <> s.debtor),
+                                          {{'d': s.debtor, 'v': {_CUR} + s.shortfall - {_REP}}})
+                ELSE f.debts END
+    FROM f JOIN fi s ON s.creditor = f.creditor AND s.i = f.i + 1)
+  SELECT * FROM f WHERE i > 0)
+SELECT job_id, creditor, debtor, shortfall, accepted, repaid, defaulted, outstanding AS outstanding_after
+FROM fold
+UNION ALL
+SELECT job_id, creditor, debtor, shortfall, TRUE, CAST(0 AS BIGINT), FALSE, CAST(NULL AS BIGINT)
+FROM need WHERE shortfall <= 0"""
+
+
+@register("credit_lines", CREDIT_SQL)
 def q_credit(spark, root):
     t = Tables(spark, root)
     s = settled(t).filter(F.col("worker").isNotNull())

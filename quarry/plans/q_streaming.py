@@ -102,7 +102,30 @@ def _crash(spark, root, name):
     return S.run_to_table(out, name, "append").filter(F.col("container_id") >= 0)
 
 
-@register("stream_crashloop")
+_KEPT = ("list_filter(list_append(f.samples, {'t': s.epoch, 'c': s.restart_count}), "
+         f"lambda x: x.t >= s.epoch - {CRASH_WINDOW_S})")
+
+# The sequential fold as a recursive query: the state is the list of kept
+# samples; a breach resets it to the current sample.
+CRASH_SQL = B.with_sql(B.RESTARTS_SQL) + f""",
+s AS (SELECT container_id, event_id, epoch, restart_count,
+             row_number() OVER (PARTITION BY container_id ORDER BY epoch, event_id) AS i FROM restarts),
+r AS (
+  WITH RECURSIVE f(container_id, i, event_id, samples, delta, breach) AS (
+    SELECT container_id, i, event_id, [{{'t': epoch, 'c': restart_count}}], CAST(0 AS BIGINT), FALSE
+    FROM s WHERE i = 1
+    UNION ALL
+    SELECT s.container_id, s.i, s.event_id,
+           CASE WHEN s.restart_count - {_KEPT}[1].c > {CRASH_THRESHOLD}
+                THEN [{{'t': s.epoch, 'c': s.restart_count}}] ELSE {_KEPT} END,
+           s.restart_count - {_KEPT}[1].c,
+           s.restart_count - {_KEPT}[1].c > {CRASH_THRESHOLD}
+    FROM f JOIN s ON s.container_id = f.container_id AND s.i = f.i + 1)
+  SELECT * FROM f)
+SELECT container_id, event_id, delta, breach FROM r"""
+
+
+@register("stream_crashloop", CRASH_SQL)
 def q_crash(spark, root):
     return _crash(spark, root, "stream-crash").filter(~F.col("expired")).select(
         "container_id", "event_id", "delta", "breach")
