@@ -74,16 +74,10 @@ def q_linkage(spark, root):
     return C.clusters_from_edges(p, stars.select("u", "v"), C.MIN_CLUSTER_SIZE)
 
 
-@register("community_tree")
-def q_tree(spark, root):
-    comms, _, _ = C.community_tree(_points(spark, root), "id", "v")
-    return comms
-
-
 _LEVELS = f"(VALUES (0, {C.BROAD_MULT}), (1, {C.MID_MULT}), (2, {C.LEAF_MULT})) l(lvl, mult)"
 
-
-@register("cluster_diagnostics", PAIRS_SQL + f""",
+# Component labels of all three cut levels at once (recursive label spread).
+TREE_CC_SQL = f""",
 e AS (SELECT d.u, d.v, greatest(d.dist, cu.core, cv.core) AS w
       FROM d JOIN core cu ON cu.id = d.u JOIN core cv ON cv.id = d.v),
 cc AS (
@@ -93,7 +87,38 @@ cc AS (
     SELECT r.lvl, e.v, r.label FROM r JOIN e ON e.u = r.id JOIN {_LEVELS} ON l.lvl = r.lvl
     CROSS JOIN scale WHERE e.w <= l.mult * scale.scale)
   SELECT lvl, id, min(label) AS label FROM r GROUP BY lvl, id),
-sz AS (SELECT lvl, label, count(*) AS n FROM cc GROUP BY lvl, label)
+sz AS (SELECT lvl, label, count(*) AS n FROM cc GROUP BY lvl, label)"""
+
+
+@register("community_tree", PAIRS_SQL + TREE_CC_SQL + f""",
+comm AS (SELECT lvl, label FROM sz WHERE n >= {C.MIN_CLUSTER_SIZE}),
+ids AS (SELECT lvl, label, row_number() OVER (ORDER BY lvl, label) - 1 AS temp_id FROM comm),
+mem AS (SELECT i.temp_id, c.lvl, c.id AS member FROM cc c JOIN ids i USING (lvl, label)),
+votes AS (SELECT k.temp_id AS child, p.temp_id AS parent, count(*) AS votes, min(k.member) AS first_pos
+          FROM mem k JOIN mem p ON p.member = k.member AND p.lvl = k.lvl - 1 GROUP BY 1, 2),
+par AS (SELECT child, parent FROM (
+          SELECT *, row_number() OVER (PARTITION BY child ORDER BY votes DESC, first_pos) AS r FROM votes)
+        WHERE r = 1),
+ex AS (SELECT m.temp_id, unnest(p.vector) AS x, unnest(range(1, len(p.vector) + 1)) AS pos
+       FROM mem m JOIN planted p ON p.vec_id = m.member),
+cent2 AS (SELECT temp_id, list(a ORDER BY pos) AS c
+          FROM (SELECT temp_id, pos, avg(x) AS a FROM ex GROUP BY ALL) GROUP BY temp_id),
+dist AS (SELECT m.temp_id, m.member,
+                sqrt(list_sum(list_transform(list_zip(p.vector, c2.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))
+                  AS dist
+         FROM mem m JOIN planted p ON p.vec_id = m.member JOIN cent2 c2 USING (temp_id)),
+reps AS (SELECT temp_id, list(member ORDER BY rk) AS representatives
+         FROM (SELECT *, row_number() OVER (PARTITION BY temp_id ORDER BY dist, member) AS rk FROM dist)
+         WHERE rk <= 3 GROUP BY temp_id)
+SELECT i.temp_id, par.parent AS parent_temp_id, CAST(i.lvl AS INTEGER) AS level, s.n AS size,
+       r.representatives
+FROM ids i JOIN sz s USING (lvl, label) LEFT JOIN par ON par.child = i.temp_id JOIN reps r USING (temp_id)""")
+def q_tree(spark, root):
+    comms, _, _ = C.community_tree(_points(spark, root), "id", "v")
+    return comms
+
+
+@register("cluster_diagnostics", PAIRS_SQL + TREE_CC_SQL + f"""
 SELECT (SELECT count(*) FROM planted) AS n_points,
        count(*) FILTER (WHERE lvl = 0 AND n >= {C.MIN_CLUSTER_SIZE}) AS broad_count,
        count(*) FILTER (WHERE lvl = 1 AND n >= {C.MIN_CLUSTER_SIZE}) AS mid_count,
