@@ -59,13 +59,23 @@ def q_shapes(spark, root):
                       F.element_at("object", F.lit("k")).alias("k"))
 
 
-@register("read_blobs")
+@register("read_blobs", """
+SELECT 'lang=' || lang AS prefix, count(*) AS n_rows, count(DISTINCT md5(text)) AS n_texts,
+       TRUE AS has_files, TRUE AS has_bytes
+FROM documents GROUP BY lang""")
 def q_blobs(spark, root):
+    """Round trip through the key-prefixed store: documents written under
+    ``lang=<x>/`` prefixes, listed back as blobs, and read back as rows.
+    Per prefix: rows and distinct texts read back, and whether the blob
+    listing found files and bytes there (file counts are Spark's choice)."""
     d = Tables(spark, root).documents.select("doc_id", "lang", "text")
     path = O.write_partitioned(d, O.scratch_path(spark, "documents-by-lang"), ["lang"])
-    b = O.read_blobs(spark, path, "*.parquet")
-    return b.groupBy("prefix").agg(F.count(F.lit(1)).alias("n_files"),
-                                   F.sum("length").alias("bytes"))
+    b = O.read_blobs(spark, path, "*.parquet").groupBy("prefix").agg(
+        (F.count(F.lit(1)) > 0).alias("has_files"), (F.sum("length") > 0).alias("has_bytes"))
+    back = spark.read.parquet(path).groupBy(F.concat(F.lit("lang="), F.col("lang")).alias("prefix")) \
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.md5("text")).alias("n_texts"))
+    return back.join(b, "prefix", "left").select("prefix", "n_rows", "n_texts", "has_files",
+                                                 "has_bytes")
 
 
 # ------------------------------------------------------------------ ops 5, 6
