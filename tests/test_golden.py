@@ -172,6 +172,32 @@ def test_liveness_gap_90s(spark):
     assert sorted(r["count"] for r in g) == [2, 3]
 
 
+def test_manifest_written_next_to_data(spark):
+    from quarry.sources.ops import scratch_path, write_manifest
+    df = one(spark, "split string, toks array<string>", [
+        ("train", ["a", "b", "a"]), ("train", ["c"]), ("test", ["a"])])
+    path = scratch_path(spark, "manifest")
+    m = {r.split: (r.n_docs, r.tokens, r.vocab_size) for r in write_manifest(df, "split", "toks", path).collect()}
+    assert m == {"train": (2, 4, 3), "test": (1, 1, 1)}
+    back = {r.split: r.vocab_size for r in spark.read.json(path).collect()}
+    assert back == {"train": 3, "test": 1}
+
+
+def test_stream_source_start_point(spark):
+    import datetime as dt
+    from quarry.schemas import TABLES
+    from quarry.sources.ops import scratch_path
+    from quarry.sources.tables import Tables
+    from quarry.streaming import ops as SO
+    from conftest import SF_SMALL
+    e = Tables(spark, SF_SMALL).events
+    path = SO.stage_files(e, scratch_path(spark, "start"), "ts", 4)
+    start = dt.datetime(2024, 1, 20)
+    s = SO.stream_source(spark, path, TABLES["events"], "ts", start_at=start)
+    got = SO.run_to_table(s, "start", "append").count()
+    assert got == e.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz")).count()
+
+
 def test_var_refs(spark):
     df = one(spark, "t string", [("url=${DB_URL} port=${PORT:-5432} host=${HOST-localhost}",)])
     got = [tuple(r) for r in df.select(F.explode(S.var_refs("t"))).select("col.*").collect()]
