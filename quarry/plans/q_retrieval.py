@@ -133,7 +133,7 @@ def _vecs(t: Tables, shared: bool = False):
     from quarry.session import cut_lineage
     q = embed_texts(t.benchmark, "item_id", "text")
     d = embed_texts(t.documents, "doc_id", "text")
-    return (cut_lineage(q), cut_lineage(d)) if shared else (q, d)
+    return (q, cut_lineage(d)) if shared else (q, d)
 
 
 @register("dense_topk", "WITH " + ",\n".join([Q_EMB, DOC_EMB, dense_ctes(10)]) + """
