@@ -123,27 +123,32 @@ def q_upsert(spark, root):
 
 BEAT_EXPR = {"kind": "CASE WHEN event_type = 'error' THEN 'offline' ELSE 'beat' END",
              "cpu_pct": "CASE WHEN value > 300 THEN CAST('NaN' AS DOUBLE) ELSE value / 5 END",
-             "ram_used_gb": "value / 10"}
+             "ram_used_gb": "value / 10",
+             "load_avg_1m": "CASE WHEN value < 1 THEN CAST('NaN' AS DOUBLE) ELSE value / 100 END"}
 
 
 @register("apply_heartbeats", "WITH " + UPSERT_SQL + f""",
 beats AS (SELECT user_id, ts, {BEAT_EXPR['kind']} AS kind, {BEAT_EXPR['cpu_pct']} AS cpu_pct,
-                 {BEAT_EXPR['ram_used_gb']} AS ram_used_gb FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
+                 {BEAT_EXPR['ram_used_gb']} AS ram_used_gb, {BEAT_EXPR['load_avg_1m']} AS load_avg_1m
+          FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
 lb AS (SELECT user_id, max(ts) AS ts, arg_max(kind, ts) AS kind, arg_max(cpu_pct, ts) AS cpu_pct,
-              arg_max(ram_used_gb, ts) AS ram_used_gb FROM beats GROUP BY 1)
+              arg_max(ram_used_gb, ts) AS ram_used_gb, arg_max(load_avg_1m, ts) AS load_avg_1m
+       FROM beats GROUP BY 1)
 SELECT s.user_id, CASE WHEN lb.kind = 'offline' THEN 'offline' ELSE s.status END AS status,
        coalesce(lb.ts, s.ts) AS last_seen,
        round(CASE WHEN isnan(lb.cpu_pct) THEN NULL ELSE lb.cpu_pct END, 6) AS cpu_pct,
-       round(CASE WHEN isnan(lb.ram_used_gb) THEN NULL ELSE lb.ram_used_gb END, 6) AS ram_used_gb
+       round(CASE WHEN isnan(lb.ram_used_gb) THEN NULL ELSE lb.ram_used_gb END, 6) AS ram_used_gb,
+       round(CASE WHEN isnan(lb.load_avg_1m) THEN NULL ELSE lb.load_avg_1m END, 6) AS load_avg_1m
 FROM st s LEFT JOIN lb USING (user_id)""")
 def q_heartbeats(spark, root):
     t = Tables(spark, root)
     state = _latest_before(t).withColumnRenamed("ts", "last_seen")
     beats = t.events.filter(F.col("ts") >= F.lit(CUTOFF).cast("timestamp_ntz")).select(
         "user_id", "ts", *[F.expr(v).alias(k) for k, v in BEAT_EXPR.items()])
-    out = O.apply_heartbeats(state, beats, "user_id", "ts", ["cpu_pct", "ram_used_gb"])
+    out = O.apply_heartbeats(state, beats, "user_id", "ts", ["cpu_pct", "ram_used_gb", "load_avg_1m"])
     return out.select("user_id", "status", "last_seen", F.round("cpu_pct", 6).alias("cpu_pct"),
-                      F.round("ram_used_gb", 6).alias("ram_used_gb"))
+                      F.round("ram_used_gb", 6).alias("ram_used_gb"),
+                      F.round("load_avg_1m", 6).alias("load_avg_1m"))
 
 
 # ------------------------------------------------------------------ op 7
