@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules as rules
+from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
 from quarry.llm.decontamination import decontaminate
 from quarry.sources.tables import read_table
 
@@ -24,6 +25,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form; tested against the tokenizers library."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = public_vocabulary()
+    coded = bpe_decode(bpe_encode(docs, vocab, keep_text=False), vocab)
+    return coded.select(
+        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
