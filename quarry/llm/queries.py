@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import quality_rules as rules
 from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
 from quarry.llm.decontamination import decontaminate
+from quarry.llm.line_dedup import dedup_lines
 from quarry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP4_SQL = """
+WITH line AS (SELECT doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+              FROM (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i
+                    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+common AS (SELECT k, max(doc_id) AS last FROM line WHERE length(k) >= 20
+           GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT line.*, last IS NOT NULL AND doc_id <> last AS gone FROM line LEFT JOIN common USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
