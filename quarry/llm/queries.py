@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import quality_rules as rules
 from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
 from quarry.llm.decontamination import decontaminate
+from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.line_dedup import dedup_lines
 from quarry.sources.tables import read_table
 
@@ -96,3 +97,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form that is no all-pairs join; tested against brute force."""
+    return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
