@@ -12,6 +12,8 @@ from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.line_dedup import dedup_lines
+from quarry.llm.sharding import assign_shards
+from quarry.llm.url_filter import UNWANTED_HOSTS, filter_urls, host_rule
 from quarry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +105,42 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL form that is no all-pairs join; tested against brute force."""
     return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The host rules of the query, in front of the method's own patterns.
+HOST_RULES = [host_rule("allow", "org", "/"), host_rule("block", "example.org", "/es/"),
+              host_rule("block", "example.org", "/en/1"), host_rule("allow", "com", "/fr/"),
+              host_rule("block", "com", "/de/")]
+
+_UNWANTED = "|".join(r.name for r in UNWANTED_HOSTS)
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules(rule_host, rule_path, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+SELECT page_id, host, path,
+       (SELECT max_by(rule_host || rule_path, length(rule_host || rule_path)) FROM rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
+       coalesce((SELECT max_by(action, length(rule_host || rule_path)) FROM rules
+                 WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+                CASE WHEN regexp_matches(host, '(^|[.-])({_UNWANTED})($|[.-])') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, HOST_RULES + UNWANTED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DuckDB has no CRC-32; tested against brute force."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    return assign_shards(docs, "doc_id", [1.0] * 8, [1.0] * 9, ["text_crc32", "size"]).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
