@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.textscan import (NOT_SPACE, Texts, field, map_slices, mix, ngrams, row_of, text_slices)
+from quarry.llm.vectors import sum_vectors
 from quarry.operators.clustering import connected_components
 from quarry.session import cut_lineage
 
@@ -128,32 +129,16 @@ def crowded_groups(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Which of the ``2**CROWD_BITS`` hash groups hold many more shingle
     occurrences than a random group would: the counts of all documents, each
     task's table summed by slices of the group number."""
-    part = 1 << (CROWD_BITS - 6)
-    schema = T.StructType([field("part", T.IntegerType()), field("counts", T.BinaryType())])
+    size = 1 << CROWD_BITS
 
-    def run(batches):
-        total = np.zeros(1 << CROWD_BITS, dtype=np.int64)
+    def count(batches):
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for piece in text_slices(batch, text_col):
                 g = Shingles(piece.column(text_col)).plain()
-                total += np.bincount((g >> np.uint64(63 - CROWD_BITS)).astype(np.int64), minlength=len(total))
-        rows = [total[i:i + part].tobytes() for i in range(0, len(total), part)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())],
-                                         names=["part", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, dtype=np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
-                                              pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-                                             names=["part", "counts"])
-    tables = docs.select(text_col).mapInArrow(run, schema).repartition(64, "part").mapInArrow(add, schema)
-    total = np.zeros(1 << CROWD_BITS, dtype=np.int64)
-    for r in tables.collect():           # 64 rows of 32 KB, whatever the input
-        total[r["part"] * part:(r["part"] + 1) * part] += np.frombuffer(r["counts"], dtype=np.int64)
+                total += np.bincount((g >> np.uint64(63 - CROWD_BITS)).astype(np.int64), minlength=size)
+        return total
+    total = sum_vectors(docs.select(text_col), count, size, np.int64)
     mean = total.mean()
     return total > mean + 6 * np.sqrt(mean) + 64
 

@@ -12,6 +12,7 @@ from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.line_dedup import dedup_lines
+from quarry.llm.lm_score import public_pieces, score_documents
 from quarry.llm.sharding import assign_shards
 from quarry.llm.url_filter import UNWANTED_HOSTS, filter_urls, host_rule
 from quarry.sources.tables import read_table
@@ -144,3 +145,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     return assign_shards(docs, "doc_id", [1.0] * 8, [1.0] * 9, ["text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def remainder(id_col: str, n: int):
+    """crc32 of the id as text (null: empty), modulo n."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+@query("op10_lm_score")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DuckDB has no CRC-32; tested against brute force."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, remainder("doc_id", 10) != 0, public_pieces())
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
