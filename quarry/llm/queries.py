@@ -11,8 +11,10 @@ from quarry.llm import quality_rules as rules
 from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.jaccard_join import jaccard_components
+from quarry.llm.language_id import fit_dictionaries, identify_language
 from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.lm_score import public_pieces, score_documents
+from quarry.llm.quality_classifier import classify_quality, fit_classifier
 from quarry.llm.sharding import assign_shards
 from quarry.llm.url_filter import UNWANTED_HOSTS, filter_urls, host_rule
 from quarry.sources.tables import read_table
@@ -159,3 +161,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_documents(docs, remainder("doc_id", 10) != 0, public_pieces())
     return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
                          "train_tokens", "base_score", "score")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form; tested by held-out accuracy."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_classifier(docs, read_table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    held = docs.withColumn("held_out", remainder("doc_id", 3) == 1)
+    return classify_quality(held, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form; tested by held-out accuracy."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = fit_dictionaries(docs, remainder("doc_id", 3) != 1)
+    held = docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "text")
+    return identify_language(held, learned).select("doc_id", "held_out", "lang_pred", "score", "rejected")
