@@ -5,13 +5,22 @@ documents that the stage before it kept and the folder of the input tables;
 its result is written as Parquet and read again as the next one's documents.
 All stages but the last return the columns of ``documents``; ``n_chars``
 follows the text where a stage changes it.
+
+Edge cases are those of the operators: a null or empty text fails the quality
+rules; of rows that share an id one stays, rows with a null id all stay in the
+join's stage; extra columns are left out; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules as rules
+from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
+from quarry.llm.decontamination import decontaminate
+from quarry.llm.jaccard_join import jaccard_components
+from quarry.llm.line_dedup import dedup_lines
 from quarry.schemas import TABLES
 from quarry.session import ensure_checkpoint_dir
 from quarry.sources.ops import scratch_path
@@ -28,8 +37,52 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .filter("kept").select(*COLUMNS))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: repeated lines go; documents of which nothing is left go."""
+    ensure_checkpoint_dir(spark)
+    cut = dedup_lines(docs.select(*COLUMNS)).filter("n_dropped < n_lines")
+    return (cut.withColumn("text", F.col("kept"))
+            .withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the document with the smallest id of each group stays."""
+    ensure_checkpoint_dir(spark)
+    docs = docs.select(*COLUMNS)
+    stay = (jaccard_components(docs.select("doc_id", "text"))
+            .filter("doc_id = component_id").select("doc_id").distinct())
+    # of rows that share an id the least one stays
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    kept = (docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+            .select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest]))
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: contaminated documents go."""
+    ensure_checkpoint_dir(spark)
+    return (decontaminate(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+            .filter("n_hit = 0").select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encoding: token ids of every document, with digests of the ids and
+    of the decoded text."""
+    ensure_checkpoint_dir(spark)
+    vocab = public_vocabulary()
+    coded = bpe_decode(bpe_encode(docs.select(*COLUMNS), vocab, keep_text=False), vocab)
+    return coded.select(
+        "doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.col("token_ids"), F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", benchmark),
+    ("bpe", tokens),
 ]
 
 #: No SQL form: trees fitted to labels decide the first stage.
