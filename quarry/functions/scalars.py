@@ -272,7 +272,7 @@ def var_refs(text) -> Column:
 
 def bib_key(doi, arxiv, title) -> Column:
     """Op 33: DOI, else arXiv id, else md5 of the normalized title."""
-    norm_title = F.regexp_replace(F.lower(_c(title)), r"[^a-z0-9]", "")
+    norm_title = F.regexp_replace(F.lower(_c(title)), r"[^\p{L}\p{N}]", "")
     d = F.lower(F.trim(_c(doi)))
     a = F.lower(F.trim(_c(arxiv)))
     return F.coalesce(

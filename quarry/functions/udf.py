@@ -186,16 +186,14 @@ def centroid_agg(vec: str, dims: int) -> Column:
     return F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dims)])
 
 
-def ema_agg(pos: str, value: str, n: int = 1000) -> Column:
+def ema_agg(pos: str, value: str, total: str, n: int = 1000) -> Column:
     """Op 129: the EMA (alpha = 2/(n+1)) at the last position of a group as an
     aggregate expression over ``(pos, value)``, ``pos`` being the 1-based
-    position in the group's order: e = q^N (x_1 q^-1 + sum_{j>=2} a x_j q^-j)
-    with N = max(pos).  Algebraic (a sum and a max), so partial per task.
-    The weights q^-j stay finite for positions up to ~700/-ln(1-a) (about
-    350k rows at n = 1000); for longer groups use ``windows.ema``, which
-    rebases the exponent per block."""
+    position in the group's order and ``total`` the group's last position
+    (a first aggregate, joined back): e = x_1 q^(N-1) + sum_{j>=2} a x_j
+    q^(N-j).  A plain sum, so partial per task; no weight exceeds 1, so groups
+    of any length work (weights of far rows fade to 0, as in the recursion)."""
     a = 2.0 / (n + 1)
     lq = math.log(1.0 - a)
     p, x = F.col(pos), F.col(value)
-    term = F.when(p == 1, x).otherwise(F.lit(a) * x) * F.exp(-lq * p)
-    return F.exp(lq * F.max(p)) * F.sum(term)
+    return F.sum(F.when(p == 1, x).otherwise(F.lit(a) * x) * F.exp(lq * (F.col(total) - p)))

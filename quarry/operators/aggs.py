@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
 from quarry.functions import scalars as S
 
 
@@ -80,7 +81,9 @@ def risk_level(facts: DataFrame) -> DataFrame:
     CRITICAL security failed; HIGH critical files with failures, or
     complexity 4 with failures; MEDIUM complexity 3 or several failures;
     LOW when at least 2/3 of the checks pass; else MEDIUM.  A production
-    change without a test change blocks auto-merge."""
+    change without a test change blocks auto-merge; so does the policy of the
+    risk class: CRITICAL and HIGH never, MEDIUM only when all checks pass, LOW
+    when at least 2/3 do."""
     fails = F.col("n_fail") > 0
     r = (F.when(F.col("security_failed"), F.lit("CRITICAL"))
          .when((F.col("critical_files") & fails) | ((F.col("complexity") == 4) & fails), F.lit("HIGH"))
@@ -88,7 +91,10 @@ def risk_level(facts: DataFrame) -> DataFrame:
          .when(F.col("pass_share") >= 2.0 / 3.0, F.lit("LOW"))
          .otherwise(F.lit("MEDIUM")))
     return (facts.withColumn("risk", r)
-            .withColumn("auto_merge_blocked", F.col("prod_change") & ~F.col("test_change")))
+            .withColumn("auto_merge_blocked", F.col("prod_change") & ~F.col("test_change"))
+            .withColumn("auto_merge_allowed", ~F.col("auto_merge_blocked") & (
+                F.when(F.col("risk") == "LOW", F.col("pass_share") >= 2.0 / 3.0)
+                .when(F.col("risk") == "MEDIUM", F.col("pass_share") >= 1.0).otherwise(F.lit(False)))))
 
 
 def review_metrics(checks: DataFrame, dims: Sequence[str], verdict: str = "verdict",
@@ -132,18 +138,40 @@ def review_rollup(changes: DataFrame, dims: Sequence[str], decision: str = "deci
 
 # ---------------------------------------------------------------- op 49
 def latency_percentiles(df: DataFrame, by: str | Sequence[str], value: str,
-                        ps: Sequence[float] = (0.5, 0.95, 0.99),
-                        accuracy: int = 1_000_000) -> DataFrame:
-    """Op 49: p50/p95/p99 per group with a mergeable quantile sketch.
-
-    ``percentile_approx`` keeps a bounded summary per group and task (no
-    group is ever collected), and returns an input value: the smallest
-    value whose rank reaches p*n.  It is exact while a group has fewer
-    values than ``accuracy``.
+                        ps: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Op 49: exact p50/p95/p99 per group: the smallest value whose rank
+    reaches p*n.
+
+    Distinct values are counted per group and range-partitioned on (group,
+    value); a value's rank is the count of its group in the ranges before
+    plus the running count inside its range, so a hot group is spread over
+    many tasks.  The counts are written once, so ranges and ranks agree.
     """
     keys = [by] if isinstance(by, str) else list(by)
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = cut_lineage(hist.repartitionByRange(n_ranges, *keys, value)
+                       .withColumn("_r", F.spark_partition_id()))
+    part = hist.groupBy(*keys, "_r").agg(F.sum("_c").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_r")       # one row per range of a group
+    part = part.select(*keys, "_r", F.sum("_n").over(Window.partitionBy(*keys)).alias("n"),
+                       (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    running = F.sum("_c").over(Window.partitionBy(*keys, "_r").orderBy(value))
+    ranked = (hist.withColumn("_run", running).join(part, [*keys, "_r"])
+              .withColumn("_rank", F.col("_run") + F.col("_before")))
+    cols = [F.min(F.when(F.col("_rank") >= F.ceil(F.lit(p) * F.col("n")), F.col(value)))
+            .alias(f"p{int(round(p * 100))}") for p in ps]
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *cols)
+
+
+def latency_percentiles_approx(df: DataFrame, by: str | Sequence[str], value: str,
+                               ps: Sequence[float] = (0.5, 0.95, 0.99),
+                               accuracy: int = 10_000) -> DataFrame:
+    """Op 49 with a mergeable quantile sketch: one shuffle of bounded
+    summaries; ranks are off by at most n/accuracy."""
+    keys = [by] if isinstance(by, str) else list(by)
     q = F.percentile_approx(value, list(ps), accuracy)
-    out = df.groupBy(*keys).agg(q.alias("_q"), F.count(F.lit(1)).alias("n"))
+    out = df.groupBy(*keys).agg(q.alias("_q"), F.count(value).alias("n"))
     cols = [F.col("_q")[i].alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)]
     return out.select(*keys, "n", *cols)
 
@@ -292,20 +320,25 @@ def route_provider(tasks: DataFrame, usage: DataFrame, providers: Sequence[tuple
 
 # ---------------------------------------------------------------- op 57
 def gpu_inventory(rows: DataFrame, host: str, line: str, order: str) -> DataFrame:
-    """Op 57: parse ``model, driver, vram_mb`` lines per host: first card's
-    model and driver (by ``order``), card count, minimum positive VRAM in GB
-    (MB/1024 rounded); lines with fewer than 3 fields are skipped; a bad
-    number is counted but ignored for the minimum."""
-    parts = F.split(F.col(line), ",")
-    r = rows.select(host, order, parts.alias("_p")).filter(F.size("_p") >= 3)
-    r = r.select(host, order, F.trim(F.col("_p")[0]).alias("model"),
-                 F.trim(F.col("_p")[1]).alias("driver"),
-                 F.trim(F.col("_p")[2]).try_cast("double").alias("_mb"))
-    return r.groupBy(host).agg(
-        F.min_by("model", order).alias("model"), F.min_by("driver", order).alias("driver"),
-        F.count(F.lit(1)).alias("n_cards"),
-        F.round(F.min(F.when(F.col("_mb") > 0, F.col("_mb"))) / 1024.0).cast("long").alias("vram_gb"),
-        F.count_if(F.col("_mb").isNull()).alias("n_bad"))
+    """Op 57: parse ``model, driver, vram_mb`` lines per host.  Model and
+    driver come from the first line (by ``order``; empty when it has fewer
+    than 3 fields), lines with at least 3 fields count as cards, and VRAM is
+    the least positive whole number of MB in GB, rounded half to even (0
+    without one); ``n_bad`` counts cards whose VRAM is no whole number."""
+    parts = F.transform(F.split(F.trim(line), ","), lambda x: F.trim(x))
+    r = rows.filter(F.trim(line) != "").select(host, order, parts.alias("_p"))
+    r = r.withColumn("_ok", F.size("_p") >= 3)
+    mb = F.when(F.col("_ok") & F.get("_p", F.lit(2)).rlike(r"^[+-]?[0-9]+$"),
+                F.get("_p", F.lit(2)).try_cast("long"))
+    first = F.min_by(F.struct("_ok", F.get("_p", F.lit(0)).alias("m"), F.get("_p", F.lit(1)).alias("d")), order)
+    r = r.withColumn("_mb", mb)
+    g = r.groupBy(host).agg(
+        first.alias("_f"), F.count_if("_ok").alias("n_cards"),
+        F.min(F.when(F.col("_mb") > 0, F.col("_mb"))).alias("_min"),
+        F.count_if(F.col("_ok") & F.col("_mb").isNull()).alias("n_bad"))
+    return g.select(host, F.when(F.col("_f._ok"), F.col("_f.m")).otherwise(F.lit("")).alias("model"),
+                    F.when(F.col("_f._ok"), F.col("_f.d")).otherwise(F.lit("")).alias("driver"), "n_cards",
+                    F.coalesce(F.bround(F.col("_min") / 1024.0).cast("long"), F.lit(0)).alias("vram_gb"), "n_bad")
 
 
 # ---------------------------------------------------------------- ledger (58-60)

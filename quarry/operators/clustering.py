@@ -22,6 +22,7 @@ smaller than ``min_size`` into noise.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -500,18 +501,21 @@ def linkage_stars(vectors: DataFrame, core: DataFrame, id_col: str, vec: str,
     return e.distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Component label (smallest member id) per node of an undirected edge
     table ``(u, v)``: large-star / small-star rounds until no edge changes.
 
     Each round's edge table is written to the shared checkpoint folder (a
     round references the previous table several times, so without the cut
     the plan would double every round) and compared with the previous one
-    in a single job."""
+    in a single job.  Rounds go on until nothing changes; a caller's own bound
+    ``max_rounds`` that is hit before is an error, never a wrong label."""
     e = edges.select("u", "v").filter(F.col("u") != F.col("v"))
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     e = cut_lineage(e)
-    for rnd in range(max_rounds):
+    for rnd in itertools.count(1):
+        if max_rounds is not None and rnd > max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
         # large star: link every larger neighbour to the smallest of N(u) and u
         mn = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         ls = (e.join(mn, "u").filter(F.col("v") > F.col("u"))

@@ -97,16 +97,19 @@ def audit_outcomes(receipts: DataFrame, reference: DataFrame, key: str, output:
                    category: str, precision: str) -> DataFrame:
     """Op 110: compare each output with the reference result: cosine for
     embeddings, Kendall tau of the two rankings for rerank jobs; threshold
-    by category and declared precision; pass and severity."""
+    by category and declared precision; pass and severity.  An output that
+    cannot be compared (missing, empty, of another length, zero norm) has a
+    NULL similarity, fails and has severity 1."""
     j = receipts.join(reference.select(key, ref), key)
     sim = F.when(F.col(category) == "rerank", S.kendall_tau(output, ref)).otherwise(
         S.cosine(output, ref))
     thr = S.audit_threshold(category, precision)
-    j = j.withColumn("similarity", sim).withColumn("threshold", thr)
-    ok = F.col("similarity") >= F.col("threshold")
-    return (j.withColumn("pass", F.coalesce(ok, F.lit(False)))
-            .withColumn("severity", F.when(F.col("pass"), F.lit(0.0)).otherwise(
-                F.coalesce(S.severity("similarity", "threshold"), F.lit(1.0)))))
+    j = j.withColumn("similarity", F.when(~F.isnan(sim), sim)).withColumn("threshold", thr)
+    ok = F.coalesce(F.col("similarity") >= F.col("threshold"), F.lit(False))
+    return (j.withColumn("pass", ok)
+            .withColumn("severity", F.when(F.col("pass"), F.lit(0.0))
+                        .when(F.col("similarity").isNull(), F.lit(1.0))
+                        .otherwise(S.severity("similarity", "threshold"))))
 
 
 # ---------------------------------------------------------------- op 111

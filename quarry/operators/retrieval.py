@@ -290,7 +290,7 @@ def trigram_join(names: DataFrame, id_col: str, text_col: str, threshold: float
     ranked = ex.join(freq, "t")
     w = Window.partitionBy("id").orderBy("f", "t")  # one set per window: bounded
     ranked = ranked.withColumn("r", F.row_number().over(w))
-    plen = F.col("n") - F.ceil(F.col("n") * threshold) + 1
+    plen = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     pref = ranked.filter(F.col("r") <= plen).select("id", "t")
     cand = (pref.alias("x").join(pref.alias("y"), "t")
             .filter(F.col("x.id") < F.col("y.id"))
@@ -463,19 +463,22 @@ def rollup_tree(chunks: DataFrame, doc: str, idx: str, tokens_col: str, fanout:
 
 
 def cooccurrence_edges(docs: DataFrame, id_col: str, text_col: str, window: int = 64,
-                       min_df: int = 2, max_df_share: float = 0.5) -> DataFrame:
+                       min_df: int = 2, max_df_share: float | None = None) -> DataFrame:
     """Op 104: entity-entity edges weighted by the number of chunks that hold
-    both.  An entity is a capitalized word whose document frequency lies in
-    [min_df, max_df_share * N]; a chunk is a window of ``window`` words.  A
+    both.  An entity is a capitalized word whose document frequency is at
+    least ``min_df`` (and at most ``max_df_share`` of the documents, where
+    given); a chunk is a window of ``window`` words.  A
     chunk holds at most ``window`` entities, so its pair list is bounded."""
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"(\p{L}+)"), 1)
     w = docs.select(F.col(id_col).alias("doc"), F.posexplode(words).alias("pos", "word"))
     ent = w.filter(F.col("word").rlike(r"^\p{Lu}\p{Ll}+$")).select(
         "doc", (F.col("pos") / window).cast("long").alias("chunk"), F.col("word").alias("e"))
     ent = ent.distinct()
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
     df_ = ent.groupBy("e").agg(F.count_distinct("doc").alias("_df"))
-    ok = df_.filter((F.col("_df") >= min_df) & (F.col("_df") <= n_docs * max_df_share)).select("e")
+    ok = df_.filter(F.col("_df") >= min_df)
+    if max_df_share is not None:
+        ok = ok.filter(F.col("_df") <= docs.select(F.count(F.lit(1))).scalar() * max_df_share)
+    ok = ok.select("e")
     ent = ent.join(ok, "e", "left_semi")
     pairs = (ent.alias("x").join(ent.alias("y"), ["doc", "chunk"])
              .filter(F.col("x.e") < F.col("y.e"))

@@ -248,22 +248,29 @@ RISK_FACTS_SQL = """facts AS (
   FROM checks c JOIN orders o ON o.o_orderkey = c.change_id GROUP BY c.change_id)"""
 
 
-@register("risk_level", B.with_sql(B.CHECKS_SQL, RISK_FACTS_SQL) + """
+RISK_CASE = """CASE WHEN security_failed THEN 'CRITICAL'
+            WHEN (critical_files AND n_fail > 0) OR (complexity = 4 AND n_fail > 0) THEN 'HIGH'
+            WHEN complexity = 3 OR n_fail > 1 THEN 'MEDIUM'
+            WHEN pass_share >= 2.0 / 3.0 THEN 'LOW' ELSE 'MEDIUM' END"""
+# may the policy of the risk class merge on its own?
+ALLOWED_CASE = f"""(CASE ({RISK_CASE}) WHEN 'LOW' THEN pass_share >= 2.0 / 3.0
+            WHEN 'MEDIUM' THEN pass_share >= 1 ELSE FALSE END)"""
+
+
+@register("risk_level", B.with_sql(B.CHECKS_SQL, RISK_FACTS_SQL) + f"""
 SELECT change_id,
        CASE WHEN security_failed THEN 'CRITICAL'
             WHEN (critical_files AND n_fail > 0) OR (complexity = 4 AND n_fail > 0) THEN 'HIGH'
             WHEN complexity = 3 OR n_fail > 1 THEN 'MEDIUM'
             WHEN pass_share >= 2.0 / 3.0 THEN 'LOW' ELSE 'MEDIUM' END AS risk,
-       prod_change AND NOT test_change AS auto_merge_blocked
+       prod_change AND NOT test_change AS auto_merge_blocked,
+       NOT (prod_change AND NOT test_change) AND {ALLOWED_CASE} AS auto_merge_allowed
 FROM facts""")
 def q_risk(spark, root):
-    return _risk_table(spark, root).select("change_id", "risk", "auto_merge_blocked")
+    return _risk_table(spark, root).select("change_id", "risk", "auto_merge_blocked",
+                                           "auto_merge_allowed")
 
 
-RISK_CASE = """CASE WHEN security_failed THEN 'CRITICAL'
-            WHEN (critical_files AND n_fail > 0) OR (complexity = 4 AND n_fail > 0) THEN 'HIGH'
-            WHEN complexity = 3 OR n_fail > 1 THEN 'MEDIUM'
-            WHEN pass_share >= 2.0 / 3.0 THEN 'LOW' ELSE 'MEDIUM' END"""
 DECISION_CASE = """CASE WHEN score < 0.5 OR max_severity >= 4 OR NOT required_pass THEN 'BLOCK'
             WHEN score >= 0.75 AND max_severity < 3 AND required_pass THEN 'MERGE'
             ELSE 'REVIEW' END"""
@@ -271,7 +278,8 @@ DECISION_CASE = """CASE WHEN score < 0.5 OR max_severity >= 4 OR NOT required_pa
 
 @register("review_rollup", B.with_sql(B.CHECKS_SQL, B.AGENTS_SQL, SCORES_SQL, RISK_FACTS_SQL) + f""",
 ch AS (SELECT f.change_id, f.complexity, {RISK_CASE} AS risk,
-              CASE WHEN f.prod_change AND NOT f.test_change AND {DECISION_CASE} = 'MERGE' THEN 'REVIEW'
+              CASE WHEN NOT (NOT (f.prod_change AND NOT f.test_change) AND {ALLOWED_CASE})
+                        AND {DECISION_CASE} = 'MERGE' THEN 'REVIEW'
                    ELSE {DECISION_CASE} END AS decision
        FROM facts f JOIN scores s USING (change_id))
 SELECT CASE WHEN grouping(complexity) = 0 THEN 'complexity' WHEN grouping(risk) = 0 THEN 'risk'
@@ -283,12 +291,12 @@ SELECT CASE WHEN grouping(complexity) = 0 THEN 'complexity' WHEN grouping(risk)
 FROM ch GROUP BY GROUPING SETS ((complexity), (risk), ())""")
 def q_review_rollup(spark, root):
     """Op 48, change level: complexity-level counts, risk distribution and
-    auto-merge rate (a MERGE decision is held back when a production change
-    comes without a test change)."""
+    auto-merge rate (a MERGE decision is held back when the policy of the
+    risk class or a production change without a test change forbids it)."""
     r = _risk_table(spark, root)
     d = A.review_decision(_scores(spark, root)).select("change_id", "decision")
     ch = r.join(d, "change_id").withColumn(
-        "decision", F.when(F.col("auto_merge_blocked") & (F.col("decision") == "MERGE"),
+        "decision", F.when(~F.col("auto_merge_allowed") & (F.col("decision") == "MERGE"),
                            F.lit("REVIEW")).otherwise(F.col("decision")))
     out = A.review_rollup(ch, ["complexity", "risk"])
     return out.select("dimension", "key", "n_changes", "n_merge",
@@ -530,18 +538,24 @@ def q_route(spark, root):
     return A.route_provider(tasks, _usage(spark, root), cfg).select("call_id", "provider", "model")
 
 
-GPU_LINE = ("p_name || ', ' || p_type || CASE WHEN p_size % 11 = 0 THEN '' ELSE ', ' || "
-            "CASE WHEN p_size % 7 = 0 THEN 'n/a' ELSE CAST(p_size * 512 AS STRING) END END")
+GPU_LINE = ("CASE WHEN p_size % 13 = 0 THEN p_name ELSE p_name || ', ' || p_type || "
+            "CASE WHEN p_size % 11 = 0 THEN '' ELSE ', ' || "
+            "CASE WHEN p_size % 7 = 0 THEN 'n/a' WHEN p_size % 5 = 0 THEN CAST(p_size AS STRING) || '.5' "
+            "ELSE CAST(p_size * 512 AS STRING) END END END")
 
 
 @register("gpu_inventory", f"""
-WITH r AS (SELECT p_brand AS host, p_partkey, string_split({GPU_LINE}, ',') AS p FROM part),
-c AS (SELECT host, p_partkey, trim(p[1]) AS model, trim(p[2]) AS driver,
-             TRY_CAST(trim(p[3]) AS DOUBLE) AS mb FROM r WHERE len(p) >= 3)
-SELECT host, arg_min(model, p_partkey) AS model, arg_min(driver, p_partkey) AS driver,
-       count(*) AS n_cards, CAST(round(min(mb) FILTER (WHERE mb > 0) / 1024.0) AS BIGINT) AS vram_gb,
-       CAST(count_if(mb IS NULL) AS BIGINT) AS n_bad
-FROM c GROUP BY host""")
+WITH r AS (SELECT p_brand AS host, p_partkey,
+                  list_transform(string_split(trim({GPU_LINE}), ','), lambda x: trim(x)) AS p FROM part),
+c AS (SELECT *, CASE WHEN len(p) >= 3 AND regexp_full_match(p[3], '[+-]?[0-9]+')
+                     THEN TRY_CAST(p[3] AS BIGINT) END AS mb FROM r),
+f AS (SELECT host, arg_min(p, p_partkey) AS p1 FROM c GROUP BY host)
+SELECT c.host, any_value(CASE WHEN len(p1) >= 3 THEN p1[1] ELSE '' END) AS model,
+       any_value(CASE WHEN len(p1) >= 3 THEN p1[2] ELSE '' END) AS driver,
+       CAST(count_if(len(p) >= 3) AS BIGINT) AS n_cards,
+       coalesce(CAST(round_even(min(mb) FILTER (WHERE mb > 0) / 1024.0, 0) AS BIGINT), 0) AS vram_gb,
+       CAST(count_if(len(p) >= 3 AND mb IS NULL) AS BIGINT) AS n_bad
+FROM c JOIN f USING (host) GROUP BY c.host""")
 def q_gpu(spark, root):
     p = Tables(spark, root).part.select(F.col("p_brand").alias("host"), "p_partkey",
                                         F.expr(GPU_LINE.replace("||", "||")).alias("line"))

@@ -369,7 +369,7 @@ WITH w AS (SELECT doc_id AS doc, unnest(words) AS word, unnest(range(0, len(word
 ent AS (SELECT DISTINCT doc, pos // 64 AS chunk, word AS e FROM w
         WHERE regexp_full_match(word, '\p{Lu}\p{Ll}+')),
 dfr AS (SELECT e, count(DISTINCT doc) AS df FROM ent GROUP BY e),
-ok AS (SELECT e FROM dfr WHERE df >= 2 AND df <= (SELECT count(*) FROM documents) * 0.5),
+ok AS (SELECT e FROM dfr WHERE df >= 2),
 ent2 AS (SELECT * FROM ent WHERE e IN (SELECT e FROM ok))
 SELECT x.e AS a, y.e AS b, count(*) AS weight
 FROM ent2 x JOIN ent2 y ON x.doc = y.doc AND x.chunk = y.chunk AND x.e < y.e GROUP BY ALL""")

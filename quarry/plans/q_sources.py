@@ -82,7 +82,8 @@ def q_blobs(spark, root):
 CUTOFF = dt.datetime(2024, 1, 15)
 STATUS_EXPR = ("CASE event_type WHEN 'error' THEN 'banned' WHEN 'signup' THEN 'maintenance' "
                "WHEN 'click' THEN 'draining' ELSE 'online' END")
-HOST_EXPR = "CASE WHEN value < 5 THEN '  ' ELSE 'host' || CAST(user_id % 17 AS STRING) END"
+HOST_EXPR = ("CASE WHEN value < 20 THEN '' WHEN value < 30 THEN '  ' "
+             "ELSE 'host' || CAST(user_id % 17 AS STRING) END")
 
 
 def _worker_rows(t):
@@ -104,21 +105,19 @@ up AS (SELECT user_id, max(ts) AS ts, arg_max(status, ts) AS status, arg_max(hos
 
 
 @register("upsert_latest", "WITH " + UPSERT_SQL + """
-SELECT user_id,
-       CASE WHEN trim(st2) = '' THEN NULL ELSE st2 END AS status,
-       CASE WHEN trim(h2) = '' THEN NULL ELSE h2 END AS hostname, ts
+SELECT user_id, st2 AS status, h2 AS hostname, ts
 FROM (SELECT coalesce(s.user_id, u.user_id) AS user_id,
              CASE WHEN s.status IN ('draining', 'maintenance', 'banned') THEN s.status
                   WHEN u.ts IS NOT NULL THEN u.status ELSE s.status END AS st2,
-             CASE WHEN u.ts IS NOT NULL THEN u.hostname ELSE s.hostname END AS h2,
+             CASE WHEN u.ts IS NOT NULL THEN nullif(u.hostname, '') ELSE s.hostname END AS h2,
              CASE WHEN u.ts IS NOT NULL THEN u.ts ELSE s.ts END AS ts
       FROM st s FULL OUTER JOIN up u ON s.user_id = u.user_id)""")
 def q_upsert(spark, root):
     t = Tables(spark, root)
     state = _latest_before(t)
     upd = _worker_rows(t).filter(F.col("ts") >= F.lit(CUTOFF).cast("timestamp_ntz"))
-    return O.upsert_latest(state, upd, "user_id", "ts", ["status", "hostname"]).select(
-        "user_id", "status", "hostname", "ts")
+    return O.upsert_latest(state, upd, "user_id", "ts", ["status", "hostname"],
+                           blank_null=["hostname"]).select("user_id", "status", "hostname", "ts")
 
 
 BEAT_EXPR = {"kind": "CASE WHEN event_type = 'error' THEN 'offline' ELSE 'beat' END",
@@ -131,10 +130,12 @@ BEAT_EXPR = {"kind": "CASE WHEN event_type = 'error' THEN 'offline' ELSE 'beat'
 beats AS (SELECT user_id, ts, {BEAT_EXPR['kind']} AS kind, {BEAT_EXPR['cpu_pct']} AS cpu_pct,
                  {BEAT_EXPR['ram_used_gb']} AS ram_used_gb, {BEAT_EXPR['load_avg_1m']} AS load_avg_1m
           FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
-lb AS (SELECT user_id, max(ts) AS ts, arg_max(kind, ts) AS kind, arg_max(cpu_pct, ts) AS cpu_pct,
-              arg_max(ram_used_gb, ts) AS ram_used_gb, arg_max(load_avg_1m, ts) AS load_avg_1m
+lb AS (SELECT user_id, max(ts) AS ts, bool_or(kind = 'offline') AS off,
+              arg_max(cpu_pct, ts) FILTER (WHERE kind = 'beat') AS cpu_pct,
+              arg_max(ram_used_gb, ts) FILTER (WHERE kind = 'beat') AS ram_used_gb,
+              arg_max(load_avg_1m, ts) FILTER (WHERE kind = 'beat') AS load_avg_1m
        FROM beats GROUP BY 1)
-SELECT s.user_id, CASE WHEN lb.kind = 'offline' THEN 'offline' ELSE s.status END AS status,
+SELECT s.user_id, CASE WHEN lb.off THEN 'offline' ELSE s.status END AS status,
        coalesce(lb.ts, s.ts) AS last_seen,
        round(CASE WHEN isnan(lb.cpu_pct) THEN NULL ELSE lb.cpu_pct END, 6) AS cpu_pct,
        round(CASE WHEN isnan(lb.ram_used_gb) THEN NULL ELSE lb.ram_used_gb END, 6) AS ram_used_gb,
@@ -153,16 +154,16 @@ def q_heartbeats(spark, root):
 
 # ------------------------------------------------------------------ op 7
 IMPORT_SQL = """t AS (SELECT o_orderkey, 'target' AS src, o_totalprice FROM orders
-      WHERE o_orderdate < TIMESTAMP '1995-01-01'),
+      WHERE o_orderdate < TIMESTAMP '1997-01-01'),
 i AS (SELECT o_orderkey, 'incoming' AS src, o_totalprice + 1 AS o_totalprice FROM orders
-      WHERE o_orderdate >= TIMESTAMP '1994-07-01')"""
+      WHERE o_orderdate >= TIMESTAMP '1996-01-01')"""
 
 
 def _import_sides(t):
     o = t.orders
-    tgt = o.filter(F.col("o_orderdate") < F.lit(dt.datetime(1995, 1, 1)).cast("timestamp_ntz")).select(
+    tgt = o.filter(F.col("o_orderdate") < F.lit(dt.datetime(1997, 1, 1)).cast("timestamp_ntz")).select(
         "o_orderkey", F.lit("target").alias("src"), "o_totalprice")
-    inc = o.filter(F.col("o_orderdate") >= F.lit(dt.datetime(1994, 7, 1)).cast("timestamp_ntz")).select(
+    inc = o.filter(F.col("o_orderdate") >= F.lit(dt.datetime(1996, 1, 1)).cast("timestamp_ntz")).select(
         "o_orderkey", F.lit("incoming").alias("src"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
     return tgt, inc
 

@@ -109,6 +109,7 @@ def q_ema_udaf(spark, root):
     a = B.audits(t).join(B.jobs(t).select("job_id", "category"), "job_id")
     a = a.withColumn("x", F.when(F.col("pass"), 0.0).otherwise(1.0))
     idx = seq_index(a, "category", EMA_ORDER, month_segment("audit_ts"), "pos")
-    g = idx.groupBy("category").agg(U.ema_agg("pos", "x", 1000).alias("ema"))
+    last = idx.groupBy("category").agg(F.max("pos").alias("last"))
+    g = idx.join(last, "category").groupBy("category").agg(U.ema_agg("pos", "x", "last", 1000).alias("ema"))
     return g.select("category", F.round("ema", 6).alias("ema"))
 

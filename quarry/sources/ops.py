@@ -78,19 +78,18 @@ def read_blobs(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 STICKY_STATUS = ("draining", "maintenance", "banned")
 
 
-def blank_null(c: str) -> Column:
-    return F.when(F.trim(F.col(c)) == "", F.lit(None)).otherwise(F.col(c))
-
-
 def upsert_latest(state: DataFrame, updates: DataFrame, key: str, ts: str,
                   cols: Sequence[str], status: str = "status",
-                  sticky: Sequence[str] = STICKY_STATUS) -> DataFrame:
+                  sticky: Sequence[str] = STICKY_STATUS, blank_null: Sequence[str] = ()) -> DataFrame:
     """Op 5: ``INSERT ... ON CONFLICT DO UPDATE``: the latest update per key
-    wins, except that a current status in ``sticky`` is kept; blank strings
-    become NULL.  Latest-per-key is a partial ``max_by`` aggregate."""
+    wins, except that a current status in ``sticky`` is kept; in the columns
+    ``blank_null`` an update's empty string is stored as NULL.  Latest-per-key
+    is a partial ``max_by`` aggregate."""
     last = updates.groupBy(key).agg(
         F.max_by(F.struct(ts, *cols), F.struct(ts, *cols)).alias("_u")).select(
         key, *[F.col(f"_u.{c}").alias(f"_n_{c}") for c in [ts, *cols]])
+    for c in blank_null:
+        last = last.withColumn(f"_n_{c}", F.nullif(f"_n_{c}", F.lit("")))
     cur = state.select(key, *[F.col(c).alias(f"_c_{c}") for c in [ts, *cols]])
     j = cur.join(last, key, "full")
     out = [key]
@@ -100,30 +99,29 @@ def upsert_latest(state: DataFrame, updates: DataFrame, key: str, ts: str,
         if c == status:
             v = F.when(F.col(f"_c_{c}").isin(*sticky), F.col(f"_c_{c}")).otherwise(v)
         out.append(v.alias(c))
-    res = j.select(*out)
-    for c in cols:
-        if dict(res.dtypes)[c] == "string":
-            res = res.withColumn(c, blank_null(c))
-    return res
+    return j.select(*out)
 
 
 def apply_heartbeats(state: DataFrame, beats: DataFrame, key: str, ts: str,
                      metrics: Sequence[str], kind: str = "kind") -> DataFrame:
-    """Op 6: the latest heartbeat of each known key sets ``last_seen`` and
-    the measurements (NaN -> NULL); a beat of kind ``offline`` marks the
-    key offline.  Unknown keys are ignored (left join from the state)."""
-    last = beats.groupBy(key).agg(F.max_by(F.struct(ts, kind, *metrics), ts).alias("_b"))
-    j = state.join(last, key, "left")
-    out = j
-    for m in metrics:
-        v = F.col(f"_b.{m}")
-        out = out.withColumn(m, F.when(F.col("_b").isNull(), F.col(m) if m in state.columns
-                                       else F.lit(None).cast("double"))
+    """Op 6: the latest beat of each known key sets the measurements (NaN ->
+    NULL) and never the status; an event of kind ``offline`` sets the status
+    and leaves the measurements; either moves ``last_seen``.  Beats at one
+    instant are ordered by their measurements.  Unknown keys are ignored."""
+    off = F.col(kind) == "offline"
+    m = F.struct(*metrics)
+    last = beats.groupBy(key).agg(
+        F.max(ts).alias("_seen"), F.bool_or(off).alias("_off"),
+        F.max_by(m, F.when(~off, F.struct(ts, *metrics))).alias("_b"))
+    out = state.join(last, key, "left")
+    for c in metrics:
+        v = F.col(f"_b.{c}")
+        kept = F.col(c) if c in state.columns else F.lit(None).cast("double")
+        out = out.withColumn(c, F.when(F.col("_b").isNull(), kept)
                              .otherwise(F.when(F.isnan(v), F.lit(None)).otherwise(v)))
-    out = out.withColumn("last_seen", F.coalesce(F.col(f"_b.{ts}"), F.col("last_seen")))
-    out = out.withColumn("status", F.when(F.col(f"_b.{kind}") == "offline", F.lit("offline"))
-                         .otherwise(F.col("status")))
-    return out.drop("_b")
+    out = out.withColumn("last_seen", F.coalesce("_seen", "last_seen"))
+    out = out.withColumn("status", F.when(F.col("_off"), F.lit("offline")).otherwise(F.col("status")))
+    return out.drop("_b", "_seen", "_off")
 
 
 # ---------------------------------------------------------------- op 7
