@@ -222,9 +222,8 @@ def capability_rollup(role_status: DataFrame, capabilities: DataFrame) -> DataFr
     return worst.select("capability", status.alias("status"))
 
 
-def fleet_verdict(services: DataFrame, expected: DataFrame, host: str = "host",
-                  service: str = "service") -> DataFrame:
-    """Op 52: per service ok / warn / FAIL / cold, per host red when any FAIL.
+def service_verdicts(services: DataFrame, expected: DataFrame, service: str = "service") -> DataFrame:
+    """Op 52, service rows: every service with its ``mark`` ok / warn / FAIL / cold.
 
     Running: healthy or no health -> ok, starting -> warn, else FAIL.  Not
     running: FAIL when the topology expects the service, else cold.  Warn
@@ -238,13 +237,17 @@ def fleet_verdict(services: DataFrame, expected: DataFrame, host: str = "host",
             .when(running, F.lit("FAIL"))
             .when(F.coalesce(F.col("_exp"), F.lit(False)), F.lit("FAIL"))
             .otherwise(F.lit("cold")))
-    per = s.withColumn("mark", mark).drop("_exp")
-    hosts = per.groupBy(host).agg(
+    return s.withColumn("mark", mark).drop("_exp")
+
+
+def fleet_verdict(services: DataFrame, expected: DataFrame, host: str = "host",
+                  service: str = "service") -> DataFrame:
+    """Op 52, host rows: red when any service of the host is marked FAIL."""
+    return service_verdicts(services, expected, service).groupBy(host).agg(
         F.bool_or(F.col("mark") == "FAIL").alias("red"),
         F.count_if(F.col("mark").isin("warn", "cold")).alias("warns"),
         F.count_if(F.col("mark") == "ok").alias("oks"),
         F.count(F.lit(1)).alias("services"))
-    return hosts
 
 
 # ---------------------------------------------------------------- 53, 54

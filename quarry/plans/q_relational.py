@@ -349,40 +349,25 @@ def q_latency(spark, root):
 
 
 # ------------------------------------------------------------------ fleet 50-52
-# Roles of the health topology (name, kind, min_healthy,
-# optional) and the capabilities built from them.
-ROLES = [
-    ("retrieval-api", "http", 1, False), ("embedder", "http", 1, True),
-    ("plugin-host", "http", 1, False), ("skills-api", "http", 1, False),
-    ("research-api", "http", 1, False), ("dashboard-api", "http", 1, False),
-    ("database", "postgres", 1, False), ("cache", "tcp", 1, False),
-    ("workflow-engine", "tcp", 1, False), ("llm-endpoint", "http", 0, True),
-    ("reindex-worker", "workflow_queue", 1, False), ("skills-worker", "workflow_queue", 1, False),
-    ("dispatch-worker", "workflow_queue", 1, False),
-]
-CAPABILITIES = [
-    ("data-plane", ["database", "cache", "workflow-engine"]),
-    ("rag", ["retrieval-api", "embedder", "skills-api", "plugin-host"]),
-    ("research", ["research-api", "retrieval-api", "plugin-host"]),
-    ("ops", ["dashboard-api", "dispatch-worker", "skills-worker", "reindex-worker"]),
-    ("llm", ["llm-endpoint"]),
-]
-# Binding of event types to the roles they probe.
-EVENT_ROLE = {"click": "retrieval-api", "view": "embedder", "purchase": "database",
-              "signup": "cache", "error": "llm-endpoint"}
-
-ROLES_SQL = "roles AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{r}', '{k}', {m}, {str(o).upper()})" for r, k, m, o in ROLES) + \
-    ") v(role, kind, min_healthy, optional))"
-CAPS_SQL = "caps AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', [{', '.join(repr(x) for x in rs)}])" for c, rs in CAPABILITIES) + \
-    ") v(capability, roles))"
-_EV_ROLE_CASE = "CASE event_type " + " ".join(
-    f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_ROLE.items()) + " END"
+# Roles and capabilities come from the tables: a role is an event type, its
+# instances are the users that sent such events; half of the mean number of
+# instances per role is required, and error reports are optional.  A capability
+# is a region; it needs the roles that its customers use at least as often as
+# an average role.
+ROLES_SQL = """roles AS (
+  SELECT role, CAST(ceil(avg(n) OVER () / 2) AS INTEGER) AS min_healthy, role = 'error' AS optional
+  FROM (SELECT event_type AS role, count(DISTINCT user_id) AS n FROM events GROUP BY 1))"""
+CAPS_SQL = """caps AS (
+  SELECT capability, role FROM (
+    SELECT r_name AS capability, event_type AS role, count(*) AS n,
+           avg(count(*)) OVER (PARTITION BY r_name) AS mean
+    FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey
+    JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2)
+  WHERE n >= mean)"""
 CODE_EXPR = "CASE WHEN value < 150 THEN 200 WHEN value < 300 THEN 429 ELSE 503 END"
 
 PROBES_SQL = f"""probes AS (
-  SELECT {_EV_ROLE_CASE} AS role, user_id AS instance, {CODE_EXPR} AS code, ts FROM events)"""
+  SELECT event_type AS role, user_id AS instance, {CODE_EXPR} AS code, ts FROM events)"""
 
 ROLE_HEALTH_SQL = B.with_sql(ROLES_SQL, PROBES_SQL) + """,
 latest AS (SELECT role, instance, arg_max(code, ts) AS c FROM probes GROUP BY ALL),
@@ -392,7 +377,7 @@ per AS (SELECT role,
                CAST(count_if(NOT (c >= 200 AND c < 300) AND NOT (c >= 400 AND c < 500)) AS BIGINT)
                  AS n_offline
         FROM latest GROUP BY role),
-rh AS (SELECT r.role, r.kind, r.min_healthy, r.optional,
+rh AS (SELECT r.role, r.min_healthy, r.optional,
               coalesce(p.n_ok, 0) AS n_ok, coalesce(p.n_degraded, 0) AS n_degraded,
               coalesce(p.n_offline, 0) AS n_offline
        FROM roles r LEFT JOIN per p USING (role)),
@@ -401,20 +386,32 @@ rs AS (SELECT *, CASE WHEN n_ok >= min_healthy THEN 'up'
 """
 
 
-def roles_df(spark):
-    return spark.createDataFrame(ROLES, "role string, kind string, min_healthy int, optional boolean")
+def roles_df(t: Tables):
+    n = t.events.groupBy(F.col("event_type").alias("role")).agg(F.count_distinct("user_id").alias("_n"))
+    need = n.agg(F.ceil(F.avg("_n") / 2).cast("int")).scalar()
+    return n.select("role", need.alias("min_healthy"), (F.col("role") == "error").alias("optional"))
+
+
+def capabilities_df(t: Tables):
+    e = (t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("_n"))
+         .join(t.customer.select(F.col("c_custkey").alias("user_id"), "c_nationkey"), "user_id")
+         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))
+    n = e.groupBy(F.col("r_name").alias("capability"), F.col("event_type").alias("role")).agg(
+        F.sum("_n").alias("_n"))
+    mean = n.groupBy("capability").agg(F.avg("_n").alias("_mean"))
+    return (n.join(mean, "capability").filter(F.col("_n") >= F.col("_mean"))
+            .groupBy("capability").agg(F.collect_set("role").alias("roles")))
 
 
 def probes_df(t: Tables):
-    role = F.lit(None).cast("string")
-    for k, v in EVENT_ROLE.items():
-        role = F.when(F.col("event_type") == k, F.lit(v)).otherwise(role)
-    return t.events.select(role.alias("role"), F.col("user_id").alias("instance"),
+    return t.events.select(F.col("event_type").alias("role"), F.col("user_id").alias("instance"),
                            F.expr(CODE_EXPR).alias("code"), "ts")
 
 
 def _role_status(spark, root):
-    return A.role_health(probes_df(Tables(spark, root)), roles_df(spark))
+    t = Tables(spark, root)
+    return A.role_health(probes_df(t), roles_df(t))
 
 
 @register("role_health", ROLE_HEALTH_SQL +
@@ -427,42 +424,49 @@ def q_role_health(spark, root):
 SELECT capability, CASE max(CASE WHEN rs.optional THEN 0 WHEN rs.status = 'up' THEN 0
                                  WHEN rs.status = 'degraded' THEN 1 ELSE 2 END)
                    WHEN 0 THEN 'up' WHEN 1 THEN 'degraded' ELSE 'down' END AS status
-FROM (SELECT capability, unnest(roles) AS role FROM caps) m LEFT JOIN rs USING (role)
+FROM caps m LEFT JOIN rs USING (role)
 GROUP BY capability""")
 def q_capability(spark, root):
-    caps = spark.createDataFrame(CAPABILITIES, "capability string, roles array<string>")
-    return A.capability_rollup(_role_status(spark, root), caps)
+    return A.capability_rollup(_role_status(spark, root), capabilities_df(Tables(spark, root)))
 
 
-EXPECTED_SERVICES = [k for k, v in EVENT_ROLE.items()
-                     if any(r == v and m >= 1 and not o for r, _, m, o in ROLES)]
 STATE_EXPR = "CASE WHEN value < 300 THEN 'running' ELSE 'exited' END"
 HEALTH_EXPR = ("CASE WHEN value < 100 THEN 'healthy' WHEN value < 120 THEN 'starting' "
                "WHEN value < 200 THEN '' ELSE 'unhealthy' END")
 
 
-@register("fleet_verdict", f"""
-WITH latest AS (SELECT user_id // 10 AS host, event_type AS service, arg_max(value, ts) AS value
+FLEET_SQL = f"""
+WITH {ROLES_SQL}, latest AS (SELECT user_id // 10 AS host, event_type AS service, arg_max(value, ts) AS value
                 FROM events GROUP BY ALL),
 s AS (SELECT host, service, {STATE_EXPR.replace('value', 'latest.value')} AS state,
              {HEALTH_EXPR.replace('value', 'latest.value')} AS health,
-             service IN ({', '.join(repr(x) for x in EXPECTED_SERVICES)}) AS exp FROM latest),
-m AS (SELECT host, CASE WHEN state = 'running' AND (health = 'healthy' OR health = '') THEN 'ok'
+             service IN (SELECT role FROM roles WHERE NOT optional AND min_healthy >= 1) AS exp FROM latest),
+m AS (SELECT host, service, state, health, CASE WHEN state = 'running' AND (health = 'healthy' OR health = '') THEN 'ok'
                         WHEN state = 'running' AND health = 'starting' THEN 'warn'
                         WHEN state = 'running' THEN 'FAIL' WHEN exp THEN 'FAIL' ELSE 'cold' END AS mark
       FROM s)
+"""
+
+
+def _services(t):
+    latest = t.events.groupBy((F.col("user_id") / 10).cast("long").alias("host"),
+                              F.col("event_type").alias("service")).agg(F.max_by("value", "ts").alias("value"))
+    exp = roles_df(t).filter("not optional and min_healthy >= 1").select(F.col("role").alias("service"))
+    return latest.select("host", "service", F.expr(STATE_EXPR).alias("state"),
+                         F.expr(HEALTH_EXPR).alias("health")), exp
+
+
+@register("fleet_verdict", FLEET_SQL + """
 SELECT host, bool_or(mark = 'FAIL') AS red, CAST(count_if(mark IN ('warn', 'cold')) AS BIGINT) AS warns,
        CAST(count_if(mark = 'ok') AS BIGINT) AS oks, count(*) AS services
 FROM m GROUP BY host""")
 def q_fleet(spark, root):
-    e = Tables(spark, root).events
-    latest = e.groupBy((F.col("user_id") / 10).cast("long").alias("host"),
-                       F.col("event_type").alias("service")).agg(
-        F.max_by("value", "ts").alias("value"))
-    svc = latest.select("host", "service", F.expr(STATE_EXPR).alias("state"),
-                        F.expr(HEALTH_EXPR).alias("health"))
-    exp = spark.createDataFrame([(s,) for s in EXPECTED_SERVICES], "service string")
-    return A.fleet_verdict(svc, exp)
+    return A.fleet_verdict(*_services(Tables(spark, root)))
+
+
+@register("service_verdicts", FLEET_SQL + "SELECT host, service, state, health, mark FROM m")
+def q_services(spark, root):
+    return A.service_verdicts(*_services(Tables(spark, root))).select("host", "service", "state", "health", "mark")
 
 
 # ------------------------------------------------------------------ 53-57

@@ -141,23 +141,35 @@ def q_expire(spark, root):
 FINAL_WINDOW_H = 24
 
 
+FINAL_EVENTS_SQL = """o AS (SELECT o_orderkey AS job_id, 'outcome' AS kind, o_orderdate AS ts FROM orders),
+r AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem WHERE l_returnflag = 'R'),
+ev AS (SELECT * FROM o
+       UNION ALL SELECT job_id, 'challenge', ts + CASE job_id % 3 WHEN 0 THEN INTERVAL (-1) HOUR
+                 WHEN 1 THEN INTERVAL 1 HOUR ELSE INTERVAL 30 HOUR END FROM o JOIN r USING (job_id)
+       UNION ALL SELECT job_id, 'outcome', ts + INTERVAL 2 HOUR FROM o WHERE job_id % 5 = 0
+       UNION ALL SELECT job_id, 'note', ts FROM o WHERE job_id % 7 = 0)"""
+
+
 @register("stream_finalizer", f"""
-WITH o AS (SELECT o_orderkey AS job_id, o_orderdate AS ts FROM orders),
-c AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem WHERE l_returnflag = 'R'),
-mx AS (SELECT max(ts) AS m FROM (SELECT ts FROM o UNION ALL
-                                 SELECT o.ts + INTERVAL 1 HOUR FROM o JOIN c USING (job_id)))
-SELECT job_id, ts AS posted_at, TRUE AS finalized FROM o
-WHERE job_id NOT IN (SELECT job_id FROM c)
-  AND ts + INTERVAL {FINAL_WINDOW_H} HOUR < (SELECT m FROM mx)""")
+WITH {FINAL_EVENTS_SQL},
+p AS (SELECT job_id, min(ts) AS ts FROM ev WHERE kind = 'outcome' GROUP BY 1),
+c AS (SELECT job_id, min(ts) AS disputed FROM ev WHERE kind = 'challenge' GROUP BY 1)
+SELECT job_id, ts AS posted_at, TRUE AS finalized FROM p LEFT JOIN c USING (job_id)
+WHERE (disputed IS NULL OR disputed >= ts + INTERVAL {FINAL_WINDOW_H} HOUR)
+  AND ts + INTERVAL {FINAL_WINDOW_H} HOUR < (SELECT max(ts) FROM ev)""")
 def q_finalizer(spark, root):
+    """Outcomes with challenges before, inside and after the window, replayed
+    outcomes and events of another kind."""
     t = Tables(spark, root)
     o = t.orders.select(F.col("o_orderkey").alias("job_id"), F.lit("outcome").alias("kind"),
                         F.col("o_orderdate").alias("ts"))
-    ch = (t.lineitem.filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("job_id"))
-          .distinct().join(o.select("job_id", "ts"), "job_id")
-          .select("job_id", F.lit("challenge").alias("kind"),
-                  (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")))
-    ev = o.unionByName(ch)
+    r = t.lineitem.filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("job_id")).distinct()
+    when = F.expr("ts + CASE job_id % 3 WHEN 0 THEN INTERVAL -1 HOUR WHEN 1 THEN INTERVAL 1 HOUR "
+                  "ELSE INTERVAL 30 HOUR END")
+    ev = (o.unionByName(o.join(r, "job_id", "left_semi").select("job_id", F.lit("challenge").alias("kind"),
+                                                              when.alias("ts")))
+          .unionByName(o.filter("job_id % 5 = 0").withColumn("ts", F.expr("ts + INTERVAL 2 HOUR")))
+          .unionByName(o.filter("job_id % 7 = 0").withColumn("kind", F.lit("note"))))
     path = S.stage_files(ev, scratch_path(spark, "stream-final"), "ts", 8)
     last = ev.orderBy(F.col("ts").desc()).limit(1)
     S.append_tick(spark, path, last.withColumn("job_id", F.lit(-1).cast("long")).withColumn(

@@ -21,7 +21,9 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,42 +34,25 @@ from quarry.sources.ops import scratch_path
 
 
 # ---------------------------------------------------------------- source / sink
-def stage_files(df: DataFrame, path: str, order: str, n_files: int = 8,
-                sequential: bool | None = None) -> str:
-    """Write ``df`` as ``n_files`` files, range-partitioned on ``order`` (a
-    stand-in for the live tail of an append-only log).  The file source
-    reads files oldest first; on a local file system the modification times
-    are set in range order so that the replay follows event time, as a real
-    append-only log would."""
-    import glob
-    import os
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if sequential or (sequential is None and "://" in local):
-        # any other file system: write the slices one after another, so the
-        # modification times follow event time
-        num = F.col(order)
-        if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)):
-            num = F.unix_micros(F.col(order).cast("timestamp"))
-        d = df.withColumn("__o", num.cast("double"))
-        bounds = sorted(set(d.approxQuantile("__o", [i / n_files for i in range(1, n_files)],
-                                             0.001)))
-        edges = [None] + bounds + [None]
-        for lo, hi in zip(edges, edges[1:]):
-            part = d
-            if lo is not None:
-                part = part.filter(F.col("__o") > F.lit(lo))
-            if hi is not None:
-                part = part.filter(F.col("__o") <= F.lit(hi))
-            (part.drop("__o").coalesce(1).sortWithinPartitions(order)
-             .write.mode("append").parquet(path))
-            time.sleep(1.1)
-        return path
-    df.repartitionByRange(n_files, order).sortWithinPartitions(order).write.mode(
-        "overwrite").parquet(path)
-    files = sorted(glob.glob(os.path.join(local, "part-*.parquet")))
-    t0 = time.time() - 10 * len(files) - 60
-    for i, f in enumerate(files):
-        os.utime(f, (t0 + 10 * i, t0 + 10 * i))
+def stage_files(df: DataFrame, path: str, order: str, n_files: int = 8, pause: float = 0.05) -> str:
+    """Write ``df`` as about ``n_files`` files of ascending ranges of ``order``
+    (a stand-in for the live tail of an append-only log).  The file source
+    reads files by modification time, so the ranges are written one after
+    another on every file system; ``pause`` seconds lie between them (1.1 where
+    modification times count whole seconds)."""
+    num = F.col(order)
+    if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)):
+        num = F.unix_micros(F.col(order).cast("timestamp"))
+    d = df.withColumn("__o", num.cast("double"))
+    bounds = sorted(set(d.approxQuantile("__o", [i / n_files for i in range(1, n_files)], 0.001)))
+    for lo, hi in zip([None, *bounds], [*bounds, None]):
+        part = d
+        if lo is not None:
+            part = part.filter(F.col("__o") > F.lit(lo))
+        if hi is not None:
+            part = part.filter(F.col("__o") <= F.lit(hi))
+        part.drop("__o").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+        time.sleep(pause)
     return path
 
 
@@ -135,8 +120,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
     q.awaitTermination()
     try:
         res = spark.read.parquet(f"{out}/_b=*")
-    except Exception:  # noqa: BLE001  (no batch produced any row)
-        return spark.createDataFrame([], stream.schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)   # no batch ran
     cols = [c for c in res.columns if c != "_batch"]
     if mode == "update":
         latest = res.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_r"))
@@ -229,17 +216,44 @@ CRASH_STATE = T.StructType([T.StructField("ts", T.ArrayType(T.LongType())),
                             T.StructField("last_event_ms", T.LongType())])
 
 
+def restart_deltas(t: np.ndarray, c: np.ndarray, window: int, threshold: int) -> tuple[np.ndarray, int]:
+    """Delta of every sample against the first one of its range: the samples
+    of the last ``window`` seconds since the last breach.  ``t`` ascends.
+    Returns the deltas and the place of the last breach (0 without one).
+
+    Between two breaches a segment's range starts are known up front (a
+    search for ``t - window``, not before the segment), so its deltas are one
+    array expression; the first that exceeds the threshold ends it."""
+    reach = np.searchsorted(t, t - window, "left")
+    delta = np.zeros(len(t), dtype=np.int64)
+    begin, at, step = 0, 0, 64
+    while at < len(t):
+        end = min(len(t), at + step)
+        part = c[at:end] - c[np.maximum(reach[at:end], begin)]
+        over = np.flatnonzero(part > threshold)
+        if len(over):
+            end = at + int(over[0]) + 1
+            delta[at:end] = part[:over[0] + 1]
+            begin, at, step = end - 1, end, 64
+        else:
+            delta[at:end] = part
+            at, step = end, 2 * step
+    return delta, begin
+
+
 def crashloop(stream: DataFrame, key: str = "container_id", epoch: str = "epoch",
               counter: str = "restart_count", event: str = "event_id", ts: str = "ts",
               window: int = 120, threshold: int = 5, expire_after: str = "1 hour",
               watermark: str = "0 seconds") -> DataFrame:
     """Ops 116 + 117: restart-delta with reset, as keyed state.
 
-    Per container the samples of the last ``window`` seconds are kept (at
-    least one); delta = counter now - oldest kept counter; a delta above the
-    threshold is a breach and the history restarts at the current sample.
-    The state of a container not seen for ``expire_after`` is dropped by an
-    event-time timeout, which emits one ``expired`` row (op 117).
+    A sample's delta is its counter less that of the first sample within the
+    last ``window`` seconds; a delta above the threshold is a breach, and
+    samples before a breach no longer count.  The state holds the samples that
+    later ones may still refer to.  All rows of a container in a micro-batch
+    are sorted together, however many Arrow chunks they come in.  The state of
+    a container not seen for ``expire_after`` is dropped by an event-time
+    timeout, which emits one ``expired`` row (op 117).
     """
     expire_ms = _interval_ms(expire_after)
 
@@ -249,30 +263,18 @@ def crashloop(stream: DataFrame, key: str = "container_id", epoch: str = "epoch"
             yield pd.DataFrame({"container_id": [k[0]], "event_id": [None], "delta": [None],
                                 "breach": [None], "expired": [True]})
             return
-        if state.exists:
-            t_s, c_s, _ = state.get
-            tl, cl = list(t_s), list(c_s)
-        else:
-            tl, cl = [], []
-        rows = []
-        last_ms = None
-        for pdf in pdfs:
-            pdf = pdf.sort_values([epoch, event], kind="mergesort")
-            for r in pdf.itertuples(index=False):
-                now, cnt = int(getattr(r, epoch)), int(getattr(r, counter))
-                tl.append(now)
-                cl.append(cnt)
-                keep = [i for i, x in enumerate(tl) if x >= now - window] or [len(tl) - 1]
-                tl, cl = [tl[i] for i in keep], [cl[i] for i in keep]
-                delta = cnt - cl[0]
-                breach = delta > threshold
-                if breach:
-                    tl, cl = [now], [cnt]
-                rows.append((k[0], int(getattr(r, event)), delta, breach, False))
-                last_ms = int(pd.Timestamp(getattr(r, ts)).value // 1_000_000)
-        state.update((tl, cl, last_ms))
-        state.setTimeoutTimestamp(last_ms + expire_ms)
-        yield pd.DataFrame(rows, columns=[f.name for f in CRASH_OUT.fields])
+        new = pd.concat(list(pdfs), ignore_index=True).sort_values([epoch, event], kind="mergesort")
+        old_t, old_c, _ = state.get if state.exists else ([], [], None)
+        t = np.concatenate([np.asarray(old_t, np.int64), new[epoch].to_numpy(np.int64)])
+        c = np.concatenate([np.asarray(old_c, np.int64), new[counter].to_numpy(np.int64)])
+        delta, begin = restart_deltas(t, c, window, threshold)
+        keep = max(begin, int(np.searchsorted(t, t[-1] - window, "left")))
+        last_ms = int(pd.Timestamp(new[ts].max()).value // 1_000_000)
+        state.update((t[keep:].tolist(), c[keep:].tolist(), last_ms))
+        state.setTimeoutTimestamp(max(last_ms + expire_ms, state.getCurrentWatermarkMs() + 1))
+        own = delta[len(old_t):]
+        yield pd.DataFrame({"container_id": k[0], "event_id": new[event].to_numpy(np.int64), "delta": own,
+                            "breach": own > threshold, "expired": False})
 
     s = stream.withWatermark(ts, watermark)
     return s.groupBy(key).applyInPandasWithState(
@@ -283,43 +285,54 @@ FINAL_OUT = T.StructType([T.StructField("job_id", T.LongType()),
                           T.StructField("posted_at", T.TimestampType()),
                           T.StructField("finalized", T.BooleanType())])
 FINAL_STATE = T.StructType([T.StructField("posted_ms", T.LongType()),
-                            T.StructField("challenged", T.BooleanType())])
+                            T.StructField("challenge_ms", T.LongType()),
+                            T.StructField("closed", T.BooleanType())])
 
 
 def finalizer(stream: DataFrame, key: str = "job_id", kind: str = "kind", ts: str = "ts",
               window: str = "24 hours", watermark: str = "0 seconds") -> DataFrame:
-    """Op 118: a dispute timer per outcome.  An ``outcome`` event starts a
-    timer at its time + ``window``; a ``challenge`` event cancels it; when
-    the watermark passes the timer the outcome is emitted once as final."""
+    """Op 118: a dispute timer per outcome.  The first ``outcome`` event starts
+    a timer at its time + ``window``; a ``challenge`` whose time lies before
+    the timer reverts the outcome, whether it comes after the outcome or
+    before it; when the watermark passes the timer the outcome is emitted once
+    as final.  Replays and challenges of a closed job are ignored: reverted
+    and final jobs leave a marker that expires two windows later, as does a
+    challenge without an outcome.  Other kinds of events are ignored."""
     win_ms = _interval_ms(window)
 
     def fold(k, pdfs, state):
+        posted, challenge, closed = state.get if state.exists else (None, None, False)
+        wm = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            posted_ms, challenged = state.get
-            state.remove()
-            if not challenged:
-                yield pd.DataFrame({"job_id": [k[0]],
-                                    "posted_at": [pd.Timestamp(posted_ms, unit="ms")],
-                                    "finalized": [True]})
+            if closed or posted is None:
+                state.remove()
+                return
+            state.update((posted, challenge, True))
+            state.setTimeoutTimestamp(wm + 2 * win_ms)
+            yield pd.DataFrame({"job_id": [k[0]], "posted_at": [pd.Timestamp(posted, unit="ms")],
+                                "finalized": [True]})
             return
-        posted_ms, challenged = state.get if state.exists else (None, False)
-        for pdf in pdfs:
-            for r in pdf.itertuples(index=False):
-                t_ms = int(pd.Timestamp(getattr(r, ts)).value // 1_000_000)
-                if getattr(r, kind) == "outcome":
-                    posted_ms = t_ms
-                elif getattr(r, kind) == "challenge":
-                    challenged = True
-        state.update((posted_ms, challenged))
-        if posted_ms is not None and not challenged:
-            state.setTimeoutTimestamp(posted_ms + win_ms)
-        elif challenged:
-            state.remove()
+        new = pd.concat(list(pdfs), ignore_index=True)
+        ms = new[ts].to_numpy("datetime64[ms]").astype(np.int64)
+        outcomes, disputes = ms[new[kind] == "outcome"], ms[new[kind] == "challenge"]
+        if closed or not len(outcomes) + len(disputes):
+            return
+        if len(outcomes) and posted is None:
+            posted = int(outcomes.min())
+        if len(disputes):
+            challenge = int(min(disputes.min(), challenge if challenge is not None else disputes.min()))
+        closed = posted is not None and challenge is not None and challenge < posted + win_ms
+        due = posted + win_ms if posted is not None and not closed else max(wm, int(ms.max())) + 2 * win_ms
+        state.update((posted, challenge, closed))
+        state.setTimeoutTimestamp(max(due, wm + 1))
+
+    def guarded(k, pdfs, state):
         yield pd.DataFrame({"job_id": [], "posted_at": [], "finalized": []})
+        yield from fold(k, pdfs, state)
 
     s = stream.withWatermark(ts, watermark)
     return s.groupBy(key).applyInPandasWithState(
-        fold, FINAL_OUT, FINAL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        guarded, FINAL_OUT, FINAL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stale_claims(cards: DataFrame, state: str, ts: str, now, age_s: int) -> DataFrame:

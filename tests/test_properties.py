@@ -360,7 +360,7 @@ def test_sequential_staging_replays_in_order(spark):
     from quarry.streaming import ops as S
     from conftest import SF_SMALL
     e = Tables(spark, SF_SMALL).events
-    path = S.stage_files(e, scratch_path(spark, "seq-stage"), "ts", 3, sequential=True)
+    path = S.stage_files(e, scratch_path(spark, "seq-stage"), "ts", 3)
     s = S.stream_source(spark, path, TABLES["events"], "ts")
     out = S.run_to_table(S.telemetry_counts(s, "event_type", "ts", "1 day", "1 day", "1 minute"),
                          "seq-stage", "update", ["window_start", "event_type"])
