@@ -176,39 +176,45 @@ def journal_rows(settled: DataFrame, deposits: DataFrame, deposit_at) -> DataFra
 
 
 # ---------------------------------------------------------------- op 112
-def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: int = 500_000,
-                 max_slices: int = 64) -> DataFrame:
+def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: int = 500_000) -> DataFrame:
     """Op 112: per creditor, in job order, a request whose shortfall
     (value - cap) is positive draws credit when the creditor's debt to that
     debtor stays within ``per_node_max`` and the creditor's outstanding
-    exposure within ``total_exposure``; otherwise the job is rejected.  At
-    settle the debt is repaid by (1 - f): fully on a clean settle, nothing on
-    a full slash (defaulted); the unrepaid part stays outstanding.
+    exposure within ``total_exposure``; otherwise the job is rejected, as it
+    is when the creditor has no policy.  At settle the debt is repaid by
+    (1 - f): fully on a clean settle, nothing on a full slash (defaulted); the
+    unrepaid part stays outstanding.
 
-    Rejections feed back into later decisions, so this is a sequential fold:
-    time-sliced: the credit-needing requests (requests without a shortfall
-    never enter it) are cut into K slices of event time, K sized so that one
-    creditor's slice stays under ``max_rows_per_task``; slice k is a
-    cogrouped ``applyInPandas`` per creditor that starts from the state
-    table left by slice k-1 (debt per creditor and debtor, written to the
-    shared checkpoint folder).  No task holds a creditor's whole history,
-    and a lost executor repeats one slice.
+    Rejections feed back into later decisions, so this is a sequential fold
+    over time slices.  The credit-needing requests of a creditor are cut into
+    slices of about ``max_rows_per_task`` rows (counts per fine time bucket
+    and creditor, summed up in time order); slice k is a cogrouped
+    ``applyInPandas`` per creditor that starts from the state table left by
+    slice k-1 (debt per creditor and debtor, written to the shared checkpoint
+    folder).  No task holds a creditor's whole history, and a lost executor
+    repeats one slice.
     """
     from quarry.session import cut_lineage
     need = requests.withColumn("shortfall", F.greatest(F.col("value") - F.col("cap"), F.lit(0)))
-    fold_in = need.filter(F.col("shortfall") > 0).join(policies, "creditor")
+    asked = need.filter(F.col("shortfall") > 0)
+    without = asked.join(policies, "creditor", "left_anti")
+    fold_in = asked.join(policies, "creditor")
     tcol = F.col("at")
     if isinstance(fold_in.schema["at"].dataType, (T.TimestampType, T.TimestampNTZType)):
         tcol = F.unix_micros(F.col("at").cast("timestamp"))
     fold_in = fold_in.withColumn("_t", tcol.cast("double"))
-    biggest = fold_in.groupBy("creditor").count().agg(F.max("count")).first()[0] or 0
-    k = max(1, min(max_slices, -(-biggest // max_rows_per_task)))
-    probs = [i / k for i in range(1, k)]
-    bounds = sorted(set(fold_in.approxQuantile("_t", probs, 0.001))) if k > 1 else []
-    sl = F.lit(0)
-    for b in bounds:
-        sl = sl + F.when(F.col("_t") > F.lit(b), 1).otherwise(0)
-    fold_in = fold_in.withColumn("_slice", sl)
+    span = fold_in.groupBy("creditor").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"),
+                                           F.max("_t").alias("_hi"))
+    # 64 buckets to a slice: a slice outgrows its bound by one bucket at most
+    width = (F.col("_hi") - F.col("_lo") + 1) / (64 * F.ceil(F.col("_n") / max_rows_per_task))
+    fold_in = fold_in.join(span, "creditor").withColumn(
+        "_b", F.floor((F.col("_t") - F.col("_lo")) / width)).drop("_n", "_lo", "_hi")
+    buckets = fold_in.groupBy("creditor", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("creditor").orderBy("_b").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select("creditor", "_b", F.floor(before / max_rows_per_task).cast("int").alias("_slice"))
+    fold_in = cut_lineage(fold_in.join(buckets, ["creditor", "_b"]).drop("_b"))
+    n_slices = (fold_in.agg(F.max("_slice")).first()[0] or 0) + 1
     cols = ["job_id", "creditor", "debtor", "shortfall", "accepted", "repaid", "defaulted",
             "outstanding_after"]
     schema = ("kind string, job_id long, creditor long, debtor long, shortfall long, "
@@ -245,7 +251,7 @@ def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: in
     spark = requests.sparkSession
     state = spark.createDataFrame([], "creditor long, debtor long, debt long")
     outs = []
-    for s in range(len(bounds) + 1):
+    for s in range(n_slices):
         part = fold_in.filter(F.col("_slice") == s)
         res = cut_lineage(part.groupBy("creditor").cogroup(state.groupBy("creditor"))
                           .applyInPandas(fold, schema))
@@ -259,7 +265,11 @@ def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: in
         "job_id", "creditor", "debtor", "shortfall", F.lit(True).alias("accepted"),
         F.lit(0).cast("long").alias("repaid"), F.lit(False).alias("defaulted"),
         F.lit(None).cast("long").alias("outstanding_after"))
-    return folded.unionByName(free)
+    rejected = without.select(
+        "job_id", "creditor", "debtor", "shortfall", F.lit(False).alias("accepted"),
+        F.lit(0).cast("long").alias("repaid"), F.lit(False).alias("defaulted"),
+        F.lit(None).cast("long").alias("outstanding_after"))
+    return folded.unionByName(free).unionByName(rejected)
 
 
 # ---------------------------------------------------------------- op 113

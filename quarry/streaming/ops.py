@@ -312,9 +312,9 @@ def finalizer(stream: DataFrame, key: str = "job_id", kind: str = "kind", ts: st
             yield pd.DataFrame({"job_id": [k[0]], "posted_at": [pd.Timestamp(posted, unit="ms")],
                                 "finalized": [True]})
             return
-        new = pd.concat(list(pdfs), ignore_index=True)
-        ms = new[ts].to_numpy("datetime64[ms]").astype(np.int64)
-        outcomes, disputes = ms[new[kind] == "outcome"], ms[new[kind] == "challenge"]
+        parts = [(p[kind].to_numpy(), p[ts].to_numpy("datetime64[ms]").astype(np.int64)) for p in pdfs]
+        kinds, ms = (np.concatenate(x) for x in zip(*parts))
+        outcomes, disputes = ms[kinds == "outcome"], ms[kinds == "challenge"]
         if closed or not len(outcomes) + len(disputes):
             return
         if len(outcomes) and posted is None:
@@ -326,13 +326,9 @@ def finalizer(stream: DataFrame, key: str = "job_id", kind: str = "kind", ts: st
         state.update((posted, challenge, closed))
         state.setTimeoutTimestamp(max(due, wm + 1))
 
-    def guarded(k, pdfs, state):
-        yield pd.DataFrame({"job_id": [], "posted_at": [], "finalized": []})
-        yield from fold(k, pdfs, state)
-
     s = stream.withWatermark(ts, watermark)
     return s.groupBy(key).applyInPandasWithState(
-        guarded, FINAL_OUT, FINAL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        fold, FINAL_OUT, FINAL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stale_claims(cards: DataFrame, state: str, ts: str, now, age_s: int) -> DataFrame:
