@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 100_000
@@ -79,14 +79,21 @@ def _tokens(subject: Column) -> Column:
     return F.array_distinct(F.split(_lower(subject), "[^a-z0-9]+"))
 
 
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """The rules as rows, built from literals."""
+    kind = "array<struct<id:int,name:string,action:string,pattern:string,host:boolean,tokens:array<string>>>"
+    rows = F.array(*[F.struct(
+        F.lit(i).alias("id"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"),
+        F.lit(r.pattern).alias("pattern"), F.lit(r.host).alias("host"),
+        F.array(*map(F.lit, r.tokens)).cast("array<string>").alias("tokens")) for i, r in enumerate(rules)])
+    return spark.range(1).select(F.inline(rows.cast(kind)))
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
     """Every row of ``pages`` with ``host``, ``path``, ``rule`` (name of the
     host rule that decides, else null), ``pattern`` (name of the pattern that
     decides, else null) and ``verdict``."""
-    spark = pages.sparkSession
-    table = spark.createDataFrame(
-        [(i, r.name, r.action, r.pattern, r.host, list(r.tokens)) for i, r in enumerate(rules)],
-        "id int, name string, action string, pattern string, host boolean, tokens array<string>")
+    table = rule_table(pages.sparkSession, rules)
     if len(rules) <= BROADCAST_RULES:
         table = F.broadcast(table)
 
