@@ -112,18 +112,75 @@ def audit_outcomes(receipts: DataFrame, reference: DataFrame, key: str, output:
                         .otherwise(S.severity("similarity", "threshold"))))
 
 
-# ---------------------------------------------------------------- op 111
+# ---------------------------------------------------------------- ops 111, 112
+def time_slices(rows: DataFrame, key: str, at: str, max_rows: int) -> tuple[DataFrame, int]:
+    """Rows with ``_t`` (the time as a number) and ``_slice``: every key's rows
+    cut in time order into slices of about ``max_rows`` (counts per key and
+    fine time bucket, summed up; 64 buckets to a slice, so a slice outgrows
+    its bound by one bucket at most), and the number of slices.  The result
+    is written to the shared checkpoint folder."""
+    from quarry.session import cut_lineage
+    t = F.col(at)
+    if isinstance(rows.schema[at].dataType, (T.TimestampType, T.TimestampNTZType)):
+        t = F.unix_micros(t.cast("timestamp"))
+    rows = rows.withColumn("_t", t.cast("double"))
+    span = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo") + 1) / (64 * F.ceil(F.col("_n") / max_rows))
+    rows = rows.join(span, key).withColumn("_b", F.floor((F.col("_t") - F.col("_lo")) / width)).drop(
+        "_n", "_lo", "_hi")
+    buckets = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(key).orderBy("_b").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select(key, "_b", F.floor(before / max_rows).cast("int").alias("_slice"))
+    rows = cut_lineage(rows.join(buckets, [key, "_b"]).drop("_b"))
+    return rows, (rows.agg(F.max("_slice")).first()[0] or 0) + 1
+
+
+def _lockable(asked: DataFrame, max_rows: int) -> DataFrame:
+    """Which jobs find their stake available: per worker in job order, every
+    job released before the next; ``asked`` has ``job_id, worker, at, deposit,
+    stake, change`` (payment less slash, if the job is accepted)."""
+    from quarry.session import cut_lineage
+    rows, n = time_slices(asked, "worker", "at", max_rows)
+
+    def fold(req: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
+        if len(req) == 0:
+            return pd.DataFrame({"job_id": None, "worker": st["worker"], "ok": None, "available": st["available"]})
+        req = req.sort_values(["_t", "job_id"], kind="mergesort")
+        have = int(st["available"].iloc[0]) if len(st) else int(req["deposit"].iloc[0])
+        ok = []
+        for stake, change in zip(req["stake"].tolist(), req["change"].tolist()):
+            ok.append(have >= stake)
+            have += change if ok[-1] else 0
+        out = pd.DataFrame({"job_id": req["job_id"].astype(object), "worker": req["worker"], "ok": ok,
+                            "available": None})
+        out.loc[len(req)] = [None, req["worker"].iloc[0], None, have]
+        return out
+    schema = "job_id long, worker long, ok boolean, available long"
+    state = asked.sparkSession.createDataFrame([], "worker long, available long")
+    done = None
+    for k in range(n):
+        res = cut_lineage(rows.filter(F.col("_slice") == k).groupBy("worker").cogroup(state.groupBy("worker"))
+                          .applyInPandas(fold, schema))
+        part = res.filter(F.col("job_id").isNotNull()).select("job_id", "ok")
+        done = part if done is None else done.unionByName(part)
+        state = res.filter(F.col("job_id").isNull()).select("worker", "available")
+    return done
+
+
 def settle_jobs(jobs: DataFrame, workers: DataFrame, outcomes: DataFrame, deposits: DataFrame,
                 audit_rate: float = 0.05, high_value: int = 45_000_000,
-                net_rate: float = NETWORK_TAX, pool_rate: float = POOL_TAX) -> DataFrame:
+                net_rate: float = NETWORK_TAX, pool_rate: float = POOL_TAX,
+                max_rows_per_task: int = 500_000) -> DataFrame:
     """Op 111: the paid-job lifecycle as one batch, one row per job.
 
-    Rejected without a worker or when the stake (value x 10) exceeds the
-    worker's registered deposit (cap check against the deposit, a static
-    rule).  Audit when value >= high_value (forced) or the md5 uniform of
-    the job is below the rate; slash fraction from the outcome severity;
-    release: slashed = round(stake f), returned = stake - slashed; settle
-    unless f = 1: taxes rounded, paid = value - taxes.
+    Rejected without a worker, when the stake (value x 10) exceeds the
+    worker's registered deposit (cap), or when the worker's available balance
+    - deposit less slashes plus payments of the jobs before, in order of offer
+    and id - does not cover the stake to lock.  Audit when value >= high_value
+    (forced) or the md5 uniform of the job is below the rate; slash fraction
+    from the outcome severity; release: slashed = round(stake f), returned =
+    stake - slashed; settle unless f = 1: taxes rounded, paid = value - taxes.
     """
     j = jobs.join(workers, "job_id", "left").join(deposits, "worker", "left")
     stake = F.col("value") * STAKE_MULTIPLIER
@@ -139,11 +196,20 @@ def settle_jobs(jobs: DataFrame, workers: DataFrame, outcomes: DataFrame, deposi
                      .otherwise(F.lit(0.0)))
     slashed, returned = S.split_slash("stake", "fraction")
     tax = S.split_tax("value", F.lit(net_rate), F.lit(pool_rate))
+    pays = F.when(F.col("fraction") < 1.0, tax["paid"]).otherwise(F.lit(0))
+    asked = j.filter(F.col("status") == "accepted").select(
+        "job_id", "worker", F.col("offered_at").alias("at"), "deposit", "stake",
+        (pays - slashed).cast("long").alias("change"))
+    j = j.join(_lockable(asked, max_rows_per_task), "job_id", "left")
+    short = F.coalesce(~F.col("ok"), F.lit(False))
+    j = (j.withColumn("status", F.when(short, F.lit("rejected_balance")).otherwise(F.col("status")))
+         .withColumn("audited", F.col("audited") & ~short)
+         .withColumn("fraction", F.when(short, F.lit(0.0)).otherwise(F.col("fraction"))))
     acc = F.col("status") == "accepted"
     settled = acc & (F.col("fraction") < 1.0)
     return j.select(
         "job_id", "worker", "pool", "publisher", "offered_at", "value", "status", "audited",
-        "fraction",
+        "fraction", F.when(F.col("audited"), F.coalesce("severity", F.lit(0.0))).alias("severity"),
         F.when(acc, F.col("stake")).otherwise(F.lit(0)).alias("stake"),
         F.when(acc, slashed).otherwise(F.lit(0)).alias("slashed"),
         F.when(acc, returned).otherwise(F.lit(0)).alias("returned"),
@@ -153,6 +219,21 @@ def settle_jobs(jobs: DataFrame, workers: DataFrame, outcomes: DataFrame, deposi
         F.when(settled, tax["paid"]).otherwise(F.lit(0)).alias("paid"))
 
 
+def lifecycle_events(settled: DataFrame) -> DataFrame:
+    """Op 111, last steps: what a settled job reports - the pool's settlement
+    volume, the audit result, a fraud report for a failed audit, the slash and
+    the payment.  Output ``job_id, worker, pool, event, amount, at``."""
+    ok = F.col("severity") <= 0
+    events = [("volume", F.col("settled") & F.col("pool").isNotNull(), F.col("value")),
+              ("audit_pass", F.col("audited") & ok, F.lit(0)), ("audit_fail", F.col("audited") & ~ok, F.lit(0)),
+              ("fraud_report", F.col("audited") & ~ok, F.col("stake")),
+              ("slash", F.col("slashed") > 0, F.col("slashed")), ("settle", F.col("settled"), F.col("paid"))]
+    rows = F.array(*[F.struct(F.lit(n).alias("event"), when.alias("happens"), amount.cast("long").alias("amount"))
+                     for n, when, amount in events])
+    return (settled.select("job_id", "worker", "pool", F.col("offered_at").alias("at"), F.explode(rows).alias("_e"))
+            .filter("_e.happens").select("job_id", "worker", "pool", "_e.event", "_e.amount", "at"))
+
+
 JOURNAL_OPS = ["deposit", "lock", "release_return", "release_slash", "settle_paid", "settle_tax"]
 
 
@@ -175,7 +256,6 @@ def journal_rows(settled: DataFrame, deposits: DataFrame, deposit_at) -> DataFra
     return d.unionByName(e.filter(F.col("amount") != 0))
 
 
-# ---------------------------------------------------------------- op 112
 def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: int = 500_000) -> DataFrame:
     """Op 112: per creditor, in job order, a request whose shortfall
     (value - cap) is positive draws credit when the creditor's debt to that
@@ -199,22 +279,7 @@ def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: in
     asked = need.filter(F.col("shortfall") > 0)
     without = asked.join(policies, "creditor", "left_anti")
     fold_in = asked.join(policies, "creditor")
-    tcol = F.col("at")
-    if isinstance(fold_in.schema["at"].dataType, (T.TimestampType, T.TimestampNTZType)):
-        tcol = F.unix_micros(F.col("at").cast("timestamp"))
-    fold_in = fold_in.withColumn("_t", tcol.cast("double"))
-    span = fold_in.groupBy("creditor").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"),
-                                           F.max("_t").alias("_hi"))
-    # 64 buckets to a slice: a slice outgrows its bound by one bucket at most
-    width = (F.col("_hi") - F.col("_lo") + 1) / (64 * F.ceil(F.col("_n") / max_rows_per_task))
-    fold_in = fold_in.join(span, "creditor").withColumn(
-        "_b", F.floor((F.col("_t") - F.col("_lo")) / width)).drop("_n", "_lo", "_hi")
-    buckets = fold_in.groupBy("creditor", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy("creditor").orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.select("creditor", "_b", F.floor(before / max_rows_per_task).cast("int").alias("_slice"))
-    fold_in = cut_lineage(fold_in.join(buckets, ["creditor", "_b"]).drop("_b"))
-    n_slices = (fold_in.agg(F.max("_slice")).first()[0] or 0) + 1
+    fold_in, n_slices = time_slices(fold_in, "creditor", "at", max_rows_per_task)
     cols = ["job_id", "creditor", "debtor", "shortfall", "accepted", "repaid", "defaulted",
             "outstanding_after"]
     schema = ("kind string, job_id long, creditor long, debtor long, shortfall long, "

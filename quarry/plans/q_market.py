@@ -57,6 +57,24 @@ sf AS (SELECT *, CASE WHEN audited THEN (CASE WHEN severity IS NULL OR severity
                                               WHEN severity < 0.3 THEN severity
                                               WHEN severity < 0.7 THEN 0.5 + severity / 2 ELSE 1.0 END)
                       ELSE 0.0 END AS fraction FROM sa),
+-- what a worker has available, job by job
+si AS (SELECT job_id, worker, stk, CAST(round(stk * fraction) AS BIGINT) AS sl,
+              CASE WHEN fraction < 1.0 THEN value - CAST(round(value * CAST({M.NETWORK_TAX} AS DOUBLE)) AS BIGINT)
+                   - CAST(round(value * CAST({M.POOL_TAX} AS DOUBLE)) AS BIGINT) ELSE 0 END AS pd,
+              row_number() OVER (PARTITION BY worker ORDER BY offered_at, job_id) AS i
+       FROM sf WHERE status = 'accepted'),
+bal AS (
+  WITH RECURSIVE b(worker, i, job_id, ok, avail) AS (
+    SELECT worker, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), deposit FROM dep
+    UNION ALL
+    SELECT s.worker, s.i, s.job_id, b.avail >= s.stk,
+           b.avail + CASE WHEN b.avail >= s.stk THEN s.pd - s.sl ELSE 0 END
+    FROM b JOIN si s ON s.worker = b.worker AND s.i = b.i + 1)
+  SELECT job_id, ok FROM b WHERE i > 0),
+sb AS (SELECT sf.* REPLACE (CASE WHEN NOT ok THEN 'rejected_balance' ELSE status END AS status,
+                            audited AND coalesce(ok, TRUE) AS audited,
+                            CASE WHEN NOT ok THEN 0.0 ELSE fraction END AS fraction)
+       FROM sf LEFT JOIN bal USING (job_id)),
 settled AS (
   SELECT job_id, worker, pool, publisher, offered_at, value, status, audited, fraction,
          CASE WHEN status = 'accepted' THEN stk ELSE 0 END AS stake,
@@ -67,8 +85,9 @@ settled AS (
          CASE WHEN status = 'accepted' AND fraction < 1.0
               THEN CAST(round(value * CAST({M.NETWORK_TAX} AS DOUBLE)) AS BIGINT) ELSE 0 END AS network_tax,
          CASE WHEN status = 'accepted' AND fraction < 1.0
-              THEN CAST(round(value * CAST({M.POOL_TAX} AS DOUBLE)) AS BIGINT) ELSE 0 END AS pool_tax
-  FROM sf),
+              THEN CAST(round(value * CAST({M.POOL_TAX} AS DOUBLE)) AS BIGINT) ELSE 0 END AS pool_tax,
+         CASE WHEN audited THEN coalesce(severity, 0.0) END AS severity
+  FROM sb),
 settled2 AS (SELECT *, CASE WHEN settled THEN value - network_tax - pool_tax ELSE 0 END AS paid
              FROM settled)"""
 
@@ -84,6 +103,18 @@ def q_settle(spark, root):
                     "stake", "slashed", "returned", "settled", "network_tax", "pool_tax", "paid")
 
 
+@register("job_events", BASE + """
+SELECT job_id, worker, pool, event, CAST(amount AS BIGINT) AS amount FROM (
+  SELECT job_id, worker, pool,
+         unnest(['volume', 'audit_pass', 'audit_fail', 'fraud_report', 'slash', 'settle']) AS event,
+         unnest([settled AND pool IS NOT NULL, audited AND severity <= 0, audited AND severity > 0,
+                 audited AND severity > 0, slashed > 0, settled]) AS happens,
+         unnest([value, 0, 0, stake, slashed, paid]) AS amount FROM settled2)
+WHERE happens""")
+def q_events(spark, root):
+    return M.lifecycle_events(settled(Tables(spark, root))).select("job_id", "worker", "pool", "event", "amount")
+
+
 JOURNAL_SQL = """journal AS (
   SELECT worker AS node, CAST(NULL AS BIGINT) AS job_id, 'deposit' AS op, deposit AS amount FROM dep
   UNION ALL
