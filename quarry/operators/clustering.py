@@ -106,44 +106,12 @@ def _near_top(d2: np.ndarray, m: int):
 
 
 # ---------------------------------------------------------------- op 105
-def knn_graph(vectors: DataFrame, id_col: str, vec: str, k: int,
-              block_rows: int = 2048, strategy: str = "auto") -> DataFrame:
+def knn_graph(vectors: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 2048) -> DataFrame:
     """Op 105: the k nearest other points of every point (exact).
 
-    Output ``id, nbr, dist, rank`` (rank 1 = nearest; ties by neighbour id).
-    ``strategy``: ``"blocks"`` compares every block pair (best for a few
-    blocks), ``"pruned"`` skips block pairs that provably hold no neighbour
-    (:func:`knn_graph_pruned`), ``"auto"`` prunes beyond 8 blocks.
-    """
-    if strategy == "pruned" or (strategy == "auto"
-                                and math.ceil(vectors.count() / block_rows) > 8):
-        return knn_graph_pruned(vectors, id_col, vec, k, block_rows)
-    pairs, _ = _block_pairs(vectors, id_col, vec, block_rows)
-    keep = k + 2  # margin so engine-level rounding never drops a tie
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        same, left, right = _pair_sides(pdf)
-        out = []
-        for q, c, swap in ([(left, right, False)] if same else
-                           [(left, right, False), (right, left, True)]):
-            if len(q) == 0 or len(c) == 0:
-                continue
-            qm, cm = _mat(q["v"]), _mat(c["v"])
-            d2 = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2.0 * qm @ cm.T
-            qid, cid = q["id"].to_numpy(), c["id"].to_numpy()
-            if same:
-                d2[qid[:, None] == cid[None, :]] = np.inf
-            rows, cols = _near_top(d2, keep)
-            out.append(pd.DataFrame({"id": qid[rows], "nbr": cid[cols],
-                                     "dist": _exact_dist(qm[rows], cm[cols])}))
-        if not out:
-            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-        return pd.concat(out, ignore_index=True)
-
-    cand = pairs.groupBy("pa", "pb").applyInPandas(fn, "id long, nbr long, dist double")
-    w = Window.partitionBy("id").orderBy(F.round("dist", 9), F.col("nbr"))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("long")))
+    Output ``id, nbr, dist, rank`` (rank 1 = nearest; ties by neighbour id),
+    by :func:`knn_graph_pruned` at every size."""
+    return knn_graph_pruned(vectors, id_col, vec, k, block_rows)
 
 
 def _topk_rows(qid, qm, cid, cm, keep: int, exclude_self: bool) -> pd.DataFrame:
@@ -470,35 +438,15 @@ def linkage_stars_pruned(vectors: DataFrame, core: DataFrame, id_col: str, vec:
 
 
 def linkage_stars(vectors: DataFrame, core: DataFrame, id_col: str, vec: str,
-                  cuts: list[float], block_rows: int = 1024, strategy: str = "auto") -> DataFrame:
-    """Per cut level, star edges ``(level, u, v)``: inside each block-pair
-    group the minimum spanning forest is cut at the level and every point is
-    linked to the smallest id of its local component.  Components are the
-    same as those of the full threshold graph (every threshold edge lies in
-    some group, whose forest connects its ends), and stars make the global
-    connected-components rounds converge quickly.  ``strategy`` as in
-    :func:`knn_graph` (``auto`` prunes beyond 8 blocks)."""
-    if strategy == "pruned" or (strategy == "auto"
-                                and math.ceil(vectors.count() / block_rows) > 8):
-        return linkage_stars_pruned(vectors, core, id_col, vec, cuts, block_rows)
-    v = vectors.join(core.select(F.col("id").alias(id_col), "core"), id_col)
-    pairs, _ = _block_pairs(v, id_col, vec, block_rows, extra=["core"])
-    max_cut = max(cuts)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        same, left, right = _pair_sides(pdf)
-        pts = left if same else pd.concat([left, right], ignore_index=True)
-        x = _mat(pts["v"])
-        us, vs, ws = _prim_forest(x, pts["core"].to_numpy(dtype=np.float64), max_cut)
-        ids = pts["id"].to_numpy()
-        rows = []
-        for lvl, cut in enumerate(cuts):
-            a, b = _local_stars(ids, us, vs, ws, cut)
-            rows.append(pd.DataFrame({"level": lvl, "u": a, "v": b}))
-        return pd.concat(rows, ignore_index=True)
-
-    e = pairs.groupBy("pa", "pb").applyInPandas(fn, "level int, u long, v long")
-    return e.distinct()
+                  cuts: list[float], block_rows: int = 1024) -> DataFrame:
+    """Per cut level, star edges ``(level, u, v)``: inside each group of blocks
+    the minimum spanning forest is cut at the level and every point is linked
+    to the smallest id of its local component.  Components are the same as
+    those of the full threshold graph (every threshold edge lies in some
+    group, whose forest connects its ends), and stars make the global
+    connected-components rounds converge quickly.  One algorithm at every
+    size: :func:`linkage_stars_pruned`."""
+    return linkage_stars_pruned(vectors, core, id_col, vec, cuts, block_rows)
 
 
 def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:

@@ -182,69 +182,41 @@ def _vectorized_best_of(point_id: str, point_vec: str, id_type):
 
 def assign_nearest(points: DataFrame, centroids: DataFrame, point_id: str, point_vec: str,
                    cid: str, cvec: str, corder: str, min_sim: float = 0.4,
-                   max_centroids_per_pass: int = 4096, method: str = "auto") -> DataFrame:
+                   max_centroids_per_pass: int = 4096) -> DataFrame:
     """Op 36: nearest centroid by cosine, without a join.
 
-    The centroid list is a model, not data, and its size is checked: up to
-    ``max_centroids_per_pass`` centroids are packed into one array that
-    reaches the executors as a scalar subquery, and every point scans it with
-    ``aggregate`` (JVM-side, no pairs materialized).  A longer list is cut
-    into blocks by ``corder`` rank, one pass per block, and the per-pass
-    winners are reduced with ``max_by`` per point.  ``method``: ``"jvm"``
-    (built-in array functions), ``"vectorized"`` (the block ships with the
-    task and each Arrow batch is one BLAS product - for long lists) or
-    ``"auto"`` (vectorized beyond 256 centroids).
+    The centroid list is a model, not data.  It is cut by the hash of its ids
+    into blocks of about ``max_centroids_per_pass``; a block ships with the
+    tasks of one pass, in which every Arrow batch of points is one BLAS
+    product, and the winners of the passes are reduced per point.  The
+    arithmetic is the same for any number of centroids.
     Similarity below ``min_sim`` -> NULL id but the similarity is kept; no
     centroid -> NULL id with similarity 0.0; a zero point vector is rejected
     (row dropped); a zero centroid scores 0; ties -> first centroid in
     ``corder``.
     """
-    stats = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(corder).alias("mx")).first()
-    n = stats["n"]
+    n = centroids.count()
     p = points.filter(S.sq_norm(point_vec) > 0)
     id_type = centroids.schema[cid].dataType
     if n == 0:
         return p.withColumn(cid, F.lit(None).cast(id_type)).withColumn("similarity", F.lit(0.0))
+    n_pass = -(-n // max_centroids_per_pass)
     c = centroids.select(F.col(corder).cast("long").alias("ord"), F.col(cid).alias("id"),
-                         S.l2_normalize(cvec).alias("v"))
-    pn = p.withColumn("_pv", S.l2_normalize(point_vec))
-    # blocks by ordinal range (``corder`` is normally a dense 0-based ordinal)
-    n_pass = 1 if n <= max_centroids_per_pass else int(stats["mx"]) // max_centroids_per_pass + 1
-    if n_pass > 1:
-        c = c.withColumn("_blk", F.floor(F.col("ord") / max_centroids_per_pass))
-
-    def best_of(df, packed):
-        # The packed list is projected as a column first (a subquery may not sit
-        # inside a lambda).  array_max over (similarity, -ordinal, id) structs
-        # picks the highest similarity, ties to the first centroid.
-        sims = F.transform(F.col("_cs"), lambda ce: F.struct(
-            S.dot(F.col("_pv"), ce["v"]).alias("s"), (-ce["ord"]).alias("no"),
-            ce["id"].alias("id")))
-        return df.withColumn("_cs", packed).withColumn("_best", F.array_max(sims)).drop("_cs")
-
-    def pack(blk):
-        return blk.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "v")))).scalar()
-
-    vectorized = method == "vectorized" or (method == "auto" and n > 256)
-    if vectorized:
-        # many centroids: per Arrow batch one BLAS product against the
-        # (size-checked) normalized centroid block shipped with the task
-        best_of = _vectorized_best_of(point_id, point_vec, id_type)
-        pack = _collect_block
-    if n_pass == 1:
-        out = best_of(pn, pack(c))
-    else:
-        parts = [best_of(pn.select(point_id, point_vec, "_pv"), pack(c.filter(F.col("_blk") == k)))
-                 .select(point_id, "_best") for k in range(n_pass)]
-        u = parts[0]
-        for x in parts[1:]:
-            u = u.unionByName(x)
-        u = u.groupBy(point_id).agg(F.max("_best").alias("_best"))
-        out = pn.join(u, point_id)
+                         S.l2_normalize(cvec).alias("v")).withColumn(
+        "_blk", F.pmod(F.xxhash64("id"), F.lit(n_pass)))
+    best_of = _vectorized_best_of(point_id, point_vec, id_type)
+    own = p.select(point_id, point_vec)
+    u = None
+    for k in range(n_pass):
+        block = _collect_block(c.filter(F.col("_blk") == k))
+        if len(block[1]):
+            part = best_of(own, block).select(point_id, "_best")
+            u = part if u is None else u.unionByName(part)
+    u = u.groupBy(point_id).agg(F.max("_best").alias("_best"))
     sim = F.col("_best.s")
-    return (out.withColumn("similarity", sim)
+    return (p.join(u, point_id).withColumn("similarity", sim)
             .withColumn(cid, F.when(sim >= min_sim, F.col("_best.id")).cast(id_type))
-            .drop("_best", "_pv"))
+            .drop("_best"))
 
 
 def link_parents(child_members: DataFrame, parent_members: DataFrame, child: str, parent: str,

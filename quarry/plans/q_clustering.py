@@ -8,9 +8,14 @@ from quarry.operators import clustering as C
 from quarry.plans import bindings as B
 from quarry.plans.q_scalars import PLANTED_SQL, planted
 from quarry.plans.registry import register
+from quarry.session import cut_lineage
 from quarry.sources.tables import Tables
 
 
+#: Small blocks, so that the tables at hand fill several groups.
+BLOCK_ROWS = 256
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -35,7 +40,7 @@ def _points(spark, root):
 @register("knn_graph", PAIRS_SQL + """
 SELECT u AS id, v AS nbr, rank, round(dist, 6) AS dist FROM knn WHERE rank <= 5""")
 def q_knn(spark, root):
-    k = C.knn_graph(_points(spark, root), "id", "v", 5)
+    k = C.knn_graph(_points(spark, root), "id", "v", 5, BLOCK_ROWS)
     return k.select("id", "nbr", "rank", r6(F.col("dist")).alias("dist"))
 
 
@@ -44,7 +49,7 @@ SELECT round(scale, 6) AS scale FROM scale""")
 def q_scale(spark, root):
     p = _points(spark, root)
     n = p.count()
-    knn = C.knn_graph(p, "id", "v", 5)
+    knn = cut_lineage(C.knn_graph(p, "id", "v", 5, BLOCK_ROWS))
     s = C.density_scale(knn, n, 5)
     return spark.range(1).select(F.round(F.lit(s), 6).alias("scale"))
 
@@ -67,10 +72,10 @@ FROM cc JOIN sz USING (label)""")
 def q_linkage(spark, root):
     p = _points(spark, root)
     n = p.count()
-    knn = C.knn_graph(p, "id", "v", C.MIN_SAMPLES)
+    knn = cut_lineage(C.knn_graph(p, "id", "v", C.MIN_SAMPLES, BLOCK_ROWS))   # read by scale and cores
     scale = C.density_scale(knn, n, 5)
     core = knn.filter(F.col("rank") == C.MIN_SAMPLES).select("id", F.col("dist").alias("core"))
-    stars = C.linkage_stars(p, core, "id", "v", [LINK_MULT * scale])
+    stars = C.linkage_stars(p, core, "id", "v", [LINK_MULT * scale], BLOCK_ROWS)
     return C.clusters_from_edges(p, stars.select("u", "v"), C.MIN_CLUSTER_SIZE)
 
 

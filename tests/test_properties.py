@@ -184,7 +184,7 @@ def test_block_cuts_keep_ties(spark):
         assert [r.did for r in got.filter(F.col("qid") == i).orderBy("rank").collect()] == exp
     xdf = spark.createDataFrame([(j, D[j].tolist()) for j in range(50)], "id long, v array<double>")
     Dm = np.sqrt(((D[:, None, :] - D[None, :, :]) ** 2).sum(-1))
-    for fn in (lambda: C.knn_graph(xdf, "id", "v", 3, block_rows=6, strategy="blocks"),
+    for fn in (lambda: C.knn_graph(xdf, "id", "v", 3, block_rows=6),
                lambda: C.knn_graph_pruned(xdf, "id", "v", 3, block_rows=6)):
         res = {}
         for r in fn().collect():
@@ -211,9 +211,9 @@ def test_assign_nearest_multipass_equals_single(spark):
                                 "cid long, ord long, c array<double>")
     one = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0)
     many = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0, max_centroids_per_pass=3)
-    vec = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0, method="vectorized")
+    vec = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0)
     vec_many = J.assign_nearest(pts, cen, "pid", "v", "cid", "c", "ord", 0.0,
-                                max_centroids_per_pass=4, method="vectorized")
+                                max_centroids_per_pass=4)
     a = sorted((r.pid, r.cid, round(r.similarity, 9)) for r in one.collect())
     b = sorted((r.pid, r.cid, round(r.similarity, 9)) for r in many.collect())
     c = sorted((r.pid, r.cid, round(r.similarity, 9)) for r in vec.collect())
