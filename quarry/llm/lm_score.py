@@ -227,6 +227,20 @@ def fit_pieces(counts: DataFrame, ends: int, pieces: list[bytes], prior: np.ndar
     return logp
 
 
+def _frequent(table: DataFrame) -> DataFrame:
+    """The most counted words, ``FREQUENT`` at most: those at or above the
+    least count class (eighths of a power of two) that keeps the bound."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = table.filter("c > 0").groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["k"]):
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least = r["k"]
+    return table.filter(F.lit(False) if least is None else (F.col("c") > 0) & (step >= least))
+
+
 def score_documents(docs: DataFrame, train: Column, pieces: list[tuple[bytes, float]], id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, ``n_tokens`` (words and the end),
@@ -259,7 +273,7 @@ def score_documents(docs: DataFrame, train: Column, pieces: list[tuple[bytes, fl
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column("c"), pa.array(lat)], names=schema.names)
     table = cut_lineage(counts.mapInArrow(weigh, schema))
 
-    top = table.orderBy(F.col("c").desc(), "h").limit(FREQUENT).toPandas().sort_values("h")
+    top = _frequent(table).toPandas().sort_values("h")
     frequent = sc.broadcast((top["h"].to_numpy(), top["c"].to_numpy(), top["lat"].to_numpy(),
                              ends, norm, logp[-1] / np.log(10)))
     # per document one row of its own with what the frequent words give, and

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.textscan import field
 
-_PARTS = 64
+_PARTS = 16
 
 
 def sum_vectors(df: DataFrame, per_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int,
