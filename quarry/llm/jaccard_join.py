@@ -21,10 +21,11 @@ that many documents share) last, and the number of keys accounts for them.
 
 Copies are merged first: sets with one digest are one class.  Links between
 classes are looked for in rounds, so that a group of thousands of near copies
-needs no pairs within it: (1) every class against the least class of each of
-its keys, (2) against another one, drawn per key, (3) all opened pairs of
-leaves, each round only between classes that are not connected yet.  After
-round 3 every pair that links is connected.
+needs no pairs within it: (1) every class against one other, the least that
+the bound lets link among the least classes of its keys, (2) against a class
+drawn for each of its keys, (3) all opened pairs of leaves, each round only
+between classes that are not connected yet.  After round 3 every pair that
+links is connected.
 
 Edge cases: a null or empty text has an empty set and links with nothing; a
 null id links with nothing and has a null component; rows that share an id
@@ -43,10 +44,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.stored import stored
 from quarry.llm.textscan import (NOT_SPACE, Texts, field, map_slices, mix, ngrams, row_of, text_slices)
 from quarry.llm.vectors import sum_vectors
 from quarry.operators.clustering import connected_components
-from quarry.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 80
@@ -56,7 +57,7 @@ MISS = 1e-12
 #: Hash groups whose counts tell crowded shingles; the table is 2 MB.
 CROWD_BITS = 18
 #: Ids of documents sent to every task at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 class Shingles:
@@ -109,20 +110,24 @@ class Shingles:
 def n_keys(n: int, crowded: int, percent: int = PERCENT, miss: float = MISS) -> int:
     """How many of the first shingles of a set of ``n``, ``crowded`` of them
     at the end of the order, a link must show itself in: the exact prefix
-    length, or fewer where the chance to miss falls below ``miss``."""
+    length, or fewer where the chance to miss falls below ``miss``.  Linked
+    sets share at least ``percent`` of either; where fewer are crowded, a
+    link shares one of the others, and no crowded shingle is needed."""
     outside = n - -(-percent * n // 100)
+    plain = n - crowded
+    if 100 * crowded < percent * n:
+        parts, most = [(plain, min(outside, plain - 1))], min(outside + 1, plain)
+    else:
+        rest = max(0, outside - plain)
+        parts, most = [(plain, min(outside, plain)), (crowded, rest)], outside + 1
     chance, k = 1.0, 0
-    for part in (n - crowded, crowded):
-        left = min(outside, part)
+    for part, left in parts:
         for i in range(part):
-            if chance < miss or k > outside:
-                return max(1, min(k, outside + 1))
-            chance *= (left - i) / (part - i) if left > i else 0.0
+            if chance < miss or k >= most:
+                return max(1, min(k, most))
+            chance *= max(left - i, 0) / (part - i)
             k += 1
-        outside_left = outside - left
-        if outside_left <= 0:
-            break
-    return max(1, min(k, outside + 1))
+    return max(1, min(k, most))
 
 
 def crowded_groups(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -145,10 +150,12 @@ def crowded_groups(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def points(docs: DataFrame, crowded: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, the set's size ``n``, its class ``cid``, the group
-    counts ``vec`` and the routing ``keys`` (empty sets have none)."""
+    counts ``vec``, the number of ``crowded`` shingles and the routing ``keys``
+    (empty sets have none)."""
     shared = docs.sparkSession.sparkContext.broadcast(crowded)
     schema = T.StructType([docs.schema[id_col], field("n", T.LongType()), field("cid", T.LongType()),
-                           field("vec", T.ArrayType(T.IntegerType())), field("keys", T.ArrayType(T.LongType()))])
+                           field("vec", T.ArrayType(T.IntegerType())), field("crowded", T.LongType()),
+                           field("keys", T.ArrayType(T.LongType()))])
 
     def make():
         table = shared.value
@@ -165,28 +172,17 @@ def points(docs: DataFrame, crowded: np.ndarray, id_col: str = "doc_id", text_co
                 pa.array(np.concatenate([[0], np.cumsum(np.minimum(want, s.size))]), pa.int32()), pa.array(keys))
             vecs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(vec) + 1, GROUPS), pa.int32()), pa.array(vec))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(s.size), pa.array(s.class_ids()), vecs, lists],
+                [batch.column(id_col), pa.array(s.size), pa.array(s.class_ids()), vecs, pa.array(late), lists],
                 names=schema.names)
         return fn
     return map_slices(docs.select(id_col, text_col), text_col, schema, make)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The sorted shingle set of one document of every wanted class."""
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``wanted`` with the text of the document ``rep`` of every row."""
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("rep")).select("cid", text_col)
-    schema = T.StructType([field("cid", T.LongType()), field("shingles", T.BinaryType())])
-
-    def make():
-        def fn(batch):
-            s = Shingles(batch.column(text_col))
-            raw = [s.hash[a:b].tobytes() for a, b in zip(s.bound, s.bound[1:])]
-            own = s.class_ids() == batch.column("cid").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(raw, pa.binary())],
-                                             names=schema.names).filter(pa.array(own))
-        return fn
-    return map_slices(rows, text_col, schema, make).dropDuplicates(["cid"])
+    return docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("rep")).drop(id_col, "rep")
 
 
 def _may_link(na: Column, nb: Column, va: Column, vb: Column) -> Column:
@@ -197,23 +193,69 @@ def _may_link(na: Column, nb: Column, va: Column, vb: Column) -> Column:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of classes that link."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = cut_lineage(classes.join(ids, "cid").select("cid", "rep"))
-    sets = cut_lineage(_sets(docs, wanted, id_col, text_col))
-    both = (pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b"))
-    schema = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
+    """Those of the pairs ``(x, m)`` of classes that link.  The set of x goes
+    to its partners, so only one side of a pair is shuffled."""
+    rep = classes.select("cid", "rep")
+    left = stored(pairs.groupBy("x").agg(F.collect_set("m").alias("ms")).join(rep, F.col("x") == F.col("cid"))
+                  .select("x", "ms", "rep"), "jaccard-members")
+    right = stored(pairs.select(F.col("m").alias("cid")).distinct().join(rep, "cid").select("cid", "rep"),
+                   "jaccard-centres")
+    sent = T.StructType([field("x", T.LongType()), field("m", T.LongType()), field("sx", T.BinaryType())])
+    own = T.StructType([field("cid", T.LongType()), field("sm", T.BinaryType())])
+
+    def make_sent():
+        def fn(batch):
+            s = Shingles(batch.column(text_col))
+            x = batch.column("x").to_numpy()
+            for i in np.flatnonzero(s.class_ids() == x):
+                raw = s.hash[s.bound[i]:s.bound[i + 1]].tobytes()
+                ms = batch.column("ms")[int(i)].values
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ms), x[i])), ms.cast(pa.int64()), pa.array([raw] * len(ms), pa.binary())],
+                    names=sent.names)
+        return fn
+
+    def make_own():
+        def fn(batch):
+            s = Shingles(batch.column(text_col))
+            raw = [s.hash[a:b].tobytes() for a, b in zip(s.bound, s.bound[1:])]
+            same = s.class_ids() == batch.column("cid").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(raw, pa.binary())],
+                                             names=own.names).filter(pa.array(same))
+        return fn
+    a = map_slices(_texts(docs, left, id_col, text_col), text_col, sent, make_sent)
+    b = map_slices(_texts(docs, right, id_col, text_col), text_col, own, make_own)
+    schema = T.StructType([field("x", T.LongType()), field("m", T.LongType())])
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
+            for x, y in zip(batch.column("sx"), batch.column("sm")):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, schema)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            yield batch.select(["x", "m"]).filter(pa.array(keep, pa.bool_()))
+    return (a.join(b, F.col("m") == F.col("cid")).select("x", "m", "sx", "sm")
+            .mapInArrow(run, schema).distinct())
+
+
+def _labels(links: DataFrame) -> DataFrame | None:
+    """Component label of every node of the links ``(u, v)``.  Each node is
+    first hung under its least partner; only the partners' own links, few in
+    stars, go through the rounds of :func:`connected_components`."""
+    e = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+               .filter("u != v").distinct(), "jaccard-links")
+    if e.isEmpty():
+        return None
+    up = e.groupBy("v").agg(F.min("u").alias("p"))
+    over = e.select("u").distinct()
+    rest = stored(e.join(up, "v").filter("u != p").select("u", F.col("p").alias("v"))
+                  .union(up.join(over, up["v"] == over["u"], "left_semi").select(F.col("v").alias("u"), F.col("p").alias("v")))
+                  .distinct(), "jaccard-stars")
+    nodes = up.select(F.col("v").alias("id"), F.col("p").alias("comp")).union(over.select(F.col("u").alias("id"), "u"))
+    if not rest.isEmpty():
+        nodes = _relabel(nodes, connected_components(rest))
+    return nodes.groupBy("id").agg(F.min("comp").alias("label"))
 
 
 def _relabel(rows: DataFrame, labels: DataFrame | None, col: str = "comp") -> DataFrame:
@@ -230,21 +272,23 @@ def _star_pairs(rows: DataFrame, classes: DataFrame, centre: Column) -> DataFram
     are not connected yet and the bound allows a link."""
     mid = rows.groupBy("key").agg(F.min_by("cid", centre).alias("m"))
     pairs = (rows.join(mid, "key").filter(F.col("cid") != F.col("m"))
-             .select(F.least("cid", "m").alias("a"), F.greatest("cid", "m").alias("b")).distinct())
+             .select(F.col("cid").alias("x"), "m").distinct())
     side = {s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("vec").alias(f"v{s}"),
-                              F.col("comp").alias(f"c{s}")) for s in "ab"}
-    return (pairs.join(side["a"], "a").join(side["b"], "b").filter(F.col("ca") != F.col("cb"))
-            .filter(_may_link(F.col("na"), F.col("nb"), F.col("va"), F.col("vb"))).select("a", "b"))
+                              F.col("comp").alias(f"c{s}")) for s in "xm"}
+    return (pairs.join(side["x"], "x").join(side["m"], "m").filter(F.col("cx") != F.col("cm"))
+            .filter(_may_link(F.col("nx"), F.col("nm"), F.col("vx"), F.col("vm"))).select("x", "m"))
 
 
 def _leaf_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs of unconnected classes that share a key and that the bound
-    lets link: leaves packed by size within a key, boxes first."""
-    full = rows.select("key", "cid").join(classes.select("cid", "n", "vec", "comp"), "cid")
+    lets link: leaves packed by size within a key, boxes first.  Under a
+    crowded key only those are left whose crowded shingles alone are enough
+    for a link; all others also meet under a key that is not crowded."""
+    full = rows.select("key", "cid").join(classes.select("cid", "n", "vec", "comp", "crowded"), "cid")
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "cid"))
     leaves = (full.withColumn("leaf", F.floor((place - 1) / LEAF))
               .groupBy("key", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"),
-                                          F.collect_list(F.struct("cid", "comp", "n", "vec")).alias("m")))
+                                          F.collect_list(F.struct("cid", "comp", "n", "crowded", "vec")).alias("m")))
     top = F.expr(f"transform(sequence(0, {GROUPS - 1}), i -> array_max(transform(m, x -> x.vec[i])))")
     leaves = leaves.withColumn("box", top)
     left, right = (leaves.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("leaf", "low", "high", "m", "box")])
@@ -253,65 +297,74 @@ def _leaf_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     opened = (left.join(right, "key").filter(F.col("leaf_a") <= F.col("leaf_b"))
               .filter(F.col("low_b") * PERCENT <= F.col("high_a") * 100)
               .filter(bound * (100 + PERCENT) >= (F.col("low_a") + F.col("low_b")) * PERCENT)
-              .select("m_a", "m_b", (F.col("leaf_a") == F.col("leaf_b")).alias("same")))
-    schema = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
+              .select("m_a", "m_b", (F.col("leaf_a") == F.col("leaf_b")).alias("same"),
+                      (F.col("key") < 0).alias("late")))
+    schema = T.StructType([field("x", T.LongType()), field("m", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            for x, y, same in zip(batch.column("m_a"), batch.column("m_b"), batch.column("same").to_pylist()):
-                (ia, ca, na, va), (ib, cb, nb, vb) = (
+            for x, y, same, late in zip(batch.column("m_a"), batch.column("m_b"),
+                                        batch.column("same").to_pylist(), batch.column("late").to_pylist()):
+                (ia, ca, na, la, va), (ib, cb, nb, lb, vb) = (
                     (s.field("cid").to_numpy(), s.field("comp").to_numpy(), s.field("n").to_numpy(),
-                     s.field("vec").flatten().to_numpy().reshape(len(s), GROUPS))
+                     s.field("crowded").to_numpy(), s.field("vec").flatten().to_numpy().reshape(len(s), GROUPS))
                     for s in (x.values, y.values))
                 shared = np.minimum(va[:, None, :], vb[None, :, :]).sum(axis=2)
                 ok = ((ca[:, None] != cb[None, :])
                       & (shared * (100 + PERCENT) >= (na[:, None] + nb[None, :]) * PERCENT)
                       & (np.minimum(na[:, None], nb[None, :]) * 100 >= np.maximum(na[:, None], nb[None, :]) * PERCENT))
+                if late:
+                    ok &= (np.minimum(la[:, None], lb[None, :]) * (100 + PERCENT)
+                           >= (na[:, None] + nb[None, :]) * PERCENT)
                 if same:
                     ok &= ia[:, None] < ib[None, :]
                 i, j = np.nonzero(ok)
                 a, b = np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=schema.names)
     return opened.mapInArrow(run, schema).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles`` and
     ``component_id``, the smallest id reachable by links."""
-    pts = cut_lineage(points(docs, crowded_groups(docs, text_col), id_col, text_col))
+    pts = stored(points(docs, crowded_groups(docs, text_col), id_col, text_col), "jaccard-points")
     known = pts.filter((F.col("n") > 0) & F.col(id_col).isNotNull())
-    classes = cut_lineage(known.groupBy("cid").agg(
+    classes = stored(known.groupBy("cid").agg(
         F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"),
-        F.first("keys").alias("keys")))
+        F.first("crowded").alias("crowded"), F.first("keys").alias("keys")), "jaccard-classes")
     rows = classes.select(F.explode("keys").alias("key"), "cid")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    rows = cut_lineage(rows.join(shared, "key"))
+    rows = stored(rows.join(shared, "key"), "jaccard-rows")
 
     # rows that share an id are one node: their classes are connected
     nodes = known.select(F.col(id_col).alias("id"), "cid").distinct()
-    edges = (nodes.groupBy("id").agg(F.min("cid").alias("u"), F.max("cid").alias("m"), F.count("*").alias("c"))
-             .filter("c > 1").join(nodes, "id").select("u", F.col("cid").alias("v")).filter("u != v"))
-    comps = classes.select("cid", F.col("cid").alias("comp"), "n", "vec", "rep")
-    rounds = [lambda r, c: _star_pairs(r, c, F.col("cid")),
+    edges = stored(nodes.groupBy("id").agg(F.min("cid").alias("u"), F.count("*").alias("c"))
+                   .filter("c > 1").join(nodes, "id").select("u", F.col("cid").alias("v")).filter("u != v"),
+                   "jaccard-shared-ids")
+    comps = classes.select("cid", F.col("cid").alias("comp"), "n", "vec", "crowded")
+    rounds = [lambda r, c: _star_pairs(r, c, F.col("cid")).groupBy("x").agg(F.min("m").alias("m")),
               lambda r, c: _star_pairs(r, c, F.xxhash64("cid", "key")),
               _leaf_pairs]
-    for find in rounds:
-        pairs = cut_lineage(find(rows, comps))
-        if pairs.isEmpty() and edges is None:
-            continue
-        links = _verified(docs, classes, pairs, id_col, text_col)
-        named = comps.select("cid", "comp")
-        found = (links.join(named.withColumnsRenamed({"cid": "a", "comp": "u"}), "a")
-                 .join(named.withColumnsRenamed({"cid": "b", "comp": "v"}), "b").select("u", "v"))
-        if edges is not None:
-            found, edges = found.union(edges), None
-        labels = connected_components(found)
-        comps = cut_lineage(_relabel(comps, labels))
-        # go on with the keys whose classes are not all connected
-        marked = rows.join(comps.select("cid", "comp"), "cid")
-        open_keys = (marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                     .filter("x != y").select("key"))
-        rows = cut_lineage(rows.join(open_keys, "key"))
+    for k, find in enumerate(rounds):
+        pairs = stored(find(rows, comps), "jaccard-pairs")
+        found = edges if k == 0 else None
+        if not pairs.isEmpty():
+            named = comps.select("cid", "comp")
+            links = (_verified(docs, classes, pairs, id_col, text_col)
+                     .join(named.withColumnsRenamed({"cid": "x", "comp": "u"}), "x")
+                     .join(named.withColumnsRenamed({"cid": "m", "comp": "v"}), "m").select("u", "v"))
+            found = links if found is None else links.union(found)
+        labels = None if found is None else _labels(found)
+        if labels is not None:
+            comps = stored(_relabel(comps, labels), "jaccard-components")
+        if k < len(rounds) - 1:
+            # go on with the keys whose classes are not all connected
+            marked = rows.join(comps.select("cid", "comp"), "cid")
+            open_keys = (marked.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+                         .filter("a != b").select("key"))
+            rows = stored(rows.join(open_keys, "key"), "jaccard-rows")
+            if rows.isEmpty():
+                break
 
     member = known.select(id_col, "cid").join(comps.select("cid", "comp"), "cid")
     least = member.groupBy("comp").agg(F.min(id_col).alias("component_id"))
