@@ -58,6 +58,7 @@ MISS = 1e-12
 CROWD_BITS = 18
 #: Ids of documents sent to every task at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+_KEY_BITS = (1 << 64) - 1
 
 
 class Shingles:
@@ -283,12 +284,13 @@ def _leaf_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """All pairs of unconnected classes that share a key and that the bound
     lets link: leaves packed by size within a key, boxes first.  Under a
     crowded key only those are left whose crowded shingles alone are enough
-    for a link; all others also meet under a key that is not crowded."""
-    full = rows.select("key", "cid").join(classes.select("cid", "n", "vec", "comp", "crowded"), "cid")
+    for a link; all others also meet under a key that is not crowded.  A pair
+    comes out under the first of its common keys only."""
+    full = rows.select("key", "cid").join(classes.select("cid", "n", "vec", "comp", "crowded", "keys"), "cid")
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "cid"))
     leaves = (full.withColumn("leaf", F.floor((place - 1) / LEAF))
               .groupBy("key", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"),
-                                          F.collect_list(F.struct("cid", "comp", "n", "crowded", "vec")).alias("m")))
+                                          F.collect_list(F.struct("cid", "comp", "n", "crowded", "vec", "keys")).alias("m")))
     top = F.expr(f"transform(sequence(0, {GROUPS - 1}), i -> array_max(transform(m, x -> x.vec[i])))")
     leaves = leaves.withColumn("box", top)
     left, right = (leaves.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("leaf", "low", "high", "m", "box")])
@@ -297,14 +299,13 @@ def _leaf_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     opened = (left.join(right, "key").filter(F.col("leaf_a") <= F.col("leaf_b"))
               .filter(F.col("low_b") * PERCENT <= F.col("high_a") * 100)
               .filter(bound * (100 + PERCENT) >= (F.col("low_a") + F.col("low_b")) * PERCENT)
-              .select("m_a", "m_b", (F.col("leaf_a") == F.col("leaf_b")).alias("same"),
-                      (F.col("key") < 0).alias("late")))
+              .select("m_a", "m_b", (F.col("leaf_a") == F.col("leaf_b")).alias("same"), "key"))
     schema = T.StructType([field("x", T.LongType()), field("m", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            for x, y, same, late in zip(batch.column("m_a"), batch.column("m_b"),
-                                        batch.column("same").to_pylist(), batch.column("late").to_pylist()):
+            for x, y, same, key in zip(batch.column("m_a"), batch.column("m_b"),
+                                       batch.column("same").to_pylist(), batch.column("key").to_pylist()):
                 (ia, ca, na, la, va), (ib, cb, nb, lb, vb) = (
                     (s.field("cid").to_numpy(), s.field("comp").to_numpy(), s.field("n").to_numpy(),
                      s.field("crowded").to_numpy(), s.field("vec").flatten().to_numpy().reshape(len(s), GROUPS))
@@ -313,12 +314,18 @@ def _leaf_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 ok = ((ca[:, None] != cb[None, :])
                       & (shared * (100 + PERCENT) >= (na[:, None] + nb[None, :]) * PERCENT)
                       & (np.minimum(na[:, None], nb[None, :]) * 100 >= np.maximum(na[:, None], nb[None, :]) * PERCENT))
-                if late:
+                if key < 0:
                     ok &= (np.minimum(la[:, None], lb[None, :]) * (100 + PERCENT)
                            >= (na[:, None] + nb[None, :]) * PERCENT)
                 if same:
                     ok &= ia[:, None] < ib[None, :]
                 i, j = np.nonzero(ok)
+                if len(i):
+                    # without the sign the crowded keys, whose top bit is set, come last
+                    ka, kb = ([{k & _KEY_BITS for k in ks} for ks in s.field("keys").to_pylist()]
+                              for s in (x.values, y.values))
+                    first = [min(ka[p] & kb[q]) == key & _KEY_BITS for p, q in zip(i.tolist(), j.tolist())]
+                    i, j = i[first], j[first]
                 a, b = np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=schema.names)
     return opened.mapInArrow(run, schema).distinct()
@@ -341,7 +348,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = stored(nodes.groupBy("id").agg(F.min("cid").alias("u"), F.count("*").alias("c"))
                    .filter("c > 1").join(nodes, "id").select("u", F.col("cid").alias("v")).filter("u != v"),
                    "jaccard-shared-ids")
-    comps = classes.select("cid", F.col("cid").alias("comp"), "n", "vec", "crowded")
+    comps = classes.select("cid", F.col("cid").alias("comp"), "n", "vec", "crowded", "keys")
     rounds = [lambda r, c: _star_pairs(r, c, F.col("cid")).groupBy("x").agg(F.min("m").alias("m")),
               lambda r, c: _star_pairs(r, c, F.xxhash64("cid", "key")),
               _leaf_pairs]
