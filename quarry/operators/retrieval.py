@@ -67,9 +67,14 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 # ---------------------------------------------------------------- BM25
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75,
          qid_col: str = "item_id", qtext_col: str = "text",
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text",
+         cost: Column | None = None, budget: int | None = None) -> DataFrame:
     """Op 93: Okapi BM25 top-k documents per query.
 
+    With ``cost`` (a whole number of at least 1 per document) and ``budget``
+    the ranking is not cut at ``k``: it holds every document whose running
+    cost, in rank order, is at most ``budget`` (and some that follow).
+
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term
     counts once.  Plan:
     1. postings restricted to the query vocabulary (a broadcast semi join
@@ -102,14 +107,19 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: f
         F.col("tf") + k1 * (F.lit(1.0 - b) + b * F.col("dl") / avgdl))
     qside = qterms.join(dfreq, "term").select("qid", "term", idf.alias("w"))
     dside = tf.select("doc_id", "term", tf_part.alias("w"))
+    costs = None
+    if budget is not None:
+        costs = docs.select(F.col(id_col).alias("doc_id"), cost.alias("w"))
+        k = budget  # every document costs at least 1, so none of a later rank fits
     scored = sparse_topk(qside, dside, "qid", "doc_id", k, n_queries=queries.count(),
-                         n_docs=docs.count())
+                         n_docs=docs.count(), costs=costs, budget=budget)
     return rank_scores(scored, "qid", k).withColumnRenamed("qid", qid_col)
 
 
 def sparse_topk(qside: DataFrame, dside: DataFrame, qid: str, did: str, k: int,
                 n_queries: int, n_docs: int, query_block: int = 128,
-                doc_block: int = 512) -> DataFrame:
+                doc_block: int = 512, costs: DataFrame | None = None,
+                budget: int | None = None) -> DataFrame:
     """Top-k of sum_t q(qid, t) * d(did, t) per query, exact, as a blocked
     sparse-dense matrix product.
 
@@ -123,6 +133,10 @@ def sparse_topk(qside: DataFrame, dside: DataFrame, qid: str, did: str, k: int,
     (query, document) pair is written out; the final per-query cut reads
     k+2 rows per document block.
     Only documents sharing a term with the query (positive score) count.
+
+    With ``costs`` (``did``, ``w``) and ``budget`` a block keeps, in place of
+    the best k+2, the documents whose better ones in the block cost at most
+    ``budget`` together (:func:`block_fit`).
     """
     import numpy as np
     import pandas as pd
@@ -151,10 +165,22 @@ def sparse_topk(qside: DataFrame, dside: DataFrame, qid: str, did: str, k: int,
         np.add.at(D, (di, vocab.get_indexer(ds["term"])), ds["w"].to_numpy())
         S = Q @ D.T
         S[S <= 0] = -np.inf  # only documents sharing a term with the query
-        rows, cols = block_top(S, keep, largest=True)
+        if budget is None:
+            rows, cols = block_top(S, keep, largest=True)
+        else:
+            cs = pdf[pdf["side"] == 2]
+            cost = cs.groupby("id")["w"].min().reindex(dids).to_numpy()
+            if not (cost >= 1).all():
+                raise ValueError("every document must cost at least 1")
+            rows, cols = block_fit(S, cost, budget)
         return pd.DataFrame({"qid": qids[rows], "did": dids[cols], "score": S[rows, cols]})
 
     both = q.unionByName(d)
+    if budget is not None:
+        c = costs.select(F.col(did).cast("long").alias("id"), F.lit(None).cast("string").alias("term"),
+                         F.col("w").cast("double").alias("w"), F.lit(2).alias("side"),
+                         F.pmod(F.xxhash64(did), F.lit(bd)).cast("int").alias("db"))
+        both = both.unionByName(c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
     cand = both.groupBy("qb", "db").applyInPandas(fn, "qid long, did long, score double")
     return cand.select(F.col("qid").alias(qid), F.col("did").alias(did), "score")
 
@@ -187,6 +213,25 @@ def block_top(S, m: int, largest: bool = True):
     return rows[ok], cols[ok]
 
 
+def block_fit(S, cost, budget: float):
+    """Row and column indices of every entry of ``S`` whose better entries of
+    its row (by more than TIE_TOL) cost at most ``budget`` together.  An entry
+    left out is over the budget in any ranking that holds the block, and so is
+    all that follows it: the entries kept before it cost more than the budget
+    already.  Infinite / NaN entries are never returned."""
+    import numpy as np
+    key = np.where(np.isfinite(S), -S, np.inf)
+    order = np.argsort(key, axis=1, kind="stable")
+    rows, cols = [], []
+    for r in range(S.shape[0]):
+        ks = key[r, order[r]]
+        ahead = np.concatenate(([0.0], np.cumsum(cost[order[r]])))[np.searchsorted(ks, ks - TIE_TOL)]
+        fit = order[r][(ahead <= budget) & np.isfinite(ks)]
+        rows.append(np.full(len(fit), r, np.int64))
+        cols.append(fit)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 # ---------------------------------------------------------------- dense top-k
 def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid: str, cvec: str,
                k: int, block_rows: int = 4096, group_col: str | None = None,

@@ -245,9 +245,13 @@ SELECT item_id, rank, doc_id, cum_tokens FROM (
   FROM b_top b JOIN documents d USING (doc_id))
 WHERE cum_tokens <= {PACK_BUDGET}""")
 def q_pack(spark, root):
+    """Op 99: the ranking goes on until the budget ends it; at most
+    ``PACK_BUDGET`` documents of an item reach the window (each costs a token
+    or more)."""
     t = Tables(spark, root)
-    ranked = R.bm25(t.benchmark, t.documents, k=10).join(
-        t.documents.select("doc_id", approx_tokens("text").alias("tokens")), "doc_id")
+    tokens = approx_tokens("text")
+    ranked = R.bm25(t.benchmark, t.documents, cost=tokens, budget=PACK_BUDGET).join(
+        t.documents.select("doc_id", tokens.alias("tokens")), "doc_id")
     return R.pack_context(ranked, "item_id", "rank", "tokens", PACK_BUDGET).select(
         "item_id", "rank", "doc_id", "cum_tokens")
 

@@ -117,6 +117,36 @@ def test_sparse_topk_multiblock(spark):
         assert [r.did for r in got.filter(F.col("qid") == i).orderBy("rank").collect()] == exp[i]
 
 
+def test_pack_context_goes_on_to_the_budget(spark, tmp_path):
+    """Short documents: far more than ten of a ranking fit the budget (three
+    document blocks; some items end by the budget, some by the ranking)."""
+    from quarry.plans.q_retrieval import PACK_BUDGET, q_pack
+    from quarry.sources.tables import Tables
+    rnd = random.Random(99)
+    terms = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choices(terms, k=rnd.choice([2, 5, 12, 40, 150]))), "en", "s", 0) for i in range(1200)]
+    rows += [(1200 + i, f"rare {'w' * 10 * i}", "en", "s", 0) for i in range(25)]
+    rows += [(1300 + i, "tied words", "en", "s", 0) for i in range(30)]
+    items = [(i, " ".join(rnd.sample(terms, 3))) for i in range(8)] + [(8, "rare"), (9, "tied t0"), (10, "none")]
+    root = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    got = sorted(tuple(r) for r in q_pack(spark, root).collect())
+
+    size = {d: max(1, len(x) // 4) for d, x, *_ in rows}
+    ranked = R.bm25(Tables(spark, root).benchmark, Tables(spark, root).documents, k=len(rows))
+    exp, total = [], {}
+    for r in sorted(ranked.collect(), key=lambda r: (r.item_id, r.rank)):
+        total[r.item_id] = total.get(r.item_id, 0) + size[r.doc_id]
+        if total[r.item_id] <= PACK_BUDGET:
+            exp.append((r.item_id, r.rank, r.doc_id, total[r.item_id]))
+    assert got == exp
+    n = {i: sum(g[0] == i for g in got) for i, _ in items}
+    assert n[8] == 25 and n[10] == 0 and min(n[i] for i in range(8)) > 10
+    assert any(t > PACK_BUDGET for t in total.values())
+
+
 def test_knn_multiblock_equals_brute(spark):
     rng = np.random.default_rng(7)
     X = rng.normal(size=(40, 3))
