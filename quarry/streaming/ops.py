@@ -34,25 +34,37 @@ from quarry.sources.ops import scratch_path
 
 
 # ---------------------------------------------------------------- source / sink
-def stage_files(df: DataFrame, path: str, order: str, n_files: int = 8, pause: float = 0.05) -> str:
+#: Rows of one staged file: a larger table gets more files, not larger ones.
+FILE_ROWS = 1_000_000
+
+
+def stage_files(df: DataFrame, path: str, order: str, n_files: int = 8, pause: float = 0.05,
+                file_rows: int = FILE_ROWS) -> str:
     """Write ``df`` as about ``n_files`` files of ascending ranges of ``order``
-    (a stand-in for the live tail of an append-only log).  The file source
-    reads files by modification time, so the ranges are written one after
-    another on every file system; ``pause`` seconds lie between them (1.1 where
-    modification times count whole seconds)."""
-    num = F.col(order)
-    if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)):
-        num = F.unix_micros(F.col(order).cast("timestamp"))
-    d = df.withColumn("__o", num.cast("double"))
-    bounds = sorted(set(d.approxQuantile("__o", [i / n_files for i in range(1, n_files)], 0.001)))
-    for lo, hi in zip([None, *bounds], [*bounds, None]):
-        part = d
-        if lo is not None:
-            part = part.filter(F.col("__o") > F.lit(lo))
-        if hi is not None:
-            part = part.filter(F.col("__o") <= F.lit(hi))
-        part.drop("__o").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-        time.sleep(pause)
+    (a stand-in for the live tail of an append-only log), more where a file
+    would hold over ``file_rows`` rows.  Null values come first.
+
+    The table is dealt into ranges once, by all tasks, and written; equal
+    values are split by a hash of the row, so a common one fills no task.  The
+    file source reads files by modification time, so each file is then copied
+    from its own ranges, one after another, on every file system; ``pause``
+    seconds lie between them (1.1 where modification times count whole
+    seconds)."""
+    spark = df.sparkSession
+    n = max(n_files, -(-df.count() // file_rows))
+    ranges = scratch_path(spark, "stage-ranges")
+    (df.repartitionByRange(n, F.col(order).asc_nulls_first(), F.xxhash64(*df.columns))
+     .withColumn("__p", F.spark_partition_id()).write.partitionBy("__p").parquet(ranges))
+    d = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__p", T.IntegerType())])).parquet(ranges)
+    parts = sorted(r["__p"] for r in d.select("__p").distinct().collect())
+    if not parts:
+        df.limit(0).write.mode("append").parquet(path)
+    for k in range(n):
+        own = parts[k * len(parts) // n:(k + 1) * len(parts) // n]
+        if own:
+            (d.filter(F.col("__p").between(own[0], own[-1])).drop("__p").coalesce(1)
+             .sortWithinPartitions(F.col(order).asc_nulls_first()).write.mode("append").parquet(path))
+            time.sleep(pause)
     return path
 
 

@@ -400,6 +400,30 @@ def test_sequential_staging_replays_in_order(spark):
     assert got == exp
 
 
+def test_staging_keeps_nulls_and_bounds_files(spark):
+    """No row is lost, files ascend by modification time, null values come
+    first, and a value that half of the rows hold fills no file."""
+    import glob
+    import os
+    from quarry.sources.ops import scratch_path
+    from quarry.streaming import ops as S
+    rnd = random.Random(54)
+    rows = [(i, rnd.choice([None, 500, 500, 500, rnd.randrange(1000)])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(4)
+    for files, cap in ((4, {}), (4, {"file_rows": 200})):
+        path = S.stage_files(df, scratch_path(spark, "stage-null"), "v", files, **cap)
+        names = sorted(glob.glob(path.removeprefix("file://").removeprefix("file:") + "/*.parquet"),
+                       key=lambda f: os.stat(f).st_mtime_ns)
+        got = [[tuple(r) for r in spark.read.parquet("file://" + f).collect()] for f in names]
+        assert sorted((r for g in got for r in g), key=lambda r: r[0]) == rows
+        v = [-1 if r[1] is None else r[1] for g in got for r in sorted(g, key=lambda r: -1 if r[1] is None else r[1])]
+        assert v == sorted(v)
+        assert max(len(g) for g in got) <= (2 * 200 if cap else 2000)
+    assert len(got) >= 8
+    empty = S.stage_files(df.limit(0), scratch_path(spark, "stage-none"), "v", 4)
+    assert spark.read.schema(df.schema).parquet(empty).count() == 0
+
+
 def test_segmented_shift_equals_lag_lead(spark):
     rnd = random.Random(12)
     rows = [(rnd.choice([0, 0, 0, 1]), i, rnd.randint(0, 99)) for i in range(400)]
