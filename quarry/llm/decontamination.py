@@ -10,8 +10,10 @@ checked on their words.  Items shorter than ``WINDOW`` words lie below the
 guarantee; each is one window, looked up whole.
 
 The test side is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of
-text, one pass over the documents per block; nothing is shuffled, so a
-passage that every document holds costs no more than any other.
+text (or one single text), whatever ids they have, one pass over the
+documents per block; no document is shuffled, so a passage that every document
+holds costs no more than any other.  After every ``PASSES`` passes the result
+is written and the blocks sent so far are let go.
 
 Edge cases: a null or empty text has no words and no hit; an item with a null
 id or without words hits nothing; items that share an id count once; repeated
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.stored import stored
 from quarry.llm.textscan import ALNUM, Texts, field, map_slices, ngrams, row_of
 
 WINDOW = 10
@@ -37,6 +40,8 @@ GRAM = 5
 WINNOW = WINDOW - GRAM + 1
 #: Bound on the item text that one pass sends to the tasks.
 BLOCK_BYTES = 8 << 20
+#: Passes, each with its own block, that go over the documents in one job.
+PASSES = 4
 
 SPAN = T.StructType([field("start", T.IntegerType()), field("end", T.IntegerType())])
 FIELDS = [field("n_words", T.LongType()), field("n_hit", T.LongType()),
@@ -121,17 +126,18 @@ class ItemIndex:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int):
-    """Item blocks of at most ``limit`` bytes of text, or of one item id."""
+    """Item blocks of at most ``limit`` bytes of text, or of one text.  The
+    texts of an id may lie in several blocks: the passes unite their ids."""
     rows = items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.countDistinct("id").alias("n")).first()
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
+    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if not total["n"]:
         return
     count = max(1, math.ceil(total["b"] / limit))
     while True:
-        part = F.pmod(F.xxhash64("id"), F.lit(count))
+        part = F.pmod(F.xxhash64("id", "text"), F.lit(count))
         largest = rows.groupBy(part.alias("p")).agg(
-            F.sum(F.octet_length("text").cast("long")).alias("b"), F.countDistinct("id").alias("n")
+            F.sum(F.octet_length("text").cast("long")).alias("b"), F.count(F.lit(1)).alias("n")
         ).filter(F.col("n") > 1).agg(F.max("b")).first()[0]
         if largest is None or largest <= limit or count >= 64 * total["n"]:
             break
@@ -146,10 +152,9 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _pass(docs: DataFrame, block, text_col: str, first: bool) -> DataFrame:
+def _pass(docs: DataFrame, shared, text_col: str, first: bool) -> DataFrame:
     names = [f.name for f in FIELDS]
     keep = [c for c in docs.columns if c not in names]
-    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def make():
         index = ItemIndex(*shared.value)
@@ -192,7 +197,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """Every row of ``docs`` with ``n_words``, ``n_hit`` (words inside item
     windows), ``spans`` (the hit runs as word positions, end excluded) and
     ``items`` (ids, as strings, of the items with occurring windows)."""
-    out, first = docs, True
+    send = docs.sparkSession.sparkContext.broadcast
+    out, first, sent = docs, True, []
     for block in _blocks(items, item_id, item_text, block_bytes):
-        out, first = _pass(out, block, text_col, first), False
-    return _pass(docs, ([], []), text_col, True) if first else out
+        if len(sent) == PASSES:
+            out = stored(out, "decontamination")
+            for old in sent:
+                old.destroy()
+            sent = []
+        sent.append(send(block))
+        out, first = _pass(out, sent[-1], text_col, first), False
+    return _pass(docs, send(([], [])), text_col, True) if first else out
