@@ -185,23 +185,6 @@ def test_decontamination(spark, docs, rows, empty, block):
     assert decontaminate(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_decontamination_blocks_split_an_id(spark):
-    """One id with many texts goes through the driver in bounded blocks."""
-    from quarry.llm.decontamination import PASSES, _blocks
-    rng = random.Random(31)
-    items = [(7, prose(rng, 30)) for _ in range(24)] + [(8, prose(rng, 12))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    limit = 6 * max(len(t.encode()) for _, t in items)
-    blocks = list(_blocks(bench, "item_id", "text", limit))
-    assert len(blocks) > PASSES
-    assert max(sum(len(t.encode()) for t in texts) for _, texts in blocks) <= limit
-    assert sorted(t for _, texts in blocks for t in texts) == sorted({t for _, t in items})
-    docs = [(i, f"{prose(rng, 5)} {t} {prose(rng, 5)}") for i, (_, t) in enumerate(items)] + [(90, items[0][1] + " x " + items[-1][1])]
-    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=limit).collect()
-    want = dict(zip([d for d, _ in docs], brute_hits([t for _, t in docs], items)))
-    assert {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in got} == want
-
-
 # -- 4 line dedup -----------------------------------------------------------
 
 def test_line_dedup(spark, docs, rows, empty):
