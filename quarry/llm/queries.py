@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules as rules
 from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
+from quarry.llm.centroid_clustering import cluster_centroids
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.language_id import fit_dictionaries, identify_language
@@ -17,6 +18,8 @@ from quarry.llm.lm_score import public_pieces, score_documents
 from quarry.llm.quality_classifier import classify_quality, fit_classifier
 from quarry.llm.sharding import assign_shards
 from quarry.llm.url_filter import UNWANTED_HOSTS, filter_urls, host_rule
+from quarry.llm.voronoi_knn import voronoi_topk
+from quarry.llm.whitening import whiten_vectors
 from quarry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +182,59 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = fit_dictionaries(docs, remainder("doc_id", 3) != 1)
     held = docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "text")
     return identify_language(held, learned).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+_INTS = "list_transform(embedding, lambda c: floor(256 * c::DOUBLE))"
+
+OP11_SQL = f"""
+WITH vec AS (SELECT row_number() OVER () AS uid, vec_id, {_INTS} AS x FROM embeddings WHERE {_FINITE}),
+pair AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+         FROM vec q JOIN vec c ON q.uid <> c.uid WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pair)
+WHERE rank <= 5"""
+
+
+@query("op11_voronoi_topk", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_topk(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5,
+                        lambda c: F.pmod(c, F.lit(50)) == 0)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form (eigenvectors); tested against a dense eigendecomposition."""
+    return whiten_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def _op13_sql(rounds: int) -> str:
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT uid, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT v.uid, k.c, list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+  FROM vec v CROSS JOIN c{i} k) GROUP BY uid)"""
+
+    def moved(i: int) -> str:
+        return f"""c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.x, k.x) AS x FROM c{i} k LEFT JOIN (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS x FROM (
+    SELECT a.c, p, sum(v.x[p])::BIGINT AS s, count(*) AS n
+    FROM a{i} a JOIN vec v USING (uid) CROSS JOIN range(1, 65) r(p) GROUP BY a.c, p) GROUP BY c) m ON m.c = k.c)"""
+
+    steps = ",\n".join(f"{assigned(i)},\n{moved(i)}" for i in range(rounds)) + f",\n{assigned(rounds)}"
+    return f"""
+WITH vec AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, list_transform({_INTS}, lambda c: c::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INTEGER AS c, x FROM (
+  SELECT sha256('2:' || vec_id) AS h, x FROM vec ORDER BY h, x LIMIT 40)),
+{steps}
+SELECT vec_id, a.c AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM vec JOIN a{rounds} a USING (uid) JOIN c{rounds} k ON k.c = a.c"""
+
+
+OP13_SQL = _op13_sql(5)
+
+
+@query("op13_centroid_clustering", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_centroids(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")

@@ -15,11 +15,11 @@ _PARTS = 16
 
 
 def sum_vectors(df: DataFrame, per_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int,
-                dtype=np.float64) -> np.ndarray:
+                dtype=np.float64, parts: int = _PARTS) -> np.ndarray:
     """Sum of the vectors of ``size`` numbers that ``per_task`` makes of each
-    task's batches.  Slices of the vectors are added up by the executors; the
-    driver gets one vector, whatever the number of tasks."""
-    width = -(-size // _PARTS)
+    task's batches.  ``parts`` slices of the vectors are added up by the
+    executors; the driver gets one vector, whatever the number of tasks."""
+    width = -(-size // parts)
     schema = T.StructType([field("part", T.IntegerType()), field("numbers", T.BinaryType())])
 
     def emit(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -29,7 +29,7 @@ def sum_vectors(df: DataFrame, per_task: Callable[[Iterator[pa.RecordBatch]], np
 
     def first(batches):
         v = np.asarray(per_task(batches), dtype=dtype)
-        yield emit({i: v[i * width:(i + 1) * width] for i in range(_PARTS)})
+        yield emit({i: v[i * width:(i + 1) * width] for i in range(parts)})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -39,8 +39,8 @@ def sum_vectors(df: DataFrame, per_task: Callable[[Iterator[pa.RecordBatch]], np
         if sums:
             yield emit(sums)
 
-    total = np.zeros(_PARTS * width, dtype=dtype)
-    for r in df.mapInArrow(first, schema).repartition(_PARTS, "part").mapInArrow(add, schema).collect():
+    total = np.zeros(parts * width, dtype=dtype)
+    for r in df.mapInArrow(first, schema).repartition(parts, "part").mapInArrow(add, schema).collect():
         v = np.frombuffer(r["numbers"], dtype=dtype)
         total[r["part"] * width:r["part"] * width + len(v)] += v
     return total[:size]
