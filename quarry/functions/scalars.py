@@ -281,6 +281,11 @@ def bib_key(doi, arxiv, title) -> Column:
         F.concat(F.lit("title:"), F.md5(norm_title)))
 
 
+def sql_title_key(title: str) -> str:
+    """DuckDB text of the title part of :func:`bib_key`."""
+    return f"'title:' || md5(regexp_replace(lower({title}), '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+
+
 DOI_RE = r"(10\.[0-9]{4,9}/[^\s]+)"
 ARXIV_RE = r"arXiv:([0-9]{4}\.[0-9]{4,5})"
 

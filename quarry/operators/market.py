@@ -115,7 +115,7 @@ def audit_outcomes(receipts: DataFrame, reference: DataFrame, key: str, output:
 # ---------------------------------------------------------------- ops 111, 112
 def time_slices(rows: DataFrame, key: str, at: str, max_rows: int) -> tuple[DataFrame, int]:
     """Rows with ``_t`` (the time as a number) and ``_slice``: every key's rows
-    cut in time order into slices of about ``max_rows`` (counts per key and
+    cut in time order, rows without a time first, into slices of about ``max_rows`` (counts per key and
     fine time bucket, summed up; 64 buckets to a slice, so a slice outgrows
     its bound by one bucket at most), and the number of slices.  The result
     is written to the shared checkpoint folder."""
@@ -126,8 +126,8 @@ def time_slices(rows: DataFrame, key: str, at: str, max_rows: int) -> tuple[Data
     rows = rows.withColumn("_t", t.cast("double"))
     span = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo") + 1) / (64 * F.ceil(F.col("_n") / max_rows))
-    rows = rows.join(span, key).withColumn("_b", F.floor((F.col("_t") - F.col("_lo")) / width)).drop(
-        "_n", "_lo", "_hi")
+    rows = rows.join(span, key).withColumn(
+        "_b", F.coalesce(F.floor((F.col("_t") - F.col("_lo")) / width), F.lit(-1))).drop("_n", "_lo", "_hi")
     buckets = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(key).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
@@ -146,16 +146,15 @@ def _lockable(asked: DataFrame, max_rows: int) -> DataFrame:
     def fold(req: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
         if len(req) == 0:
             return pd.DataFrame({"job_id": None, "worker": st["worker"], "ok": None, "available": st["available"]})
-        req = req.sort_values(["_t", "job_id"], kind="mergesort")
+        req = req.sort_values(["_t", "job_id"], kind="mergesort", na_position="first")
         have = int(st["available"].iloc[0]) if len(st) else int(req["deposit"].iloc[0])
         ok = []
         for stake, change in zip(req["stake"].tolist(), req["change"].tolist()):
             ok.append(have >= stake)
             have += change if ok[-1] else 0
-        out = pd.DataFrame({"job_id": req["job_id"].astype(object), "worker": req["worker"], "ok": ok,
-                            "available": None})
-        out.loc[len(req)] = [None, req["worker"].iloc[0], None, have]
-        return out
+        # the last row carries the balance on
+        return pd.DataFrame({"job_id": [*req["job_id"], None], "worker": [*req["worker"], req["worker"].iloc[0]],
+                             "ok": [*ok, None], "available": [*[None] * len(req), have]}, dtype=object)
     schema = "job_id long, worker long, ok boolean, available long"
     state = asked.sparkSession.createDataFrame([], "worker long, available long")
     done = None
@@ -201,7 +200,8 @@ def settle_jobs(jobs: DataFrame, workers: DataFrame, outcomes: DataFrame, deposi
         "job_id", "worker", F.col("offered_at").alias("at"), "deposit", "stake",
         (pays - slashed).cast("long").alias("change"))
     j = j.join(_lockable(asked, max_rows_per_task), "job_id", "left")
-    short = F.coalesce(~F.col("ok"), F.lit(False))
+    # a job without an answer is not accepted
+    short = (F.col("status") == "accepted") & ~F.coalesce("ok", F.lit(False))
     j = (j.withColumn("status", F.when(short, F.lit("rejected_balance")).otherwise(F.col("status")))
          .withColumn("audited", F.col("audited") & ~short)
          .withColumn("fraction", F.when(short, F.lit(0.0)).otherwise(F.col("fraction"))))
@@ -291,7 +291,7 @@ def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: in
                                  "debtor": st["debtor"], "shortfall": None, "accepted": None,
                                  "repaid": st["debt"], "defaulted": None,
                                  "outstanding_after": None})[schema_cols]
-        req = req.sort_values(["_t", "job_id"], kind="mergesort")
+        req = req.sort_values(["_t", "job_id"], kind="mergesort", na_position="first")
         per_max = int(req["per_node_max"].iloc[0])
         total = int(req["total_exposure"].iloc[0])
         debt = {int(d): int(v) for d, v in zip(st["debtor"], st["debt"])}

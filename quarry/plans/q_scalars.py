@@ -369,7 +369,7 @@ def q_refs(spark, root):
 SELECT doc_id,
        coalesce(CASE WHEN lower(trim(d)) <> '' THEN 'doi:' || lower(trim(d)) END,
                 CASE WHEN lower(trim(a)) <> '' THEN 'arxiv:' || lower(trim(a)) END,
-                'title:' || md5(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS bib_key
+                {S.sql_title_key('title')}) AS bib_key
 FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title,
              regexp_extract(text, '{S.DOI_RE}', 1) AS d, regexp_extract(text, '{S.ARXIV_RE}', 1) AS a
       FROM documents)""")

@@ -382,8 +382,7 @@ def q_set_compare(spark, root):
 
 @register("federate_hits", f"""
 WITH keyed AS (SELECT doc_id, source,
-                      'title:' || md5(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]', '', 'g'))
-                        AS bib_key, n_chars FROM documents),
+                      {S.sql_title_key('split_part(text, chr(10), 1)')} AS bib_key, n_chars FROM documents),
 hits AS (SELECT bib_key, source,
                 row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM keyed)
 SELECT bib_key, min(rank) AS best_rank, list_sort(list_distinct(list(source))) AS sources,

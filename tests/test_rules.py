@@ -145,6 +145,26 @@ def test_locks_never_exceed_the_balance(spark):
     assert {r.status for r in rows} == {"accepted", "rejected_balance"}
 
 
+def test_requests_without_a_time_come_first(spark):
+    req = spark.createDataFrame(
+        [(1, 7, 1, 100, 50, 5, 0.0), (2, 7, 1, 130, 50, None, 1.0), (3, 7, 1, 120, 50, 6, 0.0), (4, None, 1, 90, 50, 1, 0.0)],
+        "job_id long, creditor long, debtor long, value long, cap long, at long, fraction double")
+    pol = spark.createDataFrame([(7, 140, 140)], "creditor long, per_node_max long, total_exposure long")
+    got = {r.job_id: (r.accepted, r.repaid) for r in M.credit_lines(req, pol).collect()}
+    # 80 of job 2 are never repaid, so job 3's 70 no longer fit
+    assert got == {1: (True, 50), 2: (True, 0), 3: (False, 0), 4: (False, 0)}
+
+
+def test_jobs_without_a_time_are_checked(spark):
+    jdf = spark.createDataFrame([(1, 9, 100, None), (2, 9, 100, 5), (3, 9, 100, None)],
+                                "job_id long, publisher long, value long, offered_at long")
+    who = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3)], "job_id long, worker long, pool int")
+    out = spark.createDataFrame([(1, 1.0)], "job_id long, severity double")
+    dep = spark.createDataFrame([(1, 1000)], "worker long, deposit long")
+    got = {r.job_id: r.status for r in M.settle_jobs(jdf, who, out, dep, audit_rate=1.0).collect()}
+    assert got == {1: "accepted", 2: "rejected_balance", 3: "rejected_balance"}
+
+
 def test_local_checkpoint_folder_needs_a_local_master():
     from quarry.session import ensure_checkpoint_dir
 
