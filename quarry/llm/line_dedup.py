@@ -3,11 +3,16 @@
 A run is a Parquet folder of ``key`` (128-bit hash of the normalised line),
 ``n_docs`` (documents that hold it) and ``last`` (the largest document id
 among them), sorted by the key within hash partitions.  Every batch of
-documents adds one run at level 0; when a level has ``fanout`` runs they are
-merged into one run of the next level, so a key lies in few runs however many
-batches came.  :meth:`LineRuns.unseen` merge-anti-joins a batch's lines with
-the runs; :func:`dedup_lines` adds all batches, merges what is left and
-anti-joins the lines with the keys that enough documents hold.
+documents is counted per key and merge-anti-joined with the runs: keys that no
+run holds become a run of their own at level 0, so a key lies in one run only.
+Keys that some run holds add a repeat file with the batch's counts.  When a
+level has ``fanout`` runs they are merged into one run of the next level, and
+as many repeat files into one, so a batch meets few runs however many came
+before.
+
+A line counts as repeated if its run says so already or if it has a repeat
+file; only those keys are summed up and joined with the lines.  Texts are
+split twice: for the keys, and for the lines to drop.
 
 Only DataFrame operations; runs lie in the shared checkpoint folder.  A line
 that a third of the documents hold is counted by document first and then
@@ -17,15 +22,13 @@ whose large partitions Spark splits.
 Edge cases: a null or empty text has one empty line; a null document id
 counts as one document, smaller than any id; rows that share an id are one
 document to the count, and each row is cut by itself; lines under
-``min_chars`` code points always stay; other columns pass through, and input
-columns named like an output are replaced; an empty table gives an empty
-result.
+``min_chars`` code points always stay; other columns pass through whatever
+their names, and input columns named like an output are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,7 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.root = root or scratch_path(spark, "line-runs")
         self.levels: list[list[str]] = []
+        self.repeats: list[str] = []
         self.made = 0
 
     def _write(self, rows: DataFrame) -> str:
@@ -81,17 +85,34 @@ class LineRuns:
         rows.sortWithinPartitions("key").write.parquet(path)
         return path
 
+    def _open(self, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
+
     def read(self) -> DataFrame | None:
-        """All runs; a key may occur once per run."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if paths else None
+        """All runs; a key occurs in one of them."""
+        return self._open([p for level in self.levels for p in level])
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key no run holds."""
+        runs = self.read()
+        return rows if runs is None else rows.join(runs.select("key"), "key", "left_anti")
 
     def add(self, lines: DataFrame) -> None:
-        """Add one batch's lines (``doc``, ``key``) as a run.  The documents
-        of a batch must not occur in another one."""
+        """Add one batch's lines (``doc``, ``key``): new keys as a run, known
+        ones as a repeat file.  The documents of a batch must not occur in
+        another one."""
         once = lines.groupBy("key", "doc").agg(F.lit(1).alias("one"))
-        path = self._write(once.groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc").alias("last")))
-        self._put(0, path)
+        counted = once.groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc").alias("last"))
+        self.schema = counted.schema
+        runs = self.read()
+        if runs is None:
+            self._put(0, self._write(counted))
+            return
+        batch = self._open([self._write(counted)])
+        self.repeats.append(self._write(batch.join(runs.select("key"), "key", "left_semi")))
+        if len(self.repeats) >= self.fanout:
+            self.repeats = [self._merge(self.repeats)]
+        self._put(0, self._write(self.unseen(batch)))
 
     def _put(self, level: int, path: str) -> None:
         while len(self.levels) <= level:
@@ -103,20 +124,22 @@ class LineRuns:
             self._put(level + 1, merged)
 
     def _merge(self, paths: list[str]) -> str:
-        runs = self.spark.read.parquet(*paths)
-        return self._write(runs.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last")))
-
-    def compact(self) -> DataFrame | None:
-        """Merge all levels into one run and return it."""
-        paths = [p for level in self.levels for p in level]
-        if len(paths) > 1:
-            self.levels = [[] for _ in self.levels] + [[self._merge(paths)]]
-        return self.read()
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The lines of a batch whose key no run holds."""
-        runs = self.read()
-        return lines if runs is None else lines.join(runs.select("key"), "key", "left_anti")
+        return self._write(_summed(self._open(paths)))
+
+    def common(self, min_docs: int) -> DataFrame:
+        """``key``, ``n_docs`` and ``last`` of the keys that at least
+        ``min_docs`` documents hold."""
+        runs, repeats = self.read(), self._open(self.repeats)
+        enough = F.col("n_docs") >= min_docs
+        if repeats is not None:
+            again = repeats.select("key")
+            runs = (runs.filter(enough).unionByName(runs.filter(~enough).join(again, "key", "left_semi"))
+                    .unionByName(repeats))
+        return _summed(runs).filter(enough)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
@@ -129,7 +152,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     batch = F.pmod(F.xxhash64(id_col), F.lit(batches))
     for b in range(batches):
         runs.add(long_lines(docs.filter(batch == b), id_col, text_col, min_chars))
-    common = runs.compact().filter(F.col("n_docs") >= min_docs).select("key", "last")
+    common = runs.common(min_docs).select("key", "last")
 
     # rows that share id and text have the same lines and lose the same ones
     same = F.xxhash64(F.coalesce(text_col, F.lit("")))
@@ -137,13 +160,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .join(common, "key").filter(~F.col("doc").eqNullSafe(F.col("last")))
                .groupBy("doc", "same").agg(F.collect_set("pos").alias("gone")))
     out = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    rows = docs.select(*out, same.alias("_same"))
-    got = rows.join(dropped, rows[id_col].eqNullSafe(dropped["doc"]) & (rows["_same"] == dropped["same"]), "left")
-    lines = split_lines(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    return (got.withColumn("_lines", lines)
-            .select(*out, F.size("_lines").cast("long").alias("n_lines"),
-                    F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-                    F.when(F.col("gone").isNull(), F.coalesce(text_col, F.lit("")))
-                    .otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n"))
-                    .alias("kept")))
+    # the input row travels as one struct, so that no name of it can clash
+    rows = docs.select(F.struct(*out).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("whole"),
+                       same.alias("alike"))
+    got = rows.join(dropped, F.col("id").eqNullSafe(F.col("doc")) & (F.col("alike") == F.col("same")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.coalesce("whole", F.lit(""))).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n"))
+    return (got.withColumn("lines", split_lines(F.col("whole")))
+            .select("row", F.struct(F.size("lines").cast("long").alias("n_lines"),
+                                    F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+                                    kept.alias("kept")).alias("new")).select("row.*", "new.*"))

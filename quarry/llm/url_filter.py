@@ -118,11 +118,13 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
     best = F.max(F.struct("host", F.char_length("name").alias("size"), (F.col("action") == "block").alias("block"),
                           "name", "action"))
     decided = (offered.join(index, "token").filter(F.expr("subject RLIKE pattern"))
-               .groupBy("url").agg(best.alias("win")).select(F.col("url").alias("_url"), "win"))
-    new = ["host", "path", "rule", "pattern", "verdict"]
-    return (pages.join(decided, F.col(url_col) == F.col("_url"), "left")
-            .select(*[pages[c] for c in pages.columns if c not in new],
-                    parse_host(pages[url_col]).alias("host"), parse_path(pages[url_col]).alias("path"),
+               .groupBy("url").agg(best.alias("win")).select(F.col("url").alias("decided"), "win"))
+    # the input row travels as one struct, so that no name of it can clash
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "pattern", "verdict")]
+    rows = pages.select(F.struct(*keep).alias("row"), F.col(url_col).alias("url"))
+    made = F.struct(parse_host(F.col("url")).alias("host"), parse_path(F.col("url")).alias("path"),
                     F.when(F.col("win.host"), F.col("win.name")).alias("rule"),
                     F.when(~F.col("win.host"), F.col("win.name")).alias("pattern"),
-                    F.coalesce("win.action", F.lit(default)).alias("verdict")))
+                    F.coalesce("win.action", F.lit(default)).alias("verdict"))
+    return (rows.join(decided, F.col("url") == F.col("decided"), "left")
+            .select("row", made.alias("new")).select("row.*", "new.*"))

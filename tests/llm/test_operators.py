@@ -218,11 +218,60 @@ def test_line_runs_levels(spark, docs):
         seen |= own
         runs.add(part)
         assert all(len(level) < 2 for level in runs.levels)
-    assert {bytes(r["key"]) for r in runs.compact().collect()} == seen
+    keys = [bytes(r["key"]) for r in runs.read().select("key").collect()]
+    assert set(keys) == seen and len(keys) == len(seen)      # a key lies in one run
+    want = defaultdict(set)
+    for r in long_lines(docs, "doc_id", "text").collect():
+        want[bytes(r["key"])].add(r["doc"])
+    for least in (1, 2, 3):
+        got = {bytes(r["key"]): (r["n_docs"], r["last"]) for r in runs.common(least).collect()}
+        assert got == {k: (len(d), max((x for x in d if x is not None), default=None))
+                       for k, d in want.items() if len(d) >= least}
+
+
+def test_inner_names_as_input_columns(spark, docs):
+    """Columns named like those that the operators use inside pass through."""
+    names = ("row id whole alike lines gone same doc _same _lines key order0 best grown number at part first before "
+             "shard_ _first _before _row _at _part url decided win _url token subject pos line n_docs last n").split()
+    wide = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+
+    def same(make, new):
+        a, b = make(docs), make(wide)
+        assert set(names) < set(b.columns)
+        cols = ["doc_id", "text", *new]
+        assert sorted(map(str, b.select(*cols).collect())) == sorted(map(str, a.select(*cols).collect()))
+        got = b.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] == [tuple(f"own {c}" for c in names)]
+    same(dedup_lines, ["n_lines", "n_dropped", "kept"])
+    same(lambda d: filter_urls(d, UNWANTED_HOSTS, "text"), ["host", "path", "rule", "verdict"])
+    same(lambda d: assign_shards(d, "doc_id", [1.0] * 3, [1.0] * 4, ["text"]), ["shard", "grown_shard"])
 
 
 # -- 5 sharding -------------------------------------------------------------
 
+def test_sharding_equals_brute_force(spark, rows):
+    """Shards, grown shards and slots recomputed from MD5."""
+    import hashlib
+
+    def shard(key, weights):
+        def score(s):
+            text = f"{'null' if key is None else key}:{s}"
+            u = (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+            return -weights[s] / math.log(u)
+        return max(range(len(weights)), key=lambda s: (score(s), s))
+    df = spark.createDataFrame(rows, DOCS).select("doc_id", "text").repartition(7)
+    for before, after in (([1.0] * 8, [1.0] * 9), ([1.0, 3.0], [2.0, 1.0, 1.0])):
+        got = assign_shards(df, "doc_id", before, after, ["text"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r["shard"], r["grown_shard"]) == (shard(r["doc_id"], before), shard(r["doc_id"], after))
+        for s in {r["shard"] for r in got}:
+            mine = sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])
+            order = [(r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, (r["text"] or "").encode())
+                     for r in mine]
+            assert [r["slot"] for r in mine] == list(range(len(mine))) and order == sorted(order)
+
+
 def test_sharding(spark, rows):
     df = spark.createDataFrame(rows + rows[:1] * 50, DOCS).withColumn("shard", F.lit("old"))
     got = assign_shards(df, "doc_id", [1.0, 2.0, 0.0, 1.0], [1.0, 2.0, 0.0, 1.0, 1.0], ["text"]).collect()
