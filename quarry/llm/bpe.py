@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm.textscan import add_columns, field
+from quarry.llm.textscan import add_columns, field, kept
 
 CACHE_WORDS = 300_000
 CACHE_WORD_BYTES = 48
@@ -199,15 +199,9 @@ class Encoder(Decoder):
         return b"".join([get(w) or make(w) for w in PATTERN.findall(text)])
 
 
-_LOADED: dict[type, tuple[int, Decoder]] = {}
-
-
 def _loaded(kind: type, shared):
     """The tables of a broadcast file, built once per Python worker."""
-    key = hash(shared.value)
-    if _LOADED.get(kind, (None, None))[0] != key:
-        _LOADED[kind] = key, kind(shared.value)
-    return _LOADED[kind][1]
+    return kept(f"bpe {kind.__name__}", hash(shared.value), lambda: kind(shared.value))
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -234,7 +228,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col:
             return [pa.array([vocab.encode(t) for t in arr.to_pylist()], pa.binary())]
         return fn
     return add_columns(df, text_col, [field(out_col, T.BinaryType())], make,
-                       drop=() if keep_text else (text_col,))
+                       drop=() if keep_text else (text_col,), keeps="bpe")
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -252,4 +246,4 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_c
             raw = data.tobytes()
             return [pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])], pa.string())]
         return fn
-    return add_columns(df, ids_col, [field(out_col, T.StringType())], make)
+    return add_columns(df, ids_col, [field(out_col, T.StringType())], make, keeps="bpe")

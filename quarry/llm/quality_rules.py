@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.textscan import (NOT_SPACE, Texts, add_columns, byte_table, field, mix, ngrams, row_of)
+from quarry.llm.textscan import (NOT_SPACE, SLICE_BYTES, Texts, add_columns, byte_table, field, mix, ngrams, row_of)
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -236,4 +236,5 @@ def quality_rules(docs: DataFrame, trees: Trees | None, text_col: str = "text",
             return [base[:, i] for i in range(len(BASE))] + [
                 failed, pa.nulls(len(failed), pa.float64()) if score is None else score, kept]
         return fn
-    return add_columns(docs, text_col, fields, make, drop=() if keep_text else (text_col,))
+    # the statistics take many times a slice's bytes, the text passes through besides
+    return add_columns(docs, text_col, fields, make, drop=() if keep_text else (text_col,), limit=SLICE_BYTES // 2)

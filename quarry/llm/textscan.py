@@ -45,14 +45,19 @@ def byte_table(chars: str) -> np.ndarray:
 
 
 class _Powers:
-    """Growing tables of the powers of the hash base and of its inverse."""
+    """Tables of the powers of the hash base and of its inverse.  What a
+    slice needs is kept for the next one; the table of a longer text is not."""
+
+    KEEP = SLICE_BYTES + (SLICE_BYTES >> 3)
 
     def __init__(self):
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.KEEP:
+            return self._table(_P, n), self._table(_PINV, n)
         if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+            size = min(1 << (n - 1).bit_length(), self.KEEP)
             self.up, self.down = (self._table(b, size) for b in (_P, _PINV))
         return self.up[:n], self.down[:n]
 
@@ -167,22 +172,41 @@ def text_slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES) -> It
         yield batch.slice(a, b - a)
 
 
+#: What a Python worker keeps for its next tasks: the tables of one operator.
+_KEPT: dict[str, tuple[int, object]] = {}
+
+
+def kept(name: str, key: int, build: Callable[[], object]):
+    """``build()``, made once per worker as long as its tasks are of the
+    operator that ``name`` starts with; tasks of others drop it."""
+    if _KEPT.get(name, (None, None))[0] != key:
+        _KEPT.pop(name, None)
+        _KEPT[name] = key, build()
+    return _KEPT[name][1]
+
+
 def map_slices(df: DataFrame, col: str, schema: T.StructType,
                make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]],
-               limit: int = SLICE_BYTES) -> DataFrame:
+               limit: int = SLICE_BYTES, keeps: str | None = None) -> DataFrame:
     """``mapInArrow`` over slices of about ``limit`` bytes of column ``col``.
-    ``make`` runs once per task and returns the function for a slice."""
+    ``make`` runs once per task and returns the function for a slice.  Workers
+    serve one stage after another: a task drops what other operators than
+    ``keeps`` left in its worker, and hands unused memory back at its end."""
     def run(batches):
+        for other in [k for k in _KEPT if keeps is None or not k.startswith(keeps)]:
+            del _KEPT[other]
         fn = make()
         for batch in batches:
             for piece in text_slices(batch, col, limit):
                 yield from fn(piece)
+        del fn
+        pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 
 def add_columns(df: DataFrame, col: str, fields: list[T.StructField],
                 make: Callable[[], Callable[[pa.Array], list]], drop: tuple[str, ...] = (),
-                limit: int = SLICE_BYTES) -> DataFrame:
+                limit: int = SLICE_BYTES, keeps: str | None = None) -> DataFrame:
     """Every row of ``df`` with the columns ``fields`` computed from its
     string column ``col``.  Input columns of the same names are replaced,
     those in ``drop`` left out."""
@@ -199,7 +223,7 @@ def add_columns(df: DataFrame, col: str, fields: list[T.StructField],
                                              + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x)
                                                 for x in new], names=keep + names)
         return piece
-    return map_slices(df, col, schema, outer, limit)
+    return map_slices(df, col, schema, outer, limit, keeps)
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

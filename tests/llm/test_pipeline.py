@@ -40,6 +40,29 @@ def test_stages(spark, tmp_path):
     assert sum(r["n_tokens"] for r in got.values()) == sum(r["n_tokens"] for r in docs.collect())
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Texts that merely share an id are no copies; every family keeps a row."""
+    rng = random.Random(2)
+    a, b, c = (text(rng, 200) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, c), (3, c), (None, c), (None, "short"), (None, None), (4, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (3, c), (None, "short"), (None, None), (4, ""), (5, "")],
+                                          key=str)
+
+
+def test_workers_keep_the_tables_of_one_operator():
+    from quarry.llm import textscan
+    textscan._KEPT.clear()
+    assert textscan.kept("bpe x", 1, lambda: "a") == textscan.kept("bpe x", 1, lambda: "b") == "a"
+    assert textscan.kept("bpe x", 2, lambda: "c") == "c"
+    powers = textscan._Powers()
+    up, down = powers.get(powers.KEEP + 5)
+    assert len(up) == powers.KEEP + 5 and len(powers.up) == 1
+    assert ((up * down) == 1).all() and (powers.get(100)[0] == up[:100]).all()
+
+
 def test_empty_tables(spark, tmp_path):
     cols = "doc_id long, text string, lang string, source string, n_chars long"
     sf = str(tmp_path)
