@@ -7,8 +7,9 @@ All stages but the last return the columns of ``documents``; ``n_chars``
 follows the text where a stage changes it.
 
 Edge cases are those of the operators: a null or empty text fails the quality
-rules; of rows that share an id one stays, rows with a null id all stay in the
-join's stage; extra columns are left out; an empty table stays empty through all stages.
+rules; rows that share an id or have a null one are documents of their own to
+the near duplicates; extra columns are left out; an empty table stays empty
+through all stages.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.line_dedup import dedup_lines
+from quarry.llm.stored import stored
 from quarry.schemas import TABLES
 from quarry.session import ensure_checkpoint_dir
 from quarry.sources.ops import scratch_path
@@ -46,16 +48,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the document with the smallest id of each group stays."""
+    """N-gram Jaccard join: of each group the row with the smallest id stays
+    (null ids last, then the first row).  Rows are told apart by a number of
+    their own, so texts that merely share an id are judged one by one."""
     ensure_checkpoint_dir(spark)
-    docs = docs.select(*COLUMNS)
-    stay = (jaccard_components(docs.select("doc_id", "text"))
-            .filter("doc_id = component_id").select("doc_id").distinct())
-    # of rows that share an id the least one stays
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    kept = (docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-            .select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest]))
-    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), *COLUMNS), "near-duplicates")
+    group = jaccard_components(numbered.select(F.col("number").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("number"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")
+    stay = (numbered.select("number", "doc_id").join(group, "number")
+            .groupBy("component_id").agg(F.min(order)["number"].alias("number")).select("number"))
+    return numbered.join(stay, "number", "left_semi").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
