@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules as rules
-from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
+from quarry.llm.bpe import bpe_round_trip, public_vocabulary
 from quarry.llm.centroid_clustering import cluster_centroids
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.jaccard_join import jaccard_components
@@ -39,8 +39,7 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL form; tested against the tokenizers library."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = public_vocabulary()
-    coded = bpe_decode(bpe_encode(docs, vocab, keep_text=False), vocab)
+    coded = bpe_round_trip(docs, public_vocabulary(), keep_text=False)
     return coded.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -12,6 +12,7 @@ table decides them exactly: every byte of a non-ASCII character is >= 0x80.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +52,9 @@ class _Powers:
     KEEP = SLICE_BYTES + (SLICE_BYTES >> 3)
 
     def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,41 +176,35 @@ def text_slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES) -> It
         yield batch.slice(a, b - a)
 
 
-#: What a Python worker keeps for its next tasks: the tables of one operator.
-_KEPT: dict[str, tuple[int, object]] = {}
-
-
-def kept(name: str, key: int, build: Callable[[], object]):
-    """``build()``, made once per worker as long as its tasks are of the
-    operator that ``name`` starts with; tasks of others drop it."""
-    if _KEPT.get(name, (None, None))[0] != key:
-        _KEPT.pop(name, None)
-        _KEPT[name] = key, build()
-    return _KEPT[name][1]
+def hand_back() -> None:
+    """Return freed memory to the system.  Python workers wait for the tasks
+    of later stages; what they hold then counts against their executor."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def map_slices(df: DataFrame, col: str, schema: T.StructType,
                make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]],
-               limit: int = SLICE_BYTES, keeps: str | None = None) -> DataFrame:
+               limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of about ``limit`` bytes of column ``col``.
-    ``make`` runs once per task and returns the function for a slice.  Workers
-    serve one stage after another: a task drops what other operators than
-    ``keeps`` left in its worker, and hands unused memory back at its end."""
+    ``make`` runs once per task and returns the function for a slice; a worker
+    keeps nothing of it for later tasks."""
     def run(batches):
-        for other in [k for k in _KEPT if keeps is None or not k.startswith(keeps)]:
-            del _KEPT[other]
         fn = make()
         for batch in batches:
             for piece in text_slices(batch, col, limit):
                 yield from fn(piece)
         del fn
-        pa.default_memory_pool().release_unused()
+        hand_back()
     return df.mapInArrow(run, schema)
 
 
 def add_columns(df: DataFrame, col: str, fields: list[T.StructField],
                 make: Callable[[], Callable[[pa.Array], list]], drop: tuple[str, ...] = (),
-                limit: int = SLICE_BYTES, keeps: str | None = None) -> DataFrame:
+                limit: int = SLICE_BYTES) -> DataFrame:
     """Every row of ``df`` with the columns ``fields`` computed from its
     string column ``col``.  Input columns of the same names are replaced,
     those in ``drop`` left out."""
@@ -223,7 +221,7 @@ def add_columns(df: DataFrame, col: str, fields: list[T.StructField],
                                              + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x)
                                                 for x in new], names=keep + names)
         return piece
-    return map_slices(df, col, schema, outer, limit, keeps)
+    return map_slices(df, col, schema, outer, limit)
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

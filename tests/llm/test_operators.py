@@ -90,6 +90,26 @@ def test_bpe_equals_library(spark, docs, rows):
     assert len(got) == len(rows) and all((r["text"] or "") == r["decoded"] for r in got)
 
 
+def test_bpe_query_digests(spark):
+    """The query's rows on a whole table, from the library."""
+    import hashlib
+
+    from conftest import SF_SMALL
+    from quarry.llm.queries import QUERIES
+    from quarry.sources.tables import read_table
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(public_vocabulary())
+    lib.no_truncation()
+    lib.no_padding()
+    want = {}
+    for r in read_table(spark, SF_SMALL, "documents").collect():
+        ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                             hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op1_bpe"](spark, SF_SMALL).collect()}
+    assert got == want
+
+
 def test_bpe_random_words():
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(public_vocabulary())

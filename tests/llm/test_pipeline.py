@@ -52,11 +52,8 @@ def test_near_duplicates_with_repeated_ids(spark):
                                           key=str)
 
 
-def test_workers_keep_the_tables_of_one_operator():
+def test_power_tables_are_bounded():
     from quarry.llm import textscan
-    textscan._KEPT.clear()
-    assert textscan.kept("bpe x", 1, lambda: "a") == textscan.kept("bpe x", 1, lambda: "b") == "a"
-    assert textscan.kept("bpe x", 2, lambda: "c") == "c"
     powers = textscan._Powers()
     up, down = powers.get(powers.KEEP + 5)
     assert len(up) == powers.KEEP + 5 and len(powers.up) == 1
