@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules as rules
-from quarry.llm.bpe import bpe_decode, bpe_encode, public_vocabulary
+from quarry.llm.bpe import bpe_round_trip, public_vocabulary
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.line_dedup import dedup_lines
@@ -72,8 +72,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding: token ids of every document, with digests of the ids and
     of the decoded text."""
     ensure_checkpoint_dir(spark)
-    vocab = public_vocabulary()
-    coded = bpe_decode(bpe_encode(docs.select(*COLUMNS), vocab, keep_text=False), vocab)
+    coded = bpe_round_trip(docs.select(*COLUMNS), public_vocabulary(), keep_text=False)
     return coded.select(
         "doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.col("token_ids"), F.sha2("token_ids", 256).alias("ids_sha256"),
