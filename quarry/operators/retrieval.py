@@ -8,10 +8,13 @@ before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.operators import lexical_index
 from quarry.operators.topk import top_k
 
 
@@ -53,30 +56,36 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Op 92: inverted index rows ``term, doc_id, tf, dl, df``.
 
-    ``tf`` is a partial aggregate within each map task (a document never
-    spans tasks), so only distinct (doc, term) rows cross the shuffle; the
-    document frequency is a second partial aggregate keyed by term, which
-    keeps hot terms ("the") from landing whole on one reducer.
+    Taken from the block index: a term's postings of one document range are
+    one row until the document frequency has joined, so a term that every
+    document holds meets it in one row per block, not per document.
     """
-    tf = doc_terms(docs, id_col, text_col).groupBy("doc_id", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df_, "term")
+    index = lexical_index.build_index(docs, id_col, text_col)
+    head = F.explode(F.arrays_zip("terms", "counts")).alias("h")
+    df_ = (index.select(head).groupBy(F.col("h.terms").alias("term"))
+           .agg(F.sum("h.counts").alias("df")))
+    rows = lexical_index.open_postings(index).join(df_, "term")
+    return (rows.select("term", "df", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("p"))
+            .select("term", F.col("p.ids").alias("doc_id"), F.col("p.lens").alias("dl"),
+                    F.col("p.tfs").cast("long").alias("tf"), "df"))
 
 
 # ---------------------------------------------------------------- BM25
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75,
          qid_col: str = "item_id", qtext_col: str = "text",
-         id_col: str = "doc_id", text_col: str = "text",
+         id_col: str = "doc_id", text_col: str = "text", cluster: Sequence[str] = (),
          cost: Column | None = None, budget: int | None = None) -> DataFrame:
-    """Op 93: Okapi BM25 top-k documents per query.
+    """Op 93: Okapi BM25 top-k documents per query, from a block index that
+    skips blocks below the current k-th score
+    (:mod:`quarry.operators.lexical_index`; ``cluster``: columns by which the
+    documents are put in order for it).
 
     With ``cost`` (a whole number of at least 1 per document) and ``budget``
     the ranking is not cut at ``k``: it holds every document whose running
     cost, in rank order, is at most ``budget`` (and some that follow).
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term
-    counts once.  Plan:
+    counts once.  Plan with a budget, where no k-th score bounds the ranking:
     1. postings restricted to the query vocabulary (a broadcast semi join
        right after the explode, so only those terms are aggregated and
        shuffled), tf per (doc, term) as a partial aggregate, df per term;
@@ -89,6 +98,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: f
     Output: qid, rank, doc_id, score (score rounded to 6 digits, ranking on
     9 digits then doc_id so engines agree on ties).
     """
+    if budget is None:
+        index = lexical_index.build_index(docs, id_col, text_col, cluster)
+        found = lexical_index.search(index, queries, k, k1, b, qid_col, qtext_col)
+        return rank_scores(found, "qid", k).withColumnRenamed("qid", qid_col)
     qterms = (queries.select(F.col(qid_col).alias("qid"), F.explode(tokens(qtext_col)).alias("term"))
               .distinct())
     vocab = qterms.select("term").distinct()

@@ -51,7 +51,7 @@ def q_read_table(spark, root):
 @register("bm25_topk", BM25_SQL)
 def q_bm25(spark, root):
     t = Tables(spark, root)
-    return R.bm25(t.benchmark, t.documents, k=10)
+    return R.bm25(t.benchmark, t.documents, k=10, cluster=["lang"])
 
 
 CHUNK_SQL = f"""
@@ -181,7 +181,7 @@ SELECT item_id, rank, doc_id, round(rrf, 9) AS rrf FROM fr WHERE rank <= 10""")
 def q_rrf(spark, root):
     t = Tables(spark, root)
     qv, dv = _vecs(t)
-    lex = R.bm25(t.benchmark, t.documents, k=20)
+    lex = R.bm25(t.benchmark, t.documents, k=20, cluster=["lang"])
     den = R.dense_topk(qv, dv, "item_id", "vector", "doc_id", "vector", 20,
                        n_queries=t.benchmark.count(), n_corpus=t.documents.count())
     fused = R.rrf([lex, den], "item_id", "doc_id", k=60)
@@ -333,7 +333,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id, orphan
 WHERE r = 1""")
 def q_bridge(spark, root):
     t = Tables(spark, root)
-    hits = R.bm25(t.benchmark, t.documents, k=10).join(
+    hits = R.bm25(t.benchmark, t.documents, k=10, cluster=["lang"]).join(
         t.documents.select("doc_id", "source"), "doc_id")
     cnt = hits.groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("_n"))
     linked = hits.join(cnt.filter("_n > 1"), ["item_id", "source"]).select("item_id", "doc_id")

@@ -25,7 +25,7 @@ SELECT b.item_id, b.doc_id,
 FROM b_top b JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)""")
 def q_scorer(spark, root):
     t = Tables(spark, root)
-    pairs = (R.bm25(t.benchmark, t.documents, k=20).select("item_id", "doc_id")
+    pairs = (R.bm25(t.benchmark, t.documents, k=20, cluster=["lang"]).select("item_id", "doc_id")
              .join(t.benchmark.select("item_id", F.col("text").alias("q")), "item_id")
              .join(t.documents.select("doc_id", F.col("text").alias("d")), "doc_id"))
     scorer = U.make_pair_scorer()

@@ -301,7 +301,7 @@ ranked2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, i
 SELECT item_id, rank, doc_id, CAST(idx AS BIGINT) AS idx, round(s, 6) AS score FROM ranked2 WHERE rank <= 5""")
 def q_rerank(spark, root):
     t = Tables(spark, root)
-    cands = R.bm25(t.benchmark, t.documents, k=20).select("item_id", F.col("rank").alias("idx"),
+    cands = R.bm25(t.benchmark, t.documents, k=20, cluster=["lang"]).select("item_id", F.col("rank").alias("idx"),
                                                           "doc_id")
     qt = t.benchmark.select("item_id", F.array_distinct(tokens("text")).alias("qt"))
     dt = t.documents.select("doc_id", F.array_distinct(tokens("text")).alias("dt"))
