@@ -18,6 +18,7 @@ from quarry.schemas import TABLES
 from quarry.sources.ops import scratch_path
 from quarry.sources.tables import Tables
 from quarry.streaming import ops as S
+from quarry.streaming import stateful as K
 
 # Watermark delays: the staged log is replayed in event-time order, so a
 # short delay drops no row and keeps the state bounded.
@@ -25,12 +26,20 @@ WM_SHORT = "10 minutes"
 WM_HOUR = "1 hour"
 
 
-def _staged_events(spark, root, name, tick=False):
+def _staged_events(spark, root, name, tick=False, after=None):
+    """The events as a folder of files; ``tick`` and ``after`` add a last file
+    with an event of no user, at the last time or that much later."""
     e = Tables(spark, root).events
     path = S.stage_files(e, scratch_path(spark, name), "ts", 8)
     if tick:
         last = e.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(1)
         S.append_tick(spark, path, last.withColumn("user_id", F.lit(-1).cast("long")))
+    if after:
+        last = e.groupBy().agg(F.max("ts").alias("ts")).select(
+            F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr(f"INTERVAL {after}")).alias("ts"),
+            F.lit(-1).cast("long").alias("user_id"), F.lit("tick").alias("event_type"),
+            F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+        S.append_tick(spark, path, last)
     return S.stream_source(spark, path, TABLES["events"], "ts")
 
 
@@ -181,18 +190,26 @@ def q_finalizer(spark, root):
 
 
 CONFIRM_DEPTH = 10
+LATE_EVERY, LATE_BY = 97, 3000
 
 
 @register("confirmed_only", f"""
 SELECT event_id, CAST(1 AS BIGINT) AS copies FROM events
 WHERE event_id <= (SELECT max(event_id) FROM events) - {CONFIRM_DEPTH}""")
 def q_confirmed(spark, root):
-    e = Tables(spark, root).events
-    path = S.stage_files(e, scratch_path(spark, "stream-confirm"), "event_id", 8)
-    last = e.orderBy(F.col("event_id").desc()).limit(1)
-    S.append_tick(spark, path, last.withColumn("user_id", F.lit(-1).cast("long")))
-    s = S.stream_source(spark, path, TABLES["events"], None)
-    return S.run_to_table(S.confirmed_only(s, "event_id", CONFIRM_DEPTH), "stream-confirm", "append")
+    """Every ``LATE_EVERY``-th event comes ``LATE_BY`` blocks after its block, far
+    below the confirmed height; every fifth event comes again that much later."""
+    e = Tables(spark, root).events.select("event_id", F.col("event_id").alias("arrival"))
+    late = (F.col("event_id") % LATE_EVERY == 0) & (F.col("event_id") % 5 != 0)
+    e = (e.withColumn("arrival", F.when(late, F.col("arrival") + LATE_BY).otherwise(F.col("arrival")))
+         .unionByName(e.filter("event_id % 5 = 0").withColumn("arrival", F.col("arrival") + LATE_BY)))
+    top = e.agg(F.max("event_id")).first()[0]
+    path = S.stage_files(e, scratch_path(spark, "stream-confirm"), "arrival", 12)
+    S.append_tick(spark, path, e.limit(1).select(F.lit(top).cast("long").alias("event_id"),
+                                                 F.lit(top).cast("long").alias("arrival")))
+    s = S.stream_source(spark, path, e.schema, None)
+    out = S.run_to_table(K.confirmed(s, "event_id", "event_id", CONFIRM_DEPTH), "stream-confirm", "append")
+    return out.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @register("stream_rate_limit", """
@@ -241,13 +258,55 @@ def q_first_claim(spark, root):
                                                                  "outcome")
 
 
+@register("stream_first_claim", """
+WITH c AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS card, user_id, ts FROM events
+           WHERE event_type IN ('view', 'click'))
+SELECT event_id, card, user_id,
+       CASE WHEN event_id = arg_min(event_id, (ts, event_id)) OVER (PARTITION BY card) THEN 'claim'
+            ELSE 'conflict' END AS outcome
+FROM c""")
+def q_stream_first_claim(spark, root):
+    """Op 122 as a stream: the claims of a card lie in many micro-batches."""
+    s = _staged_events(spark, root, "stream-claims", after="1 hour")
+    s = s.filter(F.col("event_type").isin("view", "click", "tick")).withColumn(
+        "card", F.when(F.col("event_type") == "tick", -1).otherwise(F.get_json_object("props", "$.k").cast("long")))
+    return S.run_to_table(K.claims(s, "card", "ts", "event_id", "user_id"), "stream-claims", "append").filter(
+        F.col("card") >= 0)
+
+
+@register("stream_stale_claims", f"""
+WITH l AS (SELECT user_id, arg_max({CARD_STATE_SQL}, (ts, event_id)) AS state, max(ts) AS ts FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN state = 'claimed'
+                          AND epoch_us(ts) // 1000000 < epoch_us((SELECT max(ts) FROM events)) // 1000000
+                                                        - {STALE_AGE_S}
+                     THEN 'unclaimed' ELSE state END AS state
+FROM l""")
+def q_stream_stale(spark, root):
+    """Op 121 as a stream: timers flip stale claims back."""
+    s = _staged_events(spark, root, "stream-stale", after="1 second").withColumn("state", F.expr(CARD_STATE_SQL))
+    out = S.run_to_table(K.stale_cards(s, "user_id", "state", "ts", "event_id", STALE_AGE_S), "stream-stale", "append")
+    last = out.filter(F.col("card") >= 0).groupBy("card").agg(
+        F.max_by("state", F.struct("ts", "event_id", "stale")).alias("state"))
+    return last.select(F.col("card").alias("user_id"), "state")
+
+
 @register("stream_dedup", """
 SELECT event_type, count(*) AS n FROM events GROUP BY 1""")
 def q_dedup(spark, root):
+    """Every event comes twice, the copy in a later file: four slices of time,
+    each read again as a whole before the next."""
     e = Tables(spark, root).events
-    path = S.stage_files(e.unionByName(e), scratch_path(spark, "stream-dedup"), "ts", 8)
+    lo, hi = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
+                   F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    slice_ = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - lo) * 4 / (hi - lo + 1))
+    both = e.withColumn("turn", 2 * slice_).unionByName(e.withColumn("turn", 2 * slice_ + 1))
+    path = scratch_path(spark, "stream-dedup")
+    for turn in range(8):
+        S.stage_files(both.filter(F.col("turn") == turn).drop("turn"), path, "ts", 1, pause=1.1)
     s = S.stream_source(spark, path, TABLES["events"], "ts")
-    t = S.run_to_table(S.stream_dedup(s, "event_id", "ts", WM_HOUR), "stream-dedup", "append")
+    # a copy may come as long after its original as a slice of the log is long
+    slack = f"{(hi - lo) // 4_000_000 + 3600} seconds"
+    t = S.run_to_table(S.stream_dedup(s, "event_id", "ts", slack), "stream-dedup", "append")
     return t.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -18,6 +18,7 @@ Output modes:
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 
@@ -97,8 +98,11 @@ ROCKSDB_PROVIDER = ("org.apache.spark.sql.execution.streaming.state."
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
-                 keys: Sequence[str] | None = None, state_partitions: int | None = None) -> DataFrame:
+                 keys: Sequence[str] | None = None, state_partitions: int | None = None,
+                 counts: dict | None = None) -> DataFrame:
     """Run a streaming query to the end of its input and return the table.
+    ``counts`` gets the micro-batches run and the rows that came after the
+    watermark and were ``dropped`` (of the progress reports that Spark keeps).
 
     ``update`` mode needs ``keys``: the table is the latest version of each
     key (the highest batch id wins).  ``state_partitions`` (default: the
@@ -130,6 +134,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
         else:
             spark.conf.unset(store_key)
     q.awaitTermination()
+    if counts is not None:
+        counts["batches"] = len(q.recentProgress)
+        counts["dropped"] = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress
+                                for op in json.loads(p.json)["stateOperators"])
     try:
         res = spark.read.parquet(f"{out}/_b=*")
     except AnalysisException as e:
@@ -204,19 +212,6 @@ def latest_state(stream: DataFrame, key: str, ts: str, cols: Sequence[str],
     return g.select(key, *[F.col(f"_r.{c}").alias(c) for c in [ts, *cols]])
 
 
-def confirmed_only(stream: DataFrame, height: str, depth: int = 10) -> DataFrame:
-    """Op 119: events count as final once they are ``depth`` blocks below the
-    highest block seen.  The block height is read as event time (seconds), a
-    one-second window per event and a watermark of ``depth - 1`` seconds:
-    the window [h, h+1) closes when max_height - (depth - 1) >= h + 1, that
-    is h <= max_height - depth.  Append mode emits every event once."""
-    s = stream.withColumn("_hts", F.timestamp_seconds(F.col(height)))
-    s = s.withWatermark("_hts", f"{depth - 1} seconds")
-    g = s.groupBy(F.window("_hts", "1 second").alias("_w"), height).agg(
-        F.count(F.lit(1)).alias("copies"))
-    return g.select(height, "copies")
-
-
 # ---------------------------------------------------------------- stateful folds
 CRASH_OUT = T.StructType([T.StructField("container_id", T.LongType()),
                           T.StructField("event_id", T.LongType()),
