@@ -8,11 +8,11 @@ and the SQL oracle draws the same numbers.
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
 
@@ -113,64 +113,40 @@ def audit_outcomes(receipts: DataFrame, reference: DataFrame, key: str, output:
 
 
 # ---------------------------------------------------------------- ops 111, 112
-def time_slices(rows: DataFrame, key: str, at: str, max_rows: int) -> tuple[DataFrame, int]:
-    """Rows with ``_t`` (the time as a number) and ``_slice``: every key's rows
-    cut in time order, rows without a time first, into slices of about ``max_rows`` (counts per key and
-    fine time bucket, summed up; 64 buckets to a slice, so a slice outgrows
-    its bound by one bucket at most), and the number of slices.  The result
-    is written to the shared checkpoint folder."""
-    from quarry.session import cut_lineage
-    t = F.col(at)
-    if isinstance(rows.schema[at].dataType, (T.TimestampType, T.TimestampNTZType)):
-        t = F.unix_micros(t.cast("timestamp"))
-    rows = rows.withColumn("_t", t.cast("double"))
-    span = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1) / (64 * F.ceil(F.col("_n") / max_rows))
-    rows = rows.join(span, key).withColumn(
-        "_b", F.coalesce(F.floor((F.col("_t") - F.col("_lo")) / width), F.lit(-1))).drop("_n", "_lo", "_hi")
-    buckets = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(key).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.select(key, "_b", F.floor(before / max_rows).cast("int").alias("_slice"))
-    rows = cut_lineage(rows.join(buckets, [key, "_b"]).drop("_b"))
-    return rows, (rows.agg(F.max("_slice")).first()[0] or 0) + 1
-
-
-def _lockable(asked: DataFrame, max_rows: int) -> DataFrame:
+def fold_in_order(rows: DataFrame, key: str, order: list[Column], fold, schema: str) -> DataFrame:
+    """``fold`` over the rows of every key in order: one shuffle by the key, a
+    sort within partitions, and one pass that takes Arrow batches as they come.
+    ``fold(batches)`` gets frames whose keys lie side by side and carries its
+    state from row to row and batch to batch, so a key's history is never held
+    whole, however long, and many short histories cost no call each."""
+    return rows.repartition(F.col(key)).sortWithinPartitions(F.col(key), *order).mapInPandas(fold, schema)
+
+
+def _in_time(at: str) -> list[Column]:
+    """Rows without a time come first; ties by job."""
+    return [F.col(at).asc_nulls_first(), F.col("job_id").asc_nulls_first()]
+
+
+def _lockable(asked: DataFrame) -> DataFrame:
     """Which jobs find their stake available: per worker in job order, every
     job released before the next; ``asked`` has ``job_id, worker, at, deposit,
     stake, change`` (payment less slash, if the job is accepted)."""
-    from quarry.session import cut_lineage
-    rows, n = time_slices(asked, "worker", "at", max_rows)
-
-    def fold(req: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
-        if len(req) == 0:
-            return pd.DataFrame({"job_id": None, "worker": st["worker"], "ok": None, "available": st["available"]})
-        req = req.sort_values(["_t", "job_id"], kind="mergesort", na_position="first")
-        have = int(st["available"].iloc[0]) if len(st) else int(req["deposit"].iloc[0])
-        ok = []
-        for stake, change in zip(req["stake"].tolist(), req["change"].tolist()):
-            ok.append(have >= stake)
-            have += change if ok[-1] else 0
-        # the last row carries the balance on
-        return pd.DataFrame({"job_id": [*req["job_id"], None], "worker": [*req["worker"], req["worker"].iloc[0]],
-                             "ok": [*ok, None], "available": [*[None] * len(req), have]}, dtype=object)
-    schema = "job_id long, worker long, ok boolean, available long"
-    state = asked.sparkSession.createDataFrame([], "worker long, available long")
-    done = None
-    for k in range(n):
-        res = cut_lineage(rows.filter(F.col("_slice") == k).groupBy("worker").cogroup(state.groupBy("worker"))
-                          .applyInPandas(fold, schema))
-        part = res.filter(F.col("job_id").isNotNull()).select("job_id", "ok")
-        done = part if done is None else done.unionByName(part)
-        state = res.filter(F.col("job_id").isNull()).select("worker", "available")
-    return done
+    def fold(batches):
+        worker, have = None, 0
+        for b in batches:
+            ok = []
+            for who, deposit, stake, change in zip(*(b[c].tolist() for c in ("worker", "deposit", "stake", "change"))):
+                if who != worker:
+                    worker, have = who, deposit
+                ok.append(have >= stake)
+                have += change if ok[-1] else 0
+            yield pd.DataFrame({"job_id": b["job_id"], "ok": ok})
+    return fold_in_order(asked, "worker", _in_time("at"), fold, "job_id long, ok boolean")
 
 
 def settle_jobs(jobs: DataFrame, workers: DataFrame, outcomes: DataFrame, deposits: DataFrame,
                 audit_rate: float = 0.05, high_value: int = 45_000_000,
-                net_rate: float = NETWORK_TAX, pool_rate: float = POOL_TAX,
-                max_rows_per_task: int = 500_000) -> DataFrame:
+                net_rate: float = NETWORK_TAX, pool_rate: float = POOL_TAX) -> DataFrame:
     """Op 111: the paid-job lifecycle as one batch, one row per job.
 
     Rejected without a worker, when the stake (value x 10) exceeds the
@@ -199,7 +175,7 @@ def settle_jobs(jobs: DataFrame, workers: DataFrame, outcomes: DataFrame, deposi
     asked = j.filter(F.col("status") == "accepted").select(
         "job_id", "worker", F.col("offered_at").alias("at"), "deposit", "stake",
         (pays - slashed).cast("long").alias("change"))
-    j = j.join(_lockable(asked, max_rows_per_task), "job_id", "left")
+    j = j.join(_lockable(asked), "job_id", "left")
     # a job without an answer is not accepted
     short = (F.col("status") == "accepted") & ~F.coalesce("ok", F.lit(False))
     j = (j.withColumn("status", F.when(short, F.lit("rejected_balance")).otherwise(F.col("status")))
@@ -256,7 +232,7 @@ def journal_rows(settled: DataFrame, deposits: DataFrame, deposit_at) -> DataFra
     return d.unionByName(e.filter(F.col("amount") != 0))
 
 
-def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: int = 500_000) -> DataFrame:
+def credit_lines(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """Op 112: per creditor, in job order, a request whose shortfall
     (value - cap) is positive draws credit when the creditor's debt to that
     debtor stays within ``per_node_max`` and the creditor's outstanding
@@ -265,67 +241,39 @@ def credit_lines(requests: DataFrame, policies: DataFrame, max_rows_per_task: in
     (1 - f): fully on a clean settle, nothing on a full slash (defaulted); the
     unrepaid part stays outstanding.
 
-    Rejections feed back into later decisions, so this is a sequential fold
-    over time slices.  The credit-needing requests of a creditor are cut into
-    slices of about ``max_rows_per_task`` rows (counts per fine time bucket
-    and creditor, summed up in time order); slice k is a cogrouped
-    ``applyInPandas`` per creditor that starts from the state table left by
-    slice k-1 (debt per creditor and debtor, written to the shared checkpoint
-    folder).  No task holds a creditor's whole history, and a lost executor
-    repeats one slice.
+    Rejections feed back into later decisions, so a creditor's requests are
+    folded one after another (:func:`fold_in_order`): its open debts are the
+    only state, rows stream through.  Requests without a time come first; a
+    missing slash fraction is a clean settle.
     """
-    from quarry.session import cut_lineage
     need = requests.withColumn("shortfall", F.greatest(F.col("value") - F.col("cap"), F.lit(0)))
     asked = need.filter(F.col("shortfall") > 0)
     without = asked.join(policies, "creditor", "left_anti")
-    fold_in = asked.join(policies, "creditor")
-    fold_in, n_slices = time_slices(fold_in, "creditor", "at", max_rows_per_task)
-    cols = ["job_id", "creditor", "debtor", "shortfall", "accepted", "repaid", "defaulted",
-            "outstanding_after"]
-    schema = ("kind string, job_id long, creditor long, debtor long, shortfall long, "
-              "accepted boolean, repaid long, defaulted boolean, outstanding_after long")
-
-    def fold(req: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
-        if len(req) == 0:  # no request of this creditor in the slice: keep its state
-            return pd.DataFrame({"kind": "state", "job_id": None, "creditor": st["creditor"],
-                                 "debtor": st["debtor"], "shortfall": None, "accepted": None,
-                                 "repaid": st["debt"], "defaulted": None,
-                                 "outstanding_after": None})[schema_cols]
-        req = req.sort_values(["_t", "job_id"], kind="mergesort", na_position="first")
-        per_max = int(req["per_node_max"].iloc[0])
-        total = int(req["total_exposure"].iloc[0])
-        debt = {int(d): int(v) for d, v in zip(st["debtor"], st["debt"])}
-        outstanding = sum(debt.values())
-        out = []
-        for r in req.itertuples(index=False):
-            s, d, f = int(r.shortfall), int(r.debtor), float(r.fraction)
-            ok = debt.get(d, 0) + s <= per_max and outstanding + s <= total
-            repaid, defaulted = 0, False
-            if ok:
-                repaid = int(np.floor(s * (1.0 - f) + 0.5)) if f < 1.0 else 0
-                defaulted = f >= 1.0
-                debt[d] = debt.get(d, 0) + s - repaid
-                outstanding += s - repaid
-            out.append(("out", int(r.job_id), int(r.creditor), d, s, ok, repaid, defaulted,
-                        outstanding))
-        c = int(req["creditor"].iloc[0])
-        out += [("state", None, c, d, None, None, v, None, None) for d, v in debt.items() if v]
-        return pd.DataFrame(out, columns=schema_cols)
-
-    schema_cols = [c.split()[0] for c in schema.split(", ")]
-    spark = requests.sparkSession
-    state = spark.createDataFrame([], "creditor long, debtor long, debt long")
-    outs = []
-    for s in range(n_slices):
-        part = fold_in.filter(F.col("_slice") == s)
-        res = cut_lineage(part.groupBy("creditor").cogroup(state.groupBy("creditor"))
-                          .applyInPandas(fold, schema))
-        outs.append(res.filter(F.col("kind") == "out").select(*cols))
-        state = res.filter(F.col("kind") == "state").select(
-            "creditor", "debtor", F.col("repaid").alias("debt"))
-    folded = outs[0]
-    for o in outs[1:]:
-        folded = folded.unionByName(o)
+    drawn = asked.join(policies, "creditor").select(
+        "job_id", "creditor", "debtor", "shortfall", "at", F.coalesce("fraction", F.lit(0.0)).alias("fraction"),
+        "per_node_max", "total_exposure")
+    schema = ("job_id long, creditor long, debtor long, shortfall long, accepted boolean, repaid long, "
+              "defaulted boolean, outstanding_after long")
+
+    def fold(batches):
+        creditor, debt, outstanding = None, {}, 0
+        for b in batches:
+            out = []
+            for who, debtor, s, f, per_max, total in zip(*(b[c].tolist() for c in (
+                    "creditor", "debtor", "shortfall", "fraction", "per_node_max", "total_exposure"))):
+                if who != creditor:
+                    creditor, debt, outstanding = who, {}, 0
+                owed = debt.get(debtor, 0)
+                ok = owed + s <= per_max and outstanding + s <= total
+                repaid = math.floor(s * (1.0 - f) + 0.5) if ok and f < 1.0 else 0
+                if ok and s > repaid:
+                    debt[debtor] = owed + s - repaid
+                    outstanding += s - repaid
+                out.append((ok, repaid, ok and f >= 1.0, outstanding))
+            new = pd.DataFrame(out, columns=["accepted", "repaid", "defaulted", "outstanding_after"])
+            yield pd.concat([b[["job_id", "creditor", "debtor", "shortfall"]].reset_index(drop=True), new], axis=1)
+
+    folded = fold_in_order(drawn, "creditor", _in_time("at"), fold, schema)
     free = need.filter(F.col("shortfall") <= 0).select(
         "job_id", "creditor", "debtor", "shortfall", F.lit(True).alias("accepted"),
         F.lit(0).cast("long").alias("repaid"), F.lit(False).alias("defaulted"),

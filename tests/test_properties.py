@@ -279,8 +279,10 @@ def test_credit_lines_independent_fold(spark):
                                      "at long, fraction double")
     pol = spark.createDataFrame([(c, 120, 300) for c in (1, 2, 3)],
                                 "creditor long, per_node_max long, total_exposure long")
-    # a tiny row budget forces several time slices with carried state
-    got = {r.job_id: (r.accepted, r.repaid) for r in credit_lines(rdf, pol, max_rows_per_task=4).collect()}
+    # tiny Arrow batches: the state is carried from one to the next
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    got = {r.job_id: (r.accepted, r.repaid) for r in credit_lines(rdf, pol).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 60
     for c in (1, 2, 3):
         debt, out = {}, 0

@@ -127,7 +127,7 @@ def test_credit_without_policy_is_rejected(spark):
 
 
 def test_locks_never_exceed_the_balance(spark):
-    """Slashes eat the deposit, payments add to it; tiny slices carry state."""
+    """Slashes eat the deposit, payments add to it."""
     rng = random.Random(5)
     jobs = [(i, 9, rng.randint(100, 900), 1000 + i) for i in range(60)]
     jdf = spark.createDataFrame(jobs, "job_id long, publisher long, value long, offered_at long")
@@ -135,7 +135,9 @@ def test_locks_never_exceed_the_balance(spark):
     sev = {i: rng.choice([0.0, 0.2, 0.5]) for i in range(60)}
     out = spark.createDataFrame(list(sev.items()), "job_id long, severity double")
     dep = spark.createDataFrame([(w, 10_000) for w in range(3)], "worker long, deposit long")
-    rows = M.settle_jobs(jdf, who, out, dep, audit_rate=1.0, max_rows_per_task=4).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")     # carried from batch to batch
+    rows = M.settle_jobs(jdf, who, out, dep, audit_rate=1.0).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     have = {w: 10_000 for w in range(3)}
     for r in sorted(rows, key=lambda r: r.offered_at):
         stake = r.value * 10
