@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -510,22 +511,44 @@ def clusters_from_edges(nodes: DataFrame, edges: DataFrame, min_size: int) -> Da
             .select("id", "label"))
 
 
+def clusters_by_level(nodes: DataFrame, edges: DataFrame, levels: int, min_size: int) -> DataFrame:
+    """Op 107 at every cut of one linkage: ``level, id, label`` from edges
+    ``(level, u, v)``.  All levels are cut in one run of component rounds, on
+    nodes that carry their level."""
+    at = [F.struct("level", F.col(c).alias("id")).alias(c) for c in ("u", "v")]
+    cc = connected_components(edges.select(*at)).select("id.level", "id.id", F.col("label.id").alias("label"))
+    every = nodes.select("id").withColumn("level", F.explode(F.array(*map(F.lit, range(levels)))))
+    lab = every.join(cc, ["level", "id"], "left").withColumn("label", F.coalesce("label", F.col("id")))
+    size = lab.groupBy("level", "label").agg(F.count(F.lit(1)).alias("_size"))
+    return (lab.join(size, ["level", "label"])
+            .withColumn("label", F.when(F.col("_size") >= min_size, F.col("label")).otherwise(F.lit(-1).cast("long")))
+            .select("level", "id", "label"))
+
+
 # ---------------------------------------------------------------- ops 108, 109
+class Tree(NamedTuple):
+    """``communities``: ``temp_id, parent_temp_id, level, size,
+    representatives`` (ids numbered broad -> mid -> leaf, by smallest member
+    inside a level); ``membership``: ``temp_id, level, member`` (one row per
+    member, never a collected list); ``noise``: the ids outside all leaves;
+    ``diagnostics``: one row of counts and the scale (op 109)."""
+    communities: DataFrame
+    membership: DataFrame
+    noise: DataFrame
+    diagnostics: DataFrame
+
+
 def community_tree(vectors: DataFrame, id_col: str, vec: str, min_size: int = MIN_CLUSTER_SIZE,
                    min_samples: int = MIN_SAMPLES, mults=(BROAD_MULT, MID_MULT, LEAF_MULT),
-                   block_rows: int = 1024):
-    """Op 108: three-level community tree.
-
-    Returns ``(communities, membership, diagnostics)``: communities
-    ``temp_id, parent_temp_id, level, size, representatives`` (ids numbered
-    broad -> mid -> leaf, by smallest member inside a level); membership
-    ``temp_id, level, member`` (one row per member, never a collected
-    list); diagnostics one row of counts and the scale (op 109).
-    """
+                   block_rows: int = 1024, normalize: bool = True) -> Tree:
+    """Op 108: three-level community tree of the vectors, by default scaled
+    to unit length first (a zero vector stays as it is)."""
+    from quarry.functions.scalars import l2_normalize
     from quarry.operators.joins import link_parents
 
     spark = vectors.sparkSession
-    pts = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
+    pts = cut_lineage(vectors.select(F.col(id_col).cast("long").alias("id"),
+                                     (l2_normalize(vec) if normalize else F.col(vec)).alias("v")))
     n = pts.count()
     if n < 2 * min_size:
         raise ValueError(f"need at least {2 * min_size} vectors, got {n}")
@@ -535,12 +558,7 @@ def community_tree(vectors: DataFrame, id_col: str, vec: str, min_size: int = MI
     core = knn.filter(F.col("rank") == min_samples).select("id", F.col("dist").alias("core"))
     cuts = [m * scale for m in mults]
     stars = cut_lineage(linkage_stars(pts, core, "id", "v", cuts, block_rows))
-    levels = []
-    for lvl in range(len(cuts)):
-        lab = cut_lineage(clusters_from_edges(
-            pts, stars.filter(F.col("level") == lvl).select("u", "v"), min_size))
-        levels.append(lab.withColumn("level", F.lit(lvl)))
-    labs = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    labs = cut_lineage(clusters_by_level(pts, stars, len(cuts), min_size))
     comms = labs.filter(F.col("label") >= 0).select("level", "label").distinct()
     w = Window.orderBy("level", "label")  # one row per community: a small table
     comms = comms.withColumn("temp_id", (F.row_number().over(w) - 1).cast("long"))
@@ -565,9 +583,11 @@ def community_tree(vectors: DataFrame, id_col: str, vec: str, min_size: int = MI
     communities = (comms.select("temp_id", "level").join(par, "temp_id", "left")
                    .join(sizes, "temp_id").join(reps, "temp_id")
                    .select("temp_id", "parent_temp_id", "level", "size", "representatives"))
-    noise = levels[2].filter(F.col("label") < 0).count()
-    per = {r["level"]: r["c"] for r in comms.groupBy("level").agg(F.count(F.lit(1)).alias("c")).collect()}
+    noise = labs.filter((F.col("level") == len(cuts) - 1) & (F.col("label") < 0)).select("id")
+    per = {r["level"]: r for r in labs.groupBy("level").agg(
+        F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("c"),
+        F.count_if(F.col("label") < 0).alias("noise")).collect()}
     diag = spark.createDataFrame(
-        [(int(n), int(per.get(0, 0)), int(per.get(1, 0)), int(per.get(2, 0)), int(noise), float(scale))],
+        [(int(n), per[0]["c"], per[1]["c"], per[2]["c"], per[2]["noise"], float(scale))],
         "n_points long, broad_count long, mid_count long, leaf_count long, noise_count long, scale double")
-    return communities, member, diag
+    return Tree(communities, member, noise, diag)

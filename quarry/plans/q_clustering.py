@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import clustering as C
 from quarry.plans import bindings as B
-from quarry.plans.q_scalars import PLANTED_SQL, planted
+from quarry.plans.q_scalars import PLANTED_SQL, planted, planted_raw
 from quarry.plans.registry import register
 from quarry.session import cut_lineage
 from quarry.sources.tables import Tables
@@ -14,6 +14,8 @@ from quarry.sources.tables import Tables
 
 #: Small blocks, so that the tables at hand fill several groups.
 BLOCK_ROWS = 256
+#: About the size of a leaf at sf0.01, so that some leaves are too small.
+NOISE_SIZE = 50
 
 
 def r6(c):
@@ -119,8 +121,16 @@ SELECT i.temp_id, par.parent AS parent_temp_id, CAST(i.lvl AS INTEGER) AS level,
        r.representatives
 FROM ids i JOIN sz s USING (lvl, label) LEFT JOIN par ON par.child = i.temp_id JOIN reps r USING (temp_id)""")
 def q_tree(spark, root):
-    comms, _, _ = C.community_tree(_points(spark, root), "id", "v")
-    return comms
+    return C.community_tree(_points(spark, root), "id", "v", block_rows=BLOCK_ROWS).communities
+
+
+@register("community_noise", PAIRS_SQL + TREE_CC_SQL + f"""
+SELECT c.id FROM cc c JOIN sz USING (lvl, label) WHERE lvl = 2 AND n < {NOISE_SIZE}""")
+def q_noise(spark, root):
+    """Op 108: the ids outside all leaf communities, of the vectors as they
+    were before scaling (the tree scales them)."""
+    raw = planted_raw(Tables(spark, root)).select(F.col("vec_id").alias("id"), "v")
+    return C.community_tree(raw, "id", "v", min_size=NOISE_SIZE, block_rows=BLOCK_ROWS).noise
 
 
 @register("cluster_diagnostics", PAIRS_SQL + TREE_CC_SQL + f"""
@@ -133,5 +143,5 @@ SELECT (SELECT count(*) FROM planted) AS n_points,
        (SELECT round(scale, 6) FROM scale) AS scale
 FROM sz""")
 def q_diag(spark, root):
-    _, _, diag = C.community_tree(_points(spark, root), "id", "v")
+    diag = C.community_tree(_points(spark, root), "id", "v", block_rows=BLOCK_ROWS).diagnostics
     return diag.withColumn("scale", F.round("scale", 6))

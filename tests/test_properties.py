@@ -315,8 +315,11 @@ def test_community_tree_matches_brute_force(spark):
     core = srt[:, 4]
     scale = float(np.median(srt[:, 4]))
     mr = np.maximum(np.maximum(Dm, core[:, None]), core[None, :])
-    comms, member, diag = C.community_tree(p, "id", "v")
+    comms, member, noise, diag = C.community_tree(p.withColumn("v", F.transform("v", lambda x: x * (F.col("id") % 3 + 1))),
+                                                  "id", "v", block_rows=100)
     d = diag.first()
+    leaves = {r.member for r in member.filter(F.col("level") == 2).collect()}
+    assert {r.id for r in noise.collect()} == set(ids.tolist()) - leaves and d.noise_count == len(ids) - len(leaves)
     assert d.scale == pytest.approx(scale)
     for lvl, mult in enumerate((C.BROAD_MULT, C.MID_MULT, C.LEAF_MULT)):
         parent = list(range(len(ids)))
