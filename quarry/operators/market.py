@@ -177,7 +177,8 @@ def settle_jobs(jobs: DataFrame, workers: DataFrame, outcomes: DataFrame, deposi
         (pays - slashed).cast("long").alias("change"))
     j = j.join(_lockable(asked), "job_id", "left")
     # a job without an answer is not accepted
-    short = (F.col("status") == "accepted") & ~F.coalesce("ok", F.lit(False))
+    j = j.withColumn("_short", (F.col("status") == "accepted") & ~F.coalesce("ok", F.lit(False)))
+    short = F.col("_short")
     j = (j.withColumn("status", F.when(short, F.lit("rejected_balance")).otherwise(F.col("status")))
          .withColumn("audited", F.col("audited") & ~short)
          .withColumn("fraction", F.when(short, F.lit(0.0)).otherwise(F.col("fraction"))))

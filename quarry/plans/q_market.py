@@ -14,7 +14,7 @@ from quarry.sources.tables import Tables
 
 DEPOSIT_SCALE = 200          # deposit = round(s_acctbal * 100) * 200 cents
 HIGH_VALUE = 45_000_000      # cents
-AUDIT_RATE = 0.05
+AUDIT_RATE = 0.5
 DEPOSIT_AT = dt.datetime(1990, 1, 1)
 
 
@@ -174,7 +174,8 @@ def q_rollup(spark, root):
 
 
 @register("pick_verifiers", B.with_sql(B.JOBS_SQL, B.JOB_WORKERS_SQL) + """,
-v AS (SELECT s_suppkey AS v, s_nationkey AS p, s_acctbal AS w FROM supplier WHERE s_acctbal > 0),
+v AS (SELECT s_suppkey AS v, s_nationkey AS p, s_acctbal AS w FROM supplier
+      WHERE s_acctbal > 0 AND s_nationkey % 5 = 0),
 pools AS (SELECT p, sum(w) AS W, count(*) AS m FROM v GROUP BY p),
 j AS (SELECT j.job_id, w.pool AS jp,
              CASE j.category WHEN 'embedding' THEN 3 WHEN 'rerank' THEN 5 END AS n
@@ -200,8 +201,9 @@ SELECT job_id, verifier, pool, pick_rank, short FROM hit""")
 def q_pick(spark, root):
     t = Tables(spark, root)
     jobs = B.jobs(t).join(B.job_workers(t), "job_id").select("job_id", "pool", "category")
-    ver = t.supplier.select(F.col("s_suppkey").alias("verifier"), F.col("s_nationkey").alias("pool"),
-                            F.col("s_acctbal").alias("weight"))
+    # five pools: a job of one of them that needs five verifiers is short
+    ver = t.supplier.filter("s_nationkey % 5 = 0").select(
+        F.col("s_suppkey").alias("verifier"), F.col("s_nationkey").alias("pool"), F.col("s_acctbal").alias("weight"))
     return M.pick_verifiers(jobs, ver)
 
 

@@ -103,11 +103,13 @@ def q_link_parents(spark, root):
 
 
 @register("missing_in", """
-SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+SELECT c_custkey FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""")
 def q_missing(spark, root):
     t = Tables(spark, root)
     return J.missing_in(t.customer.select("c_custkey"),
-                        t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+                        t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
+                        .select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 FRESH_AGE_S = 6 * 3600
@@ -595,9 +597,13 @@ SELECT pool, members, round(total_stake, 6) AS total_stake, round(volume, 6) AS
                    WHEN members <= 5000 THEN 4 ELSE 5 END,
               CASE WHEN volume <= 1000 THEN 2 WHEN volume <= 10000 THEN 3
                    WHEN volume <= 100000 THEN 4 ELSE 5 END) END AS tier
-FROM pools""")
+FROM (SELECT pool, members, total_stake / power(10, pool % 8) AS total_stake,
+             volume / power(10, pool % 8) AS volume FROM pools)""")
 def q_pool_tier(spark, root):
-    p = A.pool_tier(pools_df(Tables(spark, root)))
+    """Pools of several sizes: amounts scaled down by powers of ten."""
+    scale = F.pow(F.lit(10.0), F.col("pool") % 8)
+    p = A.pool_tier(pools_df(Tables(spark, root)).withColumn("total_stake", F.col("total_stake") / scale)
+                    .withColumn("volume", F.col("volume") / scale))
     return p.select("pool", "members", r6(F.col("total_stake")).alias("total_stake"),
                     r6(F.col("volume")).alias("volume"), "tier")
 

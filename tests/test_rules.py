@@ -191,6 +191,9 @@ def test_bindings_reach_their_branches(spark):
     skip = q["import_idempotent"](spark, SF_CHECK).filter("src = 'target'").count()
     force = q["import_force"](spark, SF_CHECK).filter("src = 'target'").count()
     assert 0 < force < skip
-    assert {"accepted", "rejected_cap", "rejected_no_worker"} <= kinds("settle_jobs", "status")
+    assert kinds("settle_jobs", "status") == {"accepted", "rejected_cap", "rejected_no_worker", "rejected_balance"}
+    assert kinds("pick_verifiers", "short") == {True, False}
+    assert kinds("pool_tier", "tier") >= {3, 4, 5}
+    assert q["missing_in"](spark, SF_CHECK).count() > 0 and q["community_noise"](spark, SF_CHECK).count() > 0
     assert kinds("service_verdicts", "mark") >= {"ok", "FAIL"}
     assert None in kinds("audit_outcomes", "similarity")
