@@ -39,6 +39,10 @@ def test_scan_pushdown_and_pruning(spark):
 
 
 def test_bm25_has_no_term_join_blowup(spark):
-    """Scoring runs in bounded block groups, not as a join on the term."""
+    """Scoring is a scan of the block index: no join on the term, and no
+    shuffle but that of the final ranking; with a budget it runs in bounded
+    block groups."""
     plan = formatted(spark, QUERIES["bm25_topk"](spark, SF_SMALL))
-    assert "FlatMapGroupsInPandas" in plan
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert len(re.findall(r"(?m)^\(\d+\) Exchange", plan)) == 1
+    assert "FlatMapGroupsInPandas" in formatted(spark, QUERIES["pack_context"](spark, SF_SMALL))
