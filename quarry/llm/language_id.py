@@ -8,7 +8,8 @@ a prediction with a narrow margin is marked as rejected.
 
 The dictionaries are fitted on a bounded sample: at most ``FIT_DOCUMENTS``
 documents per language, chosen by the hash of their ids, ``FIT_CHARS``
-characters of each and ``DICTIONARY_BYTES`` in all.  Texts are scored whole.
+characters of each from a place that the hash draws, and ``DICTIONARY_BYTES``
+in all (whole pieces).  Texts are scored whole.
 
 Edge cases: a null text and one without a letter are ``und`` with score 0, as
 is every text where no language was learned; with one language learned all
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,22 +47,24 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def fit_dictionaries(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id",
-                     text_col: str = "text", limit: int = FIT_DOCUMENTS) -> dict[str, bytes]:
-    """Language -> dictionary, from the training rows with a language."""
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    # about twice the limit per language, then the smallest hashes of them
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 2.0 * limit / n))).otherwise(share)
-    picked = (rows.filter(place <= share)
-              .select(lang_col, F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, FIT_CHARS).alias("t")))
+                     text_col: str = "text", limit: int = FIT_DOCUMENTS, chars: int = FIT_CHARS) -> dict[str, bytes]:
+    """Language -> dictionary, from the training rows with a language: of the
+    ``limit`` rows with the smallest hashes of their ids a piece of ``chars``
+    characters, at a place of the whole text that the hash draws.  A
+    dictionary holds whole pieces, as many as fit ``DICTIONARY_BYTES``."""
+    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.xxhash64(id_col, F.lit("place")).alias("at"),
+        F.col(text_col).alias("text"))
+    begin = F.pmod("at", F.greatest(F.lit(1), F.char_length("text") - chars + 1).cast("long")).cast("int") + 1
+    rows = rows.select("lang", "h", F.substring("text", begin, F.lit(chars)).alias("piece"))
+    first = Window.partitionBy("lang").orderBy("h", "piece")
+    got = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).orderBy("lang", "n").collect()
     out: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        got = picked.filter(F.col(lang_col) == lang).orderBy("h", "t").limit(limit).collect()
-        out[lang] = "\n".join(r["t"] for r in got).lower().encode()[:DICTIONARY_BYTES]
-    return {k: v for k, v in out.items() if v}
+    for r in got:
+        piece, held = r["piece"].lower().encode(), out.get(r["lang"], b"")
+        if len(held) + len(piece) < DICTIONARY_BYTES:
+            out[r["lang"]] = held + piece + b"\n"
+    return {k: v for k, v in out.items() if v.strip()}
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text",

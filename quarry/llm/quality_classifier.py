@@ -8,7 +8,8 @@ mean, weighted by line length, is the document's score.
 The field is fitted by gradient descent on the likelihood of line labels that
 training documents hand down to their lines, on a bounded sample: at most
 ``FIT_DOCUMENTS`` labelled documents, chosen by the hash of their ids, and
-``FIT_LINES`` lines of each.  Texts are scored whole: all lines of a slice of
+``FIT_LINES`` lines in a row of each, from a place that the text's hash draws.
+Texts are scored whole: all lines of a slice of
 rows run through the recursion together, one step per line position.
 
 Edge cases: a null or empty text is one empty line, which has a score like
@@ -20,6 +21,7 @@ classes every line's probability is the share of good labels (1 if none).
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,10 +172,12 @@ def document_scores(model: Field, texts: Texts) -> tuple[np.ndarray, list[np.nda
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
-                   text_col: str = "text", label_col: str = "quality", limit: int = FIT_DOCUMENTS) -> Field:
+                   text_col: str = "text", label_col: str = "quality", limit: int = FIT_DOCUMENTS,
+                   lines: int = FIT_LINES) -> Field:
     """The field of at most ``limit`` labelled documents that satisfy
     ``train`` (a condition on the labels' id), half of them of each class
-    where there are as many."""
+    where there are as many; of a longer document ``lines`` lines in a row, at
+    a place that the hash of its text draws."""
     known = labels.filter(train & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         id_col, F.col(label_col).cast("int").alias("_label"))
     picked = None
@@ -184,8 +188,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
 
     def make():
         def fn(arr):
-            x, _, bound = line_features(Texts(arr))
-            cut = [x[a:min(b, a + FIT_LINES)] for a, b in zip(bound, bound[1:])]
+            texts = Texts(arr)
+            x, _, bound = line_features(texts)
+            drawn = [zlib.crc32(texts.buf[a:b]) for a, b in zip(texts.off, texts.off[1:])]
+            cut = []
+            for h, a, b in zip(drawn, bound.tolist(), bound[1:].tolist()):
+                a += h % max(1, b - a - lines + 1)
+                cut.append(x[a:min(b, a + lines)])
             return [pa.array([c.ravel() for c in cut], pa.list_(pa.float64())), pa.array([len(c) for c in cut])]
         return fn
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)

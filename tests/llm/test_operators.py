@@ -535,3 +535,43 @@ def test_lm_scores(spark, docs, rows, empty, frequent, monkeypatch):
     assert len(none) == 3 and all(r["train_tokens"] == r["n_known"] == r["base_score"] == 0 for r in none)
 
 
+
+
+def test_language_is_learned_past_a_shared_header(spark):
+    """Every text opens with the same long header in one language."""
+    rng = random.Random(9)
+    words_of = {c: ["".join(rng.choice(abc) for _ in range(rng.randint(3, 8))) for _ in range(60)]
+                for c, abc in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    header = " ".join(rng.choice(words_of["aa"]) for _ in range(120)) + "\n"
+
+    def body(c):
+        return " ".join(rng.choice(words_of[c]) for _ in range(900))
+    rows = [(i, header + body(c), c) for i, c in enumerate("aa bb cc".split() * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = lid.fit_dictionaries(docs, F.col("doc_id") < 18, chars=400)
+    assert set(learned) == set(words_of) and max(map(len, learned.values())) < lid.DICTIONARY_BYTES
+    tests = spark.createDataFrame([(i, body(c), c) for i, c in enumerate("aa bb cc".split() * 5)],
+                                  "doc_id long, text string, lang string")
+    got = lid.identify_language(tests, learned).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    # whole pieces only: a bound of two pieces and a half holds two
+    small, lid.DICTIONARY_BYTES = lid.DICTIONARY_BYTES, 1000
+    try:
+        assert {len(d) for d in lid.fit_dictionaries(docs, F.col("doc_id") < 18, chars=400).values()} == {802}
+    finally:
+        lid.DICTIONARY_BYTES = small
+
+
+def test_classifier_learns_from_the_whole_text(spark):
+    """Only lines far beyond the first ``lines`` tell the classes apart."""
+    same = ["a plain line of words that says nothing"] * 30
+
+    def text(good, i):
+        own = [f"A sentence of {i} calm words, with an end." if good else f"$$$ BUY {i} ### NOW !!! ###"] * 400
+        return "\n".join(same + own)
+    rows = [(i, text(i % 2 == 0, i), i % 2 == 0) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    model = qc.fit_classifier(docs, labels, F.col("doc_id") < 24, lines=20)
+    got = {r["doc_id"]: r["predicted"] for r in qc.classify_quality(docs, model).collect()}
+    assert all(got[i] == int(g) for i, _, g in rows if i >= 24)
