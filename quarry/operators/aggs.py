@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import cut_lineage
 from quarry.functions import scalars as S
+from quarry.operators.windows import SEGMENT_ROWS, range_segments, segmented_running
 
 
 # ---------------------------------------------------------------- op 34
@@ -463,13 +464,15 @@ def elite_archive(programs: DataFrame, cell: Sequence[str], fitness: str, pid: s
 
 
 def elite_progress(programs: DataFrame, cell: Sequence[str], fitness: str,
-                   generation: str) -> DataFrame:
+                   generation: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Op 66: per generation the best fitness, the running best and the
-    archive coverage (cells filled so far)."""
+    archive coverage (cells filled so far), by segments of ``segment_rows``
+    generations."""
     first_seen = programs.groupBy(*cell).agg(F.min(generation).alias(generation))
     cov = first_seen.groupBy(generation).agg(F.count(F.lit(1)).alias("_new_cells"))
     best = programs.groupBy(generation).agg(F.max(fitness).alias("best_fitness"))
     g = best.join(cov, generation, "left").fillna(0, ["_new_cells"])
-    w = Window.orderBy(generation).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(generation, "best_fitness", F.max("best_fitness").over(w).alias("running_best"),
-                    F.sum("_new_cells").over(w).alias("coverage"))
+    cut = range_segments(g, [generation], segment_rows).withColumn("_all", F.lit(0))
+    run = segmented_running(cut, "_all", [generation], F.col("_segment"), {"coverage": F.col("_new_cells")},
+                            largest={"running_best": F.col("best_fitness")})
+    return run.select(generation, "best_fitness", "running_best", "coverage")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import md5_uniform
-from quarry.operators.windows import segmented_running
+from quarry.operators.windows import SEGMENT_ROWS, join_carries, range_segments, segmented_running
 
 
 def set_compare(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
@@ -76,11 +76,13 @@ def audit_sample(jobs: DataFrame, id_col: str, value: str, rate: Column | float,
 
 
 def split_by_tokens(docs: DataFrame, source: str, order: Sequence[str], tokens: str,
-                    test_budget: int, val_budget: int, segment: Column) -> DataFrame:
+                    test_budget: int, val_budget: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Op 89: per source, in order, the first ``test_budget`` tokens go to
     test, the next ``val_budget`` to val, the rest to train (a document is
-    placed by the running total before it, so splits are disjoint)."""
-    run = segmented_running(docs, source, order, segment, {"_cum": F.col(tokens).cast("long")})
+    placed by the running total before it, so splits are disjoint).  Totals
+    are carried over segments of ``segment_rows`` documents."""
+    cut = range_segments(docs, [source, *order], segment_rows)
+    run = segmented_running(cut, source, order, F.col("_segment"), {"_cum": F.col(tokens).cast("long")}).drop("_segment")
     before = F.col("_cum") - F.col(tokens)
     split = (F.when(before < test_budget, F.lit("test"))
              .when(before < test_budget + val_budget, F.lit("val")).otherwise(F.lit("train")))
@@ -92,28 +94,24 @@ def preference_pairs(items: DataFrame, group: str, length: str, id_col: str,
     """Op 90: each preferred item paired with the rejected item of the same
     group whose length is nearest (ties: shorter, then smaller id).
 
-    No pair enumeration: preferred and rejected rows are merged in length
-    order and each preferred row takes the nearest rejected row below (last
-    ignorenulls) and above (first ignorenulls).  A group (a language can
-    hold most of the corpus) is split into length buckets of
-    ``bucket_width``; a bucket without a rejected neighbour takes it from the
-    nearest bucket below / above, found on the one-row-per-bucket table.
+    No pair enumeration.  Of equal lengths only the smallest rejected id can
+    be chosen, so each (group, length) is first reduced to one row; the nearest
+    rejected length below (last ignorenulls) and above (first ignorenulls) is
+    found on those, in buckets of ``bucket_width`` lengths, which therefore
+    hold at most that many rows.  A bucket without a rejected neighbour takes
+    it from the nearest bucket below / above.  The preferred items then join
+    the answer of their length.
     """
-    p = items.filter(preferred).select(group, length, id_col, F.lit(1).alias("_side"))
-    r = items.filter(rejected).select(group, length, id_col, F.lit(0).alias("_side"))
-    u = p.unionByName(r).withColumn("_seg", F.floor(F.col(length) / bucket_width))
-    cand = F.struct(F.col(length).alias("l"), F.col(id_col).alias("i"))
-    rc = F.when(F.col("_side") == 0, cand)
-    w_dn = Window.partitionBy(group, "_seg").orderBy(length, "_side", F.col(id_col).desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    w_up = Window.partitionBy(group, "_seg").orderBy(length, F.col("_side").desc(), id_col) \
-        .rowsBetween(0, Window.unboundedFollowing)
-    u = (u.withColumn("_dn", F.last(rc, ignorenulls=True).over(w_dn))
-         .withColumn("_up", F.first(rc, ignorenulls=True).over(w_up)))
-    rej = F.col("_side") == 0
-    segs = u.groupBy(group, "_seg").agg(
-        F.max_by(cand, F.when(rej, F.struct(F.col(length), -F.col(id_col)))).alias("_last"),
-        F.min_by(cand, F.when(rej, F.struct(F.col(length), F.col(id_col)))).alias("_first"))
+    items = items.filter(F.col(group).isNotNull())
+    is_rejected, is_preferred = F.coalesce(rejected, F.lit(False)), F.coalesce(preferred, F.lit(False))
+    u = (items.filter(F.col(length).isNotNull()).groupBy(group, length)
+         .agg(F.min(F.when(is_rejected, F.col(id_col))).alias("_rid"), F.max(is_preferred).alias("_asked"))
+         .withColumn("_seg", F.floor(F.col(length) / bucket_width)))
+    cand = F.when(F.col("_rid").isNotNull(), F.struct(F.col(length).alias("l"), F.col("_rid").alias("i")))
+    w = Window.partitionBy(group, "_seg").orderBy(length)
+    u = (u.withColumn("_dn", F.last(cand, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_up", F.first(cand, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    segs = u.groupBy(group, "_seg").agg(F.max(cand).alias("_last"), F.min(cand).alias("_first"))
     ws = Window.partitionBy(group).orderBy("_seg")
     segs = segs.select(
         group, "_seg",
@@ -121,10 +119,10 @@ def preference_pairs(items: DataFrame, group: str, length: str, id_col: str,
         .alias("_carry_dn"),
         F.first("_first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
         .alias("_carry_up"))
-    u = (u.filter(F.col("_side") == 1).join(segs, [group, "_seg"])
-         .withColumn("_dn", F.coalesce("_dn", "_carry_dn"))
-         .withColumn("_up", F.coalesce("_up", "_carry_up")))
-    pref = u
+    near = (join_carries(u.filter("_asked"), segs, [group, "_seg"])
+            .select(group, length, F.coalesce("_dn", "_carry_dn").alias("_dn"),
+                    F.coalesce("_up", "_carry_up").alias("_up")))
+    pref = join_carries(items.filter(preferred).select(group, length, id_col), near, [group, length])
     d_dn = F.col(length) - F.col("_dn.l")
     d_up = F.col("_up.l") - F.col(length)
     pick = (F.when(F.col("_dn").isNull(), F.col("_up"))

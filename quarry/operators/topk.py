@@ -36,15 +36,16 @@ def positions(df: DataFrame, order: Sequence[Column | str], name: str = "positio
     """Dense 1-based positions under ``order`` (within ``by`` groups).
 
     Never a single-task window: rows are numbered inside ``segment``s (which
-    must be monotone in ``order``) and shifted by the counts of the earlier
-    segments (see ``windows.segmented_running``).
+    must be monotone in ``order``; by default range partitions sized from the
+    count) and shifted by the counts of the earlier segments (see
+    ``windows.segmented_running``).
     """
-    from quarry.operators.windows import seq_index
-    if segment is None:
-        raise ValueError("positions needs a segment expression monotone in the order")
+    from quarry.operators.windows import range_segments, seq_index
     d = df if by else df.withColumn("_all", F.lit(0))
+    if segment is None:
+        d, segment = range_segments(d, [by or "_all", *order]), F.col("_segment")
     out = seq_index(d, by or "_all", list(order), segment, name)
-    return out if by else out.drop("_all")
+    return out.select(*df.columns, name)
 
 
 def filtered_page(df: DataFrame, status_col: str, status: str, ts_col: str, id_col: str,
@@ -82,9 +83,13 @@ def ready_cards(cards: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def rerank(pairs: DataFrame, score_col: str, group_col: str, idx_col: str,
-           top_k_n: int | None) -> DataFrame:
+           top_k_n: int | None, required: bool = False) -> DataFrame:
     """Op 80: sigmoid of a raw pair score, descending, stable by input index,
-    cut to ``top_k_n`` when it is positive, else all pairs are kept."""
+    cut to ``top_k_n`` when it is positive, else all pairs are kept.
+    ``required``: no pairs at all is an error (looks for a first row, so a
+    caller with a costly plan stores the pairs before)."""
+    if required and pairs.isEmpty():
+        raise ValueError("nothing to rerank: there are no (query, document) pairs")
     scored = pairs.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(score_col))))
     order = [F.col("score").desc(), F.col(idx_col).asc()]
     if top_k_n and top_k_n > 0:

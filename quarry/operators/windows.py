@@ -14,53 +14,95 @@ ordered segments and stitch the segments back together exactly:
 * :func:`seq_index` - a dense 1-based position within each key, computed the
   same way as a running count, so row-count frames (last n rows) become range
   frames on the position.
+* :func:`range_segments` - segments cut from counts where no column of the data
+  bounds them: about ``rows`` rows each, however the order is distributed.
+  Carries then are one row per ``rows`` rows of a key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.ops import scratch_path
+
+#: Rows of one segment of :func:`range_segments`.
+SEGMENT_ROWS = 1_000_000
+
 
 def _cols(xs):
     return [xs] if isinstance(xs, (str, Column)) else list(xs)
 
 
 # ---------------------------------------------------------------- helpers
+def join_carries(rows: DataFrame, carries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``carries`` of their keys; a null key is
+    a key like any other."""
+    there = carries.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                           *[c for c in carries.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return rows.join(there, same).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def range_segments(df: DataFrame, by: Sequence[str], rows: int = SEGMENT_ROWS,
+                   name: str = "_segment") -> DataFrame:
+    """``df`` with the number of its range partition under ``by``, as many
+    partitions as its count asks for; rows equal in ``by`` share one.  The cut
+    comes from a sample, so the numbered rows are written to the shared
+    checkpoint folder: every later step sees the same segments (pass no wide
+    columns that can be joined afterwards)."""
+    n = max(1, math.ceil(df.count() / rows))
+    path = scratch_path(df.sparkSession, "segments")
+    cut = df.repartitionByRange(n, *by).withColumn(name, F.spark_partition_id())
+    cut.write.parquet(path)
+    return df.sparkSession.read.schema(cut.schema).parquet(path)
+
+
 def segmented_running(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
                       segment: Column, values: dict[str, Column],
-                      min_of: Sequence[str] = ()) -> DataFrame:
+                      min_of: Sequence[str] = (), largest: dict[str, Column] | None = None) -> DataFrame:
     """Add running sums ``values`` per key in ``order``; split by ``segment``.
 
-    ``segment`` must be monotone in ``order`` within a key (a time bucket, or
-    ``floor(position / n)``).  For each name in ``min_of`` the running minimum
-    of that running sum is added as ``<name>_min``.
+    ``segment`` must be monotone in ``order`` within a key (a time bucket,
+    ``floor(position / n)`` or :func:`range_segments`).  For each name in
+    ``min_of`` the running minimum of that running sum is added as
+    ``<name>_min``; ``largest`` adds running maxima.
     """
+    largest = largest or {}
     keys = _cols(key)
     d = df.withColumn("__seg", segment)
-    for n, c in values.items():
+    for n, c in {**values, **largest}.items():
         d = d.withColumn(f"__v_{n}", c)
     w_local = (Window.partitionBy(*keys, "__seg").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, 0))
     for n in values:
         d = d.withColumn(f"__l_{n}", F.sum(f"__v_{n}").over(w_local))
+    for n in largest:
+        d = d.withColumn(f"__l_{n}", F.max(f"__v_{n}").over(w_local))
     for n in min_of:
         d = d.withColumn(f"__lm_{n}", F.min(f"__l_{n}").over(w_local))
     # one row per (key, segment): totals and local minima of the prefix
     aggs = [F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values]
     aggs += [F.min(f"__l_{n}").alias(f"__sm_{n}") for n in min_of]
+    aggs += [F.max(f"__v_{n}").alias(f"__t_{n}") for n in largest]
     seg = d.groupBy(*keys, "__seg").agg(*aggs)
     w_seg = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     for n in values:
         seg = seg.withColumn(f"__o_{n}", F.coalesce(F.sum(f"__t_{n}").over(w_seg), F.lit(0)))
     for n in min_of:
         seg = seg.withColumn(f"__pm_{n}", F.min(F.col(f"__o_{n}") + F.col(f"__sm_{n}")).over(w_seg))
-    seg = seg.select(*keys, "__seg", *[f"__o_{n}" for n in values], *[f"__pm_{n}" for n in min_of])
-    out = d.join(seg, [*keys, "__seg"])
+    for n in largest:
+        seg = seg.withColumn(f"__o_{n}", F.max(f"__t_{n}").over(w_seg))
+    seg = seg.select(*keys, "__seg", *[f"__o_{n}" for n in [*values, *largest]], *[f"__pm_{n}" for n in min_of])
+    out = join_carries(d, seg, [*keys, "__seg"])
     for n in values:
         out = out.withColumn(n, F.col(f"__l_{n}") + F.col(f"__o_{n}"))
+    for n in largest:
+        out = out.withColumn(n, F.greatest(f"__l_{n}", f"__o_{n}"))
     for n in min_of:
         here = F.col(f"__lm_{n}") + F.col(f"__o_{n}")
         out = out.withColumn(f"{n}_min", F.when(F.col(f"__pm_{n}").isNull(), here)
@@ -92,7 +134,7 @@ def segmented_shift(df: DataFrame, key: str | Sequence[str], order: Sequence[str
     seg = d.groupBy(*keys, "__seg").agg(*[pick(F.col(c), ordk).alias(f"__e_{c}") for c in cols])
     ws = Window.partitionBy(*keys).orderBy("__seg")
     seg = seg.select(*keys, "__seg", *[shift(f"__e_{c}").over(ws).alias(f"__b_{c}") for c in cols])
-    out = d.join(seg, [*keys, "__seg"])
+    out = join_carries(d, seg, [*keys, "__seg"])
     for c in cols:
         out = out.withColumn(f"{c}{suffix}", F.when(F.col("__edge"), F.col(f"__b_{c}"))
                              .otherwise(F.col(f"__in_{c}")))
@@ -263,11 +305,13 @@ def rolling_volume(settlements: DataFrame, pool: str, ts: str, value: str,
     return split_range_window(d, pool, "_t", days * 86400, comp).drop("_t")
 
 
-def tier_changes(readings: DataFrame, key: str, order: Sequence[str], tier: str) -> DataFrame:
-    """Op 75: readings whose tier differs from the previous reading of the key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    prev = F.lag(tier).over(w)
-    return (readings.withColumn("prev_tier", prev)
+def tier_changes(readings: DataFrame, key: str, order: Sequence[str], tier: str,
+                 segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Op 75: readings whose tier differs from the previous reading of the key
+    (a segmented lag over segments of ``segment_rows`` readings)."""
+    cut = range_segments(readings, [key, *order], segment_rows)
+    prev = segmented_shift(cut, key, order, F.col("_segment"), [tier])
+    return (prev.withColumnRenamed(f"{tier}_prev", "prev_tier").drop("_segment")
             .filter(F.col("prev_tier").isNotNull() & (F.col("prev_tier") != F.col(tier))))
 
 
@@ -311,14 +355,19 @@ def queue_depth(events: DataFrame, queue: str, order: Sequence[str], segment: Co
 
 
 def rank_variants(runs: DataFrame, group: str, metric_cols: Sequence[str],
-                  before: str | None = None, after: str | None = None) -> DataFrame:
+                  before: str | None = None, after: str | None = None,
+                  segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Op 79: dense rank of every variant per metric within its group (lower
-    is better); with ``before``/``after`` columns also the forgetting in
-    percent, (after - before) / before * 100."""
+    is better, no measurement first); with ``before``/``after`` columns also
+    the forgetting in percent, (after - before) / before * 100.
+
+    A rank is the position of the value among the group's distinct values,
+    counted by segments of ``segment_rows`` values."""
     out = runs
     for m in metric_cols:
-        out = out.withColumn(f"rank_{m}", F.dense_rank().over(
-            Window.partitionBy(group).orderBy(F.col(m).asc())))
+        values = range_segments(runs.select(group, m).distinct(), [group, m], segment_rows)
+        ranks = seq_index(values, group, [m], F.col("_segment"), f"rank_{m}").drop("_segment")
+        out = join_carries(out, ranks, [group, m])
     if before and after:
         out = out.withColumn("forget_pct", F.try_divide((F.col(after) - F.col(before)) * 100.0,
                                                         F.col(before)))

@@ -196,8 +196,8 @@ SELECT split, count(*) AS n_docs, CAST(sum(len(toks)) AS BIGINT) AS tokens,
 FROM s LEFT JOIN v USING (split) GROUP BY split""")
 def q_manifest(spark, root):
     d = Tables(spark, root).documents.withColumn("tok", approx_tokens("text"))
-    s = split_by_tokens(d, "source", ["doc_id"], "tok", 5000, 5000, F.floor(F.col("doc_id") / 256))
-    s = s.withColumn("toks", tokens("text"))
+    s = split_by_tokens(d.select("doc_id", "source", "tok"), "source", ["doc_id"], "tok", 5000, 5000)
+    s = s.join(d.select("doc_id", tokens("text").alias("toks")), "doc_id")
     return O.write_manifest(s, "split", "toks")
 
 

@@ -344,8 +344,8 @@ def q_ready(spark, root):
     cols = spark.createDataFrame(CARD_COLUMNS, "column_id string, column_name string")
     r = K.ready_cards(cards, cols)
     # position = rank in the ready column, computed by a range-partitioned sort
-    return K.positions(r, ["o_orderdate", "o_orderkey"], "position",
-                       segment=month_segment("o_orderdate")).select("o_orderkey", "position")
+    return K.positions(r.select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select(
+        "o_orderkey", "position")
 
 
 @register("filtered_page", """
@@ -394,8 +394,7 @@ def q_federate(spark, root):
     keyed = d.select("doc_id", "source", "n_chars",
                      S.bib_key(F.lit(""), F.lit(""), title).alias("bib_key"))
     # one hit list per source, ranked within the source (longest first)
-    ranked = K.positions(keyed, [F.col("n_chars").desc(), F.col("doc_id")], "rank", by="source",
-                         segment=F.floor(-F.col("n_chars") / 1000))
+    ranked = K.positions(keyed, [F.col("n_chars").desc(), F.col("doc_id")], "rank", by="source")
     lists = [ranked.filter(F.col("source") == s).select("bib_key", "source", "rank")
              for s in ("src0", "src1")]
     rest = ranked.filter(~F.col("source").isin("src0", "src1")).select("bib_key", "source", "rank")
@@ -438,8 +437,7 @@ FROM (SELECT doc_id, source, greatest(1, length(text) // 4) AS tok,
       FROM documents)""")
 def q_split(spark, root):
     d = Tables(spark, root).documents.withColumn("tok", S.approx_tokens("text"))
-    out = X.split_by_tokens(d, "source", ["doc_id"], "tok", 5000, 5000,
-                            F.floor(F.col("doc_id") / 256))
+    out = X.split_by_tokens(d.select("doc_id", "source", "tok"), "source", ["doc_id"], "tok", 5000, 5000)
     return out.select("doc_id", "source", "split")
 
 
