@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.operators import lexical_index
-from quarry.operators.topk import top_k
+from quarry.operators.adjacency import Adjacency
+from quarry.operators.topk import positions, top_k
+from quarry.sources.ops import scratch_path
 
 
 # ---------------------------------------------------------------- chunking
@@ -248,9 +250,12 @@ def block_fit(S, cost, budget: float):
 # ---------------------------------------------------------------- dense top-k
 def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid: str, cvec: str,
                k: int, block_rows: int = 4096, group_col: str | None = None,
-               n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+               n_queries: int | None = None, n_corpus: int | None = None,
+               within: bool = False) -> DataFrame:
     """Op 94: exact cosine top-k of corpus vectors per query vector (per
-    query and corpus group when ``group_col`` is given).
+    query and corpus group when ``group_col`` is given).  ``within``: the
+    queries have a group too (a query of several groups is several rows) and
+    meet the vectors of that group only; blocks are cut inside the groups.
 
     Blocked matrix product: queries and corpus are hashed into blocks of at
     most ``block_rows`` rows; each (query block, corpus block) group is one
@@ -264,19 +269,27 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid:
 
     # block counts only need an upper bound of the row counts (callers that
     # know the source table size pass it and save a pass over the input)
-    nq = n_queries if n_queries is not None else queries.count()
-    nc = n_corpus if n_corpus is not None else corpus.count()
-    bq, bc = max(1, -(-nq // block_rows)), max(1, -(-nc // block_rows))
     g = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    blocks = {c: F.ceil(F.col(c) / block_rows).cast("int") for c in ("bq", "bc")}
+    if within:
+        sizes = (queries.groupBy(group_col).agg(F.count(F.lit(1)).alias("bq"))
+                 .join(corpus.groupBy(group_col).agg(F.count(F.lit(1)).alias("bc")), group_col)
+                 .withColumns(blocks))
+        queries, corpus = queries.join(sizes, group_col), corpus.join(sizes, group_col)
+    else:
+        nq = n_queries if n_queries is not None else queries.count()
+        nc = n_corpus if n_corpus is not None else corpus.count()
+        sizes = {"bq": F.lit(max(1, nq)), "bc": F.lit(max(1, nc))}
+        queries, corpus = queries.withColumns(sizes).withColumns(blocks), corpus.withColumns(sizes).withColumns(blocks)
     q = queries.select(F.col(qid).cast("long").alias("id"), F.col(qvec).cast("array<double>").alias("v"),
-                       F.lit(0).alias("side"), F.lit(None).cast("string").alias("g"),
-                       F.pmod(F.xxhash64(qid), F.lit(bq)).cast("int").alias("qb"))
-    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
+                       F.lit(0).alias("side"), (g if within else F.lit(None).cast("string")).alias("g"),
+                       F.pmod(F.xxhash64(qid), F.col("bq")).cast("int").alias("qb"),
+                       F.explode(F.sequence(F.lit(0), F.col("bc") - 1)).alias("cb"))
     c = corpus.select(F.col(cid).cast("long").alias("id"), F.col(cvec).cast("array<double>").alias("v"),
                       F.lit(1).alias("side"), g.alias("g"),
-                      F.pmod(F.xxhash64(cid), F.lit(bc)).cast("int").alias("cb"))
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-    both = q.unionByName(c)
+                      F.pmod(F.xxhash64(cid), F.col("bc")).cast("int").alias("cb"),
+                      F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("qb"))
+    both = q.unionByName(c).withColumn("gb", F.col("g") if within else F.lit(None).cast("string"))
     keep = k + 2
 
     def best(qids, cids, s, gval):
@@ -302,7 +315,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, cid:
         parts = [best(qids, cids[gv == x], s[:, gv == x], x) for x in pd.unique(gv)]
         return pd.concat(parts, ignore_index=True)
 
-    cand = both.groupBy("qb", "cb").applyInPandas(fn, "qid long, cid long, score double, g string")
+    cand = both.groupBy("gb", "qb", "cb").applyInPandas(fn, "qid long, cid long, score double, g string")
     by = ["qid", "g"] if group_col else "qid"
     ranked = top_k(cand, by, [F.round("score", 9).desc(), F.col("cid").asc()], k)
     cols = [F.col("qid").alias(qid), "rank", F.col("cid").alias(cid), "score"]
@@ -384,24 +397,22 @@ def graph_neighbors(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "
                     dst: str = "dst", kind: str = "kind") -> DataFrame:
     """Op 100: nodes reachable from the seeds within ``depth`` hops over an
     undirected edge list, with their hop distance, degree and the kind of
-    the edge that first reached them.  Breadth-first by joins: each round
-    joins only the new frontier, drops visited nodes with an anti join, and
+    the edge that first reached them.  Breadth-first over stored adjacency
+    lists of bounded length: the edges are read once, each round reads the
+    lists of the new frontier only, drops visited nodes with an anti join, and
     is checkpointed."""
     from quarry.session import cut_lineage
-    und = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(kind).alias("k"))
-    und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
-    deg = und.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    graph = Adjacency(edges, src, dst, kind)
     visited = seeds.select(F.col("node").alias("a")).distinct().withColumn("hop", F.lit(0)) \
         .withColumn("via", F.lit(None).cast("string"))
     frontier = visited.select("a")
     for h in range(1, depth + 1):
-        nxt = (frontier.join(und, "a").groupBy(F.col("b").alias("a"))
-               .agg(F.min("k").alias("via")))
+        nxt = graph.hop(frontier).groupBy(F.col("b").alias("a")).agg(F.min("kind").alias("via"))
         nxt = nxt.join(visited.select("a"), "a", "left_anti").withColumn("hop", F.lit(h))
         nxt = cut_lineage(nxt)
         visited = visited.unionByName(nxt.select("a", "hop", "via"))
         frontier = nxt.select("a")
-    return (visited.join(deg, "a", "left").fillna(0, ["degree"])
+    return (visited.join(graph.nodes.select("a", "degree"), "a", "left").fillna(0, ["degree"])
             .select(F.col("a").alias("node"), "hop", "via", "degree"))
 
 
@@ -414,17 +425,30 @@ def graph_vote(seeds: DataFrame, edges: DataFrame, group: str, k: int, src: str
     page -> shared path -> page): the intermediate totals are aggregated
     first, so no node-to-node pair list is ever built.
     """
-    und = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    graph = Adjacency(edges, src, dst, None)
     cur = seeds.select(group, F.col("node").alias("a"), F.col("score").alias("s"))
     for _ in range(hops):
-        cur = (cur.join(und, "a").groupBy(group, F.col("b").alias("a"))
-               .agg(F.sum("s").alias("s")))
+        cur = (graph.hop(cur).groupBy(group, F.col("b").alias("a"))
+               .agg(F.sum(F.col("s") * F.col("n")).alias("s")))
     votes = cur.select(group, F.col("a").alias("node"), F.col("s").alias("votes"))
     votes = votes.join(seeds.select(group, "node"), [group, "node"], "left_anti")
     return top_k(votes, group, [F.round("votes", 9).desc(), F.col("node").asc()], k)
 
 
+def linked_hits(hits: DataFrame, edges: DataFrame, qid: str, item: str, src: str = "src",
+                dst: str = "dst") -> DataFrame:
+    """The hits (``qid``, ``item``) that an edge, or a node both have an edge
+    to, joins to another hit of the same query.  A hit counts as a node of its
+    own, so an edge between two hits is a common node; a node's hits are at
+    most the query's."""
+    own = hits.select(qid, item).distinct()
+    reached = (Adjacency(edges, src, dst, None).hop(own, item).select(qid, item, F.col("b").alias("_n"))
+               .unionByName(own.select(qid, item, F.col(item).alias("_n"))))
+    shared = (reached.groupBy(qid, "_n").agg(F.min(item).alias("_lo"), F.max(item).alias("_hi"))
+              .filter("_lo <> _hi").select(qid, "_n"))
+    return reached.join(shared, [qid, "_n"], "left_semi").select(qid, item).distinct()
+
+
 def overlap_raw(qtext, dtext) -> Column:
     """Default pair scorer (stand-in for a cross-encoder): shared distinct
     word tokens over sqrt of the query's distinct tokens, shifted by -3 so
@@ -462,12 +486,12 @@ def community_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvec
     lex = bm25(queries, docs, k=k)
     mv = dvecs.join(docs.select("doc_id", community), "doc_id")
     cents = centroids(mv, community, "vector")
-    cents = cents.withColumn("_cid", F.dense_rank().over(Window.orderBy(community)).cast("long"))
-    top_c = dense_topk(qvecs, cents, "item_id", "vector", "_cid", "centroid", m)
-    top_c = top_c.join(cents.select("_cid", community), "_cid").select("item_id", community)
-    members = dense_topk(qvecs, mv, "item_id", "vector", "doc_id", "vector", k, group_col=community,
-                         n_queries=queries.count(), n_corpus=docs.count())
-    members = members.join(top_c, ["item_id", community], "left_semi")
+    number = positions(cents.select(community), [community], "_cid")
+    top_c = dense_topk(qvecs, cents.join(number, community), "item_id", "vector", "_cid", "centroid", m)
+    top_c = top_c.join(number, "_cid").select("item_id", community)
+    # a query meets the members of its communities and no others
+    members = dense_topk(qvecs.join(top_c, "item_id"), mv, "item_id", "vector", "doc_id", "vector", k,
+                         group_col=community, within=True)
     down = top_k(members, "item_id", [F.round("score", 9).desc(), F.col("doc_id").asc()], k)
     fused = rrf([lex, down], "item_id", "doc_id", k=rrf_k)
     ranked = top_k(fused, "item_id", [F.round("rrf", 12).desc(), F.col("doc_id").asc()], k)
@@ -526,19 +550,24 @@ def cooccurrence_edges(docs: DataFrame, id_col: str, text_col: str, window: int
     both.  An entity is a capitalized word whose document frequency is at
     least ``min_df`` (and at most ``max_df_share`` of the documents, where
     given); a chunk is a window of ``window`` words.  A
-    chunk holds at most ``window`` entities, so its pair list is bounded."""
+    chunk holds at most ``window`` entities, so its pair list is bounded.
+    Entities are found and made distinct inside their row, kept in a stored
+    table, and paired inside the list of their chunk."""
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"(\p{L}+)"), 1)
-    w = docs.select(F.col(id_col).alias("doc"), F.posexplode(words).alias("pos", "word"))
-    ent = w.filter(F.col("word").rlike(r"^\p{Lu}\p{Ll}+$")).select(
-        "doc", (F.col("pos") / window).cast("long").alias("chunk"), F.col("word").alias("e"))
-    ent = ent.distinct()
-    df_ = ent.groupBy("e").agg(F.count_distinct("doc").alias("_df"))
+    placed = F.transform(words, lambda w, i: F.struct((i / window).cast("long").alias("chunk"), w.alias("e")))
+    named = F.array_distinct(F.filter(placed, lambda x: x["e"].rlike(r"^\p{Lu}\p{Ll}+$")))
+    path = scratch_path(docs.sparkSession, "entities")
+    found = docs.select(F.col(id_col).alias("doc"), named.alias("ents"))
+    found.write.parquet(path)
+    found = docs.sparkSession.read.schema(found.schema).parquet(path)
+    df_ = (found.select("doc", F.explode(F.array_distinct(F.col("ents.e"))).alias("e"))
+           .groupBy("e").agg(F.count_distinct("doc").alias("_df")))
     ok = df_.filter(F.col("_df") >= min_df)
     if max_df_share is not None:
         ok = ok.filter(F.col("_df") <= docs.select(F.count(F.lit(1))).scalar() * max_df_share)
-    ok = ok.select("e")
-    ent = ent.join(ok, "e", "left_semi")
-    pairs = (ent.alias("x").join(ent.alias("y"), ["doc", "chunk"])
-             .filter(F.col("x.e") < F.col("y.e"))
-             .select(F.col("x.e").alias("a"), F.col("y.e").alias("b")))
+    chunks = (found.select("doc", F.inline("ents")).join(ok.select("e"), "e", "left_semi")
+              .groupBy("doc", "chunk").agg(F.sort_array(F.collect_set("e")).alias("es")))
+    later = F.flatten(F.transform("es", lambda x, i: F.transform(
+        F.slice("es", i + 2, F.size("es")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = chunks.select(F.inline(later))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))

@@ -8,6 +8,7 @@ from quarry.functions.text import sql_tokens
 from quarry.operators import retrieval as R
 from quarry.operators.topk import top_k
 from quarry.plans.registry import register
+from quarry.session import cut_lineage
 from quarry.sources.tables import Tables
 
 TOK_DOC = sql_tokens("text")
@@ -313,12 +314,28 @@ def q_graph_vote(spark, root):
     return out.select("lang", "rank", "node", F.round("votes", 6).alias("votes"))
 
 
-@register("bridge_orphans", "WITH " + ",\n".join([bm25_ctes(10), DOC_EMB]) + """,
-hits AS (SELECT b.item_id, b.doc_id, d.source FROM b_top b JOIN documents d USING (doc_id)
-         WHERE b.doc_id IN (SELECT doc_id FROM demb)),
-linked AS (SELECT h.item_id, h.doc_id FROM hits h WHERE EXISTS (
-             SELECT 1 FROM hits h2 WHERE h2.item_id = h.item_id AND h2.source = h.source
-                                     AND h2.doc_id <> h.doc_id)),
+#: An edge joins a document to a name that at most this many documents hold.
+RARE_NAME = 5
+
+
+def name_edges(t: Tables):
+    """Edges document - rare capitalized word."""
+    words = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)
+    names = F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+$")))
+    e = t.documents.select(F.col("doc_id").cast("string").alias("src"), F.explode(names).alias("dst"))
+    rare = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, RARE_NAME))
+    return e.join(rare.select("dst"), "dst", "left_semi")
+
+
+@register("bridge_orphans", "WITH " + ",\n".join([bm25_ctes(10), DOC_EMB]) + r""",
+hits AS (SELECT item_id, doc_id FROM b_top WHERE doc_id IN (SELECT doc_id FROM demb)),
+names AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '(\p{L}+)', 1),
+                 lambda w: regexp_full_match(w, '\p{Lu}\p{Ll}+')))) AS e FROM documents),
+edges AS (SELECT doc_id, e FROM names
+          WHERE e IN (SELECT e FROM names GROUP BY e HAVING count(*) BETWEEN 2 AND """ + str(RARE_NAME) + """)),
+linked AS (SELECT DISTINCT h.item_id, h.doc_id FROM hits h JOIN edges a USING (doc_id)
+           JOIN edges b ON b.e = a.e AND b.doc_id <> a.doc_id
+           JOIN hits g ON g.doc_id = b.doc_id AND g.item_id = h.item_id),
 orph AS (SELECT item_id, doc_id FROM hits EXCEPT SELECT item_id, doc_id FROM linked),
 pairs AS (
   SELECT o.item_id, o.doc_id AS orphan, h.doc_id AS bridge,
@@ -333,10 +350,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id, orphan
 WHERE r = 1""")
 def q_bridge(spark, root):
     t = Tables(spark, root)
-    hits = R.bm25(t.benchmark, t.documents, k=10, cluster=["lang"]).join(
-        t.documents.select("doc_id", "source"), "doc_id")
-    cnt = hits.groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("_n"))
-    linked = hits.join(cnt.filter("_n > 1"), ["item_id", "source"]).select("item_id", "doc_id")
+    hits = cut_lineage(R.bm25(t.benchmark, t.documents, k=10, cluster=["lang"]).select("item_id", "doc_id"))
+    nodes = hits.select("item_id", F.col("doc_id").cast("string").alias("doc_id"))
+    linked = R.linked_hits(nodes, name_edges(t), "item_id", "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     dv = _vecs(t)[1]
     out = R.bridge_orphans(hits, linked, dv, "item_id", "doc_id", "vector")
     return out.select("item_id", "orphan", "bridge", F.round("similarity", 6).alias("similarity"))
