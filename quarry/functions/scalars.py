@@ -196,6 +196,8 @@ CRITICAL_FILE_RE = (r"(^|/)(main\.go|main\.py|index\.js|Makefile|Dockerfile|pack
                     r"|(^|/)(config\.[^/]*|docker-compose\.[^/]*)$|(^|/)(systemd|scripts)/")
 TEST_FILE_RE = (r"(_test\.go$)|(\.test\.js$)|(\.spec\.js$)|(\.test\.ts$)|(\.spec\.ts$)"
                 r"|((^|/)test_[^/]*\.py$)|(/tests?/)|(^tests?/)|(__test__)")
+CONFIG_FILE_RE = (r"(^|/)(Makefile|Dockerfile|package\.json|\.env)$|(^|/)(config\.[^/]*|docker-compose\.[^/]*)$"
+                  r"|\.(ya?ml|toml|ini|json)$")
 EXT_LANGUAGE = {
     "go": "Go", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++",
     "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript",
@@ -220,6 +222,13 @@ def classify_path(path) -> dict[str, Column]:
             "language": language_of(p)}
 
 
+def file_kind(path) -> Column:
+    """Op 28: ``test``, ``config`` or ``production`` file."""
+    p = _c(path)
+    return (F.when(p.rlike(TEST_FILE_RE), "test").when(p.rlike(CONFIG_FILE_RE), "config")
+            .otherwise("production"))
+
+
 def complexity_score(lines, files, funcs) -> Column:
     return _c(lines) + 5 * _c(files) + 10 * _c(funcs)
 

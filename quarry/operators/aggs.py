@@ -99,15 +99,18 @@ def risk_level(facts: DataFrame) -> DataFrame:
 
 
 def review_metrics(checks: DataFrame, dims: Sequence[str], verdict: str = "verdict",
-                   confidence: str = "confidence") -> DataFrame:
+                   confidence: str = "confidence", elapsed: str | None = None) -> DataFrame:
     """Op 48: totals and per-dimension counts in one pass (GROUPING SETS:
     one Expand, one shuffle).  ``dimension`` names the grouping, ``key`` its
-    value; the total row has dimension ``total``."""
+    value; the total row has dimension ``total``.  With the column ``elapsed``
+    also its least, average and largest value."""
+    times = [] if elapsed is None else [F.min(elapsed).alias("min_time"), F.avg(elapsed).alias("avg_time"),
+                                        F.max(elapsed).alias("max_time")]
     sets = [[d] for d in dims] + [[]]
     g = checks.groupingSets(sets, *dims).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(verdict) == "PASS").alias("n_pass"),
         F.count_if(F.col(verdict) == "FAIL").alias("n_fail"),
-        F.avg(confidence).alias("avg_confidence"),
+        F.avg(confidence).alias("avg_confidence"), *times,
         *[F.grouping(d).alias(f"_g_{d}") for d in dims])
     dim = F.lit("total")
     key = F.lit(None).cast("string")
@@ -116,17 +119,33 @@ def review_metrics(checks: DataFrame, dims: Sequence[str], verdict: str = "verdi
         key = F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")).otherwise(key)
     return g.select(dim.alias("dimension"), key.alias("key"), "n", "n_pass", "n_fail",
                     F.try_divide(F.col("n_pass"), F.col("n")).alias("success_rate"),
-                    "avg_confidence")
-
-
-def review_rollup(changes: DataFrame, dims: Sequence[str], decision: str = "decision") -> DataFrame:
-    """Op 48 (change level): number of changes and auto-merge rate per
-    complexity level, per risk class and in total, in one GROUPING SETS
-    aggregate over the per-change facts."""
+                    "avg_confidence", *(["min_time", "avg_time", "max_time"] if times else []))
+
+
+def review_files(files: DataFrame, change: str = "change_id", language: str = "language",
+                 kind: str = "kind") -> DataFrame:
+    """Op 48 (file level): number of files and of changes per language, per
+    kind (test, config, production) and in total.  Changes are counted after
+    each (change, language, kind) became one row, so a file type that every
+    change holds reaches a reducer as partial counts."""
+    cells = files.groupBy(change, language, kind).agg(F.count(F.lit(1)).alias("_n"))
+    per = (cells.groupingSets([[change, language], [change, kind], [change]], change, language, kind)
+           .agg(F.sum("_n").alias("_n"), F.grouping(language).alias("_l"), F.grouping(kind).alias("_k")))
+    dim = F.when(F.col("_l") == 0, F.lit("language")).when(F.col("_k") == 0, F.lit("kind")).otherwise(F.lit("total"))
+    return (per.select(dim.alias("dimension"), F.coalesce(language, kind).alias("key"), "_n")
+            .groupBy("dimension", "key").agg(F.count(F.lit(1)).alias("n_changes"), F.sum("_n").alias("n_files")))
+
+
+def review_rollup(changes: DataFrame, dims: Sequence[str], decision: str = "decision",
+                  level: str = "complexity") -> DataFrame:
+    """Op 48 (change level): number of changes, auto-merge rate and average
+    complexity level per complexity level, per risk class and in total, in
+    one GROUPING SETS aggregate over the per-change facts."""
+    changes = changes.withColumn("_level", F.col(level))      # averaged where it is no group either
     sets = [[d] for d in dims] + [[]]
     g = changes.groupingSets(sets, *dims).agg(
         F.count(F.lit(1)).alias("n_changes"),
-        F.count_if(F.col(decision) == "MERGE").alias("n_merge"),
+        F.count_if(F.col(decision) == "MERGE").alias("n_merge"), F.avg("_level").alias("avg_complexity"),
         *[F.grouping(d).alias(f"_g_{d}") for d in dims])
     dim = F.lit("total")
     key = F.lit(None).cast("string")
@@ -134,7 +153,7 @@ def review_rollup(changes: DataFrame, dims: Sequence[str], decision: str = "deci
         dim = F.when(F.col(f"_g_{d}") == 0, F.lit(d)).otherwise(dim)
         key = F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")).otherwise(key)
     return g.select(dim.alias("dimension"), key.alias("key"), "n_changes", "n_merge",
-                    (F.col("n_merge") / F.col("n_changes")).alias("auto_merge_rate"))
+                    (F.col("n_merge") / F.col("n_changes")).alias("auto_merge_rate"), "avg_complexity")
 
 
 # ---------------------------------------------------------------- op 49

@@ -298,3 +298,22 @@ def registration_gate(regs: DataFrame, max_severity: float = REGISTRATION_MAX_SE
         F.when(ok, F.col("donation")).otherwise(F.lit(0)).alias("stake_returned"),
         F.when(ok, F.lit(0)).otherwise(F.col("donation")).alias("slashed"),
         ok.alias("identity_minted"))
+
+
+def registration_journal(gated: DataFrame, deposit_at, at: str = "offered_at") -> DataFrame:
+    """Op 113: the ledger rows of :func:`registration_gate` in the form of
+    :func:`journal_rows`: the node's deposit of its donation, the lock, and
+    either the stake's return with a ``donation_credit`` (a credit of its own,
+    without effect on the balances) and ``mint_identity``, or the slash to the
+    reserve.  Rows without an amount are not written, but for the mint."""
+    steps = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(i).alias("op_ord"), amount.alias("amount"), keep.alias("keep"))
+                      for i, (op, amount, keep) in enumerate([
+                          ("deposit", F.col("donation"), F.col("donation") != 0),
+                          ("lock", F.col("donation"), F.col("donation") != 0),
+                          ("release_return", F.col("stake_returned"), F.col("stake_returned") != 0),
+                          ("release_slash", F.col("slashed"), F.col("slashed") != 0),
+                          ("donation_credit", F.col("donation_credited"), F.col("donation_credited") != 0),
+                          ("mint_identity", F.lit(0).cast("long"), F.col("identity_minted"))])])
+    rows = gated.select("node", "job_id", F.col(at).alias("at"), F.explode(steps).alias("_e")).filter("_e.keep")
+    when = F.when(F.col("_e.op") == "deposit", F.lit(deposit_at)).otherwise(F.col("at"))
+    return rows.select("node", "job_id", "_e.op", "_e.op_ord", "_e.amount", when.alias("at"))

@@ -312,18 +312,38 @@ def q_credit(spark, root):
     return M.credit_lines(req, pol)
 
 
-@register("registration_gate", B.with_sql(B.JOBS_SQL, B.JOB_WORKERS_SQL, B.AUDITS_SQL) + """,
+GATE_SQL = B.with_sql(B.JOBS_SQL, B.JOB_WORKERS_SQL, B.AUDITS_SQL) + """,
 outc AS (SELECT a.job_id, max(a.severity) AS severity
          FROM audits a JOIN job_workers w ON w.job_id = a.job_id AND w.worker = a.node GROUP BY 1),
 g AS (SELECT j.job_id, w.worker AS node, j.value AS donation, coalesce(o.severity, 1.0) <= 0.5 AS ok
       FROM jobs j JOIN job_workers w USING (job_id) LEFT JOIN outc o USING (job_id))
-SELECT job_id, node, ok AS passed, CASE WHEN ok THEN donation ELSE 0 END AS donation_credited,
+"""
+
+
+def gated(t: Tables):
+    regs = (B.jobs(t).join(B.job_workers(t), "job_id").join(outcomes(t), "job_id", "left")
+            .select("job_id", F.col("worker").alias("node"), F.col("value").alias("donation"), "severity", "offered_at"))
+    return M.registration_gate(regs)
+
+
+@register("registration_gate", GATE_SQL + """SELECT job_id, node, ok AS passed, CASE WHEN ok THEN donation ELSE 0 END AS donation_credited,
        CASE WHEN ok THEN donation ELSE 0 END AS stake_returned,
        CASE WHEN ok THEN 0 ELSE donation END AS slashed, ok AS identity_minted
 FROM g""")
 def q_registration(spark, root):
-    t = Tables(spark, root)
-    regs = (B.jobs(t).join(B.job_workers(t), "job_id").join(outcomes(t), "job_id", "left")
-            .select("job_id", F.col("worker").alias("node"), F.col("value").alias("donation"), "severity"))
-    return M.registration_gate(regs).select("job_id", "node", "passed", "donation_credited",
+    return gated(Tables(spark, root)).select("job_id", "node", "passed", "donation_credited",
                                             "stake_returned", "slashed", "identity_minted")
+
+
+@register("registration_journal", GATE_SQL + """,
+j AS (SELECT node, job_id, ok, donation,
+             unnest(['deposit', 'lock', 'release_return', 'release_slash', 'donation_credit', 'mint_identity']) AS op
+      FROM g)
+SELECT node, job_id, op, CAST(CASE WHEN op = 'mint_identity' THEN 0 ELSE donation END AS BIGINT) AS amount
+FROM j
+WHERE CASE WHEN op IN ('deposit', 'lock') THEN donation <> 0
+           WHEN op = 'release_slash' THEN NOT ok AND donation <> 0
+           WHEN op = 'mint_identity' THEN ok ELSE ok AND donation <> 0 END""")
+def q_registration_journal(spark, root):
+    j = M.registration_journal(gated(Tables(spark, root)), F.lit(DEPOSIT_AT).cast("timestamp_ntz"))
+    return j.select("node", "job_id", "op", "amount")

@@ -9,7 +9,7 @@ from quarry.functions.text import sql_tokens, tokens
 from quarry.operators import aggs as A
 from quarry.operators import joins as J
 from quarry.plans import bindings as B
-from quarry.plans.q_scalars import PLANTED_SQL, planted
+from quarry.plans.q_scalars import EXT_CASE, FILE_PATH_SQL, PLANTED_SQL, file_path, planted
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
@@ -289,8 +289,8 @@ SELECT CASE WHEN grouping(complexity) = 0 THEN 'complexity' WHEN grouping(risk)
        CASE WHEN grouping(complexity) = 0 THEN CAST(complexity AS VARCHAR)
             WHEN grouping(risk) = 0 THEN risk END AS key,
        count(*) AS n_changes, CAST(count_if(decision = 'MERGE') AS BIGINT) AS n_merge,
-       round(count_if(decision = 'MERGE') / count(*), 6) AS auto_merge_rate
-FROM ch GROUP BY GROUPING SETS ((complexity), (risk), ())""")
+       round(count_if(decision = 'MERGE') / count(*), 6) AS auto_merge_rate, round(avg(level), 6) AS avg_complexity
+FROM (SELECT *, complexity AS level FROM ch) GROUP BY GROUPING SETS ((complexity), (risk), ())""")
 def q_review_rollup(spark, root):
     """Op 48, change level: complexity-level counts, risk distribution and
     auto-merge rate (a MERGE decision is held back when the policy of the
@@ -302,7 +302,8 @@ def q_review_rollup(spark, root):
                            F.lit("REVIEW")).otherwise(F.col("decision")))
     out = A.review_rollup(ch, ["complexity", "risk"])
     return out.select("dimension", "key", "n_changes", "n_merge",
-                      F.round("auto_merge_rate", 6).alias("auto_merge_rate"))
+                      F.round("auto_merge_rate", 6).alias("auto_merge_rate"),
+                      F.round("avg_complexity", 6).alias("avg_complexity"))
 
 
 def _risk_table(spark, root):
@@ -329,13 +330,33 @@ SELECT CASE WHEN grouping(agent_no) = 0 THEN 'agent_no' WHEN grouping(severity)
             WHEN grouping(severity) = 0 THEN severity END AS key,
        count(*) AS n, CAST(count_if(verdict = 'PASS') AS BIGINT) AS n_pass, CAST(count_if(verdict = 'FAIL') AS BIGINT) AS n_fail,
        round(count_if(verdict = 'PASS') / count(*), 6) AS success_rate,
-       round(avg(confidence), 6) AS avg_confidence
+       round(avg(confidence), 6) AS avg_confidence, CAST(min(lines) AS INTEGER) AS min_time,
+       round(avg(lines), 6) AS avg_time, CAST(max(lines) AS INTEGER) AS max_time
 FROM checks GROUP BY GROUPING SETS ((agent_no), (severity), ())""")
 def q_review_metrics(spark, root):
-    m = A.review_metrics(B.checks(Tables(spark, root)), ["agent_no", "severity"])
+    """A check takes as many seconds as it has lines."""
+    m = A.review_metrics(B.checks(Tables(spark, root)), ["agent_no", "severity"], elapsed="lines")
     return m.select("dimension", "key", "n", "n_pass", "n_fail",
                     r6(F.col("success_rate")).alias("success_rate"),
-                    r6(F.col("avg_confidence")).alias("avg_confidence"))
+                    r6(F.col("avg_confidence")).alias("avg_confidence"),
+                    "min_time", r6(F.col("avg_time")).alias("avg_time"), "max_time")
+
+
+@register("review_files", B.with_sql(B.CHECKS_SQL) + f""",
+files AS (SELECT change_id, {EXT_CASE} AS language,
+                 CASE WHEN regexp_matches(path, '{S.TEST_FILE_RE}') THEN 'test'
+                      WHEN regexp_matches(path, '{S.CONFIG_FILE_RE}') THEN 'config' ELSE 'production' END AS kind
+          FROM (SELECT change_id, {FILE_PATH_SQL} AS path FROM checks JOIN part ON p_partkey = l_partkey))
+SELECT CASE WHEN grouping(language) = 0 THEN 'language' WHEN grouping(kind) = 0 THEN 'kind' ELSE 'total' END AS dimension,
+       coalesce(language, kind) AS key, count(DISTINCT change_id) AS n_changes, count(*) AS n_files
+FROM files GROUP BY GROUPING SETS ((language), (kind), ())""")
+def q_review_files(spark, root):
+    """Op 48: the file of a check is its part's."""
+    t = Tables(spark, root)
+    part = t.part.select(F.col("p_partkey").alias("l_partkey"), file_path().alias("path"))
+    files = B.checks(t).select("change_id", "l_partkey").join(part, "l_partkey").select(
+        "change_id", S.language_of("path").alias("language"), S.file_kind("path").alias("kind"))
+    return A.review_files(files)
 
 
 @register("latency_percentiles", """

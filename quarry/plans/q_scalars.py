@@ -271,7 +271,7 @@ def q_threshold(spark, root):
 
 
 HREF_RE = r'href="([^"]*)"'
-_EXT_CASE = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(
+EXT_CASE = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in S.EXT_LANGUAGE.items()) + " ELSE 'unknown' END"
 
 
@@ -292,20 +292,25 @@ FILE_PATH_SQL = (
     f"CAST(p_partkey % {len(_EXTS)} AS INTEGER) + 1) END")
 
 
+def file_path():
+    """``FILE_PATH_SQL`` as a column over ``part``."""
+    return F.expr(FILE_PATH_SQL.replace(
+        f"list_extract([{', '.join(repr(x) for x in _EXTS)}], "
+        f"CAST(p_partkey % {len(_EXTS)} AS INTEGER) + 1)",
+        f"element_at(array({', '.join(repr(x) for x in _EXTS)}), "
+        f"CAST(p_partkey % {len(_EXTS)} AS INT) + 1)"))
+
+
 @register("classify_path", f"""
 SELECT DISTINCT path, regexp_matches(path, '{S.TEST_FILE_RE}') AS is_test,
-       regexp_matches(path, '{S.CRITICAL_FILE_RE}') AS is_critical, {_EXT_CASE} AS language
+       regexp_matches(path, '{S.CRITICAL_FILE_RE}') AS is_critical, {EXT_CASE} AS language
 FROM (SELECT {FILE_PATH_SQL} AS path FROM part
       UNION ALL SELECT unnest(regexp_extract_all(html, '{HREF_RE}', 1)) FROM pages
       UNION ALL SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) FROM pages)""")
 def q_classify(spark, root):
     t = Tables(spark, root)
     p = t.pages
-    files = t.part.select(F.expr(FILE_PATH_SQL.replace(
-        f"list_extract([{', '.join(repr(x) for x in _EXTS)}], "
-        f"CAST(p_partkey % {len(_EXTS)} AS INTEGER) + 1)",
-        f"element_at(array({', '.join(repr(x) for x in _EXTS)}), "
-        f"CAST(p_partkey % {len(_EXTS)} AS INT) + 1)")).alias("path"))
+    files = t.part.select(file_path().alias("path"))
     paths = files.unionAll(p.select(F.explode(S.extract_refs("html", HREF_RE)).alias("path"))) \
         .unionAll(p.select(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path")))
     cls = S.classify_path("path")

@@ -320,6 +320,17 @@ def q_state_table(spark, root):
     return t.select("user_id", ntz("ts").alias("ts"), "event_type", "value")
 
 
+@register("stream_state_read", """
+SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value
+FROM events GROUP BY 1""")
+def q_state_read(spark, root):
+    """Op 124 without a sink: readers see the query's own state store."""
+    s = _staged_events(spark, root, "stream-state-read")
+    ckpt = S.run_to_state(S.latest_state(s, "user_id", "ts", ["event_type", "value"], WM_HOUR), "stream-state-read")
+    t = S.read_latest_state(spark, ckpt, "user_id", ["ts", "event_type", "value"])
+    return t.select("user_id", ntz("ts").alias("ts"), "event_type", "value")
+
+
 @register("telemetry_counts", """
 WITH w AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start
            FROM events, range(0, 4) r(k))

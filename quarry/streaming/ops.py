@@ -97,6 +97,45 @@ ROCKSDB_PROVIDER = ("org.apache.spark.sql.execution.streaming.state."
                     "RocksDBStateStoreProvider")
 
 
+def _started(writer, spark: SparkSession, ckpt: str, state_partitions: int | None):
+    """``writer`` started over all available input, its keyed state in
+    ``state_partitions`` parts (default: the cluster's parallelism)."""
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    # keyed state off the JVM heap (RocksDB) unless the session chose a provider
+    store_key = "spark.sql.streaming.stateStore.providerClass"
+    prev_store = spark.conf.get(store_key, None)
+    if not prev_store or prev_store.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(store_key, ROCKSDB_PROVIDER)
+    try:
+        return writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+        if prev_store:
+            spark.conf.set(store_key, prev_store)
+        else:
+            spark.conf.unset(store_key)
+
+
+def run_to_state(stream: DataFrame, name: str, state_partitions: int | None = None) -> str:
+    """Run a streaming query to the end of its input for its state alone: no
+    sink keeps a copy of any row.  Returns the checkpoint folder that
+    :func:`read_state` reads."""
+    spark = stream.sparkSession
+    ckpt = scratch_path(spark, f"{name}-ckpt")
+    _started(stream.writeStream.outputMode("update").format("noop"), spark, ckpt, state_partitions).awaitTermination()
+    return ckpt
+
+
+def read_state(spark: SparkSession, ckpt: str, batch: int | None = None) -> DataFrame:
+    """Op 124: the keyed state behind a query's checkpoint as a table (``key``
+    and ``value`` structs), one task per state partition: after its last
+    micro-batch, or after ``batch``."""
+    r = spark.read.format("statestore")
+    return (r if batch is None else r.option("batchId", batch)).load(ckpt).select("key", "value")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
                  keys: Sequence[str] | None = None, state_partitions: int | None = None,
                  counts: dict | None = None) -> DataFrame:
@@ -116,23 +155,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
             f"{out}/_b={batch_id}")
 
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    # keyed state off the JVM heap (RocksDB) unless the session chose a provider
-    store_key = "spark.sql.streaming.stateStore.providerClass"
-    prev_store = spark.conf.get(store_key, None)
-    if not prev_store or prev_store.endswith("HDFSBackedStateStoreProvider"):
-        spark.conf.set(store_key, ROCKSDB_PROVIDER)
-    try:
-        q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
-        if prev_store:
-            spark.conf.set(store_key, prev_store)
-        else:
-            spark.conf.unset(store_key)
+    q = _started(stream.writeStream.outputMode(mode).foreachBatch(sink), spark, ckpt, state_partitions)
     q.awaitTermination()
     if counts is not None:
         counts["batches"] = len(q.recentProgress)
@@ -212,6 +235,13 @@ def latest_state(stream: DataFrame, key: str, ts: str, cols: Sequence[str],
     return g.select(key, *[F.col(f"_r.{c}").alias(c) for c in [ts, *cols]])
 
 
+def read_latest_state(spark: SparkSession, ckpt: str, key: str, cols: Sequence[str],
+                      batch: int | None = None) -> DataFrame:
+    """The rows of :func:`latest_state` straight from its state store."""
+    row = "value.valueWithExtremumOrdering"      # the field max_by keeps its row in
+    return read_state(spark, ckpt, batch).select(f"key.{key}", *[F.col(f"{row}.{c}").alias(c) for c in cols])
+
+
 # ---------------------------------------------------------------- stateful folds
 CRASH_OUT = T.StructType([T.StructField("container_id", T.LongType()),
                           T.StructField("event_id", T.LongType()),

@@ -112,3 +112,20 @@ def test_copies_lie_in_later_files(spark):
     files = spark.read.parquet(paths.pop()).select("event_id", F.input_file_name().alias("file")).groupBy(
         "event_id").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n"))
     assert files.filter("files <> 2 OR n <> 2").count() == 0
+
+
+def test_state_is_read_as_of_a_batch(spark):
+    """The state store after its last and after an earlier micro-batch is the
+    latest row per key of the files read by then."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i % 5, "view", float(i), "{}") for i in range(60)]
+    path = scratch_path(spark, "state-read")
+    events = spark.createDataFrame(
+        rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    S.stage_files(events, path, "ts", 3)
+    stream = S.stream_source(spark, path, events.schema, "ts")
+    ckpt = S.run_to_state(S.latest_state(stream, "user_id", "ts", ["value"], "1 hour"), "state-read", 2)
+    read = lambda b: {r["user_id"]: r["value"] for r in S.read_latest_state(spark, ckpt, "user_id", ["value"], b).collect()}
+    assert read(None) == {u: 55.0 + u for u in range(5)}
+    first = read(0)
+    assert set(first) == set(range(5)) and max(first.values()) < 40
+    assert all(v % 5 == u for u, v in first.items())
