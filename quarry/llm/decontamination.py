@@ -10,8 +10,9 @@ checked on their words.  Items shorter than ``WINDOW`` words lie below the
 guarantee; each is one window, looked up whole.
 
 The test side is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of
-text, one pass over the documents per block; nothing is shuffled, so a
-passage that every document holds costs no more than any other.
+text (or one text above it), one pass over the documents per block, and the
+result written every ``PASSES`` passes; nothing is shuffled, so a passage that
+every document holds costs no more than any other.
 
 Edge cases: a null or empty text has no words and no hit; an item with a null
 id or without words hits nothing; items that share an id count once; repeated
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.stored import stored
 from quarry.llm.textscan import ALNUM, Texts, field, map_slices, ngrams, row_of
 
 WINDOW = 10
@@ -37,6 +39,8 @@ GRAM = 5
 WINNOW = WINDOW - GRAM + 1
 #: Bound on the item text that one pass sends to the tasks.
 BLOCK_BYTES = 8 << 20
+#: Passes that run in one job; their result is written before the next ones.
+PASSES = 4
 
 SPAN = T.StructType([field("start", T.IntegerType()), field("end", T.IntegerType())])
 FIELDS = [field("n_words", T.LongType()), field("n_hit", T.LongType()),
@@ -121,19 +125,20 @@ class ItemIndex:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int):
-    """Item blocks of at most ``limit`` bytes of text, or of one item id."""
+    """Item blocks of at most ``limit`` bytes of text, or of one text.  An
+    item's texts may lie in several blocks; the passes unite its hits."""
     rows = items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.countDistinct("id").alias("n")).first()
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
+    size = F.sum(F.octet_length("text").cast("long")).alias("b")
+    total = rows.agg(size, F.count("*").alias("n")).first()
     if not total["n"]:
         return
     count = max(1, math.ceil(total["b"] / limit))
     while True:
-        part = F.pmod(F.xxhash64("id"), F.lit(count))
-        largest = rows.groupBy(part.alias("p")).agg(
-            F.sum(F.octet_length("text").cast("long")).alias("b"), F.countDistinct("id").alias("n")
-        ).filter(F.col("n") > 1).agg(F.max("b")).first()[0]
-        if largest is None or largest <= limit or count >= 64 * total["n"]:
+        part = F.pmod(F.xxhash64("id", "text"), F.lit(count))
+        largest = (rows.groupBy(part.alias("p")).agg(size, F.count("*").alias("n"))
+                   .filter("n > 1").agg(F.max("b")).first()[0])
+        if largest is None or largest <= limit:
             break
         count *= 2
     for k in range(count):
@@ -192,7 +197,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """Every row of ``docs`` with ``n_words``, ``n_hit`` (words inside item
     windows), ``spans`` (the hit runs as word positions, end excluded) and
     ``items`` (ids, as strings, of the items with occurring windows)."""
-    out, first = docs, True
+    out, done = docs, 0
     for block in _blocks(items, item_id, item_text, block_bytes):
-        out, first = _pass(out, block, text_col, first), False
-    return _pass(docs, ([], []), text_col, True) if first else out
+        if done and done % PASSES == 0:
+            out = stored(out, "decontamination")
+        out, done = _pass(out, block, text_col, not done), done + 1
+    return out if done else _pass(docs, ([], []), text_col, True)

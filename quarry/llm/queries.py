@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import quality_rules as rules
+from quarry.llm import url_filter as url
 from quarry.llm.bpe import bpe_round_trip, public_vocabulary
 from quarry.llm.centroid_clustering import cluster_centroids
 from quarry.llm.decontamination import decontaminate
@@ -17,7 +18,6 @@ from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.lm_score import public_pieces, score_documents
 from quarry.llm.quality_classifier import classify_quality, fit_classifier
 from quarry.llm.sharding import assign_shards
-from quarry.llm.url_filter import UNWANTED_HOSTS, filter_urls, host_rule
 from quarry.llm.voronoi_knn import voronoi_topk
 from quarry.llm.whitening import whiten_vectors
 from quarry.sources.tables import read_table
@@ -113,16 +113,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The host rules of the query, in front of the method's own patterns.
-HOST_RULES = [host_rule("allow", "org", "/"), host_rule("block", "example.org", "/es/"),
-              host_rule("block", "example.org", "/en/1"), host_rule("allow", "com", "/fr/"),
-              host_rule("block", "com", "/de/")]
+HOST_RULES = [url.host_rule("allow", "org", "/"), url.host_rule("block", "example.org", "/es/"),
+              url.host_rule("block", "example.org", "/en/1"), url.host_rule("allow", "com", "/fr/"),
+              url.host_rule("block", "com", "/de/")]
 
-_UNWANTED = "|".join(r.name for r in UNWANTED_HOSTS)
 OP2_SQL = f"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path,
+         lower(coalesce(regexp_extract(url, '://[^?#]*([?][^#]*)', 1), '')) AS query FROM pages),
 rules(rule_host, rule_path, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
   ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
 SELECT page_id, host, path,
@@ -130,14 +130,17 @@ SELECT page_id, host, path,
         WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
        coalesce((SELECT max_by(action, length(rule_host || rule_path)) FROM rules
                  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
-                CASE WHEN regexp_matches(host, '(^|[.-])({_UNWANTED})($|[.-])') THEN 'block' ELSE 'allow' END) AS verdict
+                CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(url.UNWANTED_WORDS)})($|[.-])')
+                       OR regexp_matches(lower(path), '[/._-]({"|".join(url.UNWANTED_PATH_WORDS)})($|[/._-])')
+                       OR regexp_matches(query, '[?&]({"|".join(url.UNWANTED_PARAMETERS)})=')
+                     THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts"""
 
 
 @query("op2_url_filter", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, HOST_RULES + UNWANTED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
+    return url.filter_urls(pages, HOST_RULES + url.UNWANTED).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op5_sharding")

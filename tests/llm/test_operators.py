@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm import decontamination, url_filter
 from quarry.llm import jaccard_join as jj
 from quarry.llm import language_id as lid
 from quarry.llm import lm_score as lm
@@ -21,6 +22,7 @@ from quarry.llm.line_dedup import LineRuns, dedup_lines, long_lines
 from quarry.llm.queries import remainder
 from quarry.llm.sharding import assign_shards
 from quarry.llm.url_filter import UNWANTED_HOSTS, Rule, filter_urls, host_rule
+from quarry.sources.ops import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -162,6 +164,56 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in filter_urls(pages, [], default="block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("hot", [None, 5])
+def test_thousands_of_url_rules_equal_trying_all(spark, hot, monkeypatch):
+    """Host, path and query rules from a rule table, found through tokens,
+    broadcast or joined with salted hot tokens, against every rule on every URL."""
+    if hot:
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", 10)
+        monkeypatch.setattr(url_filter, "HOT_URLS", hot)
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz") + str(rng.randint(0, 60))
+    rules = []
+    for _ in range(700):
+        act = rng.choice(["allow", "block"])
+        rules += [url_filter.host_rule(act, f"{word()}.{rng.choice(['com', 'org'])}", rng.choice(["", "/", f"/{word()}/a"])),
+                  url_filter.host_word_rule(act, word()), url_filter.path_word_rule(act, f"{word()}-{word()}"),
+                  url_filter.path_word_rule(act, word()), url_filter.query_rule(act, f"{word()}_id")]
+    rules += [url_filter.host_rule("block", "com", "/zz"), Rule("any", "block", "(?i)/[^?]*%00", ())]
+    urls = [f"http://{word()}.{word()}.{rng.choice(['com', 'org'])}/{word()}{rng.choice('/-.')}{word()}/a?{word()}_id=1&B={word()}"
+            for _ in range(400)] + ["http://b.com?ax1_id=2", "http://q.com/%00", "http://Q.com/ZZ#x", "http://q.com/zz1",
+                                    "http://ax1?x=.by2.com/", "no", None] + ["http://hot.com/zz"] * 50
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(r.name, r.action, r.pattern, list(r.tokens), r.host) for r in rules], url_filter.RULES)
+    path = scratch_path(spark, "url-rules")
+    table.write.json(path)
+    compiled = [(r, re.compile(r.pattern.replace("\\z", "\\Z"))) for r in set(rules)]
+
+    def expected(u):
+        m = re.search(r"://([^/?#]*)([^?#]*)(\?[^#]*)?", u or "")
+        subject = lower(m[1]) + m[2] + (m[3] or "") if m else ""
+        fits = [r for r, p in compiled if p.search(subject)] if subject else []
+        if not fits:
+            return None, None, "allow"
+        best = max(fits, key=lambda r: (r.host, len(r.name), r.action == "block", r.name, r.action))
+        return (best.name, None, best.action) if best.host else (None, best.name, best.action)
+    got = filter_urls(pages, url_filter.read_rules(spark, path)).collect()
+    assert len(got) == len(urls)
+    assert {r["page_id"]: (r["rule"], r["pattern"], r["verdict"]) for r in got} == {
+        i: expected(u) for i, u in enumerate(urls)}
+    assert sum(r["pattern"] is not None for r in got) > 20 and sum(r["rule"] is not None for r in got) > 20
+    tried = url_filter.candidate_rules(url_filter.url_subjects(pages), table, len(rules)).count()
+    assert tried < 0.05 * len(set(urls)) * len(rules)
+
+
+def test_unwanted_paths_and_queries(spark):
+    urls = ["http://a.net/x/Online-Casino.html", "http://a.net/casinos", "http://a.net/p?a=1&PHPSESSID=2", "http://a.net/phpsessid=1",
+            "http://a.net/wp-login.php?x", "http://adult-x.net/", "http://a.net/?ref=casino", "http://a.org/casino"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = filter_urls(pages, [host_rule("allow", "org", "/")] + url_filter.UNWANTED).collect()
+    assert [r["verdict"] for r in sorted(got)] == ["block", "allow", "block", "allow", "block", "block", "allow", "allow"]
+
+
 # -- 3 decontamination ------------------------------------------------------
 
 def brute_hits(texts, items):
@@ -205,6 +257,23 @@ def test_decontamination(spark, docs, rows, empty, block):
     assert decontaminate(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_blocks_are_bounded_within_one_item(spark):
+    """One id with a third of all texts does not come in one block; hits of
+    its blocks are united, over more passes than one job runs."""
+    rng = random.Random(2)
+    texts = [prose(rng, 12) for _ in range(24)]
+    items = [(1, t) for t in texts] + [(1, texts[0])] * 3 + [(2, "x" * 900), (3, texts[1] + " more")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontamination._blocks(bench, "item_id", "text", 300))
+    assert len(blocks) > decontamination.PASSES
+    assert all(sum(len(t) for t in b[1]) <= 300 or len(b[1]) == 1 for b in blocks)
+    assert sorted(x for b in blocks for x in zip(*b)) == sorted({(str(i), t) for i, t in items})
+    docs = spark.createDataFrame([(1, " . ".join(texts)), (2, texts[1]), (3, "none of it")], "doc_id long, text string")
+    got = decontaminate(docs, bench, block_bytes=300).collect()
+    want = list(brute_hits([r["text"] for r in got], items))
+    assert [(r["n_words"], r["n_hit"], sorted(r["items"])) for r in got] == want and want[0][1] > 200
+
+
 # -- 4 line dedup -----------------------------------------------------------
 
 def test_line_dedup(spark, docs, rows, empty):
