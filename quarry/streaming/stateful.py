@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quarry.streaming.ops import KEY_BUCKETS, key_bucket
+
 #: Blocks whose events share a state row, and the parts of a crowded block.
 BLOCKS_PER_KEY = 512
 PARTS = 8
@@ -189,55 +191,78 @@ def claims(stream: DataFrame, card: str, ts: str, event: str, user: str, delay:
 
 # ---------------------------------------------------------------- op 121
 class _StaleClaims(StatefulProcessor):
-    """Of one card: its state, since when, and a timer while it is claimed."""
+    """Of a bucket of cards: the state of each, since when, and its timer while
+    it is claimed.  Spark's timer is the earliest of them."""
 
     def __init__(self, age_s: int):
         self.age_s = age_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = _Value(handle, "now", "state string, at long, event_id long, timer long")
+        self.now = _Value(handle, "now", "card array<long>, state array<string>, at array<long>, "
+                                         "event_id array<long>, timer array<long>, armed long")
 
-    def handleInputRows(self, key, rows, timerValues):
-        new = _all(rows).sort_values(["ts", "event_id"], kind="mergesort")
-        last = new.iloc[-1]
-        at, event = int(_millis(new["ts"]).iloc[-1]), int(last["event_id"])
+    def _held(self) -> tuple[dict, int]:
+        """Cards with their (state, at, event, timer), and Spark's timer."""
         old = self.now.get()
-        if old and (old[1], old[2]) > (at, event):      # late, but within the delay
-            return
-        if old and old[3]:
-            self.handle.deleteTimer(old[3])
-        timer = 0
-        if last["state"] == "claimed":
+        return (dict(zip(old[0], zip(*old[1:5]))), old[5]) if old else ({}, 0)
+
+    def _store(self, held: dict, armed: int) -> None:
+        first = min((x[3] for x in held.values() if x[3]), default=0)
+        if first != armed:
+            if armed:
+                self.handle.deleteTimer(armed)
+            if first:
+                self.handle.registerTimer(first)
+        self.now.set(list(held), *map(list, zip(*held.values())), first)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = _all(rows)
+        new = new.assign(card=new["card"].fillna(0).astype("int64"), at=_millis(new["ts"])).sort_values(
+            ["ts", "event_id"], kind="mergesort").drop_duplicates("card", keep="last")
+        held, armed = self._held()
+        soon, out = timerValues.getCurrentWatermarkInMs() + 1, []
+        for card, state, at, event in zip(*(new[c].tolist() for c in ("card", "state", "at", "event_id"))):
+            old = held.get(card)
+            if old and (old[1], old[2]) > (at, event):      # late, but within the delay
+                continue
             # older than the age in whole seconds
-            timer = max((at // 1000 + self.age_s + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(timer)
-        self.now.set(last["state"], at, event, timer)
-        yield self._row(key, last["state"], at, event, False)
+            timer = max((at // 1000 + self.age_s + 1) * 1000, soon) if state == "claimed" else 0
+            held[card] = (state, at, event, timer)
+            out.append((card, state, at, event))
+        self._store(held, armed)
+        if out:
+            yield self._rows(key, out, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state, at, event, timer = self.now.get()
-        if state == "claimed" and timer:
-            self.now.set("unclaimed", at, event, 0)
-            yield self._row(key, "unclaimed", at, event, True)
+        held, armed = self._held()
+        wm, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        due = [c for c, x in held.items() if x[3] and (x[3] < wm or x[3] <= fired)]
+        for c in due:
+            held[c] = ("unclaimed", *held[c][1:3], 0)
+        # Spark removes the timer that fired
+        self._store(held, 0 if armed == fired else armed)
+        if due:
+            yield self._rows(key, [(c, *held[c][:3]) for c in due], True)
 
     @staticmethod
-    def _row(key, state: str, at: int, event: int, stale: bool) -> pd.DataFrame:
-        return pd.DataFrame({"card": [int(key[0])], "state": [state], "ts": [pd.Timestamp(at, unit="ms")],
-                             "event_id": [event], "stale": [stale]})
+    def _rows(key, rows: list[tuple], stale: bool) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["card", "state", "ts", "event_id"])
+        card = pd.Series([None] * len(out), dtype="Int64") if key[0] < 0 else out["card"]
+        return out.assign(card=card, ts=pd.to_datetime(out["ts"], unit="ms"), stale=stale)
 
     def close(self) -> None:
         pass
 
 
 def stale_cards(stream: DataFrame, card: str, state: str, ts: str, event: str, age_s: int,
-                delay: str = "1 second") -> DataFrame:
+                delay: str = "1 second", buckets: int = KEY_BUCKETS) -> DataFrame:
     """Op 121 as a stream: the state of a card after each micro-batch that
     touches it, and a row back to ``unclaimed`` when the watermark shows that
     a claim is older than ``age_s``.  Output ``card, state, ts, event_id,
     stale``; the latest row of a card by ``(ts, event_id, stale)`` is its state."""
     s = stream.select(F.col(card).cast("long").alias("card"), F.col(state).alias("state"), F.col(ts).alias("ts"),
                       F.col(event).cast("long").alias("event_id")).withWatermark("ts", delay)
-    return s.groupBy("card").transformWithStateInPandas(
+    return s.withColumn("_bucket", key_bucket("card", buckets)).groupBy("_bucket").transformWithStateInPandas(
         _StaleClaims(age_s), "card long, state string, ts timestamp, event_id long, stale boolean", "append",
         "eventTime")

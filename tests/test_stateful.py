@@ -184,3 +184,20 @@ def test_samples_of_a_bucket_keep_to_their_container(spark):
     assert {i: got[i] for i in want} == want and any(b for _, b in want.values())
     assert len(got) == len(rows)
     assert {r["container_id"] for r in out if r["expired"]} >= {c for c in range(0, 60, 10)}
+
+
+def test_claims_of_a_bucket_go_stale_alone(spark):
+    """Every card has its own timer, whatever others in its row do."""
+    rows = [(c, "claimed", at(10 * c), c) for c in range(200)] + [(c, "done", at(1500 + c), 1000 + c) for c in range(0, 200, 4)]
+    rows.sort(key=lambda r: r[2])
+    batches = [*[rows[50 * k:50 * k + 50] for k in range(5)], [(-1, "tick", at(3000), -1)]]
+    s = staged(spark, "t-stale2", batches, "card long, state string, ts timestamp, event_id long")
+    out = S.run_to_table(K.stale_cards(s, "card", "state", "ts", "event_id", 1800, buckets=2), "t-stale2",
+                         state_partitions=2).filter("card >= 0").collect()
+    flipped = {r["card"] for r in out if r["stale"]}
+    # the watermark ends a second before the tick
+    assert flipped == {c for c in range(200) if c % 4 and 10 * c < 2999 - 1800}
+    assert all(r["state"] == "unclaimed" for r in out if r["stale"])
+    # one row per card and micro-batch
+    ends = {(r[0], k): r[3] for k, batch in enumerate(batches) for r in batch if r[0] >= 0}
+    assert sorted(r["event_id"] for r in out if not r["stale"]) == sorted(ends.values())
