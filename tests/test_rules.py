@@ -197,3 +197,19 @@ def test_bindings_reach_their_branches(spark):
     assert q["missing_in"](spark, SF_CHECK).count() > 0 and q["community_noise"](spark, SF_CHECK).count() > 0
     assert kinds("service_verdicts", "mark") >= {"ok", "FAIL"}
     assert None in kinds("audit_outcomes", "similarity")
+
+
+def test_pick_verifiers_draws_from_all_pools(spark):
+    """Every pool with a positive weight is drawn from; fewer pools than a job needs are flagged."""
+    import __spark_entry__ as E
+    from conftest import SF_CHECK
+    from pyspark.sql import functions as F
+    from quarry.operators.market import pick_verifiers
+    from quarry.sources.tables import Tables
+    pools = {r[0] for r in Tables(spark, SF_CHECK).supplier.filter("s_acctbal > 0").select("s_nationkey").distinct().collect()}
+    got = {r[0] for r in E.queries()["pick_verifiers"](spark, SF_CHECK).select("pool").distinct().collect()}
+    assert got == pools and len(pools) == 25
+    jobs = spark.createDataFrame([(1, 0, "embedding"), (2, 0, "rerank"), (3, 9, "rerank")], "job_id long, pool int, category string")
+    ver = spark.createDataFrame([(10 * p, p, 1.0) for p in range(5)], "verifier long, pool int, weight double")
+    out = pick_verifiers(jobs, ver).groupBy("job_id").agg(F.count("verifier").alias("n"), F.max("short").alias("short"))
+    assert sorted(map(tuple, out.collect())) == [(1, 3, False), (2, 4, True), (3, 5, False)]
