@@ -213,3 +213,19 @@ def test_pick_verifiers_draws_from_all_pools(spark):
     ver = spark.createDataFrame([(10 * p, p, 1.0) for p in range(5)], "verifier long, pool int, weight double")
     out = pick_verifiers(jobs, ver).groupBy("job_id").agg(F.count("verifier").alias("n"), F.max("short").alias("short"))
     assert sorted(map(tuple, out.collect())) == [(1, 3, False), (2, 4, True), (3, 5, False)]
+
+
+def test_missing_in_reads_all_orders(spark, tmp_path):
+    """A customer whose only order is of any priority is not missing; one without an order is."""
+    import os
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    from pyspark.sql import functions as F
+    for name in ("customer", "orders"):
+        df = spark.read.parquet(os.path.join(SF_SMALL, f"{name}.parquet"))
+        if name == "orders":
+            df = df.filter("o_custkey <> 7 and (o_custkey <> 8 or o_orderpriority <> '1-URGENT')")
+            assert df.filter("o_custkey = 8").count() > 0
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = E.queries()["missing_in"](spark, str(tmp_path)).filter(F.col("c_custkey").isin(7, 8)).collect()
+    assert [r[0] for r in got] == [7]
