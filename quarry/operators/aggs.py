@@ -122,18 +122,30 @@ def review_metrics(checks: DataFrame, dims: Sequence[str], verdict: str = "verdi
                     "avg_confidence", *(["min_time", "avg_time", "max_time"] if times else []))
 
 
+#: Files that one task of :func:`review_files` groups by change.
+FILES_PER_TASK = 400_000
+
+
 def review_files(files: DataFrame, change: str = "change_id", language: str = "language",
-                 kind: str = "kind") -> DataFrame:
+                 kind: str = "kind", n_files: int | None = None) -> DataFrame:
     """Op 48 (file level): number of files and of changes per language, per
     kind (test, config, production) and in total.  Changes are counted after
     each (change, language, kind) became one row, so a file type that every
-    change holds reaches a reducer as partial counts."""
-    cells = files.groupBy(change, language, kind).agg(F.count(F.lit(1)).alias("_n"))
-    per = (cells.groupingSets([[change, language], [change, kind], [change]], change, language, kind)
-           .agg(F.sum("_n").alias("_n"), F.grouping(language).alias("_l"), F.grouping(kind).alias("_k")))
-    dim = F.when(F.col("_l") == 0, F.lit("language")).when(F.col("_k") == 0, F.lit("kind")).otherwise(F.lit("total"))
-    return (per.select(dim.alias("dimension"), F.coalesce(language, kind).alias("key"), "_n")
-            .groupBy("dimension", "key").agg(F.count(F.lit(1)).alias("n_changes"), F.sum("_n").alias("n_files")))
+    change holds reaches a reducer as partial counts.
+
+    The files are dealt by change over parts of about ``FILES_PER_TASK`` rows
+    (``n_files``: their number, or an upper bound that saves a count), so the
+    tables that a task groups by change stay of one size as the input grows."""
+    n = files.count() if n_files is None else n_files
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select(change, language, kind).repartition(max(least, -(-n // FILES_PER_TASK)), change)
+    cells = dealt.groupBy(change, language, kind).agg(F.count(F.lit(1)).alias("_n"))
+    sets = [("language", F.col(language)), ("kind", F.col(kind)), ("total", F.lit(None).cast("string"))]
+    per = (cells.select(change, "_n", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("key"))
+                                                          for d, c in sets])).alias("_s"))
+           .groupBy(change, "_s").agg(F.sum("_n").alias("_n")))
+    return per.groupBy(F.col("_s.dimension").alias("dimension"), F.col("_s.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("n_changes"), F.sum("_n").alias("n_files"))
 
 
 def review_rollup(changes: DataFrame, dims: Sequence[str], decision: str = "decision",

@@ -352,9 +352,10 @@ def q_review_files(spark, root):
     """Op 48: the file of a check is its part's."""
     t = Tables(spark, root)
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), file_path().alias("path"))
-    files = B.checks(t).select("change_id", "l_partkey").join(part, "l_partkey").select(
+    checks = B.checks(t).select("change_id", "l_partkey")
+    files = checks.join(part, "l_partkey").select(
         "change_id", S.language_of("path").alias("language"), S.file_kind("path").alias("kind"))
-    return A.review_files(files)
+    return A.review_files(files, n_files=checks.count())   # a check has one part
 
 
 @register("latency_percentiles", """

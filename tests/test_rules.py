@@ -229,3 +229,21 @@ def test_missing_in_reads_all_orders(spark, tmp_path):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     got = E.queries()["missing_in"](spark, str(tmp_path)).filter(F.col("c_custkey").isin(7, 8)).collect()
     assert [r[0] for r in got] == [7]
+
+
+def test_review_files_deals_changes_over_bounded_parts(spark, monkeypatch):
+    """The tables grouped by change are no larger with more files; null languages count as before."""
+    from pyspark.sql import functions as F
+    from quarry.operators import aggs as A
+    f = spark.range(6000).select((F.col("id") % 1500).alias("change_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("l"), F.col("id") % 4)).alias("language"),
+                                 F.when(F.col("id") % 7 > 0, "production").otherwise("test").alias("kind"))
+    monkeypatch.setattr(A, "FILES_PER_TASK", 100)
+    out = A.review_files(f)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(change_id" in plan and ", 60), REPARTITION_BY_NUM" in plan
+    rows = [(i % 1500, f"l{i % 4}" if i % 4 else None, "production" if i % 7 else "test") for i in range(6000)]
+    want = {}
+    for c, lang, kind in rows:
+        for key in (("language", lang), ("kind", kind), ("total", None)):
+            want.setdefault(key, []).append(c)
+    assert {(r[0], r[1]): (r[2], r[3]) for r in out.collect()} == {k: (len(set(v)), len(v)) for k, v in want.items()}
