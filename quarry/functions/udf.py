@@ -63,6 +63,8 @@ def make_pair_scorer(fn: Callable[[list[str], list[str]], list[float]] | None =
 
 
 _BUCKETS: dict[str, tuple[int, float]] = {}  # per Python worker: token -> (dim, sign)
+#: Tokens kept there, some 20 MB: the frequent ones come early, others are hashed each time.
+BUCKETS_KEPT = 100_000
 
 
 def _bucket(tok: str, dims: int) -> tuple[int, float]:
@@ -70,7 +72,7 @@ def _bucket(tok: str, dims: int) -> tuple[int, float]:
     if hit is None:
         h = hashlib.md5(tok.encode("utf-8")).hexdigest()
         hit = (int(h[:8], 16) % dims, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-        if len(_BUCKETS) < 2_000_000:
+        if len(_BUCKETS) < BUCKETS_KEPT:
             _BUCKETS[tok] = hit
     return hit
 

@@ -247,3 +247,11 @@ def test_review_files_deals_changes_over_bounded_parts(spark, monkeypatch):
         for key in (("language", lang), ("kind", kind), ("total", None)):
             want.setdefault(key, []).append(c)
     assert {(r[0], r[1]): (r[2], r[3]) for r in out.collect()} == {k: (len(set(v)), len(v)) for k, v in want.items()}
+
+
+def test_token_cache_is_bounded():
+    from quarry.functions import udf
+    udf._BUCKETS.clear()
+    tokens = [f"t{i}" for i in range(udf.BUCKETS_KEPT + 50_000)]
+    first = [udf._bucket(t, 64) for t in tokens]
+    assert len(udf._BUCKETS) <= 100_000 and [udf._bucket(t, 64) for t in tokens[-100:]] == first[-100:]
