@@ -85,7 +85,7 @@ def q_postings(spark, root):
 
 
 # ------------------------------------------------------------------ shared CTEs
-from quarry.functions.embed import sql_hash_embed  # noqa: E402
+from quarry.functions.embed import embed_texts, sql_hash_embed  # noqa: E402
 from quarry.functions.scalars import approx_tokens  # noqa: E402
 
 DOC_EMB = sql_hash_embed("documents", "doc_id", "text", "demb")
@@ -130,7 +130,6 @@ def _vecs(t: Tables, shared: bool = False):
     """Query and corpus vectors (row-local batched embedder).  With
     ``shared`` (several stages read them) they are written once to the
     shared checkpoint folder - an index table of 64 doubles per text."""
-    from quarry.functions.embed import embed_texts
     from quarry.session import cut_lineage
     q = embed_texts(t.benchmark, "item_id", "text")
     d = embed_texts(t.documents, "doc_id", "text")
@@ -318,13 +317,17 @@ def q_graph_vote(spark, root):
 RARE_NAME = 5
 
 
-def name_edges(t: Tables):
-    """Edges document - rare capitalized word."""
+def name_edges(t: Tables, of=None):
+    """Edges document - rare capitalized word; with ``of`` those of its
+    documents (``doc_id``) alone, rare among all documents."""
     words = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)
     names = F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+$")))
-    e = t.documents.select(F.col("doc_id").cast("string").alias("src"), F.explode(names).alias("dst"))
-    rare = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, RARE_NAME))
-    return e.join(rare.select("dst"), "dst", "left_semi")
+
+    def edges(docs):
+        return docs.select(F.col("doc_id").cast("string").alias("src"), F.explode(names).alias("dst"))
+    rare = edges(t.documents).groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, RARE_NAME))
+    docs = t.documents if of is None else t.documents.join(of, "doc_id", "left_semi")
+    return edges(docs).join(rare.select("dst"), "dst", "left_semi")
 
 
 @register("bridge_orphans", "WITH " + ",\n".join([bm25_ctes(10), DOC_EMB]) + r""",
@@ -352,8 +355,10 @@ def q_bridge(spark, root):
     t = Tables(spark, root)
     hits = cut_lineage(R.bm25(t.benchmark, t.documents, k=10, cluster=["lang"]).select("item_id", "doc_id"))
     nodes = hits.select("item_id", F.col("doc_id").cast("string").alias("doc_id"))
-    linked = R.linked_hits(nodes, name_edges(t), "item_id", "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    dv = _vecs(t)[1]
+    # only they are compared; ten ids a query at most, so the texts stay where they are
+    met = F.broadcast(cut_lineage(hits.select("doc_id").distinct()))
+    linked = R.linked_hits(nodes, name_edges(t, met), "item_id", "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    dv = embed_texts(t.documents.join(met, "doc_id", "left_semi"), "doc_id", "text")
     out = R.bridge_orphans(hits, linked, dv, "item_id", "doc_id", "vector")
     return out.select("item_id", "orphan", "bridge", F.round("similarity", 6).alias("similarity"))
 

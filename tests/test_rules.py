@@ -255,3 +255,23 @@ def test_token_cache_is_bounded():
     tokens = [f"t{i}" for i in range(udf.BUCKETS_KEPT + 50_000)]
     first = [udf._bucket(t, 64) for t in tokens]
     assert len(udf._BUCKETS) <= 100_000 and [udf._bucket(t, 64) for t in tokens[-100:]] == first[-100:]
+
+
+def test_only_hits_are_embedded_for_bridges(spark):
+    """The documents are cut to the hits before names are joined and vectors made."""
+    from conftest import SF_SMALL
+    from pyspark.sql import functions as F
+    from quarry.plans import q_retrieval as Q
+    from quarry.sources.tables import Tables
+    t = Tables(spark, SF_SMALL)
+    of = t.documents.select("doc_id").orderBy("doc_id").limit(20)
+    every = Q.name_edges(t).join(of.select(F.col("doc_id").cast("string").alias("src")), "src", "left_semi").select("src", "dst")
+    got = sorted(map(tuple, Q.name_edges(t, of).select("src", "dst").collect()))
+    assert got == sorted(map(tuple, every.collect()))
+    seen, embed = [], Q.embed_texts
+    Q.embed_texts = lambda df, *a, **k: seen.append(df) or embed(df, *a, **k)
+    try:
+        Q.q_bridge(spark, SF_SMALL)
+    finally:
+        Q.embed_texts = embed
+    assert len(seen) == 1 and "LeftSemi" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
