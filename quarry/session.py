@@ -98,3 +98,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """:func:`cut_lineage`, and the shuffle files behind it go as soon as it is
+    written (a lost one is made again): a job of several such steps holds the
+    disk of its largest, not of all."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    prev = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return cut_lineage(df.select("*"))         # planned anew, under the setting
+    finally:
+        conf.set(key, prev)
