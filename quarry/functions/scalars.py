@@ -24,10 +24,14 @@ def sq_norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """Op 13: v / ||v||; a zero vector is returned unchanged (norm taken as 1)."""
-    n = F.sqrt(sq_norm(v))
-    d = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(_c(v), lambda x: x.cast("double") / d)
+    """Op 13: v / ||v||; a zero vector is returned unchanged (norm taken as 1).
+    ``v`` and its norm are bound by a transform over one element each, so both
+    are computed once per row, not once per component."""
+    def scaled(a: Column) -> Column:
+        n = F.sqrt(sq_norm(a))
+        d = F.when(n == 0, F.lit(1.0)).otherwise(n)
+        return F.get(F.transform(F.array(d), lambda m: F.transform(a, lambda x: x.cast("double") / m)), F.lit(0))
+    return F.get(F.transform(F.array(_c(v)), scaled), F.lit(0))
 
 
 def truncate_dims(v, k: int) -> Column:
