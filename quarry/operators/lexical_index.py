@@ -28,10 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.session import arrow_rows, store
 from quarry.sources.ops import scratch_path
 
 BLOCK_DOCS = 128
 CHUNK_QUERIES = 256
+#: Documents, and blocks, that a task holds in Python at a time.
+BATCH_DOCS = 512
+BATCH_BLOCKS = 16
 #: Bound on queries x terms of a chunk.
 CELLS = 4_000_000
 #: Rankings compare scores rounded to 9 digits.
@@ -83,7 +87,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     made = rows.mapInArrow(run, _BLOCK)
     path = scratch_path(spark, "lexical-index")
-    made.write.parquet(path)
+    with arrow_rows(spark, block_docs * max(1, BATCH_DOCS // block_docs)):
+        made.write.parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 
 
@@ -130,8 +135,9 @@ def term_stats(index: DataFrame, vocabulary: list[str]) -> Stats:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["at", "n"])
 
-    got = (index.select("terms", "counts", *totals).mapInArrow(run, "at long, n long").groupBy("at")
-           .agg(F.sum("n").alias("n")).toPandas())
+    with arrow_rows(index.sparkSession, BATCH_BLOCKS):
+        got = (index.select("terms", "counts", *totals).mapInArrow(run, "at long, n long").groupBy("at")
+               .agg(F.sum("n").alias("n")).toPandas())
     df = np.zeros(len(vocabulary) + len(totals), dtype=np.int64)
     df[got["at"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
     n_docs, n_texts, length = df[len(vocabulary):].tolist()
@@ -139,7 +145,8 @@ def term_stats(index: DataFrame, vocabulary: list[str]) -> Stats:
 
 
 class _Best:
-    """The k best documents (and ties) of every query of a chunk so far."""
+    """The k best documents of every query of a chunk so far, and what ties with
+    the k-th; of copies (equal scores) the k smallest ids, which rank first."""
 
     def __init__(self, n: int, k: int):
         self.k = k
@@ -154,6 +161,12 @@ class _Best:
             self.kth[query] = kth
             keep = score >= kth - TIE
             score, doc = score[keep], doc[keep]
+        if len(score) > 4 * self.k:
+            order = np.lexsort((doc, score))
+            score, doc = score[order], doc[order]
+            at = np.arange(len(score))
+            place = at - np.maximum.accumulate(np.where(np.r_[True, score[1:] != score[:-1]], at, 0))
+            score, doc = score[place < self.k], doc[place < self.k]
         self.score[query], self.doc[query] = score, doc
 
 
@@ -205,7 +218,7 @@ def scan(batches, vocabulary: list[str], weight: np.ndarray, stats: Stats, k: in
 def search(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, qid_col: str = "item_id",
            qtext_col: str = "text", chunk_queries: int = CHUNK_QUERIES, report: bool = False) -> DataFrame:
     """``qid``, ``doc_id`` and ``score`` of the best documents of every query:
-    the k best and what ties with the k-th, per task of the scan.  With
+    the k best and what ties with the k-th, per task of the scan, stored.  With
     ``report`` the (query, block) pairs instead: ``met`` (with a term in
     common) and ``scored``.  Rows that share an id are one query; queries
     without an id or a term have no result."""
@@ -242,7 +255,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: flo
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(qids, n)), pa.array(np.concatenate(best.doc)), pa.array(np.concatenate(best.score))],
                 names=["qid", "doc_id", "score"])
-        out = out.unionByName(index.select(*columns).mapInArrow(run, schema))
+        with arrow_rows(spark, BATCH_BLOCKS):
+            out = out.unionByName(store(index.select(*columns).mapInArrow(run, schema)))
     return out
 
 

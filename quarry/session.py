@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -111,3 +112,15 @@ def store(df: DataFrame) -> DataFrame:
         return cut_lineage(df.select("*"))         # planned anew, under the setting
     finally:
         conf.set(key, prev)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs run inside hand Python at most ``rows`` rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, prev)
